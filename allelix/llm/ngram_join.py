@@ -26,10 +26,10 @@ from pyspark.sql import functions as F
 from allelix.llm.common import connected_components, require, written
 
 U = np.uint64
-SEGMENT = 1 << 21
+SEGMENT = 1 << 20
 BITS = 1024
-TILE = 4096
-FLUSH = 1 << 21
+TILE = 1024
+FLUSH = 1 << 20
 SEEDS = 16
 BASE = 0x9E3779B97F4A7C15
 
@@ -355,7 +355,8 @@ def jaccard_components(docs: DataFrame, width: int = 5, threshold: str = "0.8",
     n, large = work.agg(F.count("*"), F.max("chunks")).first()
     labels = None
     if n:
-        text = docs.where("doc_id is not null").select(F.col("doc_id").alias("rep"), "text")
+        # By merge at every size: a broadcast that only small inputs get would say nothing about large ones.
+        text = docs.where("doc_id is not null").select(F.col("doc_id").alias("rep"), "text").hint("merge")
         tiles = max(1, n // (tile // 4))
         small = work.where("chunks = 1").select("comp", "rep", F.pmod(F.xxhash64("comp"), F.lit(tiles)).cast("string").alias("tile"), F.col("rep").alias("known"))
         if large == 1:
