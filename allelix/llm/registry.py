@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from allelix.llm.bpe import op10_bpe
 from allelix.llm.ngram_join import op2_ngram_jaccard_join
+from allelix.llm.packing import op7_best_fit_packing
 
-QUERIES = {f.__name__: f for f in (op2_ngram_jaccard_join,)}
+QUERIES = {f.__name__: f for f in (op2_ngram_jaccard_join, op7_best_fit_packing, op10_bpe)}
 ORACLES: dict[str, str] = {}
