@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from allelix.llm.bpe import op10_bpe
+from allelix.llm.html_extract import op4_html_extraction
 from allelix.llm.ngram_join import op2_ngram_jaccard_join
 from allelix.llm.packing import op7_best_fit_packing
+from allelix.llm.quality import op6_quality_classifier
+from allelix.llm.toxicity import op1_toxicity
 
-QUERIES = {f.__name__: f for f in (op2_ngram_jaccard_join, op7_best_fit_packing, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_ngram_jaccard_join, op4_html_extraction, op6_quality_classifier, op7_best_fit_packing, op10_bpe)}
 ORACLES: dict[str, str] = {}
