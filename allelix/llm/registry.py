@@ -2,12 +2,30 @@
 
 from __future__ import annotations
 
+from allelix.llm.ann import op3_nearest_neighbours
 from allelix.llm.bpe import op10_bpe
+from allelix.llm.chat_format import op8_chat_formatting
 from allelix.llm.html_extract import op4_html_extraction
 from allelix.llm.ngram_join import op2_ngram_jaccard_join
 from allelix.llm.packing import op7_best_fit_packing
 from allelix.llm.quality import op6_quality_classifier
+from allelix.llm.quality_rules import op9_quality_rules
 from allelix.llm.toxicity import op1_toxicity
+from allelix.llm.url_filter import OP5_SQL, op5_url_filter
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_ngram_jaccard_join, op4_html_extraction, op6_quality_classifier, op7_best_fit_packing, op10_bpe)}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_toxicity,
+        op2_ngram_jaccard_join,
+        op3_nearest_neighbours,
+        op4_html_extraction,
+        op5_url_filter,
+        op6_quality_classifier,
+        op7_best_fit_packing,
+        op8_chat_formatting,
+        op9_quality_rules,
+        op10_bpe,
+    )
+}
+ORACLES = {"op5_url_filter": OP5_SQL}
