@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,6 +40,19 @@ def require(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in columns])
 
 
+def with_columns(docs: DataFrame, measure: Callable[[pa.Array], object], name: str, column: str = "text") -> DataFrame:
+    """All columns of docs, and what ``measure`` makes of the column's batches, as doubles named ``name``."""
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
+    at = docs.columns.index(column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = pa.array(measure(batch.column(at)), pa.float64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*batch.schema.names, name])
+
+    return docs.mapInArrow(run, schema)
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node of ``edges``; component is the smallest node reachable.
 

@@ -20,11 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from allelix.llm.common import require, written
+from allelix.llm.common import require, with_columns, written
 from allelix.llm.ngram_join import text_bytes, words
-from allelix.llm.toxicity import held_out, training_rows
+from allelix.llm.toxicity import bounded, held_out, training_rows
 
-#: Positives and unlabelled rows, at most each, that the network is fitted on (those whose hashed ids are least).
+#: Positives and unlabelled rows, about, that the network is fitted on at most each (chosen by hashed ids).
 SAMPLE_ROWS = 20_000
 
 # Byte classes that are counted, as fixed values.
@@ -136,26 +136,28 @@ def estimated_prior(pos: np.ndarray, rest: np.ndarray, delta: float = 0.1) -> fl
     cuts = np.unique(np.concatenate([pos, rest]))
     p = 1 - np.searchsorted(np.sort(pos), cuts) / len(pos)
     u = 1 - np.searchsorted(np.sort(rest), cuts) / len(rest)
-    slack = np.sqrt(np.log(4 / delta) / 2) * (1 / np.sqrt(len(pos)) + 1 / np.sqrt(len(rest)))
+    slack = 0.5 * np.sqrt(np.log(4 / delta) / 2) * (1 / np.sqrt(len(pos)) + 1 / np.sqrt(len(rest)))
     some = p > 0.05
     best = np.argmin(((u + slack) / np.maximum(p, 1e-9))[some])
     return float(np.clip(u[some][best] / p[some][best], 0.05, 0.98))
 
 
 def fit(positives: DataFrame, unlabelled: DataFrame) -> Network | None:
-    """positives, unlabelled: doc_id, text. Two rounds: the first network only serves to estimate the prior."""
+    """positives, unlabelled: bounded samples of doc_id, text. Two rounds: the first network only serves to estimate the prior."""
 
     def sample(rows: DataFrame, name: str) -> np.ndarray:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 yield pa.RecordBatch.from_arrays([pa.array(list(measured(batch.column(0))), pa.list_(pa.float64()))], names=["x"])
 
-        least = rows.select(F.xxhash64("doc_id").alias("h"), "text").orderBy("h").limit(SAMPLE_ROWS).repartition(max(8, rows.sparkSession.sparkContext.defaultParallelism), "h")
-        return np.array([r["x"] for r in written(least.select("text"), name).mapInArrow(run, "x array<double>").collect()])
+        found = written(rows.select("text").mapInArrow(run, "x array<double>"), name).collect()
+        return np.array(sorted(r["x"] for r in found)).reshape(len(found), -1)
 
     pos, rest = sample(positives, "quality-positives"), sample(unlabelled, "quality-unlabelled")
     if len(pos) < 2 or len(rest) < 2:
         return None
+    rng = np.random.default_rng(11)
+    pos, rest = rng.permutation(pos), rng.permutation(rest)
     first = _train(pos[::2], rest[::2], 0.5)
     prior = estimated_prior(first.output(pos[1::2]), first.output(rest[1::2]))
     return _train(pos, rest, prior)
@@ -172,9 +174,14 @@ def scored(docs: DataFrame, network: Network | None) -> DataFrame:
     return require(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(run, "doc_id long, score double")
 
 
+def judged(docs: DataFrame, network: Network | None, name: str) -> DataFrame:
+    """All columns of docs, and the score as column ``name``."""
+    return with_columns(docs, lambda texts: network.score(measured(texts)) if network else np.ones(len(texts)), name)
+
+
 def trained(docs: DataFrame, labels: DataFrame) -> Network | None:
     """Positives: labelled good, outside the held-out third. Unlabelled: any text outside it."""
-    return fit(training_rows(docs, labels, "quality").where("label = 1"), require(docs, "doc_id", "text").where(~held_out()))
+    return fit(training_rows(docs, labels, "quality", (1,), SAMPLE_ROWS), bounded(require(docs, "doc_id", "text").where(~held_out()), SAMPLE_ROWS))
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,9 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from allelix.llm.common import require
+from allelix.llm.common import require, with_columns, written
 
-#: Labelled rows, at most, that the lexicon is learnt from (those whose hashed ids are least), and entries it has.
+#: Labelled rows, about, that the lexicon is learnt from at most (chosen by hashed ids), and entries it has.
 SAMPLE_ROWS = 40_000
 LEXICON_SIZE = 4_000
 PREFIXES = range(3, 9)
@@ -146,14 +146,10 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3) -> np.ndarray:
     return w
 
 
-def fit(labelled: DataFrame, exceptions: Iterable[str] = (), sample_rows: int = SAMPLE_ROWS, z: float = 1.96) -> Lexicon:
-    """labelled: doc_id, text, label (0 or 1). Learns entries, exception phrases and the logistic coefficients."""
-    rows = labelled.where("label in (0, 1)").select(F.xxhash64("doc_id").alias("h"), "text", F.col("label").cast("int").alias("label"))
-    rows = rows.orderBy("h").limit(sample_rows).dropDuplicates(["text"])
-    rows = rows.repartition(max(8, rows.sparkSession.sparkContext.defaultParallelism), "h")
-    from allelix.llm.common import written
-
-    rows = written(rows, "toxicity-sample")
+def fit(labelled: DataFrame, exceptions: Iterable[str] = (), z: float = 1.96) -> Lexicon:
+    """labelled: a bounded sample of text, label (0 or 1). Learns entries, exception phrases and the logistic coefficients."""
+    rows = labelled.where("label in (0, 1)").select("text", F.col("label").cast("int").alias("label"))
+    rows = written(rows.dropDuplicates(["text"]), "toxicity-sample").repartition(max(8, labelled.sparkSession.sparkContext.defaultParallelism))
     sizes = dict(rows.groupBy("label").count().collect())
     pos, neg = sizes.get(1, 0), sizes.get(0, 0)
     given = frozenset(" ".join(fold(x)) for x in exceptions)
@@ -181,7 +177,7 @@ def fit(labelled: DataFrame, exceptions: Iterable[str] = (), sample_rows: int =
             rows = [fold(t.as_py() or "") for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array([lexicon.features(lexicon.hits(w, automaton), len(w)) for w in rows], pa.list_(pa.float64())), batch.column(1)], names=["x", "label"])
 
-    # At most sample_rows rows of four numbers.
+    # A bounded sample's rows of four numbers.
     data = rows.select("text", "label").mapInArrow(measured, "x array<double>, label int").collect()
     lexicon.coefficients = logistic(np.array([r["x"] for r in data]), np.array([r["label"] for r in data], float))
     return lexicon
@@ -215,15 +211,33 @@ def scored(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     return require(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(run, "doc_id long, score double, matched map<string,double>")
 
 
+def judged(docs: DataFrame, lexicon: Lexicon, name: str) -> DataFrame:
+    """All columns of docs, and the score as column ``name``."""
+
+    def run(texts: pa.Array) -> np.ndarray:
+        rows = [fold(t.as_py() or "") for t in texts]
+        automaton = automaton_of(lexicon)
+        return lexicon.score(np.array([lexicon.features(lexicon.hits(w, automaton), len(w)) for w in rows]).reshape(-1, 4))
+
+    return with_columns(docs, run, name)
+
+
 def held_out(doc_id: str = "doc_id"):
     """Whether crc32 of the id as text leaves 1 when divided by 3; null ids aren't held out."""
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
-    """doc_id, text, label of labelled documents outside the held-out third."""
-    known = require(labels, "doc_id", label).where(F.col(label).isNotNull() & ~held_out()).select("doc_id", F.col(label).alias("label")).dropDuplicates(["doc_id"])
-    return require(docs, "doc_id", "text").join(known, "doc_id").select("doc_id", "text", "label")
+def bounded(rows: DataFrame, most: int) -> DataFrame:
+    """All rows, or about ``most`` of them, chosen by their hashed doc_id."""
+    n = rows.count()
+    return rows if n <= most else rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * most / n))
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, values: tuple = (0, 1), most: int = SAMPLE_ROWS) -> DataFrame:
+    """doc_id, text, label of a bounded sample of labelled documents outside the held-out third. The sample's ids and
+    labels are broadcast: about ``most`` rows whatever the input, so no text is shuffled."""
+    known = require(labels, "doc_id", label).where(F.col(label).isin(*values) & ~held_out()).select("doc_id", F.col(label).alias("label")).dropDuplicates(["doc_id"])
+    return require(docs, "doc_id", "text").join(F.broadcast(bounded(known, most)), "doc_id").select("doc_id", "text", "label")
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
