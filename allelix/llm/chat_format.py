@@ -2,8 +2,8 @@
 
 Calls and results meet in a hash join on their identifiers. Calls are ordered so that each stands behind the calls it
 depends on: positions in the conversation already are such an order except where a call comes before one it needs; the
-number of such steps back on a call's longest dependency path is its level, found in rounds that touch only calls
-behind a step back, and (level, position) is the order. Calls on a dependency circle never settle and are marked.
+number of such steps back on a call's longest dependency path is its level, and (level, position) is the order. Only
+conversations with a step back are worked on: many together in a task, those with very many dependencies in rounds. Calls on a dependency circle never settle and are marked.
 Arguments are checked against their tool's schema, and every linked call is written as JSON with sorted keys, no
 spaces and no escapes that JSON doesn't ask for.
 
@@ -31,6 +31,9 @@ SCHEMAS = [
     ("notify", '{"additionalProperties":false,"properties":{"text":{"type":"string"}},"required":["text"]}'),
 ]
 
+#: Dependencies of conversations that one task settles together; a conversation with more is settled in rounds.
+TOGETHER = 50_000
+
 # What JSON Schema calls the types that json gives.
 _kinds = {"string": str, "object": dict, "array": list, "boolean": bool, "null": type(None)}
 
@@ -70,17 +73,58 @@ def problems(value, schema: dict, at: str = "$") -> list[str]:
 
 
 def levels(calls: DataFrame) -> DataFrame:
-    """conv_id, call_id, level of the calls that stand behind a step back; null on or behind a circle. calls: conv_id,
-    call_id, turn, needs (ids of calls of the same conversation)."""
+    """conv_id, call_id, level, circular (on or behind a circle; level is null there) of calls in conversations with a
+    step back; all others have level 0. calls: conv_id, call_id, turn, needs (ids of calls of the same conversation)."""
     nodes = calls.where("call_id is not null").groupBy("conv_id", "call_id").agg(F.min("turn").alias("turn"))
     links = calls.where("call_id is not null").select("conv_id", "call_id", F.explode("needs").alias("need")).distinct()
     edges = links.join(nodes, ["conv_id", "call_id"]).join(nodes.select("conv_id", F.col("call_id").alias("need"), F.col("turn").alias("before")), ["conv_id", "need"])
     edges = written(edges.select("conv_id", "need", "call_id", F.when((F.col("before") > F.col("turn")) | ((F.col("before") == F.col("turn")) & (F.col("need") >= F.col("call_id"))), 1).otherwise(0).alias("back")), "chat-edges")
-    back = edges.where("back = 1")
-    bound = written(back.groupBy("conv_id").agg(F.count("*").alias("most")), "chat-bound")
-    state = written(back.groupBy("conv_id", "call_id").agg(F.lit(1).alias("level")), "chat-levels")
-    # Only conversations with a step back take part, and a level above their number of steps back is a circle's.
-    active = edges.join(bound, "conv_id")
+    # Only conversations with a step back take part.
+    counts = edges.groupBy("conv_id").agg(F.sum("back").alias("most"), F.count("*").alias("links")).where("most > 0")
+    active = written(edges.join(counts, "conv_id"), "chat-active")
+    total, longest = active.agg(F.count("*"), F.max("links")).first()
+    schema = "conv_id long, call_id string, level int, circular boolean"
+    if not total:
+        return edges.sparkSession.createDataFrame([], schema)
+    buckets = max(1, total // TOGETHER)
+    grouped = active.where(F.col("links") <= TOGETHER).withColumn("bucket", F.pmod(F.xxhash64("conv_id"), F.lit(buckets)))
+    settled = grouped.groupBy("bucket").applyInArrow(_settled, schema)
+    return settled if longest <= TOGETHER else settled.unionByName(_in_rounds(active.where(F.col("links") > TOGETHER)))
+
+
+def _settled(table: pa.Table) -> pa.Table:
+    """Levels of whole conversations, by taking calls whose needs have all been taken."""
+    graphs: dict[int, list[tuple]] = {}
+    for conv, need, call, back in zip(*(table.column(c).to_pylist() for c in ("conv_id", "need", "call_id", "back")), strict=True):
+        graphs.setdefault(conv, []).append((need, call, back))
+    out: list[tuple] = []
+    for conv, links in graphs.items():
+        behind: dict[str, list[tuple]] = {}
+        open_: dict[str, int] = {}
+        for need, call, back in links:
+            behind.setdefault(need, []).append((call, back))
+            open_[call] = open_.get(call, 0) + 1
+            open_.setdefault(need, 0)
+        level = dict.fromkeys(open_, 0)
+        ready = [c for c, n in open_.items() if n == 0]
+        while ready:
+            need = ready.pop()
+            for call, back in behind.get(need, ()):
+                level[call] = max(level[call], level[need] + back)
+                open_[call] -= 1
+                if open_[call] == 0:
+                    ready.append(call)
+        out += [(conv, c, None if open_[c] else n, open_[c] > 0) for c, n in level.items()]
+    kinds = (pa.int64(), pa.string(), pa.int32(), pa.bool_())
+    names = ("conv_id", "call_id", "level", "circular")
+    return pa.table({n: pa.array([row[k] for row in out], kind) for k, (n, kind) in enumerate(zip(names, kinds, strict=True))})
+
+
+def _in_rounds(active: DataFrame) -> DataFrame:
+    """The same for conversations too long for one task: rounds over the calls behind a step back. A level above the
+    conversation's number of steps back is a circle's."""
+    bound = active.select("conv_id", "most").distinct()
+    state = written(active.where("back = 1").select("conv_id", "call_id", F.lit(1).cast("long").alias("level")).distinct(), "chat-levels")
     front = state
     while not front.isEmpty():
         pushed = active.join(front.withColumnRenamed("call_id", "need"), ["conv_id", "need"]).groupBy("conv_id", "call_id").agg(F.max(F.least(F.col("level") + F.col("back"), F.col("most") + 1)).alias("to"))
@@ -88,7 +132,8 @@ def levels(calls: DataFrame) -> DataFrame:
         grown = F.coalesce("level", F.lit(0)) < F.coalesce("to", F.lit(0))
         after = written(merged.select("conv_id", "call_id", F.greatest("level", "to").alias("level"), grown.alias("grown")), "chat-levels")
         state, front = after.select("conv_id", "call_id", "level"), after.where("grown").select("conv_id", "call_id", "level")
-    return state.join(bound, "conv_id").select("conv_id", "call_id", F.when(F.col("level") <= F.col("most"), F.col("level")).alias("level"), (F.col("level") > F.col("most")).alias("circular"))
+    circular = F.col("level") > F.col("most")
+    return state.join(bound, "conv_id").select("conv_id", "call_id", F.when(~circular, F.col("level")).cast("int").alias("level"), circular.alias("circular"))
 
 
 def linked_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
