@@ -143,7 +143,7 @@ def estimated_prior(pos: np.ndarray, rest: np.ndarray, delta: float = 0.1) -> fl
 
 
 def fit(positives: DataFrame, unlabelled: DataFrame) -> Network | None:
-    """positives, unlabelled: bounded samples of doc_id, text. Two rounds: the first network only serves to estimate the prior."""
+    """positives, unlabelled: bounded samples of doc_id, text. The first networks only serve to estimate the prior."""
 
     def sample(rows: DataFrame, name: str) -> np.ndarray:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,15 +151,17 @@ def fit(positives: DataFrame, unlabelled: DataFrame) -> Network | None:
                 yield pa.RecordBatch.from_arrays([pa.array(list(measured(batch.column(0))), pa.list_(pa.float64()))], names=["x"])
 
         found = written(rows.select("text").mapInArrow(run, "x array<double>"), name).collect()
-        return np.array(sorted(r["x"] for r in found)).reshape(len(found), -1)
+        return np.array(sorted(r["x"] for r in found)).reshape(len(found), len(NAMES))
 
     pos, rest = sample(positives, "quality-positives"), sample(unlabelled, "quality-unlabelled")
     if len(pos) < 2 or len(rest) < 2:
         return None
-    rng = np.random.default_rng(11)
-    pos, rest = rng.permutation(pos), rng.permutation(rest)
-    first = _train(pos[::2], rest[::2], 0.5)
-    prior = estimated_prior(first.output(pos[1::2]), first.output(rest[1::2]))
+    rng, priors = np.random.default_rng(11), []
+    for _ in range(3):  # halves to train on and to estimate from; the middle of three
+        pos, rest = rng.permutation(pos), rng.permutation(rest)
+        first = _train(pos[::2], rest[::2], 0.5)
+        priors.append(estimated_prior(first.output(pos[1::2]), first.output(rest[1::2])))
+    prior = float(np.median(priors))
     return _train(pos, rest, prior)
 
 
