@@ -124,3 +124,35 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures and verdicts on all documents."""
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     return judged(docs, labels).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+OP9_SQL = r"""WITH d AS (SELECT row_number() OVER () AS k, doc_id, lang, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+tri AS (SELECT k, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g FROM (SELECT k, ws, unnest(range(1, len(ws) - 1)) AS i FROM w WHERE len(ws) > 2)),
+again AS (SELECT k, i, count(*) OVER (PARTITION BY k, g) AS c FROM tri),
+covered AS (SELECT k, count(DISTINCT p) AS n FROM (SELECT k, unnest([i, i + 1, i + 2]) AS p FROM again WHERE c > 1) GROUP BY k),
+m AS (
+  SELECT w.k, doc_id, lang, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS n_symbols,
+    len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words, length(regexp_replace(t, '[^A-Z]+', '', 'g')) AS n_capitals
+  FROM w LEFT JOIN covered USING (k)),
+r AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+    {'symbols': n_symbols / greatest(word_chars, 1), 'dup_lines': n_dup_lines / greatest(n_lines, 1), 'repeats': n_repeat_words / greatest(n_words, 1), 'shouting': n_capitals / greatest(word_chars, 1)} AS rate
+  FROM m),
+long AS (SELECT k, doc_id, lang, base_failed, unnest([{'rule': 'symbols', 'x': rate.symbols}, {'rule': 'dup_lines', 'x': rate.dup_lines}, {'rule': 'repeats', 'x': rate.repeats}, {'rule': 'shouting', 'x': rate.shouting}], recursive := true) FROM r),
+crc AS (
+  SELECT DISTINCT doc_id, xor(list_reduce(list_transform(range(1, length(doc_id::varchar) + 1), lambda i: ascii(substr(doc_id::varchar, i, 1))::bigint),
+    lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: xor(c >> 1, (c & 1) * 3988292384)), 4294967295), 4294967295) AS v
+  FROM labels WHERE quality = 1),
+good AS (SELECT doc_id FROM crc WHERE v % 3 <> 1),
+held AS (SELECT long.* FROM long JOIN good USING (doc_id) WHERE NOT base_failed),
+cuts AS (SELECT unnest([0.02, 0.04, 0.06, 0.08, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.65, 0.8])::double AS c),
+counted AS (SELECT lang, rule, c, count(*) AS n, count(*) FILTER (x > c) AS j FROM held, cuts GROUP BY ALL),
+strata AS (SELECT count(*) AS n FROM (SELECT DISTINCT lang FROM held)),
+tested AS (
+  SELECT *, CASE WHEN j < n * 0.005::double THEN list_sum(list_transform(range(0, j + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.005::double) + (n - i) * ln(0.995::double)))) ELSE 1 END AS p
+  FROM counted),
+chosen AS (SELECT lang, rule, min(c) AS cut FROM tested WHERE p <= 0.05::double / ((SELECT n FROM strata) * 4) GROUP BY ALL),
+out AS (SELECT DISTINCT long.k FROM long JOIN chosen ON long.lang IS NOT DISTINCT FROM chosen.lang AND long.rule = chosen.rule AND long.x > cut)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND k NOT IN (SELECT k FROM out) AS kept FROM r
+"""

@@ -9,7 +9,7 @@ from allelix.llm.html_extract import op4_html_extraction
 from allelix.llm.ngram_join import op2_ngram_jaccard_join
 from allelix.llm.packing import op7_best_fit_packing
 from allelix.llm.quality import op6_quality_classifier
-from allelix.llm.quality_rules import op9_quality_rules
+from allelix.llm.quality_rules import OP9_SQL, op9_quality_rules
 from allelix.llm.toxicity import op1_toxicity
 from allelix.llm.url_filter import OP5_SQL, op5_url_filter
 
@@ -28,4 +28,4 @@ QUERIES = {
         op10_bpe,
     )
 }
-ORACLES = {"op5_url_filter": OP5_SQL}
+ORACLES = {"op5_url_filter": OP5_SQL, "op9_quality_rules": OP9_SQL}
