@@ -13,11 +13,13 @@ from pyspark.sql import functions as F
 
 from allelix.functions import ranking as R
 from allelix.functions import scalars as S
+from allelix.operators import alignment as A
 from allelix.operators import evidence as E
 from allelix.operators import intervals as I
 from allelix.operators import linalg as L
 from allelix.operators import permutation as P
 from allelix.operators import popgen as G
+from allelix.operators import reports as T
 from allelix.operators import sampling as M
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -500,3 +502,110 @@ def pca_affinity(spark: SparkSession, d: str) -> DataFrame:
     scores, _ = L.principal_components(L.gram(rows, "dosages", len(grp))[0], 5)
     affinity = L.introgression_affinity(scores, grp, "AMERICA", "EUROPE")
     return spark.createDataFrame([(k, g, float(a)) for k, (g, a) in enumerate(zip(grp, np.asarray(affinity), strict=True))], "sample_id int, grp string, affinity double")
+
+
+def hits(spark: SparkSession, d: str) -> DataFrame:
+    li = table(spark, d, "lineitem")
+    start = F.col("l_partkey") * 50 + F.col("l_suppkey") + 1
+    ahead = F.col("l_linenumber") % 5 > 0
+    at = F.col("l_orderkey") * 3 + 1
+    long = F.col("l_quantity").cast("long") * 10
+    return li.select(
+        F.col("l_returnflag").alias("region"), F.concat(F.lit("chunk"), F.col("l_partkey").cast("string")).alias("query"), F.concat(F.lit("T_"), F.when(F.col("l_quantity") > 40, 2).when(F.col("l_quantity") > 30, 1).otherwise(0)).alias("target"),
+        start.alias("source_start"), (start + long - 1).alias("source_end"), at.alias("target_start"), (at + long - 1).alias("target_end"), F.when(ahead, 1).otherwise(-1).alias("strand"), long.alias("length"), (F.lit(100.0) - F.col("l_discount") * 100).alias("pident"), F.col("l_extendedprice").alias("bitscore"),
+    )
+
+
+def regions(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("region")).agg(F.lit(1).cast("long").alias("region_start"), (F.max("l_partkey") * 50 + 1000).alias("region_end"), F.lit("t.0").alias("expected"))
+
+
+HITS = """h AS (SELECT l_returnflag AS region, 'chunk' || l_partkey AS query, 'T_' || (CASE WHEN l_quantity > 40 THEN 2 WHEN l_quantity > 30 THEN 1 ELSE 0 END) AS target, l_partkey * 50 + l_suppkey + 1 AS ss, l_partkey * 50 + l_suppkey + l_quantity::bigint * 10 AS se, l_orderkey * 3 + 1 AS ts, l_orderkey * 3 + l_quantity::bigint * 10 AS te, CASE WHEN l_linenumber % 5 > 0 THEN 1 ELSE -1 END AS strand, l_quantity::bigint * 10 AS length, 100.0::double - l_discount * 100 AS pident, l_extendedprice AS bitscore FROM lineitem),
+r AS (SELECT l_returnflag AS region, 1::bigint AS a, max(l_partkey) * 50 + 1000 AS b FROM lineitem GROUP BY 1),
+best AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY region, query, target ORDER BY bitscore DESC, length DESC, pident DESC, target, ss) = 1),
+o AS (SELECT *, CASE WHEN ss <= max(se) OVER (PARTITION BY region, target ORDER BY ss, se ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 0 ELSE 1 END AS fresh FROM best),
+i AS (SELECT *, sum(fresh) OVER (PARTITION BY region, target ORDER BY ss, se ROWS UNBOUNDED PRECEDING) AS island FROM o),
+u AS (SELECT region, target, sum(n)::bigint AS covered FROM (SELECT region, target, max(se) - min(ss) + 1 AS n FROM i GROUP BY region, target, island) GROUP BY 1, 2),
+c AS (SELECT u.*, covered / (b - a + 1) AS fraction, m FROM u JOIN r USING (region) JOIN (SELECT region, target, median(pident) AS m FROM best GROUP BY 1, 2) USING (region, target)),
+dom AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY region ORDER BY covered DESC, m DESC, target) = 1),
+alt AS (SELECT c.region, max(c.fraction) AS other FROM c JOIN dom ON c.region = dom.region AND c.target <> dom.target GROUP BY 1),
+s AS (SELECT best.region, sum(pident * length) / sum(length) AS w, min(ts) AS ms, max(te) AS me, string_agg(DISTINCT CASE WHEN strand >= 0 THEN '+' ELSE '-' END, ';' ORDER BY CASE WHEN strand >= 0 THEN '+' ELSE '-' END) AS strands, count(*) AS n_hits, count(DISTINCT query) AS n_chunks FROM best JOIN dom ON best.region = dom.region AND best.target = dom.target GROUP BY 1)"""
+
+
+@query(f"WITH {HITS}, x AS (SELECT dom.region, dom.target AS dominant, dom.target = 'T_0' AS expected_match, covered, fraction, least(coalesce(other, 0), 1) AS largest_other, w, ms, me, strands, n_hits, n_chunks FROM dom LEFT JOIN alt USING (region) JOIN s USING (region)) SELECT region, dominant, expected_match, covered, round(fraction, 9) AS fraction, round(largest_other, 9) AS largest_other, round(w, 9) AS weighted_identity, ms AS mapped_start, me AS mapped_end, strands, n_hits, n_chunks, CASE WHEN expected_match AND fraction >= 0.7 AND largest_other <= 0.1 AND w >= 90 THEN 'PASS' WHEN expected_match AND fraction >= 0.4 AND w >= 85 THEN 'WARN' ELSE 'FAIL' END AS status FROM x")
+def interval_mapping(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(A.interval_mapping(hits(spark, d), regions(spark, d)))
+
+
+@query()
+def chromosome_support(spark: SparkSession, d: str) -> DataFrame:
+    """Gates of chromosome-level support; the tests hold it against pandas."""
+    return rounded(A.chromosome_support(hits(spark, d), regions(spark, d).withColumn("expected", F.lit("T_0"))))
+
+
+@query("WITH s AS (SELECT o_orderkey::varchar AS contig, round(o_totalprice * 100)::bigint AS length FROM orders WHERE o_orderkey % 50 = 7 AND o_totalprice >= 1), t AS (SELECT p_partkey AS seqid, (p_partkey + 1) * (p_partkey % 97 + 3) * 110 AS target_length FROM part WHERE p_partkey % 3 = 0), j AS (SELECT contig, length, seqid, target_length, abs(target_length - length) / length::double AS rel, row_number() OVER w AS n, lead(abs(target_length - length) / length::double) OVER w AS nxt FROM s, t WINDOW w AS (PARTITION BY contig ORDER BY abs(target_length - length), target_length, seqid)), b AS (SELECT *, nxt - rel AS gap FROM j WHERE n = 1) SELECT contig, length, CASE WHEN rel <= 0.2 THEN seqid END AS seqid, CASE WHEN rel <= 0.2 THEN target_length END AS target_length, CASE WHEN rel <= 0.2 THEN round(rel, 9) END AS rel_diff, CASE WHEN nxt <= 0.2 THEN round(gap, 9) END AS gap, CASE WHEN rel = 0 THEN 'exact' WHEN rel <= 0.08 AND gap >= 0.01 THEN CASE WHEN rel <= 0.03 THEN 'high' ELSE 'medium' END WHEN rel <= 0.08 THEN CASE WHEN rel <= 0.03 THEN 'medium' ELSE 'low' END ELSE 'unresolved' END AS confidence FROM b")
+def length_matches(spark: SparkSession, d: str) -> DataFrame:
+    s = table(spark, d, "orders").where("o_orderkey % 50 = 7 and o_totalprice >= 1").select(F.col("o_orderkey").cast("string").alias("contig"), F.round(F.col("o_totalprice") * 100).cast("long").alias("length"))
+    t = table(spark, d, "part").where("p_partkey % 3 = 0").select(F.col("p_partkey").alias("seqid"), ((F.col("p_partkey") + 1) * (F.col("p_partkey") % 97 + 3) * 110).alias("target_length"))
+    return rounded(A.length_matches(s, t))
+
+
+def two_sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    sites = good_sites(spark, d).where("abs_delta_af >= 0.3").withColumn("contrast", F.lit("a__vs__b"))
+    side = lambda k: G.hotspots(sites.where(F.col("site_id") % 4 == k)).select("contrast", "contig", "min_pos", "max_pos", "n_markers")
+    return side(0), side(1)
+
+
+@query(f"WITH {CELLS}, {SITES}, h AS (SELECT contig, site_id % 4 AS k, min(pos) AS lo, max(pos) AS hi, count(*) AS n FROM good WHERE abs_delta_af >= 0.3 GROUP BY ALL) SELECT 'a__vs__b' AS contrast, a.contig, a.n AS n_markers, b.n AS n_markers_b, greatest(least(a.hi, b.hi) - greatest(a.lo, b.lo), 0) AS overlap_bp, round(greatest(0, least(a.hi, b.hi) - greatest(a.lo, b.lo)) / nullif(greatest(a.hi, b.hi) - least(a.lo, b.lo), 0)::double, 9) AS jaccard, CASE WHEN greatest(a.lo, b.lo) <= least(a.hi, b.hi) THEN 'overlap' ELSE 'same_contig' END AS kind FROM h a JOIN h b ON a.contig = b.contig AND a.k = 0 AND b.k = 1")
+def hotspot_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(A.hotspot_pairs(*two_sides(spark, d)))
+
+
+@query("WITH h AS (SELECT p_partkey AS hotspot, p_brand AS seqid, p_partkey * 10 AS a, p_partkey * 10 + p_size * 200 AS b FROM part WHERE p_partkey % 5 = 0), g AS (SELECT p_partkey AS gene_id, p_brand AS seqid, p_partkey * 10 AS s, p_partkey * 10 + 500 AS e, p_size % 2 = 0 AS coding, p_size % 3 AS hits, CASE p_size % 3 WHEN 1 THEN p_type WHEN 2 THEN p_type || '; any' ELSE '' END AS c FROM part), j AS (SELECT h.hotspot, g.*, least(b, e) - greatest(a, s) + 1 AS bp FROM h JOIN g ON h.seqid = g.seqid AND s <= b AND e >= a), x AS (SELECT hotspot, unnest(string_split(c, '; ')) AS item FROM j), n AS (SELECT hotspot, string_agg(DISTINCT item, '; ' ORDER BY item) AS categories FROM x WHERE item <> '' GROUP BY 1) SELECT h.hotspot, count(DISTINCT gene_id) AS n_genes, count(*) FILTER (coding) AS n_coding, count(*) FILTER (hits > 0) AS n_keyword, coalesce(sum(bp), 0)::bigint AS overlap_bp, coalesce(any_value(categories), '') AS categories FROM h LEFT JOIN j ON h.hotspot = j.hotspot LEFT JOIN n ON h.hotspot = n.hotspot GROUP BY 1")
+def gene_support(spark: SparkSession, d: str) -> DataFrame:
+    p, at = table(spark, d, "part"), F.col("p_partkey") * 10
+    size = F.col("p_size").cast("long")
+    h = p.where("p_partkey % 5 = 0").select(F.col("p_partkey").alias("hotspot"), F.col("p_brand").alias("seqid"), at.alias("a_start"), (at + size * 200).alias("a_end"))
+    named = F.when(size % 3 == 1, F.col("p_type")).when(size % 3 == 2, F.concat("p_type", F.lit("; any"))).otherwise("")
+    g = p.select(F.col("p_partkey").alias("gene_id"), F.col("p_brand").alias("seqid"), at.alias("b_start"), (at + 500).alias("b_end"), (size % 2 == 0).alias("coding"), (size % 3).alias("hits"), named.alias("categories"))
+    return A.gene_support(h, g, 2_000)
+
+
+@query("WITH o AS (SELECT o_orderpriority AS contrast, CASE WHEN o_custkey % 2 = 0 THEN 'sgC' ELSE 'sgE' END AS sg, count(*) AS n, avg(o_totalprice) AS e FROM orders GROUP BY ALL), w AS (SELECT contrast, max(n) FILTER (sg = 'sgC') AS c, max(n) FILTER (sg = 'sgE') AS e, sum(n)::bigint AS t, round(avg(e), 9) AS m FROM o GROUP BY 1), x AS (SELECT o_orderpriority AS contrast, count(*) AS n_final FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority <> '5-LOW' GROUP BY 1) SELECT w.contrast, c AS \"n_markers_sgC\", e AS \"n_markers_sgE\", t AS n_markers_total, m AS mean_effect, coalesce(n_final, 0) AS n_final, round(((rank() OVER (ORDER BY t) + (count(*) OVER (PARTITION BY t) - 1) / 2.0::double) / count(*) OVER () + (rank() OVER (ORDER BY m) + (count(*) OVER (PARTITION BY m) - 1) / 2.0::double) / count(*) OVER ()) / 2, 9) AS consensus FROM w LEFT JOIN x USING (contrast)")
+def contrast_consensus(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders")
+    overview = o.groupBy(F.col("o_orderpriority").alias("contrast"), F.when(F.col("o_custkey") % 2 == 0, "sgC").otherwise("sgE").alias("subgenome")).agg(F.count("*").alias("n_markers"), F.avg("o_totalprice").alias("mean_effect"))
+    final = o.where("o_orderstatus = 'F' and o_orderpriority <> '5-LOW'").groupBy(F.col("o_orderpriority").alias("contrast")).agg(F.count("*").alias("n_final"))
+    return rounded(T.contrast_consensus(overview, final))
+
+
+@query("WITH x AS (SELECT c_mktsegment AS a, nullif(c_nationkey::bigint, 7) AS b, c_custkey, c_name FROM customer) SELECT a, b, count(*) AS n_rows, count(DISTINCT c_custkey) AS n_members, string_agg(DISTINCT c_name, '; ' ORDER BY c_name) AS labels FROM x GROUP BY ALL")
+def candidate_shortlist(spark: SparkSession, d: str) -> DataFrame:
+    x = table(spark, d, "customer").select(F.col("c_mktsegment").alias("a"), F.nullif(F.col("c_nationkey").cast("long"), F.lit(7)).alias("b"), "c_custkey", "c_name")
+    return T.candidate_shortlist(x, ["a", "b"], "c_custkey", "c_name")
+
+
+@query("SELECT 'open' AS section, count(*) AS total, count(*) FILTER (o_orderpriority = '1-URGENT') AS \"n_1-URGENT\", count(*) FILTER (o_orderpriority = '5-LOW') AS \"n_5-LOW\" FROM orders WHERE o_orderstatus = 'O' UNION ALL SELECT 'rest', count(*), count(*) FILTER (o_orderpriority = '1-URGENT'), count(*) FILTER (o_orderpriority = '5-LOW') FROM orders WHERE o_orderstatus <> 'O'")
+def readiness(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders")
+    both = T.sectioned({"open": o.where("o_orderstatus = 'O'").select("o_orderpriority"), "rest": o.where("o_orderstatus <> 'O'").select("o_orderpriority", "o_custkey")})
+    return T.readiness(both, "section", "o_orderpriority", ["1-URGENT", "5-LOW"])
+
+
+@query("SELECT 'n_rows' AS metric, count(*)::varchar AS value FROM lineitem UNION ALL SELECT 'n_sites', count(DISTINCT l_partkey)::varchar FROM lineitem UNION ALL SELECT 'last_sample', max(l_suppkey)::varchar FROM lineitem")
+def dataset_summary(spark: SparkSession, d: str) -> DataFrame:
+    return T.key_values(table(spark, d, "lineitem"), n_rows=F.count("*"), n_sites=F.count_distinct("l_partkey"), last_sample=F.max("l_suppkey"))
+
+
+@query("WITH p AS (SELECT n_regionkey::bigint AS a, (n_nationkey % 5)::bigint AS b, n_nationkey - 12.0::double AS x FROM nation), c AS (SELECT least(a, b)::varchar AS pair_1, greatest(a, b)::varchar AS pair_2, avg(x) AS delta_ibs FROM p GROUP BY 1, 2), q AS (SELECT least(a, b)::varchar AS pair_1, greatest(a, b)::varchar AS pair_2, avg(x * 2) AS delta_distance FROM p WHERE a <> 2 GROUP BY 1, 2) SELECT coalesce(c.pair_1, q.pair_1) AS pair_1, coalesce(c.pair_2, q.pair_2) AS pair_2, delta_ibs, delta_distance, abs(delta_ibs) AS abs_delta_ibs, abs(delta_distance) AS abs_delta_distance, CASE WHEN delta_ibs > 0 THEN 'sgC' WHEN delta_ibs < 0 THEN 'sgE' ELSE 'tie' END AS more_similar_in, CASE WHEN delta_distance > 0 THEN 'sgC' WHEN delta_distance < 0 THEN 'sgE' ELSE 'tie' END AS more_separated_in FROM c FULL JOIN q ON c.pair_1 = q.pair_1 AND c.pair_2 = q.pair_2")
+def relationship_deltas(spark: SparkSession, d: str) -> DataFrame:
+    n = table(spark, d, "nation").select(F.col("n_regionkey").cast("string").alias("group_a"), (F.col("n_nationkey") % 5).cast("string").alias("group_b"), (F.col("n_nationkey") - F.lit(12.0)).alias("delta_ibs"))
+    return T.relationship_deltas(n, n.where("group_a <> '2'").select("group_a", "group_b", (F.col("delta_ibs") * 2).alias("delta_distance")))
+
+
+@query("WITH a AS (SELECT s_name AS alias, s_suppkey * 100 AS length, s_suppkey::varchar AS tok FROM supplier WHERE s_suppkey % 4 = 1), r AS (SELECT p_partkey::varchar AS record_id, p_partkey * 25 AS n, CASE WHEN p_partkey % 10 = 1 THEN 'supplier#' || lpad((p_partkey // 4)::varchar, 9, '0') ELSE p_name END AS d FROM part), s AS (SELECT alias, record_id, abs(n - length) AS off, CASE WHEN contains(lower(record_id || ' ' || d), lower(alias)) THEN 100 ELSE 0 END + CASE WHEN contains(lower(record_id || ' ' || d), tok) THEN 20 ELSE 0 END + CASE WHEN n = length THEN 80 WHEN abs(n - length) <= length * 0.001::double THEN 30 ELSE 0 END AS score FROM a, r), k AS (SELECT *, row_number() OVER (PARTITION BY alias ORDER BY score DESC, off, record_id) AS n, count(*) OVER (PARTITION BY alias, score, off) = 1 AS uniq FROM s WHERE score > 0) SELECT alias, record_id, score::bigint AS score, off AS length_difference, uniq AS \"unique\" FROM k WHERE n = 1")
+def alias_matches(spark: SparkSession, d: str) -> DataFrame:
+    a = table(spark, d, "supplier").where("s_suppkey % 4 = 1").select(F.col("s_name").alias("alias"), (F.col("s_suppkey") * 100).alias("length"), F.array(F.col("s_suppkey").cast("string")).alias("tokens"))
+    k = F.col("p_partkey")
+    r = table(spark, d, "part").select(k.cast("string").alias("record_id"), F.when(k % 10 == 1, F.concat(F.lit("supplier#"), F.lpad(F.floor(k / 4).cast("string"), 9, "0"))).otherwise(F.col("p_name")).alias("description"), (k * 25).alias("record_length"))
+    return rounded(A.alias_matches(a, r))
