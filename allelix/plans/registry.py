@@ -609,3 +609,34 @@ def alias_matches(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("p_partkey")
     r = table(spark, d, "part").select(k.cast("string").alias("record_id"), F.when(k % 10 == 1, F.concat(F.lit("supplier#"), F.lpad(F.floor(k / 4).cast("string"), 9, "0"))).otherwise(F.col("p_name")).alias("description"), (k * 25).alias("record_length"))
     return rounded(A.alias_matches(a, r))
+
+
+def sampled_panels(spark: SparkSession, d: str) -> tuple[DataFrame, list[tuple[str, str]]]:
+    """Nested hash-priority samples of the panel's sites as conditions, and the panel."""
+    rows, grp = panel_rows(spark, d)
+    who = [(str(k), g) for k, g in enumerate(grp)]
+    named = rows.join(variants(spark, d).select("site_id", "ref", "alt"), "site_id")
+    sample = M.nested(M.bottom_k(named, 1200, 91731), [150, 300, 600, 1200])
+    return sample.select(F.concat(F.lit("sites_"), "panel_size").alias("condition"), "site_id", "contig", "pos", "dosages"), who
+
+
+@query()
+def sampling_stability(spark: SparkSession, d: str) -> DataFrame:
+    """Components and ranks of nested samples against the largest; the tests hold it against numpy."""
+    from allelix.operators import stability as B
+
+    rows, who = sampled_panels(spark, d)
+    scores = B.component_scores(rows, "condition", "dosages", who, ("AMERICA", "EUROPE"))
+    ranks = B.affinity_ranks(scores, "EUROPE")
+    return B.component_stability(scores, "sites_1200").join(B.rank_agreement(ranks, "sites_1200", 3), "condition")
+
+
+@query(f"WITH {CELLS}, {SITES}, t AS (SELECT CASE WHEN site_id % 3 = 0 THEN 'third' WHEN site_id % 3 = 1 THEN 'second' ELSE 'base' END AS condition, * FROM good WHERE abs_delta_af >= 0.25), b AS (SELECT condition, contig, min(pos) AS s, max(pos) AS e, count(*) AS c FROM t GROUP BY 1, 2), o AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY condition ORDER BY c DESC, contig) = 1), z AS (SELECT contig AS bc, s AS bs, e AS be FROM o WHERE condition = 'base') SELECT condition, contig, s AS interval_start, e AS interval_end, round(CASE WHEN contig = bc THEN greatest(0, least(e, be) - greatest(s, bs)) / nullif(greatest(e, be) - least(s, bs), 0)::double ELSE 0 END, 9) AS jaccard FROM o, z")
+def interval_stability(spark: SparkSession, d: str) -> DataFrame:
+    from allelix.operators import stability as B
+
+    k = F.col("site_id") % 3
+    t = good_sites(spark, d).where("abs_delta_af >= 0.25").withColumn("condition", F.when(k == 0, "third").when(k == 1, "second").otherwise("base"))
+    by = t.groupBy("condition", "contig").agg(F.count("*").alias("n"), F.min("pos").alias("interval_start"), F.max("pos").alias("interval_end"))
+    best = R.best_rows(by, ["condition"], [F.desc("n"), F.asc("contig")])
+    return rounded(B.interval_stability(best, "base"))

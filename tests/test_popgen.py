@@ -151,3 +151,20 @@ def test_against_sql(spark, small, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_sampling_stability(spark, small):
+    from allelix.plans import registry
+
+    rows, who = registry.sampled_panels(spark, small)
+    data = {c: np.array([[np.nan if v is None else v for v in r] for r in p["dosages"]], float) for c, p in rows.toPandas().groupby("condition")}
+    scores = {c: L.principal_components((z := L.standardised(x)).T @ z, 5)[0] for c, x in data.items()}
+    i, j = np.triu_indices(len(who), 1)
+    away = {c: np.linalg.norm(s[i] - s[j], axis=1) for c, s in scores.items()}
+    got = {r["condition"]: r for r in entry.queries()["sampling_stability"](spark, small).collect()}
+    last = "sites_1200"
+    assert set(got) == set(scores)
+    for c, r in got.items():
+        assert r["distance_correlation"] == pytest.approx(np.corrcoef(away[c], away[last])[0, 1], abs=1e-6)
+        assert r["similarity"] == pytest.approx(L.procrustes(scores[last], scores[c])[0], abs=1e-6)
+    assert got[last]["similarity"] == pytest.approx(1, abs=1e-6) and got[last]["spearman"] == pytest.approx(1)
