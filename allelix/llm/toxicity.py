@@ -106,6 +106,14 @@ class Lexicon:
         total = sum(hits.values())
         return [1.0, math.log1p(total), math.log1p(100 * total / (words + 20)), math.log1p(len(hits))]
 
+    def measure(self, texts: pa.Array) -> np.ndarray:
+        """Features of each text; one text's words are held at a time."""
+        automaton, out = automaton_of(self), np.zeros((len(texts), 4))
+        for k, text in enumerate(texts):
+            words = fold(text.as_py() or "")
+            out[k] = self.features(self.hits(words, automaton), len(words))
+        return out
+
     def score(self, features: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(features @ self.coefficients, -30, 30)))
 
@@ -117,7 +125,7 @@ def _counted(rows: DataFrame, terms_of) -> DataFrame:
         counts: tuple[Counter, Counter] = Counter(), Counter()
 
         def flush() -> Iterator[pa.RecordBatch]:
-            terms = list(counts[0] | counts[1])
+            terms = list(counts[0].keys() | counts[1].keys())
             yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), *[pa.array([counts[k][t] for t in terms], pa.int64()) for k in (1, 0)]], names=["term", "pos", "neg"])
             counts[0].clear()
             counts[1].clear()
@@ -125,7 +133,7 @@ def _counted(rows: DataFrame, terms_of) -> DataFrame:
         for batch in batches:
             for text, label in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
                 counts[label].update(terms_of(text.as_py() or ""))
-                if len(counts[0]) + len(counts[1]) > 500_000:
+                if len(counts[0]) + len(counts[1]) > 100_000:
                     yield from flush()
         yield from flush()
 
@@ -172,10 +180,8 @@ def fit(labelled: DataFrame, exceptions: Iterable[str] = (), z: float = 1.96) ->
     lexicon = Lexicon(lexicon.weights, given | frozenset(r["term"] for r in phrases.collect()))
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = lexicon.automaton()
         for batch in batches:
-            rows = [fold(t.as_py() or "") for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array([lexicon.features(lexicon.hits(w, automaton), len(w)) for w in rows], pa.list_(pa.float64())), batch.column(1)], names=["x", "label"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(lexicon.measure(batch.column(0))), pa.list_(pa.float64())), batch.column(1)], names=["x", "label"])
 
     # A bounded sample's rows of four numbers.
     data = rows.select("text", "label").mapInArrow(measured, "x array<double>, label int").collect()
@@ -214,12 +220,7 @@ def scored(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
 def judged(docs: DataFrame, lexicon: Lexicon, name: str) -> DataFrame:
     """All columns of docs, and the score as column ``name``."""
 
-    def run(texts: pa.Array) -> np.ndarray:
-        rows = [fold(t.as_py() or "") for t in texts]
-        automaton = automaton_of(lexicon)
-        return lexicon.score(np.array([lexicon.features(lexicon.hits(w, automaton), len(w)) for w in rows]).reshape(-1, 4))
-
-    return with_columns(docs, run, name)
+    return with_columns(docs, lambda texts: lexicon.score(lexicon.measure(texts)), name)
 
 
 def held_out(doc_id: str = "doc_id"):
