@@ -53,27 +53,29 @@ def with_columns(docs: DataFrame, measure: Callable[[pa.Array], object], name: s
     return docs.mapInArrow(run, schema)
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, component) for every node of ``edges``; component is the smallest node reachable.
+def connected_components(edges: DataFrame, within: str | None = None) -> DataFrame:
+    """(node, component) for every node of ``edges`` (a, b); component is the smallest node reachable. within: a
+    column whose values are graphs of their own; it is returned too.
 
     Alternating large and small stars: each round moves every edge towards its neighbourhood's minimum, and the
     number of rounds grows with the logarithm of the longest chain. Neighbourhoods meet as aggregates (combined
     before the shuffle) and joins (which the adaptive planner splits), so a hub is never gathered in one task.
     """
-    spark = edges.sparkSession
-    e = edges.select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v")).where("u > v").distinct()
+    key = [within] if within else []
+    at = [*key, "u"]
+    e = edges.select(*key, F.greatest("a", "b").cast("long").alias("u"), F.least("a", "b").cast("long").alias("v")).where("u > v").distinct()
     e = written(e, "cc")
     state = None
     while True:
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").unionByName(low.select("u", F.col("m").alias("v")))
+        both = e.unionByName(e.select(*key, F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy(*at).agg(F.min("v").alias("m")).select(*at, F.least("u", "m").alias("m"))
+        large = both.join(low, at).where("v > u").select(*key, F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
+        low = large.groupBy(*at).agg(F.min("v").alias("m"))
+        small = large.join(low, at).select(*key, F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").unionByName(low.select(*at, F.col("m").alias("v")))
         e = written(small.distinct(), "cc")
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        now = e.agg(F.count("*"), F.sum(F.xxhash64(*at, "v").cast("decimal(38,0)"))).first()
         if now == state:
             break
         state = now
-    roots = e.select(F.col("v").alias("node")).distinct()
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots.select("node", F.col("node").alias("component")))
+    roots = e.select(*key, F.col("v").alias("node")).distinct()
+    return e.select(*key, F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots.select(*key, "node", F.col("node").alias("component")))

@@ -7,7 +7,7 @@ meet in size-banded tiles, where the bit counts of hashed parity bitmaps bound t
 sorted hash arrays are intersected exactly.
 
 Shingles are 64-bit hashes, so a set's size or an overlap is wrong only if two different shingles of the compared
-texts collide (under 1e-12 for texts of a thousand words).
+texts collide (under 1e-12 for texts of a thousand words). A link is missed as a candidate with a chance of under 1e-18.
 
 Null or empty texts have an empty set and link with nothing; a null doc_id gets its set size and a null component.
 Rows that repeat a doc_id are one node. Extra columns are ignored.
@@ -27,10 +27,13 @@ from allelix.llm.common import connected_components, require, written
 
 U = np.uint64
 SEGMENT = 1 << 20
-BITS = 1024
-TILE = 1024
+BITS = 4096
+TILE = 4096
+TOGETHER = 512
 FLUSH = 1 << 20
 SEEDS = 16
+REFINEMENTS = 2
+BAND_BITS = 12
 BASE = 0x9E3779B97F4A7C15
 
 
@@ -173,9 +176,18 @@ class Bands:
         return 2 * high * (self.t.denominator - self.t.numerator) // (self.t.denominator + self.t.numerator) + 1
 
 
-def signatures(flat: np.ndarray, n: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
-    """(row, signature) of every part. A part without elements says nothing, so sets that have one are dealt
-    anew by another seed: two sets that agree on an empty part only both go on, and meet in a later deal."""
+def deals(parts: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """How often a set is dealt at most. Two linked sets fail to agree on a part with elements only if each part that
+    they agree on is empty; a part is either touched by a difference or empty with a chance of at most
+    p = 1 - (1 - exp(-elements per part)) / e, all of them with p ** parts. So many deals bring that under 1e-18."""
+    p = 1 - np.exp(-1) * (1 - np.exp(-n / parts))
+    return np.minimum(SEEDS, np.ceil(np.log(1e-18) / (parts * np.log(p)))).astype(np.int64)
+
+
+def signatures(flat: np.ndarray, n: np.ndarray, bands: Bands, first: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(row, signature) of every part. A part without elements says nothing, so sets that have one are dealt anew by
+    other seeds, as often as deals() says; of the last of all seeds empty parts count too, which leaves no pair out.
+    A signature's last bits are the band that it is for. first: signatures of other values are independent."""
     rows, sigs = [], []
     full = np.flatnonzero(n)
     if not len(full):
@@ -193,16 +205,20 @@ def signatures(flat: np.ndarray, n: np.ndarray, bands: Bands) -> tuple[np.ndarra
             base[some] = np.cumsum(parts) - parts
             k = np.zeros(len(n), np.int64)
             k[some] = parts
-            slot = base[at] + ((values * U(2 * seed + 0x9FB21C651E98DF25 | 1) >> U(32)) % k[at].astype(U)).astype(np.int64)
+            slot = base[at] + ((mix(values ^ U(first * BASE % (1 << 64))) * U(2 * seed + 0x9FB21C651E98DF25 | 1) >> U(32)) % k[at].astype(U)).astype(np.int64)
             total, size = np.zeros(int(parts.sum()), U), np.bincount(slot, minlength=int(parts.sum()))
             np.add.at(total, slot, values)
             owner = np.repeat(some, parts)
             part = np.arange(len(total)) - base[owner]
-            key = mix(total + mix(np.repeat(g, parts).astype(U) * U(1 << 40) + part.astype(U) * U(SEEDS) + U(seed)))
+            key = mix(total + mix(np.repeat(g, parts).astype(U) * U(1 << 40) + part.astype(U) * U(SEEDS) + U(seed)) + U(first))
+            key = (key >> U(BAND_BITS) << U(BAND_BITS)) | np.repeat(g, parts).astype(U) % U(1 << BAND_BITS)
             keep = size > 0 if seed + 1 < SEEDS else np.ones(len(size), bool)
             rows.append(owner[keep])
             sigs.append(key[keep])
-            some = np.unique(owner[size == 0])
+            # By band and smallest size there, so that two sets of a band are dealt equally often.
+            least = np.array(bands.low)[np.maximum(g - 1, 0)]
+            more = some[deals(parts, least) > seed + 1]
+            some = np.intersect1d(np.unique(owner[size == 0]), more)
             if not len(some):
                 break
             at = np.repeat(some, n[some])
@@ -210,78 +226,97 @@ def signatures(flat: np.ndarray, n: np.ndarray, bands: Bands) -> tuple[np.ndarra
     return np.concatenate(rows), np.concatenate(sigs)
 
 
-def stars(sig: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(signature, least doc) once for each signature, and the edges from that doc to the others that have it."""
+def stars(sig: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(signature, least doc) once for each signature, and distinct (band, that doc, another doc that has it)."""
     order = np.lexsort((doc, sig))
     sig, doc = sig[order], doc[order]
     first = np.ones(len(sig), bool)
     first[1:] = sig[1:] != sig[:-1]
     hub = doc[first][np.cumsum(first) - 1]
     other = hub != doc
-    edges = np.unique(np.stack([hub[other], doc[other]], 1), axis=0) if other.any() else np.zeros((0, 2), np.int64)
-    return sig[first], doc[first], edges[:, 0], edges[:, 1]
+    band = (sig[other].view(U) % U(1 << BAND_BITS)).astype(np.int64)
+    hub, far = hub[other], doc[other]
+    order = np.lexsort((far, hub, band))
+    edges = np.stack([band, hub, far], 1)[order]
+    new = np.ones(len(edges), bool)
+    new[1:] = (edges[1:] != edges[:-1]).any(1)
+    return sig[first], doc[first], edges[new]
+
+
+def profiles(docs: DataFrame, width: int) -> DataFrame:
+    """doc_id, n (set size) and two hashes of the whole set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, flat, n in shingle_sets(batch.column(1), width):
+                row = np.repeat(np.arange(j - i), n)
+                h1, h2 = np.zeros(j - i, U), np.zeros(j - i, U)
+                np.add.at(h1, row, flat)
+                np.add.at(h2, row, mix(flat ^ U(BASE)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(h1.astype(np.int64)), pa.array(h2.astype(np.int64))], names=["doc_id", "n", "h1", "h2"])
 
+    return docs.mapInArrow(run, "doc_id long, n long, h1 long, h2 long")
 
-_sketch_schema = "doc_id long, n long, h1 long, h2 long, bucket long, pairs binary, edges binary"
 
+def packed_signatures(docs: DataFrame, width: int, threshold: Fraction, buckets: int, first: int = 0) -> DataFrame:
+    """docs: doc_id, text, and comp where only documents of one comp can meet. Packed (signature, doc) pairs by bucket. A task sends each signature once in a flush, with its least doc; the
+    edges from there to its other docs are known at once, so a signature of very many docs stays small."""
 
-def sketches(docs: DataFrame, width: int, threshold: Fraction, buckets: int) -> DataFrame:
-    """A row for each document (size and two set hashes), and rows of packed (signature, doc) pairs by bucket.
-    A task sends each signature once, with its least doc; the edges to its other docs are known there."""
+    docs_columns = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, held, size = Bands(threshold), [], 0
-        schema = pa.schema([(c, pa.binary() if c in ("pairs", "edges") else pa.int64()) for c in ("doc_id", "n", "h1", "h2", "bucket", "pairs", "edges")])
+        within = len(docs_columns) > 2
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            sig, doc, a, b = stars(np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held]))
+        def flush() -> pa.RecordBatch:
+            sig, doc, links = stars(np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held]))
             held.clear()
-            bucket = (sig % U(buckets)).astype(np.int64)
-            spot = (a.astype(U) % U(buckets)).astype(np.int64)
+            bucket = ((sig >> U(BAND_BITS)) % U(buckets)).astype(np.int64)
+            spot = (links[:, 1].astype(U) % U(buckets)).astype(np.int64)
             order, spots = np.argsort(bucket, kind="stable"), np.argsort(spot, kind="stable")
             cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
             ecuts = np.searchsorted(spot[spots], np.arange(buckets + 1))
             packed = np.stack([sig.astype(np.int64), doc], 1)[order]
-            linked = np.stack([a, b], 1)[spots]
+            known = links[spots]
             used = np.flatnonzero((np.diff(cuts) > 0) | (np.diff(ecuts) > 0))
-            none = pa.nulls(len(used), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(used, pa.int64()), pa.array([packed[cuts[k] : cuts[k + 1]].tobytes() for k in used], pa.binary()), pa.array([linked[ecuts[k] : ecuts[k + 1]].tobytes() for k in used], pa.binary())], schema=schema)
+            columns = [pa.array([x[c[k] : c[k + 1]].tobytes() for k in used], pa.binary()) for x, c in ((packed, cuts), (known, ecuts))]
+            return pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), *columns], names=["bucket", "pairs", "edges"])
 
         for batch in batches:
-            ids = batch.column(0)
-            known = ~np.asarray(ids.is_null())
-            ids_np = np.asarray(ids.fill_null(0)).astype(np.int64)
+            ids = np.asarray(batch.column(0), np.int64)
             for i, j, flat, n in shingle_sets(batch.column(1), width):
-                row = np.repeat(np.arange(j - i), n)
-                h1, h2 = np.zeros(j - i, U), np.zeros(j - i, U)
-                np.add.at(h1, row, flat)
-                np.add.at(h2, row, mix(flat ^ U(BASE)))
-                none = pa.nulls(j - i, pa.binary())
-                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(h1.astype(np.int64)), pa.array(h2.astype(np.int64)), pa.nulls(j - i, pa.int64()), none, none], schema=schema)
-                r, sig = signatures(flat, n, bands)
-                keep = known[i:j][r]
-                held.append((sig[keep], ids_np[i:j][r[keep]]))
-                size += int(keep.sum())
+                r, sig = signatures(flat, n, bands, first)
+                if within:
+                    comp = mix(np.asarray(batch.column(2), np.int64).astype(U))[i:j][r]
+                    sig = sig ^ (comp >> U(BAND_BITS) << U(BAND_BITS))
+                held.append((sig, ids[i:j][r]))
+                size += len(sig)
                 if size >= FLUSH:
-                    yield from flush()
+                    yield flush()
                     size = 0
         if size:
-            yield from flush()
+            yield flush()
 
-    return docs.mapInArrow(run, _sketch_schema)
+    return docs.where("doc_id is not null").mapInArrow(run, "bucket long, pairs binary, edges binary")
 
 
 def candidate_edges(rows: DataFrame) -> DataFrame:
-    """(a, b) that share a signature, as stars."""
+    """(band, a, b) of documents that share a signature for that band, as stars."""
 
     def run(table: pa.Table) -> pa.Table:
         cols = {c: b"".join(x for x in table.column(c).to_pylist() if x) for c in ("pairs", "edges")}
         pairs = np.frombuffer(cols["pairs"], np.int64).reshape(-1, 2)
-        edges = np.frombuffer(cols["edges"], np.int64).reshape(-1, 2)
-        _, _, a, b = stars(pairs[:, 0], pairs[:, 1])
-        return pa.table({"a": pa.array(np.concatenate([a, edges[:, 0]])), "b": pa.array(np.concatenate([b, edges[:, 1]]))})
+        edges = np.concatenate([stars(pairs[:, 0].view(U) if len(pairs) else np.zeros(0, U), pairs[:, 1])[2], np.frombuffer(cols["edges"], np.int64).reshape(-1, 3)])
+        return pa.table({c: pa.array(edges[:, k].copy()) for k, c in enumerate(("band", "a", "b"))})
+
+    return rows.groupBy("bucket").applyInArrow(run, "band long, a long, b long")
+
 
-    return rows.groupBy("bucket").applyInArrow(run, "a long, b long")
+def candidate_groups(rows: DataFrame) -> DataFrame:
+    """node, comp: candidates of a band that signatures chain together; a node is in one group for each of its bands.
+    Bands apart, sizes can't chain into one large group."""
+    graph = connected_components(candidate_edges(rows), "band")
+    return graph.select("node", F.xxhash64("band", "component").alias("comp"))
 
 
 def linked(sets: list[np.ndarray], known: np.ndarray, threshold: Fraction) -> np.ndarray:
@@ -345,49 +380,73 @@ def jaccard_components(docs: DataFrame, width: int = 5, threshold: str = "0.8",
     docs = require(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     # A bucket holds the pairs of about 4 MB of text; from some 0.8 TB on, buckets grow instead of their number.
-    sketch = written(sketches(docs, width, t, int(min(max(64, size >> 22), 200_000))), "jaccard-sketch")
-    meta = sketch.where("bucket is null").select("doc_id", "n", "h1", "h2")
-    graph = connected_components(candidate_edges(sketch.where("bucket is not null")))
-    members = meta.join(graph, meta.doc_id == graph.node)
-    reps = written(members.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.min("component").alias("comp")), "jaccard-reps")
-    sizes = reps.groupBy("comp").agg(F.count("*").alias("m"), F.min("rep").alias("hub")).where("m > 1")
-    work = written(reps.join(sizes, "comp").select("comp", "rep", "hub", F.ceil(F.col("m") / tile).alias("chunks")), "jaccard-work")
-    n, large = work.agg(F.count("*"), F.max("chunks")).first()
+    buckets = int(min(max(64, size >> 22), 200_000))
+    # Texts are read twice, which is cheaper than keeping all signatures on disk next to their shuffle.
+    meta = written(profiles(docs, width), "jaccard-profiles")
+    groups = candidate_groups(packed_signatures(docs, width, t, buckets))
+    members = meta.join(groups, meta.doc_id == groups.node)
+    # Copies of a set are in the same groups.
+    reps = written(members.groupBy("n", "h1", "h2", "comp").agg(F.min("doc_id").alias("rep")), "jaccard-reps")
+    sized = written(_sized(reps.select("comp", "rep")), "jaccard-sized")
+    n = sized.count()
     labels = None
     if n:
-        # By merge at every size: a broadcast that only small inputs get would say nothing about large ones.
+        # By merge at every size: a broadcast that only small inputs get would say nothing about large ones. The
+        # candidates' texts are written, so that all that follows reads them and not the documents.
         text = docs.where("doc_id is not null").select(F.col("doc_id").alias("rep"), "text").hint("merge")
-        tiles = max(1, n // (tile // 4))
-        small = work.where("chunks = 1").select("comp", "rep", F.pmod(F.xxhash64("comp"), F.lit(tiles)).cast("string").alias("tile"), F.col("rep").alias("known"))
-        if large == 1:
-            labels = verify(small.join(text, "rep"), width, t).select("rep", "label")
-        else:
-            labels = _with_large(work, small, text, width, t, tile)
-    classes = reps.select("n", "h1", "h2", F.col("rep").alias("label")) if labels is None else reps.join(labels.groupBy("rep").agg(F.min("label").alias("label")), "rep", "left").select("n", "h1", "h2", F.coalesce("label", "rep").alias("label"))
+        labels = written(_labels(written(sized.join(text, "rep"), "jaccard-texts"), n, width, t, tile, buckets), "jaccard-labels")
+    sets = reps.select("n", "h1", "h2", "rep").distinct()
+    if labels is None:
+        classes = sets.withColumnRenamed("rep", "label")
+    else:
+        links = connected_components(labels.select(F.col("rep").alias("a"), F.col("label").alias("b")))
+        classes = sets.join(links, sets.rep == links.node, "left").select("n", "h1", "h2", F.coalesce("component", "rep").alias("label"))
     return meta.join(classes, ["n", "h1", "h2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "doc_id").alias("component_id"))
 
 
-def _with_large(work: DataFrame, small: DataFrame, text: DataFrame, width: int, t: Fraction, tile: int) -> DataFrame:
+def _sized(rows: DataFrame) -> DataFrame:
+    """rows (comp, rep, …) of groups of two or more, with the group's size m and its least rep as hub."""
+    sizes = rows.groupBy("comp").agg(F.count("*").alias("m"), F.min("rep").alias("hub")).where("m > 1")
+    return rows.join(sizes, "comp")
+
+
+def _labels(texts: DataFrame, n: int, width: int, t: Fraction, tile: int, buckets: int) -> DataFrame:
+    """rep, label of groups of candidates. Groups above a tile are split by further deals first: documents that only
+    chance or a common passage brought together part, as linked ones agree on a part of every deal."""
+    small, big = texts.where(F.col("m") <= tile), texts.where(F.col("m") > tile)
+    for first in range(1, REFINEMENTS + 1):
+        if big.isEmpty():
+            break
+        pairs = packed_signatures(big.select(F.col("rep").alias("doc_id"), "text", "comp"), width, t, buckets, first)
+        groups = candidate_groups(pairs)
+        finer = big.select("rep", "text").distinct().join(groups, F.col("rep") == F.col("node")).select("comp", "rep", "text")
+        finer = written(_sized(finer), "jaccard-finer")
+        small, big = small.unionByName(finer.where(F.col("m") <= tile), allowMissingColumns=True), finer.where(F.col("m") > tile)
+    tiles = max(1, n // TOGETHER)
+    rows = small.select("comp", "rep", F.pmod(F.xxhash64("comp"), F.lit(tiles)).cast("string").alias("tile"), F.col("rep").alias("known"), "text")
+    labels = verify(rows, width, t).select("rep", "label")
+    return labels if big.isEmpty() else labels.unionByName(_with_large(big.withColumn("chunks", F.ceil(F.col("m") / tile)), width, t, tile))
+
+
+def _with_large(big: DataFrame, width: int, t: Fraction, tile: int) -> DataFrame:
     """Groups of more candidates than a tile holds: chunks are linked within, and with the group's hub; what stays
     apart from the group's largest class is then compared with every chunk. Work follows the group's size where
     most of it links, and every pair of different classes is still compared."""
-    big = work.where("chunks > 1").withColumn("chunk", F.pmod(F.xxhash64("rep"), "chunks"))
-    named = F.concat_ws(":", "comp", "chunk")
-    own = big.select("comp", "rep", named.alias("tile"), F.col("rep").alias("known"))
-    hubs = big.select("comp", F.col("hub").alias("rep"), named.alias("tile"), F.col("hub").alias("known")).distinct()
-    first = written(verify(small.unionByName(own).unionByName(hubs).distinct().join(text, "rep"), width, t), "jaccard-first")
+    big = big.withColumn("chunk", F.pmod(F.xxhash64("rep"), "chunks"))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    own = big.select("comp", "rep", F.concat_ws(":", "comp", "chunk").alias("tile"), F.col("rep").alias("known"), "text")
+    hubs = big.where("rep = hub").select("comp", "rep", "text", every("chunks").alias("chunk"))
+    hubs = hubs.select("comp", "rep", F.concat_ws(":", "comp", "chunk").alias("tile"), F.col("rep").alias("known"), "text")
+    first = written(verify(own.unionByName(hubs), width, t), "jaccard-first")
     links = first.select(F.col("rep").alias("a"), F.col("label").alias("b")).where("a <> b")
     merged = connected_components(links)
-    state = written(big.join(merged, big.rep == merged.node, "left").select("comp", "rep", "chunk", "chunks", F.coalesce("component", "rep").alias("known")), "jaccard-state")
+    state = written(big.join(merged, big.rep == merged.node, "left").select("comp", "rep", "chunk", "chunks", F.coalesce("component", "rep").alias("known"), "text"), "jaccard-state")
     main = state.groupBy("comp", "known").count().groupBy("comp").agg(F.max_by("known", "count").alias("main"))
     rest = state.join(main, "comp").where("known <> main")
     sizes = rest.groupBy("comp").agg(F.ceil(F.count("*") / tile).alias("rchunks"))
-    deal = state.join(sizes, "comp")
     probes = rest.join(sizes, "comp").withColumn("r", F.pmod(F.xxhash64("rep"), "rchunks"))
-    sides = deal.select("comp", "rep", "known", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rchunks") - 1)).alias("r"), "chunk").unionByName(
-        probes.select("comp", "rep", "known", "r", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"))
-    )
-    second = verify(sides.select("comp", "rep", "known", F.concat_ws(":", "comp", "chunk", "r").alias("tile")).distinct().join(text, "rep"), width, t)
+    sides = state.join(sizes, "comp").select("comp", "rep", "known", "text", "chunk", every("rchunks").alias("r")).unionByName(probes.select("comp", "rep", "known", "text", every("chunks").alias("chunk"), "r"))
+    second = verify(sides.select("comp", "rep", "known", F.concat_ws(":", "comp", "chunk", "r").alias("tile"), "text"), width, t)
     more = written(second.select(F.col("rep").alias("a"), F.col("label").alias("b")).where("a <> b"), "jaccard-second")
     joined = connected_components(links.unionByName(more).unionByName(state.select(F.col("rep").alias("a"), F.col("known").alias("b")).where("a <> b")))
     return joined.select(F.col("node").alias("rep"), F.col("component").alias("label"))

@@ -77,7 +77,7 @@ def near_copies(seed, n=70):
     return list(enumerate(texts))
 
 
-@pytest.mark.parametrize("width,threshold,tile", [(3, "0.9", 1024), (5, "0.8", 1024), (3, "0.7", 6)])
+@pytest.mark.parametrize("width,threshold,tile", [(3, "0.9", 4096), (5, "0.8", 4096), (3, "0.7", 6), (3, "0.5", 3)])
 def test_jaccard_components(spark, width, threshold, tile):
     rows = near_copies(width * 10 + tile)
     docs = documents(spark, [t for _, t in rows]).repartition(5)
