@@ -68,23 +68,25 @@ def length_matches(sources: DataFrame, targets: DataFrame) -> DataFrame:
     """sources (contig, length), targets (seqid, target_length): for every source the target of least relative length
     difference (ties: shorter, then by name), the gap to the next best, and the confidence.
 
-    Only differences up to 0.2 matter, so both sides meet in ranges of the logarithm of length, every target in its
-    own and the two neighbouring ranges, and nothing is crossed. Where no second target is that near, but there is
-    one, the gap is NULL and counts as wide."""
-    width = F.lit(0.25)
-    bin_ = lambda c: F.floor(F.log(F.col(c).cast("double")) / width)
-    s = sources.where("length > 0").withColumn("_bin", bin_("length"))
-    t = targets.where("target_length > 0").select("*", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: bin_("target_length") + d)).alias("_bin"))
-    diff = F.abs(F.col("target_length") - F.col("length")) / F.col("length").cast("double")
-    near = s.join(t, "_bin").withColumn("rel_diff", diff).where(F.col("rel_diff") <= 0.2)
-    order = Window.partitionBy("contig").orderBy("rel_diff", "target_length", "seqid")
-    ranked = near.withColumn("_n", F.row_number().over(order)).withColumn("_next", F.lead("rel_diff").over(order))
-    best = ranked.where("_n = 1").select("contig", "length", "seqid", "target_length", "rel_diff", (F.col("_next") - F.col("rel_diff")).alias("gap"))
-    several = targets.where("target_length > 0").agg((F.count("*") > 1).alias("_several"))
-    grade = confidence("rel_diff", F.coalesce("gap", F.when(F.col("_several"), 1.0)))
-    found = best.crossJoin(F.broadcast(several)).withColumn("confidence", grade).drop("_several")
-    missing = sources.join(found.select("contig"), "contig", "left_anti").select("contig", "length")
-    return found.unionByName(missing.withColumn("confidence", F.lit("unresolved")), allowMissingColumns=True)
+    Differences above 0.2 don't count as a match. Every distinct length meets its nearest two targets on each side in
+    a sorted sweep, so nothing is crossed. Where no second target is that near, but there is one, the gap is NULL and
+    counts as wide."""
+    kinds = dict(targets.dtypes)
+    v = F.col("length").cast("double")
+    marks = targets.where("target_length > 0").groupBy(F.col("target_length").cast("double").alias("_v")).agg(F.min("seqid").alias("_hit"), F.count("*").alias("_n"))
+    found = I.neighbours(sources.where("length > 0").select(v.alias("_v")).distinct(), marks)
+    below, above = F.col("_v") - F.col("_b._v"), F.col("_a._v") - F.col("_v")
+    lower = F.col("_b").isNotNull() & (F.col("_a").isNull() | (below <= above))
+    best = F.when(lower, F.col("_b")).otherwise(F.col("_a"))
+    off = F.abs(best["_v"] - F.col("_v"))
+    # The next best: another target of the same length, the other side's nearest, or the one behind.
+    second = F.when(best["_n"] > 1, off).otherwise(F.least(F.when(lower, above).otherwise(below), F.abs(best["_far"] - F.col("_v"))))
+    rel, nxt = off / F.col("_v"), second / F.col("_v")
+    gap = F.when(nxt <= 0.2, nxt - rel)
+    grade = confidence(rel, F.coalesce(gap, F.when(nxt.isNotNull(), 1.0)))
+    near = found.where(rel <= 0.2).select("_v", best["_hit"].alias("seqid"), best["_v"].cast(kinds["target_length"]).alias("target_length"), rel.alias("rel_diff"), gap.alias("gap"), grade.alias("confidence"))
+    out = sources.withColumn("_v", v).join(near, "_v", "left")
+    return out.select("contig", "length", "seqid", "target_length", "rel_diff", "gap", F.coalesce("confidence", F.lit("unresolved")).alias("confidence"))
 
 
 def hotspot_pairs(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -112,6 +112,32 @@ def nearest_value(left: DataFrame, right: DataFrame, value: str, target: str, ke
     return found.select(*left.columns, best["_hit"].alias(key), best["_v"].alias("nearest"), F.abs(F.col("_v") - best["_v"]).alias("distance"))
 
 
+def neighbours(values: DataFrame, marks: DataFrame) -> DataFrame:
+    """values (_v, no repeats), marks (_v, _hit, _n; no repeats of _v) -> _v with the marks around it: _b (at it or
+    below) and _a (above it), structs of _v, _hit, _n and _far, the value of the mark behind that one. The sorted sweep
+    of nearest_value with two marks on each side: a range hands on its outermost two marks, and nothing is crossed."""
+    both = values.select("_v", F.lit(False).alias("_mark")).unionByName(marks.select("_v", "_hit", "_n", F.lit(True).alias("_mark")), allowMissingColumns=True)
+    parts = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = fixed(both.repartitionByRange(parts, "_v").withColumn("_part", F.spark_partition_id()))
+    down = Window.partitionBy("_part").orderBy("_v", F.desc("_mark"))
+    up = Window.partitionBy("_part").orderBy(F.desc("_v"), "_mark")
+    ahead, so_far = (Window.unboundedPreceding, -1), (Window.unboundedPreceding, 0)
+    value = F.when(F.col("_mark"), F.col("_v"))
+    # What lies behind a mark inside its range.
+    near = dealt.withColumn("_low", F.last(value, True).over(down.rowsBetween(*ahead))).withColumn("_high", F.last(value, True).over(up.rowsBetween(*ahead)))
+    lower = F.when(F.col("_mark"), F.struct("_v", "_hit", "_n", F.col("_low").alias("_far")))
+    upper = F.when(F.col("_mark"), F.struct("_v", "_hit", "_n", F.col("_high").alias("_far")))
+    # One row for each range.
+    ends = near.groupBy("_part").agg(F.max_by(lower, value).alias("_top"), F.min_by(upper, value).alias("_bottom"), F.max(value).alias("_max"), F.min(value).alias("_min"))
+    before, behind = Window.orderBy("_part").rowsBetween(*ahead), Window.orderBy("_part").rowsBetween(1, Window.unboundedFollowing)
+    ends = ends.withColumn("_left_v", F.last("_max", True).over(before)).withColumn("_right_v", F.first("_min", True).over(behind))
+    filled = lambda c, far: F.when(F.col(c).isNotNull(), F.struct(f"{c}._v", f"{c}._hit", f"{c}._n", F.coalesce(f"{c}._far", far).alias("_far")))
+    ends = ends.withColumn("_top", filled("_top", "_left_v")).withColumn("_bottom", filled("_bottom", "_right_v"))
+    carried = ends.select("_part", "_left_v", "_right_v", F.last("_top", True).over(before).alias("_left"), F.first("_bottom", True).over(behind).alias("_right"))
+    swept = near.withColumn("_below", F.last(lower, True).over(down.rowsBetween(*so_far))).withColumn("_above", F.last(upper, True).over(up.rowsBetween(*so_far))).where(~F.col("_mark"))
+    return swept.join(carried, "_part").select("_v", F.coalesce(filled("_below", "_left_v"), "_left").alias("_b"), F.coalesce(filled("_above", "_right_v"), "_right").alias("_a"))
+
+
 def chunks(df: DataFrame, length: str, size: int, overlap: int, least: int) -> DataFrame:
     """Rows of df with chunk_index, chunk_start, chunk_end (1-based) of overlapping chunks: none starts behind the one
     that reaches the end, and none is shorter than ``least``."""

@@ -543,16 +543,28 @@ def chromosome_support(spark: SparkSession, d: str) -> DataFrame:
     return rounded(A.chromosome_support(hits(spark, d), regions(spark, d).withColumn("expected", F.lit("T_0"))))
 
 
+def lengths(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    s = table(spark, d, "orders").where("o_totalprice >= 1").select(F.col("o_orderkey").cast("string").alias("contig"), F.round(F.col("o_totalprice") * 100).cast("long").alias("length"), "o_orderkey")
+    t = table(spark, d, "part").select(F.col("p_partkey").alias("seqid"), ((F.col("p_partkey") + 1) * (F.col("p_partkey") % 97 + 3) * 110).alias("target_length"))
+    return s, t
+
+
 @query("WITH s AS (SELECT o_orderkey::varchar AS contig, round(o_totalprice * 100)::bigint AS length FROM orders WHERE o_orderkey % 50 = 7 AND o_totalprice >= 1), t AS (SELECT p_partkey AS seqid, (p_partkey + 1) * (p_partkey % 97 + 3) * 110 AS target_length FROM part WHERE p_partkey % 3 = 0), j AS (SELECT contig, length, seqid, target_length, abs(target_length - length) / length::double AS rel, row_number() OVER w AS n, lead(abs(target_length - length) / length::double) OVER w AS nxt FROM s, t WINDOW w AS (PARTITION BY contig ORDER BY abs(target_length - length), target_length, seqid)), b AS (SELECT *, nxt - rel AS gap FROM j WHERE n = 1) SELECT contig, length, CASE WHEN rel <= 0.2 THEN seqid END AS seqid, CASE WHEN rel <= 0.2 THEN target_length END AS target_length, CASE WHEN rel <= 0.2 THEN round(rel, 9) END AS rel_diff, CASE WHEN nxt <= 0.2 THEN round(gap, 9) END AS gap, CASE WHEN rel = 0 THEN 'exact' WHEN rel <= 0.08 AND gap >= 0.01 THEN CASE WHEN rel <= 0.03 THEN 'high' ELSE 'medium' END WHEN rel <= 0.08 THEN CASE WHEN rel <= 0.03 THEN 'medium' ELSE 'low' END ELSE 'unresolved' END AS confidence FROM b")
 def length_matches(spark: SparkSession, d: str) -> DataFrame:
-    s = table(spark, d, "orders").where("o_orderkey % 50 = 7 and o_totalprice >= 1").select(F.col("o_orderkey").cast("string").alias("contig"), F.round(F.col("o_totalprice") * 100).cast("long").alias("length"))
-    t = table(spark, d, "part").where("p_partkey % 3 = 0").select(F.col("p_partkey").alias("seqid"), ((F.col("p_partkey") + 1) * (F.col("p_partkey") % 97 + 3) * 110).alias("target_length"))
-    return rounded(A.length_matches(s, t))
+    s, t = lengths(spark, d)
+    return rounded(A.length_matches(s.where("o_orderkey % 50 = 7"), t.where("seqid % 3 = 0")))
+
+
+@query()
+def length_matches_all(spark: SparkSession, d: str) -> DataFrame:
+    """Every order against every part. SQL would cross the tables; the tests hold it against brute force."""
+    return rounded(A.length_matches(*lengths(spark, d)))
 
 
-def two_sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def two_sides(spark: SparkSession, d: str, sides: int = 4) -> tuple[DataFrame, DataFrame]:
+    """The first two of so many sides that the qualifying sites are dealt to; of two, all sites."""
     sites = good_sites(spark, d).where("abs_delta_af >= 0.3").withColumn("contrast", F.lit("a__vs__b"))
-    side = lambda k: G.hotspots(sites.where(F.col("site_id") % 4 == k)).select("contrast", "contig", "min_pos", "max_pos", "n_markers")
+    side = lambda k: G.hotspots(sites.where(F.col("site_id") % sides == k)).select("contrast", "contig", "min_pos", "max_pos", "n_markers")
     return side(0), side(1)
 
 
@@ -561,16 +573,31 @@ def hotspot_pairs(spark: SparkSession, d: str) -> DataFrame:
     return rounded(A.hotspot_pairs(*two_sides(spark, d)))
 
 
-@query("WITH h AS (SELECT p_partkey AS hotspot, p_brand AS seqid, p_partkey * 10 AS a, p_partkey * 10 + p_size * 200 AS b FROM part WHERE p_partkey % 5 = 0), g AS (SELECT p_partkey AS gene_id, p_brand AS seqid, p_partkey * 10 AS s, p_partkey * 10 + 500 AS e, p_size % 2 = 0 AS coding, p_size % 3 AS hits, CASE p_size % 3 WHEN 1 THEN p_type WHEN 2 THEN p_type || '; any' ELSE '' END AS c FROM part), j AS (SELECT h.hotspot, g.*, least(b, e) - greatest(a, s) + 1 AS bp FROM h JOIN g ON h.seqid = g.seqid AND s <= b AND e >= a), x AS (SELECT hotspot, unnest(string_split(c, '; ')) AS item FROM j), n AS (SELECT hotspot, string_agg(DISTINCT item, '; ' ORDER BY item) AS categories FROM x WHERE item <> '' GROUP BY 1) SELECT h.hotspot, count(DISTINCT gene_id) AS n_genes, count(*) FILTER (coding) AS n_coding, count(*) FILTER (hits > 0) AS n_keyword, coalesce(sum(bp), 0)::bigint AS overlap_bp, coalesce(any_value(categories), '') AS categories FROM h LEFT JOIN j ON h.hotspot = j.hotspot LEFT JOIN n ON h.hotspot = n.hotspot GROUP BY 1")
-def gene_support(spark: SparkSession, d: str) -> DataFrame:
-    p, at = table(spark, d, "part"), F.col("p_partkey") * 10
-    size = F.col("p_size").cast("long")
-    h = p.where("p_partkey % 5 = 0").select(F.col("p_partkey").alias("hotspot"), F.col("p_brand").alias("seqid"), at.alias("a_start"), (at + size * 200).alias("a_end"))
+@query(ORACLES["hotspot_pairs"].replace("site_id % 4 AS k", "site_id % 2 AS k"))
+def hotspot_pairs_all(spark: SparkSession, d: str) -> DataFrame:
+    """Two sides that all qualifying sites are dealt to."""
+    return rounded(A.hotspot_pairs(*two_sides(spark, d, 2)))
+
+
+def supported(p: DataFrame, spots: DataFrame) -> DataFrame:
+    at, size = F.col("p_partkey") * 10, F.col("p_size").cast("long")
+    h = spots.select(F.col("p_partkey").alias("hotspot"), F.col("p_brand").alias("seqid"), at.alias("a_start"), (at + size * 200).alias("a_end"))
     named = F.when(size % 3 == 1, F.col("p_type")).when(size % 3 == 2, F.concat("p_type", F.lit("; any"))).otherwise("")
     g = p.select(F.col("p_partkey").alias("gene_id"), F.col("p_brand").alias("seqid"), at.alias("b_start"), (at + 500).alias("b_end"), (size % 2 == 0).alias("coding"), (size % 3).alias("hits"), named.alias("categories"))
     return A.gene_support(h, g, 2_000)
 
 
+@query("WITH h AS (SELECT p_partkey AS hotspot, p_brand AS seqid, p_partkey * 10 AS a, p_partkey * 10 + p_size * 200 AS b FROM part WHERE p_partkey % 5 = 0), g AS (SELECT p_partkey AS gene_id, p_brand AS seqid, p_partkey * 10 AS s, p_partkey * 10 + 500 AS e, p_size % 2 = 0 AS coding, p_size % 3 AS hits, CASE p_size % 3 WHEN 1 THEN p_type WHEN 2 THEN p_type || '; any' ELSE '' END AS c FROM part), j AS (SELECT h.hotspot, g.*, least(b, e) - greatest(a, s) + 1 AS bp FROM h JOIN g ON h.seqid = g.seqid AND s <= b AND e >= a), x AS (SELECT hotspot, unnest(string_split(c, '; ')) AS item FROM j), n AS (SELECT hotspot, string_agg(DISTINCT item, '; ' ORDER BY item) AS categories FROM x WHERE item <> '' GROUP BY 1) SELECT h.hotspot, count(DISTINCT gene_id) AS n_genes, count(*) FILTER (coding) AS n_coding, count(*) FILTER (hits > 0) AS n_keyword, coalesce(sum(bp), 0)::bigint AS overlap_bp, coalesce(any_value(categories), '') AS categories FROM h LEFT JOIN j ON h.hotspot = j.hotspot LEFT JOIN n ON h.hotspot = n.hotspot GROUP BY 1")
+def gene_support(spark: SparkSession, d: str) -> DataFrame:
+    return supported(table(spark, d, "part"), table(spark, d, "part").where("p_partkey % 5 = 0"))
+
+
+@query(ORACLES["gene_support"].replace(" WHERE p_partkey % 5 = 0", ""))
+def gene_support_all(spark: SparkSession, d: str) -> DataFrame:
+    """Every part is a hotspot."""
+    return supported(table(spark, d, "part"), table(spark, d, "part"))
+
+
 @query("WITH o AS (SELECT o_orderpriority AS contrast, CASE WHEN o_custkey % 2 = 0 THEN 'sgC' ELSE 'sgE' END AS sg, count(*) AS n, avg(o_totalprice) AS e FROM orders GROUP BY ALL), w AS (SELECT contrast, max(n) FILTER (sg = 'sgC') AS c, max(n) FILTER (sg = 'sgE') AS e, sum(n)::bigint AS t, round(avg(e), 9) AS m FROM o GROUP BY 1), x AS (SELECT o_orderpriority AS contrast, count(*) AS n_final FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority <> '5-LOW' GROUP BY 1) SELECT w.contrast, c AS \"n_markers_sgC\", e AS \"n_markers_sgE\", t AS n_markers_total, m AS mean_effect, coalesce(n_final, 0) AS n_final, round(((rank() OVER (ORDER BY t) + (count(*) OVER (PARTITION BY t) - 1) / 2.0::double) / count(*) OVER () + (rank() OVER (ORDER BY m) + (count(*) OVER (PARTITION BY m) - 1) / 2.0::double) / count(*) OVER ()) / 2, 9) AS consensus FROM w LEFT JOIN x USING (contrast)")
 def contrast_consensus(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders")

@@ -55,6 +55,58 @@ def test_length_match_gaps(spark):
     assert (two["gap"], two["confidence"]) == (None, "high")
 
 
+def nearest_lengths(sources, targets):
+    """Brute force: contig -> (seqid, target_length, rel_diff, gap, confidence)."""
+    out = {}
+    for contig, n in sources:
+        order = sorted((abs(t - n) / n, t, k) for k, t in targets if t > 0) if n > 0 else []
+        if not order or order[0][0] > 0.2:
+            out[contig] = (None, None, None, None, "unresolved")
+            continue
+        (rel, t, k), rest = order[0], order[1:]
+        gap = rest[0][0] - rel if rest else None
+        clear = gap is not None and gap >= 0.01
+        grade = "exact" if rel == 0 else "unresolved" if rel > 0.08 else ("high" if clear else "medium") if rel <= 0.03 else "medium" if clear else "low"
+        out[contig] = (k, t, round(rel, 9), round(gap, 9) if rest and rest[0][0] <= 0.2 else None, grade)
+    return out
+
+
+def test_length_matches_of_whole_tables(spark, small):
+    """Every order has a row, and each one is what comparing all parts gives."""
+    orders = spark.read.parquet(f"{small}/orders.parquet").where("o_totalprice >= 1").collect()
+    parts = [(r["p_partkey"], (r["p_partkey"] + 1) * (r["p_partkey"] % 97 + 3) * 110) for r in spark.read.parquet(f"{small}/part.parquet").collect()]
+    want = nearest_lengths([(str(r["o_orderkey"]), round(float(r["o_totalprice"]) * 100)) for r in orders], parts)
+    got = entry.queries()["length_matches_all"](spark, small).collect()
+    assert len(got) == len(orders)
+    for r in got:
+        assert (r["seqid"], r["target_length"], r["confidence"]) == (want[r["contig"]][0], want[r["contig"]][1], want[r["contig"]][4])
+        assert (r["rel_diff"], r["gap"]) == tuple(x if x is None else pytest.approx(x, abs=2e-9) for x in want[r["contig"]][2:4])
+
+
+def test_length_matches_around_ranges(spark):
+    """Repeated lengths, ties on both sides, and marks in other ranges than the value's."""
+    rng = np.random.default_rng(3)
+    for many in (1, 2, 3, 40):
+        sources = [(f"s{k}", int(n)) for k, n in enumerate(rng.integers(1, 400, 120))]
+        targets = [(f"t{k}", int(n)) for k, n in enumerate(rng.integers(0, 400, many))]
+        got = {r["contig"]: r for r in A.length_matches(spark.createDataFrame(sources, "contig string, length long"), spark.createDataFrame(targets, "seqid string, target_length long")).collect()}
+        for contig, w in nearest_lengths(sources, targets).items():
+            r = got[contig]
+            assert (r["seqid"], r["target_length"], r["confidence"]) == (w[0], w[1], w[4])
+            assert (r["rel_diff"], r["gap"]) == tuple(x if x is None else pytest.approx(x, abs=2e-9) for x in w[2:4])
+
+
+def test_whole_hotspot_tables(spark, small):
+    """All qualifying sites stand on one of the two sides, and every part is a hotspot."""
+    n = registry.good_sites(spark, small).where("abs_delta_af >= 0.3").count()
+    a, b = registry.two_sides(spark, small, 2)
+    assert sum(r["n_markers"] for side in (a, b) for r in side.collect()) == n
+    got = entry.queries()["gene_support_all"](spark, small).collect()
+    parts = [(r["p_partkey"], r["p_brand"], r["p_partkey"] * 10, r["p_size"]) for r in spark.read.parquet(f"{small}/part.parquet").collect()]
+    near = lambda h: [g for g in parts if g[1] == h[1] and g[2] <= h[2] + h[3] * 200 and g[2] + 500 >= h[2]]
+    assert {r["hotspot"]: r["n_genes"] for r in got} == {h[0]: len(near(h)) for h in parts} and len(got) == len(parts)
+
+
 def test_routing_and_priority(spark):
     cross = spark.createDataFrame([("sgC", "c1", 100, "t", 200, "high"), ("sgE", "c1", 100, None, None, "unresolved")], "subgenome string, contig string, length long, seqid string, target_length long, confidence string")
     spots = spark.createDataFrame([("x", "c1", "sgC", 10, 20), ("x", "c1", "sgE", 10, 20), ("x", "c2", "sgC", 1, 2)], "contrast string, contig string, subgenome string, min_pos long, max_pos long")
