@@ -129,11 +129,35 @@ def routed(hotspots: DataFrame, crosswalk: DataFrame) -> DataFrame:
 def alias_matches(aliases: DataFrame, records: DataFrame) -> DataFrame:
     """aliases (alias, length, tokens array), records (record_id, description, record_length): the best record of each
     alias by score (100 alias in the text, 20 for each token in it, 80 same length, 30 within 0.1 %), ties by length
-    difference, and whether it is the only one with that score. Records are a reference's contigs."""
+    difference, and whether it is the only one with that score. Empty aliases and tokens name nothing.
+
+    Aliases and tokens meet the stretches of a text that have their lengths, by key. Of records that score by length
+    alone only the nearest ones can be best, and a sorted sweep finds these; where one of them has a hit in its text
+    too, that row has more points. Rows are as many as the hits in texts, and best ones are aggregates, so an alias
+    with very many hits isn't one task."""
+    who, what = ["alias", "length", "tokens"], ["record_id", "description", "record_length"]
+    a = aliases.groupBy(*who).agg(F.count("*").alias("_na"))
+    r = records.groupBy(*what).agg(F.count("*").alias("_nr"))
+    each = F.concat(F.array(F.struct(F.lower("alias").alias("key"), F.lit(100).alias("points"))), F.coalesce(F.transform("tokens", lambda t: F.struct(F.lower(t).alias("key"), F.lit(20).alias("points"))), F.array()))
+    named = a.select(*who, "_na", F.explode(each).alias("_e")).select(*who, "_na", F.col("_e.key").alias("_key"), F.col("_e.points").alias("_points")).where("_key <> ''")
+    # One row: the lengths that names have.
+    sizes = named.agg(F.collect_set(F.length("_key")).alias("_sizes"))
     text = F.lower(F.concat_ws(" ", "record_id", "description"))
+    stretches = lambda n: F.transform(F.sequence(F.lit(1), F.length("_text") - n + 1), lambda i: F.substring(F.col("_text"), i, n))
+    keys = F.array_distinct(F.flatten(F.transform(F.filter("_sizes", lambda n: n <= F.length("_text")), stretches)))
+    cut = r.withColumn("_text", text).join(F.broadcast(sizes)).select(*what, "_nr", F.explode(keys).alias("_key"))
     off = F.abs(F.col("record_length") - F.col("length"))
-    hits = F.aggregate(F.transform("tokens", lambda t: F.when(text.contains(F.lower(t)), 20).otherwise(0)), F.lit(0), lambda a, x: a + x)
-    score = F.when(text.contains(F.lower("alias")), 100).otherwise(0) + hits + F.when(off == 0, 80).when(off <= F.col("length") * 0.001, 30).otherwise(0)
-    scored = aliases.crossJoin(F.broadcast(records)).withColumn("score", score).withColumn("off", off).where("score > 0")
-    peers = F.count("*").over(Window.partitionBy("alias", "score", "off"))
-    return best_rows(scored.withColumn("unique", peers == 1), ["alias"], [F.desc("score"), F.asc("off"), F.asc("record_id")]).select("alias", "record_id", "score", F.col("off").alias("length_difference"), "unique")
+    near = lambda d: F.when(d == 0, 80).when(d <= F.col("length") * 0.001, 30).otherwise(0)
+    hits = named.join(cut, "_key").groupBy(*who, "_na", *what, "_nr").agg(F.sum("_points").alias("_points"))
+    by_text = hits.select("alias", "record_id", (F.col("_points") + near(off)).alias("score"), off.alias("off"), (F.col("_na") * F.col("_nr")).alias("_n"))
+
+    v = F.col("length").cast("double")
+    marks = r.where("record_length is not null").groupBy(F.col("record_length").cast("double").alias("_v")).agg(F.min("record_id").alias("_hit"), F.sum("_nr").alias("_n"))
+    found = I.neighbours(a.where("length is not null").select(v.alias("_v")).distinct(), marks)
+    sides = found.select("_v", F.explode(F.array("_b", "_a")).alias("_m")).where("_m is not null").select("_v", F.abs(F.col("_m._v") - F.col("_v")).alias("_off"), "_m._hit", "_m._n")
+    nearest = a.withColumn("_v", v).join(sides, "_v")
+    by_length = nearest.select("alias", F.col("_hit").alias("record_id"), near(F.col("_off")).cast("long").alias("score"), F.col("_off").cast(dict(by_text.dtypes)["off"]).alias("off"), (F.col("_na") * F.col("_n")).alias("_n")).where("score > 0")
+
+    scored = by_text.unionByName(by_length).groupBy("alias", "score", "off").agg(F.min("record_id").alias("record_id"), F.sum("_n").alias("_n"))
+    best = scored.groupBy("alias").agg(F.min(F.struct((-F.col("score")).alias("score"), "off", "record_id", "_n")).alias("_b"))
+    return best.select("alias", "_b.record_id", (-F.col("_b.score")).alias("score"), F.col("_b.off").alias("length_difference"), (F.col("_b._n") == 1).alias("unique"))

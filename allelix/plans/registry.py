@@ -630,12 +630,23 @@ def relationship_deltas(spark: SparkSession, d: str) -> DataFrame:
     return T.relationship_deltas(n, n.where("group_a <> '2'").select("group_a", "group_b", (F.col("delta_ibs") * 2).alias("delta_distance")))
 
 
-@query("WITH a AS (SELECT s_name AS alias, s_suppkey * 100 AS length, s_suppkey::varchar AS tok FROM supplier WHERE s_suppkey % 4 = 1), r AS (SELECT p_partkey::varchar AS record_id, p_partkey * 25 AS n, CASE WHEN p_partkey % 10 = 1 THEN 'supplier#' || lpad((p_partkey // 4)::varchar, 9, '0') ELSE p_name END AS d FROM part), s AS (SELECT alias, record_id, abs(n - length) AS off, CASE WHEN contains(lower(record_id || ' ' || d), lower(alias)) THEN 100 ELSE 0 END + CASE WHEN contains(lower(record_id || ' ' || d), tok) THEN 20 ELSE 0 END + CASE WHEN n = length THEN 80 WHEN abs(n - length) <= length * 0.001::double THEN 30 ELSE 0 END AS score FROM a, r), k AS (SELECT *, row_number() OVER (PARTITION BY alias ORDER BY score DESC, off, record_id) AS n, count(*) OVER (PARTITION BY alias, score, off) = 1 AS uniq FROM s WHERE score > 0) SELECT alias, record_id, score::bigint AS score, off AS length_difference, uniq AS \"unique\" FROM k WHERE n = 1")
-def alias_matches(spark: SparkSession, d: str) -> DataFrame:
-    a = table(spark, d, "supplier").where("s_suppkey % 4 = 1").select(F.col("s_name").alias("alias"), (F.col("s_suppkey") * 100).alias("length"), F.array(F.col("s_suppkey").cast("string")).alias("tokens"))
+def named_records(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    a = table(spark, d, "supplier").select(F.col("s_name").alias("alias"), (F.col("s_suppkey") * 100).alias("length"), F.array(F.col("s_suppkey").cast("string")).alias("tokens"), "s_suppkey")
     k = F.col("p_partkey")
     r = table(spark, d, "part").select(k.cast("string").alias("record_id"), F.when(k % 10 == 1, F.concat(F.lit("supplier#"), F.lpad(F.floor(k / 4).cast("string"), 9, "0"))).otherwise(F.col("p_name")).alias("description"), (k * 25).alias("record_length"))
-    return rounded(A.alias_matches(a, r))
+    return a, r
+
+
+@query("WITH a AS (SELECT s_name AS alias, s_suppkey * 100 AS length, s_suppkey::varchar AS tok FROM supplier WHERE s_suppkey % 4 = 1), r AS (SELECT p_partkey::varchar AS record_id, p_partkey * 25 AS n, CASE WHEN p_partkey % 10 = 1 THEN 'supplier#' || lpad((p_partkey // 4)::varchar, 9, '0') ELSE p_name END AS d FROM part), s AS (SELECT alias, record_id, abs(n - length) AS off, CASE WHEN contains(lower(record_id || ' ' || d), lower(alias)) THEN 100 ELSE 0 END + CASE WHEN contains(lower(record_id || ' ' || d), tok) THEN 20 ELSE 0 END + CASE WHEN n = length THEN 80 WHEN abs(n - length) <= length * 0.001::double THEN 30 ELSE 0 END AS score FROM a, r), k AS (SELECT *, row_number() OVER (PARTITION BY alias ORDER BY score DESC, off, record_id) AS n, count(*) OVER (PARTITION BY alias, score, off) = 1 AS uniq FROM s WHERE score > 0) SELECT alias, record_id, score::bigint AS score, off AS length_difference, uniq AS \"unique\" FROM k WHERE n = 1")
+def alias_matches(spark: SparkSession, d: str) -> DataFrame:
+    a, r = named_records(spark, d)
+    return rounded(A.alias_matches(a.where("s_suppkey % 4 = 1"), r))
+
+
+@query(ORACLES["alias_matches"].replace(" WHERE s_suppkey % 4 = 1", ""))
+def alias_matches_all(spark: SparkSession, d: str) -> DataFrame:
+    """Every supplier is an alias."""
+    return rounded(A.alias_matches(*named_records(spark, d)))
 
 
 def sampled_panels(spark: SparkSession, d: str) -> tuple[DataFrame, list[tuple[str, str]]]:

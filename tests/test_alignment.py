@@ -107,6 +107,34 @@ def test_whole_hotspot_tables(spark, small):
     assert {r["hotspot"]: r["n_genes"] for r in got} == {h[0]: len(near(h)) for h in parts} and len(got) == len(parts)
 
 
+def best_records(aliases, records):
+    """Brute force: alias -> (record_id, score, length difference, unique)."""
+    out = {}
+    for alias, n, tokens in aliases:
+        rows = []
+        for record, text, m in records:
+            whole, off = f"{record} {text}".lower(), abs(m - n)
+            score = 100 * (alias.lower() in whole) + 20 * sum(t.lower() in whole for t in tokens) + (80 if off == 0 else 30 if off <= n * 0.001 else 0)
+            if score:
+                rows.append((-score, off, record))
+        if rows:
+            top = min(rows)
+            out[alias] = (top[2], -top[0], top[1], sum(r[:2] == top[:2] for r in rows) == 1)
+    return out
+
+
+def test_alias_matches_of_whole_tables(spark, small):
+    """Every supplier has the row that comparing all parts gives."""
+    a, r = registry.named_records(spark, small)
+    want = best_records([(x["alias"], x["length"], x["tokens"]) for x in a.collect()], [tuple(x) for x in r.collect()])
+    got = entry.queries()["alias_matches_all"](spark, small)
+    assert {x["alias"]: tuple(x)[1:] for x in got.collect()} == want and len(want) == a.count()
+    aliases = [("Al", 1000, ["x1", "X1", "zz"]), ("b", 5000, []), ("cc", 5001, ["q"]), ("none", 7, ["-"]), ("two", 40_000, ["r"])]
+    records = [("r1", "al x1", 70), ("r2", "AL", 1000), ("r3", "", 4999), ("r4", "", 5003), ("r5", "", 5003), ("r6", "", 40_000), ("r7", "", 40_000)]
+    found = A.alias_matches(spark.createDataFrame(aliases, "alias string, length long, tokens array<string>"), spark.createDataFrame(records, "record_id string, description string, record_length long"))
+    assert {x["alias"]: tuple(x)[1:] for x in found.collect()} == best_records(aliases, records)
+
+
 def test_routing_and_priority(spark):
     cross = spark.createDataFrame([("sgC", "c1", 100, "t", 200, "high"), ("sgE", "c1", 100, None, None, "unresolved")], "subgenome string, contig string, length long, seqid string, target_length long, confidence string")
     spots = spark.createDataFrame([("x", "c1", "sgC", 10, 20), ("x", "c1", "sgE", 10, 20), ("x", "c2", "sgC", 1, 2)], "contrast string, contig string, subgenome string, min_pos long, max_pos long")
