@@ -1,10 +1,12 @@
 """HTML extraction by consensus host paths.
 
-Every page's containers are scored by the paragraphs they hold. Each page votes, with shares of its score, for its
-containers' generalised paths (tags with classes and ids, digits blotted out); votes are added up per host, and every
+Every page's containers are scored by the paragraphs they hold, and each climbs to its article or main element, or to
+the highest element that adds headings and paragraphs for the most part. Each page votes, with shares of its score, for
+the generalised paths of these (tags with classes and ids, digits blotted out); votes are added up per host, and every
 page of a host is extracted again from the elements that stand at the winning path. A page without such an element is
-extracted from its own best container. Menus, headers outside the article, footers, sidebars, notices, adverts, forms,
-scripts, styles and reader comments are left out wherever they stand.
+extracted from its own best one. Menus, headers outside the article, footers, sidebars, notices, adverts, forms,
+scripts, styles and reader comments are left out wherever they stand; a name like with-sidebar doesn't count on an
+element that holds most of the page's paragraphs together with its heading, or all there is.
 
 Null or empty html gives an empty text; a null or odd url is voted on together with others of an empty host. Repeated
 rows give repeated rows, ties between paths go to the path that sorts last. Extra columns are ignored.
@@ -13,7 +15,7 @@ rows give repeated rows, ties between paths go to the path that sorts last. Extr
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from html import unescape
 
@@ -38,6 +40,10 @@ NOT_TEXT = set(
     " related recommended recommendations widget widgets toolbar pagination pager login signin signup register search alert banner masthead topbar outbrain taboola skip tagcloud tags".split()
 )
 
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
+#: Characters that a paragraph has at least where it decides how far to climb.
+LEAST = 40
+
 _tag = re.compile(r"""<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<[!?][^>]*>""", re.S)
 _loose = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 _attribute = re.compile(r"""(?:^|[\s"'])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?=[\s"'/>]|$)""", re.I)
@@ -53,6 +59,7 @@ class Element:
     dropped: bool
     inside: bool  # within an article or main element
     link: bool
+    named: bool = False  # dropped, but only for a class or id
     score: float = 0.0
     text: list[tuple[int, str]] = field(default_factory=list)
 
@@ -62,10 +69,14 @@ def _attributes(found: str) -> dict[str, str]:
 
 
 def _unwanted(tag: str, own: dict[str, str], inside: bool) -> bool:
+    """By what the element is."""
     if tag in DROPPED or own.get("role", "").lower() in ROLES or "hidden" in own or own.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", own.get("style", ""), re.I):
         return True
-    if tag == "header" and not inside:
-        return True
+    return tag == "header" and not inside
+
+
+def _misnamed(tag: str, own: dict[str, str], inside: bool) -> bool:
+    """By its classes and id."""
     if tag in ("html", "body", "main"):
         return False
     for name in f"{own.get('class', '')} {own.get('id', '')}".split():
@@ -134,7 +145,8 @@ def parsed(html: str) -> tuple[list[Element], list[tuple[int, str | None]]]:
         own = _attributes(m[3])
         step = tag + "".join(f"#{_digits.sub('0', own['id'])}" for _ in (1,) if own.get("id")) + "".join(f".{c}" for c in sorted({_digits.sub("0", c) for c in own.get("class", "").split()}))
         path = top.path if tag in INLINE else f"{top.path}>{step}"
-        elements.append(Element(tag, path, stack[-1], top.dropped or _unwanted(tag, own, top.inside), top.inside or tag in ("article", "main"), top.link or tag == "a"))
+        dropped = top.dropped or _unwanted(tag, own, top.inside)
+        elements.append(Element(tag, path, stack[-1], dropped, top.inside or tag in ("article", "main"), top.link or tag == "a", not dropped and _misnamed(tag, own, top.inside)))
         if tag not in INLINE:
             runs.append((len(elements) - 1, None))
         if tag in RAW:
@@ -148,9 +160,30 @@ def parsed(html: str) -> tuple[list[Element], list[tuple[int, str | None]]]:
             continue
         else:
             stack.append(len(elements) - 1)
+    _drop_named(elements, runs)
     return elements, runs
 
 
+def _drop_named(elements: list[Element], runs: list[tuple[int, str | None]]) -> None:
+    """Drops what is named like a menu, advert or sidebar, except where that is a wrapper of the page: it holds more
+    than half of the paragraphs, and the page's heading or main element, or nine tenths on a page with none outside."""
+    if not any(e.named for e in elements):
+        return
+    chars, marks = [0] * len(elements), [0] * len(elements)
+    for e, text in runs:
+        if text is not None and not elements[e].dropped and not elements[e].link:
+            chars[e] += len(text.strip())
+    for k in range(len(elements) - 1, 0, -1):
+        e = elements[k]
+        if not e.dropped and (e.tag in ("h1", "main") or (e.tag == "article" and not e.named)):
+            marks[k] += 1
+        chars[e.parent] += chars[k]
+        marks[e.parent] += marks[k]
+    for k, e in enumerate(elements[1:], 1):
+        wrapper = 2 * chars[k] > chars[0] and (marks[k] > 0 or (marks[0] == 0 and 10 * chars[k] >= 9 * chars[0]))
+        e.dropped = e.dropped or elements[e.parent].dropped or (e.named and not wrapper)
+
+
 def blocks(elements: list[Element], runs: list[tuple[int, str | None]], keep=None) -> Iterator[tuple[int, str, int]]:
     """(container element, text, characters of links) of every block outside what is dropped; keep: only what lies
     within these elements."""
@@ -175,10 +208,45 @@ def blocks(elements: list[Element], runs: list[tuple[int, str | None]], keep=Non
             links += len(text) if elements[e].link else 0
 
 
+def _climbed(elements: list[Element], found: list[tuple[int, int, bool]], start: Iterable[int]) -> dict[int, int]:
+    """For containers, by place, what each stands in: its outermost article, else its outermost main element, else the
+    highest element on the way up to which headings and paragraphs are most of what is added. found: (element,
+    characters, whether it has few links) of the page's blocks."""
+    prose, all_ = [0] * len(elements), [0] * len(elements)
+    for e, n, plain in found:
+        all_[e] += n
+        k = e
+        while elements[k].tag in INLINE or elements[k].tag in ("li", "ul", "ol", "pre", "figure", "figcaption"):
+            k = elements[k].parent
+        if plain and (elements[k].tag in HEADINGS or (elements[k].tag == "p" and n >= LEAST)):
+            prose[e] += n
+    for k in range(len(elements) - 1, 0, -1):
+        prose[elements[k].parent] += prose[k]
+        all_[elements[k].parent] += all_[k]
+    out: dict[int, int] = {}
+    for k in start:
+        ways = [k]
+        while elements[ways[-1]].parent > 0:
+            ways.append(elements[ways[-1]].parent)
+        own = [x for x in ways if elements[x].tag == "article"] or [x for x in ways if elements[x].tag == "main"]
+        best = own[-1] if own else k
+        for up in ways[1:] if not own else ():
+            more = all_[up] - all_[best]
+            if elements[up].tag not in CONTAINERS or not more:
+                continue
+            if 2 * (prose[up] - prose[best]) <= more:
+                continue
+            best = up
+        out[k] = best
+    return out
+
+
 def container_scores(elements: list[Element], runs: list[tuple[int, str | None]]) -> list[Element]:
-    """Scores elements; the containers that have a score, best first."""
+    """Scores elements; what the scored containers stand in, each with their scores added up, best first."""
+    found: list[tuple[int, int, bool]] = []
     for e, text, links in blocks(elements, runs):
         share = max(0.0, 1 - links / len(text))
+        found.append((e, len(text), share >= 0.5))
         worth = share * (1 + min(len(text) / 100, 5) + min(text.count(",") + text.count("."), 5) / 2)
         if share < 0.5:
             continue
@@ -188,10 +256,14 @@ def container_scores(elements: list[Element], runs: list[tuple[int, str | None]]
         up = elements[e].parent
         if up > 0:
             elements[up].score += worth / 2
-    found = [e for e in elements if e.score > 0 and not e.dropped and (e.tag in CONTAINERS or e.parent <= 0)]
-    for e in found:
-        e.score *= 2 if e.tag in ("article", "main") or e.inside else 0.6 if e.tag == "body" else 1
-    return sorted(found, key=lambda e: -e.score)
+    scored = [k for k, e in enumerate(elements) if e.score > 0 and not e.dropped and (e.tag in CONTAINERS or e.parent <= 0)]
+    total: dict[int, float] = {}
+    for k, top in _climbed(elements, found, scored).items():
+        e = elements[k]
+        total[top] = total.get(top, 0.0) + e.score * (2 if e.tag in ("article", "main") or e.inside else 0.6 if e.tag == "body" else 1)
+    for k, score in total.items():
+        elements[k].score = score
+    return sorted((elements[k] for k in total), key=lambda e: -e.score)
 
 
 def extract(html: str, path: str | None) -> tuple[str, str | None]:
@@ -211,13 +283,13 @@ def host_of(url: Column) -> Column:
 
 
 def votes(pages: DataFrame) -> DataFrame:
-    """host, path, vote: every page's three best paths with their shares of its score."""
+    """host, path, vote: the paths of all that a page's containers stand in, with their shares of its score."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: dict[tuple[str, str], float] = {}
             for host, html in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                best = container_scores(*parsed(html.as_py() or ""))[:3]
+                best = container_scores(*parsed(html.as_py() or ""))
                 total = sum(e.score for e in best)
                 for e in best:
                     out[host, e.path] = out.get((host, e.path), 0) + e.score / total

@@ -322,6 +322,52 @@ def test_extraction_rules():
     assert html_extract.extract("<" * 3000 + "\"'" * 1000, None)[0] is not None
 
 
+PROSE = "A long enough paragraph, with commas, and points."
+
+
+def paragraphs(n, what=PROSE):
+    return " ".join(f"<p>{what} {k}</p>" for k in range(n)), " ".join(f"{what} {k}" for k in range(n))
+
+
+def test_nested_containers(spark):
+    """Heading, lead and every section of an article belong to its text, in votes and without."""
+    ten, ten_text = paragraphs(10)
+    two, two_text = paragraphs(2, "Another paragraph that is long enough, in a smaller section.")
+    bodies = {
+        "lead": (f'<article><h1>Head</h1><p>Lead {PROSE}</p><div class="body">{ten}</div></article>', f"Head Lead {PROSE} {ten_text}"),
+        "deep": (f'<article><h1>Head</h1><div class="w"><div class="v"><div class="body">{ten}</div></div></div></article>', f"Head {ten_text}"),
+        "sections": (f'<article><section class="a">{ten}</section><section class="b">{two}</section></article>', f"{ten_text} {two_text}"),
+        "divs": (f'<div class="post"><h1>Head</h1><div class="a">{ten}</div><div class="b">{two}</div></div><div class="x"><p>note</p></div>', f"Head {ten_text} {two_text}"),
+        "main": (f'<main><p>Lead {PROSE}</p><div class="body">{ten}</div></main><div class="links">{two}</div>', f"Lead {PROSE} {ten_text}"),
+    }
+    for body, want in bodies.values():
+        assert html_extract.extract(page(body), None)[0] == want
+    rows = [(k, f"http://{host}/{k}", page(bodies[host][0])) for k, host in enumerate([*bodies] * 3)]
+    got = html_extract.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r["page_id"]: r["text"] for r in got} == {k: bodies[host][1] for k, host in enumerate([*bodies] * 3)}
+
+
+def test_all_containers_vote(spark):
+    """A fourth and fifth container's path gets votes too."""
+    body = "".join(f'<table><tr><td class="c{k}">{PROSE}</td></tr></table>' for k in "abcde")
+    got = html_extract.votes(spark.createDataFrame([("h", page(body))], "host string, html string")).collect()
+    assert {r["path"].rsplit(".", 1)[-1] for r in got} >= {"ca", "cb", "cc", "cd", "ce"} and sum(r["vote"] for r in got) == pytest.approx(1)
+
+
+def test_wrappers_with_odd_names():
+    """A layout's wrapper isn't a sidebar; sidebars, adverts and comments stay out, within it too."""
+    get = lambda body: html_extract.extract(page(body), None)[0]
+    ten, ten_text = paragraphs(10)
+    many, _ = paragraphs(30, "First! I quite agree with everything that is said.")
+    side = f'<div class="sidebar"><p>{PROSE}</p></div>'
+    for name in ("layout-with-sidebar", "post comments-open", "page has-widgets social"):
+        assert get(f'<div class="{name}"><h1>Head</h1><div class="text">{ten}</div>{side}</div>') == f"Head {ten_text}"
+        assert get(f'<div class="{name}">{ten}</div>') == ten_text
+    assert get(f'<div class="layout-with-sidebar"><article><h1>H</h1>{ten}</article><div class="comments">{many}</div></div>') == f"H {ten_text}"
+    assert get(f'<article><h1>H</h1>{ten}</article><div class="comments">{many}</div>') == f"H {ten_text}"
+    assert get(f'<div class="text">{ten}</div><div class="comments">{many}</div>') == ten_text
+
+
 def test_html_odd(spark):
     df = spark.createDataFrame([(0, None, None, 1), (1, "x", "", 1), (None, "http://a/", "<p>t</p>", 1), (1, "x", "", 1)], "page_id long, url string, html string, path int")
     assert sorted((tuple(r)[:3] for r in html_extract.extracted(df).collect()), key=repr) == sorted([(0, None, ""), (1, "x", ""), (1, "x", ""), (None, "http://a/", "t")], key=repr)
