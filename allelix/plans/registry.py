@@ -483,7 +483,7 @@ def permutation_null(spark: SparkSession, d: str) -> DataFrame:
     """The label-permutation test; the tests hold it against numpy."""
     rows, grp = panel_rows(spark, d)
     sites = rows.select("contig", S.window_start("pos", WINDOW).alias("window_start"), "dosages")
-    return P.empirical_p(P.window_nulls(sites, grp, "AMERICA", "EUROPE", n=100, least=5))
+    return P.empirical_p(P.window_nulls(sites, grp, "AMERICA", "EUROPE", least=5))
 
 
 @query()

@@ -88,6 +88,14 @@ def test_permutation(spark):
     assert row["null_95"] == pytest.approx(np.quantile(null, 0.95))
 
 
+def test_permutation_query_draws(spark, small, monkeypatch):
+    """The registered test has the reference's 500 labellings, and the observed one."""
+    seen, empirical_p = [], P.empirical_p
+    monkeypatch.setattr(P, "empirical_p", lambda nulls: seen.append(nulls) or empirical_p(nulls))
+    entry.queries()["permutation_null"](spark, small)
+    assert sorted(r["permutation"] for r in seen[0].select("permutation").collect()) == list(range(501))
+
+
 VCF = "\n".join(["##fileformat=VCFv4.2", "##contig=<ID=chr_D_sg_C_1,length=900>", "##contig=<ID=x>", "\t".join("#CHROM POS ID REF ALT QUAL FILTER INFO FORMAT s1 s2 s3".split()), "\t".join("chr_D_sg_C_1 100 . A G 9 PASS . GT:DP 0/1:3 1|1:2 ./.:0".split()), "\t".join("chr_D_sg_C_1 1200 . A G,T 9 PASS . DP:GT 3:0/1 2:0/0 1:0/2".split()), "short\t1"])
 
 
