@@ -2,8 +2,11 @@
 
 The words of many texts that weren't met lately go into one flat array of symbols. Each round looks all neighbouring
 pairs up by binary search over the sorted pair keys, finds every word's lowest rank, and merges that pair wherever it
-stands in the word; words without a known pair leave the array. Results are kept by word in a bounded table, so
-frequent words are merged once.
+stands in the word; words without a known pair leave the array. Words of more than LONG symbols go into an array of
+their own whose rounds go by rank: the lowest rank in all of them is merged wherever it stands, and only the pairs next
+to a merge are looked up again, so an unbroken run of any length takes at most as many rounds as there are merges. A
+word in which a round brings up a lower rank than its own is merged pair by pair instead, as the order of its merges
+may matter. Results are kept by word in a bounded table, so frequent words are merged once.
 
 The file is one of the tokenizers library's: NFC, lower case, white space dropped, words by the file's pattern, the
 last symbol of a word marked by the file's suffix, special tokens' strings recognised in texts as that library does.
@@ -20,6 +23,7 @@ import re
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +36,8 @@ from allelix.llm.packing import byte_alphabet
 
 KEPT_WORDS = 300_000
 SEGMENT = 1 << 20
+#: Symbols of a word beyond which its merges go by rank.
+LONG = 192
 
 
 def _ranges(chars: list[str]) -> str:
@@ -69,6 +75,7 @@ class WordBPE:
         self.keys, self.ranks = keys[order], order.astype(np.int64)
         self.merged = np.array([vocab[a + b] for a, b in merges], np.int64)
         self.kept: dict[str, tuple[int, str, str]] = {}
+        self._dict: dict[int, int] | None = None
 
     def _other_unicode(self, pattern: str) -> None:
         """Letters and digits that Python's Unicode lacks: the library may know them, or be older than the regex
@@ -86,25 +93,53 @@ class WordBPE:
         less = pattern.replace(r"[^\s\p{L}\p{N}]", rf"(?:[^\s\p{{L}}\p{{N}}]|[{some}])").replace(r"[\p{L}]", rf"(?:(?![{some}])\p{{L}})").replace(r"[\p{N}]", rf"(?:(?![{some}])\p{{N}})")
         self.new_words = regex.compile(less)
 
-    def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(flat ids, ids of each word) of words, none of them empty."""
+    def ranks_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ranks of pairs of symbols; the number of merges where a pair is none."""
+        key = left * self.base + right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where((self.keys[at] == key) & (left >= 0) & (right >= 0), self.ranks[at], len(self.merged))
+
+    def symbols(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(flat symbols, the word of each) of words, none of them empty."""
         size = np.fromiter(map(len, words), np.int64, len(words))
         data = np.frombuffer(b"".join(words), np.uint8)
         ends = np.cumsum(size)
         sym = self.inner[data]
         sym[ends - 1] = self.last[data[ends - 1]]
-        word = np.repeat(np.arange(len(words)), size)
+        return sym, np.repeat(np.arange(len(words)), size)
+
+    def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(flat ids, ids of each word) of words, none of them empty."""
+        long = np.fromiter((len(w) > LONG for w in words), bool, len(words))
+        sym, count, again = self._in_rounds([w for w in words if len(w) <= LONG]) if not long.all() else (np.zeros(0, np.int64), np.zeros(0, np.int64), [])
+        if not long.any() and not len(again):
+            return sym, count
+        out: list[np.ndarray] = [None] * len(words)  # type: ignore[list-item]
+        for where, found in ((~long, (sym, count, again)), (long, self._by_rank([w for w in words if len(w) > LONG]) if long.any() else None)):
+            if found is None:
+                continue
+            places = np.flatnonzero(where)
+            for k, ids in zip(places, np.split(found[0], np.cumsum(found[1])[:-1]) if len(places) else [], strict=True):
+                out[k] = ids
+            for k in found[2]:
+                out[places[k]] = self._pair_by_pair(words[places[k]])
+        return np.concatenate(out), np.array([len(x) for x in out], np.int64)
+
+    def _in_rounds(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(flat ids, ids of each word, words to be merged again) by rounds over the whole array."""
+        sym, word = self.symbols(words)
         done_word, done_sym = [], []
         none = len(self.merged)
+        before, again = np.full(len(words), -1), np.zeros(len(words), bool)
         while len(sym):
-            key = sym[:-1] * self.base + sym[1:]
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            same = (word[:-1] == word[1:]) & (sym[:-1] >= 0) & (sym[1:] >= 0)
             rank = np.full(len(sym), none, np.int64)
-            rank[:-1] = np.where(same & (self.keys[at] == key), self.ranks[at], none)
+            rank[:-1] = np.where(word[:-1] == word[1:], self.ranks_of(sym[:-1], sym[1:]), none)
             first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
             count = np.diff(np.append(first, len(word)))
-            low = np.repeat(np.minimum.reduceat(rank, first), count)
+            least = np.minimum.reduceat(rank, first)
+            again[word[first]] |= least < before[word[first]]
+            before[word[first]] = least
+            low = np.repeat(least, count)
             ended = low == none
             if ended.any():
                 done_word.append(word[ended])
@@ -124,7 +159,86 @@ class WordBPE:
         word, sym = np.concatenate(done_word), np.concatenate(done_sym)
         word, sym = word[sym >= 0], sym[sym >= 0]
         order = np.argsort(word, kind="stable")
-        return sym[order], np.bincount(word, minlength=len(words))
+        return sym[order], np.bincount(word, minlength=len(words)), np.flatnonzero(again)
+
+    def _by_rank(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same by rounds over ranks, each over the places where its pair stands."""
+        sym, word = self.symbols(words)
+        n, none = len(sym), len(self.merged)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        rank, again = np.full(n, none, np.int64), np.zeros(len(words), bool)
+        waiting: dict[int, list[np.ndarray]] = {}
+        heap: list[int] = []
+
+        def look_up(left: np.ndarray) -> np.ndarray:
+            """Sets the ranks of the pairs that begin at these places, and has them wait for their turn."""
+            right = after[left]
+            inside = right < n
+            found = np.full(len(left), none, np.int64)
+            a, b = left[inside], right[inside]
+            found[inside] = np.where(word[a] == word[b], self.ranks_of(sym[a], sym[b]), none)
+            rank[left] = found
+            some = found < none
+            order = np.argsort(found[some], kind="stable")
+            values, places = found[some][order], left[some][order]
+            cuts = np.flatnonzero(np.append(True, values[1:] != values[:-1])) if len(values) else np.zeros(0, np.int64)
+            for r, group in zip(values[cuts].tolist(), np.split(places, cuts[1:]), strict=False):
+                if r not in waiting:
+                    waiting[r] = []
+                    heappush(heap, r)
+                waiting[r].append(group)
+            return found
+
+        look_up(np.arange(n))
+        while heap:
+            r = heappop(heap)
+            at = np.unique(np.concatenate(waiting.pop(r)))
+            at = at[rank[at] == r]
+            if not len(at):
+                continue
+            if len(at) > 1:
+                joined = after[at[:-1]] == at[1:]
+                if joined.any():
+                    begin = np.maximum.accumulate(np.where(np.append(True, ~joined), np.arange(len(at)), 0))
+                    at = at[(np.arange(len(at)) - begin) % 2 == 0]
+            gone = after[at]
+            sym[at] = self.merged[r]
+            rank[gone] = none
+            after[at] = after[gone]
+            inside = after[at] < n
+            before[after[at][inside]] = at[inside]
+            sym[gone] = -2
+            near = np.concatenate([at, before[at]])
+            near = np.unique(near[near >= 0])
+            lower = near[look_up(near) < r]
+            if len(lower):
+                again[word[lower]] = True
+        keep = sym >= 0
+        return sym[keep], np.bincount(word[keep], minlength=len(words)), np.flatnonzero(again)
+
+    def _pair_by_pair(self, data: bytes) -> np.ndarray:
+        """One word's ids, one merge at a time: the lowest rank first, from the left."""
+        sym = self.symbols([data])[0].tolist()
+        n = len(sym)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        ranks = dict(zip(self.keys.tolist(), self.ranks.tolist(), strict=True)) if self._dict is None else self._dict
+        self._dict, merged = ranks, self.merged
+        rank_at = lambda a, b: ranks.get(a * self.base + b) if a >= 0 and b >= 0 else None
+        heap = [(r, k) for k in range(n - 1) if (r := rank_at(sym[k], sym[k + 1])) is not None]
+        heapify(heap)
+        while heap:
+            r, k = heappop(heap)
+            b = after[k] if sym[k] != -2 else n
+            if b >= n or (now := rank_at(sym[k], sym[b])) is None or merged[now] != merged[r]:
+                continue
+            sym[k], sym[b], after[k] = int(merged[r]), -2, after[b]
+            if after[k] < n:
+                before[after[k]] = k
+                if (now := rank_at(sym[k], sym[after[k]])) is not None:
+                    heappush(heap, (now, k))
+            if before[k] >= 0 and (now := rank_at(sym[before[k]], sym[k])) is not None:
+                heappush(heap, (now, before[k]))
+        return np.array([x for x in sym if x >= 0], np.int64)
 
     def learn(self, words: Iterable[str]) -> None:
         """Keeps, for each new word, the number of its ids, the ids in decimal and its decoded form."""
