@@ -3,23 +3,29 @@
 Calls and results meet in a hash join on their identifiers. Calls are ordered so that each stands behind the calls it
 depends on: positions in the conversation already are such an order except where a call comes before one it needs; the
 number of such steps back on a call's longest dependency path is its level, and (level, position) is the order. Only
-conversations with a step back are worked on: many together in a task, those with very many dependencies in rounds. Calls on a dependency circle never settle and are marked.
-Arguments are checked against their tool's schema, and every linked call is written as JSON with sorted keys, no
-spaces and no escapes that JSON doesn't ask for.
-
-A call without a result is unlinked, and a result without a call is dropped. Null or broken arguments, and a tool
-without a schema, are errors of the call. Of results that repeat an identifier the earliest counts, of schemas with
-one name the last in order; repeated calls are repeated. Calls with a null identifier are never linked and have no
-dependents. Extra columns are ignored.
+conversations with a step back are worked on: many together in a task. Those with very many dependencies are worked on
+by joins: chains of calls with one need each are shortened by doubling, and what is left settles in rounds, as many as
+calls with several needs stand behind one another. Calls on or behind a dependency circle never settle, are marked, and
+stand at the end. Arguments are checked against their tool's schema, and every call is written as JSON with sorted keys,
+no spaces and no escapes that JSON doesn't ask for; a conversation's lines get places in that order, and documents() puts
+them together in pieces of bounded size.
+
+A call without a result is unlinked, and a result without a call is dropped. Null or broken arguments, arguments that
+hold NaN, Infinity, a number beyond a double's range, a lone surrogate or more than DEEPEST levels, and a tool without a
+schema or with a broken one, are errors of the call; arguments that aren't JSON that can be written are kept as text. Of
+results that repeat an identifier the earliest counts (of those, the least content), of schemas with one name the last
+in order; repeated calls are repeated. Calls with a null identifier or a null conversation are never linked and have no
+dependents. Texts of any length are read whole. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from allelix.llm.common import require, written
@@ -31,13 +37,59 @@ SCHEMAS = [
     ("notify", '{"additionalProperties":false,"properties":{"text":{"type":"string"}},"required":["text"]}'),
 ]
 
-#: Dependencies of conversations that one task settles together; a conversation with more is settled in rounds.
+#: Dependencies of conversations that one task settles together; a conversation with more is settled by joins.
 TOGETHER = 50_000
+#: Levels of nesting that arguments may have.
+DEEPEST = 100
+#: Lines in a piece of a formatted conversation.
+PIECE = 1_000
 
 # What JSON Schema calls the types that json gives.
 _kinds = {"string": str, "object": dict, "array": list, "boolean": bool, "null": type(None)}
 
 
+class BrokenSchema(ValueError):
+    """A schema that isn't one."""
+
+
+def _float(text: str) -> float:
+    found = float(text)
+    if found in (float("inf"), float("-inf")):
+        raise ArithmeticError
+    return found
+
+
+def _int(text: str) -> int:
+    if len(text) > 400:
+        raise ArithmeticError
+    return int(text)
+
+
+def _constant(text: str) -> None:
+    raise ValueError(text)
+
+
+def read_json(text: str | None) -> tuple[object, str | None]:
+    """(value, None) of strict JSON that can be written again, else (the text, what is wrong)."""
+    try:
+        value = json.loads(text, parse_float=_float, parse_int=_int, parse_constant=_constant)
+        level = [value]
+        for _ in range(DEEPEST):
+            level = [v for x in level if isinstance(x, (dict, list)) for v in (x.values() if isinstance(x, dict) else x)]
+        if level:
+            return text, "$: nested too deeply"
+        json.dumps(value, ensure_ascii=False).encode()
+    except RecursionError:
+        return text, "$: nested too deeply"
+    except UnicodeEncodeError:
+        return text, "$: lone surrogate"
+    except ArithmeticError:
+        return text, "$: number out of range"
+    except (TypeError, ValueError):
+        return text, "$: not JSON"
+    return value, None
+
+
 def canonical(value) -> str:
     """JSON with sorted keys and without spaces; a float of a whole number is that number."""
 
@@ -51,27 +103,73 @@ def canonical(value) -> str:
     return json.dumps(plain(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
 
 
-def problems(value, schema: dict, at: str = "$") -> list[str]:
-    """Where a value breaks a schema of type, properties, required, additionalProperties, items and enum."""
-    kind = schema.get("type")
-    if kind:
-        fits = isinstance(value, (int, float)) and not isinstance(value, bool) if kind in ("number", "integer") else isinstance(value, _kinds.get(kind, object))
-        if not fits or (kind == "integer" and isinstance(value, float) and not value.is_integer()):
-            return [f"{at}: not {kind}"]
-    out = [f"{at}: not in enum"] if "enum" in schema and value not in schema["enum"] else []
+def same(a, b) -> bool:
+    """Equality as JSON has it: 1 is 1.0 and isn't true."""
+    if isinstance(a, bool) or isinstance(b, bool):
+        return a is b
+    if isinstance(a, list) and isinstance(b, list):
+        return len(a) == len(b) and all(map(same, a, b))
+    if isinstance(a, dict) and isinstance(b, dict):
+        return a.keys() == b.keys() and all(same(a[k], b[k]) for k in a)
+    return a == b
+
+
+def _is(value, kind: str) -> bool:
+    if kind in ("number", "integer"):
+        number = isinstance(value, (int, float)) and not isinstance(value, bool)
+        return number and (kind == "number" or not isinstance(value, float) or value.is_integer())
+    if kind not in _kinds:
+        raise BrokenSchema(f"type {kind}")
+    return isinstance(value, _kinds[kind])
+
+
+def problems(value, schema, at: str = "$") -> list[str]:
+    """Where a value breaks a schema of type (a name or a list of them), properties, required, additionalProperties,
+    items, enum, const, minimum, maximum, minLength, maxLength, minItems and maxItems; true and false are schemas too."""
+    if isinstance(schema, bool):
+        return [] if schema else [f"{at}: unknown"]
+    wants = {"properties": dict, "required": list, "enum": list, "type": (str, list), "items": (dict, bool), "additionalProperties": (dict, bool)}
+    if not isinstance(schema, dict) or any(k in schema and not isinstance(schema[k], kind) for k, kind in wants.items()):
+        raise BrokenSchema("shape")
+    kinds = schema.get("type", [])
+    kinds = [kinds] if isinstance(kinds, str) else kinds
+    if kinds and not any([_is(value, k) for k in kinds]):
+        return [f"{at}: not {' or '.join(kinds)}"]
+    out = []
+    if ("enum" in schema and not any(same(value, x) for x in schema["enum"])) or ("const" in schema and not same(value, schema["const"])):
+        out.append(f"{at}: not in enum")
+    size = value if _is(value, "number") else None
+    out += [f"{at}: {word}" for key, word, n in (("minimum", "too small", size), ("minLength", "too short", len(value) if isinstance(value, str) else None), ("minItems", "too short", len(value) if isinstance(value, list) else None)) if key in schema and n is not None and n < schema[key]]
+    out += [f"{at}: {word}" for key, word, n in (("maximum", "too large", size), ("maxLength", "too long", len(value) if isinstance(value, str) else None), ("maxItems", "too long", len(value) if isinstance(value, list) else None)) if key in schema and n is not None and n > schema[key]]
     if isinstance(value, dict):
-        known = schema.get("properties", {})
+        known, more = schema.get("properties", {}), schema.get("additionalProperties", True)
         out += [f"{at}.{k}: missing" for k in sorted(schema.get("required", [])) if k not in value]
         for k in sorted(value):
-            if k in known:
-                out += problems(value[k], known[k], f"{at}.{k}")
-            elif schema.get("additionalProperties") is False:
-                out.append(f"{at}.{k}: unknown")
+            out += problems(value[k], known.get(k, more), f"{at}.{k}")
     if isinstance(value, list) and "items" in schema:
         out += [p for k, v in enumerate(value) for p in problems(v, schema["items"], f"{at}[{k}]")]
     return out
 
 
+def judged(text: str | None, name: str | None, tools: dict) -> tuple[object, list[str]]:
+    """(arguments, errors) of a call. tools: schemas by name, None for broken ones."""
+    value, wrong = read_json(text)
+    if wrong:
+        return value, [wrong]
+    if name not in tools:
+        return value, [f"unknown tool {name}"]
+    try:
+        schema = tools[name]
+        if not isinstance(schema, dict):
+            raise BrokenSchema("shape")
+        return value, problems(value, {"type": "object"} | schema)
+    except (BrokenSchema, TypeError, RecursionError):
+        return value, [f"broken schema of {name}"]
+
+
+LEVELS = "conv_id long, call_id string, level int, circular boolean"
+
+
 def levels(calls: DataFrame) -> DataFrame:
     """conv_id, call_id, level, circular (on or behind a circle; level is null there) of calls in conversations with a
     step back; all others have level 0. calls: conv_id, call_id, turn, needs (ids of calls of the same conversation)."""
@@ -80,16 +178,15 @@ def levels(calls: DataFrame) -> DataFrame:
     edges = links.join(nodes, ["conv_id", "call_id"]).join(nodes.select("conv_id", F.col("call_id").alias("need"), F.col("turn").alias("before")), ["conv_id", "need"])
     edges = written(edges.select("conv_id", "need", "call_id", F.when((F.col("before") > F.col("turn")) | ((F.col("before") == F.col("turn")) & (F.col("need") >= F.col("call_id"))), 1).otherwise(0).alias("back")), "chat-edges")
     # Only conversations with a step back take part.
-    counts = edges.groupBy("conv_id").agg(F.sum("back").alias("most"), F.count("*").alias("links")).where("most > 0")
+    counts = edges.groupBy("conv_id").agg(F.sum("back").alias("most"), F.count("*").alias("links")).where("most > 0").drop("most")
     active = written(edges.join(counts, "conv_id"), "chat-active")
     total, longest = active.agg(F.count("*"), F.max("links")).first()
-    schema = "conv_id long, call_id string, level int, circular boolean"
     if not total:
-        return edges.sparkSession.createDataFrame([], schema)
+        return edges.sparkSession.createDataFrame([], LEVELS)
     buckets = max(1, total // TOGETHER)
     grouped = active.where(F.col("links") <= TOGETHER).withColumn("bucket", F.pmod(F.xxhash64("conv_id"), F.lit(buckets)))
-    settled = grouped.groupBy("bucket").applyInArrow(_settled, schema)
-    return settled if longest <= TOGETHER else settled.unionByName(_in_rounds(active.where(F.col("links") > TOGETHER)))
+    settled = grouped.groupBy("bucket").applyInArrow(_settled, LEVELS)
+    return settled if longest <= TOGETHER else settled.unionByName(_by_joins(active.where(F.col("links") > TOGETHER).drop("links")))
 
 
 def _settled(table: pa.Table) -> pa.Table:
@@ -120,20 +217,43 @@ def _settled(table: pa.Table) -> pa.Table:
     return pa.table({n: pa.array([row[k] for row in out], kind) for k, (n, kind) in enumerate(zip(names, kinds, strict=True))})
 
 
-def _in_rounds(active: DataFrame) -> DataFrame:
-    """The same for conversations too long for one task: rounds over the calls behind a step back. A level above the
-    conversation's number of steps back is a circle's."""
-    bound = active.select("conv_id", "most").distinct()
-    state = written(active.where("back = 1").select("conv_id", "call_id", F.lit(1).cast("long").alias("level")).distinct(), "chat-levels")
-    front = state
+def _by_joins(edges: DataFrame) -> DataFrame:
+    """The same for conversations too long for one task. A call with one need points at it; pointers are doubled until
+    they lead to a call without needs or with several, or have gone round a circle. Calls with several needs then settle
+    in rounds over what their needs' pointers lead to."""
+    at = ["conv_id", "call_id"]
+    edges = edges.withColumn("back", F.col("back").cast("long"))
+    # Needs of each call; collecting those that stand alone leaves nothing of calls with many.
+    many = edges.groupBy(*at).agg(F.count("*").alias("n"), F.min("need").alias("to"), F.min("back").alias("level"))
+    chain = written(many.where("n = 1").select(*at, "to", "level"), "chat-chain")
+    longest = chain.groupBy("conv_id").count().agg(F.max("count")).first()[0] or 0
+    for _ in range(int(longest).bit_length()):
+        onward = chain.select("conv_id", F.col("call_id").alias("to"), F.col("to").alias("_to"), F.col("level").alias("_level"))
+        chain = written(chain.join(onward, ["conv_id", "to"], "left").select(*at, F.coalesce("_to", "to").alias("to"), (F.col("level") + F.coalesce("_level", F.lit(0))).alias("level")), "chat-chain")
+    # What still points at a call with one need is on or behind a circle of such calls.
+    lost = chain.join(chain.select("conv_id", F.col("call_id").alias("to")), ["conv_id", "to"], "left_semi").select(*at)
+    chain = written(chain.join(lost, at, "left_anti"), "chat-chain")
+    ways = edges.join(many.where("n > 1").select(*at), at, "left_semi")
+    led = chain.select("conv_id", F.col("call_id").alias("need"), "to", F.col("level").alias("_level"))
+    ways = ways.join(led, ["conv_id", "need"], "left").select(*at, F.coalesce("to", "need").alias("need"), (F.col("back") + F.coalesce("_level", F.lit(0))).alias("back"))
+    ways = written(ways.groupBy(*at, "need").agg(F.max("back").alias("back")), "chat-ways")
+    open_ = written(ways.groupBy(*at).agg(F.count("*").alias("open"), F.lit(0).cast("long").alias("level")), "chat-open")
+    # Calls without needs are settled from the start; of those, and of what they lead to, waits are taken off.
+    starts = ways.select("conv_id", F.col("need").alias("call_id")).distinct().join(open_, at, "left_anti").join(lost, at, "left_anti")
+    front, settled = written(starts.withColumn("level", F.lit(0).cast("long")), "chat-front"), []
     while not front.isEmpty():
-        pushed = active.join(front.withColumnRenamed("call_id", "need"), ["conv_id", "need"]).groupBy("conv_id", "call_id").agg(F.max(F.least(F.col("level") + F.col("back"), F.col("most") + 1)).alias("to"))
-        merged = state.join(pushed, ["conv_id", "call_id"], "full")
-        grown = F.coalesce("level", F.lit(0)) < F.coalesce("to", F.lit(0))
-        after = written(merged.select("conv_id", "call_id", F.greatest("level", "to").alias("level"), grown.alias("grown")), "chat-levels")
-        state, front = after.select("conv_id", "call_id", "level"), after.where("grown").select("conv_id", "call_id", "level")
-    circular = F.col("level") > F.col("most")
-    return state.join(bound, "conv_id").select("conv_id", "call_id", F.when(~circular, F.col("level")).cast("int").alias("level"), circular.alias("circular"))
+        settled.append(front)
+        met = ways.join(front.select("conv_id", F.col("call_id").alias("need"), "level"), ["conv_id", "need"]).groupBy(*at).agg(F.count("*").alias("taken"), F.max(F.col("level") + F.col("back")).alias("to"))
+        open_ = written(open_.join(met, at, "left").select(*at, (F.col("open") - F.coalesce("taken", F.lit(0))).alias("open"), F.greatest("level", "to").alias("level")), "chat-open")
+        front, open_ = open_.where("open = 0").drop("open"), open_.where("open > 0")
+    done = reduce(DataFrame.unionByName, settled, front)
+    ends = done.select("conv_id", F.col("call_id").alias("to"), F.col("level").alias("_level"))
+    # A pointer's end that is neither among these nor open is a call without needs that no call with several needs has.
+    behind = open_.select("conv_id", F.col("call_id").alias("to"), F.lit(True).alias("_open"))
+    chained = chain.join(ends, ["conv_id", "to"], "left").join(behind, ["conv_id", "to"], "left").select(*at, F.when(F.col("_open").isNull(), F.col("level") + F.coalesce("_level", F.lit(0))).alias("level"))
+    never = open_.select(*at).unionByName(lost).withColumn("level", F.lit(None).cast("long"))
+    found = done.join(many.select(*at), at, "left_semi").unionByName(chained).unionByName(never)
+    return found.select(*at, F.col("level").cast("int").alias("level"), F.col("level").isNull().alias("circular"))
 
 
 def linked_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
@@ -145,17 +265,13 @@ def linked_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> Da
     answers = require(results, "conv_id", "call_id", "turn", "content").where("call_id is not null").groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "content")).alias("answer"))
     met = calls.join(answers.hint("shuffle_hash"), ["conv_id", "call_id"], "left").join(levels(calls), ["conv_id", "call_id"], "left")
     # The tools: as many as the caller lists, shipped with the function.
-    tools = {r["name"]: json.loads(r["schema"]) for r in require(schemas, "name", "schema").orderBy("name", "schema").collect()}
+    tools = {r["name"]: read_json(r["schema"])[0] for r in require(schemas, "name", "schema").orderBy("name", "schema").collect()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             errors, lines = [], []
             for call, name, text, answer in zip(*(batch.column(c).to_pylist() for c in ("call_id", "name", "arguments", "answer")), strict=True):
-                try:
-                    value = json.loads(text)
-                    found = problems(value, {"type": "object"} | tools[name]) if name in tools else [f"unknown tool {name}"]
-                except (TypeError, ValueError):
-                    value, found = text, ["$: not JSON"]
+                value, found = judged(text, name, tools)
                 errors.append(found)
                 lines.append(canonical({"arguments": value, "id": call, "name": name, "result": answer["content"] if answer else None}))
             names = ["conv_id", "call_id", "turn", "level", "circular"]
@@ -165,6 +281,28 @@ def linked_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> Da
     return ready.mapInArrow(run, "conv_id long, call_id string, turn long, level int, circular boolean, linked boolean, valid boolean, errors array<string>, line string")
 
 
+def placed(lines: DataFrame) -> DataFrame:
+    """linked_calls() with ``place``: each line's number, from 0, in its conversation. Rows are sorted by ranges, and
+    numbered inside each; a range's numbers begin behind those of the ranges before it. A conversation of any length is
+    spread over ranges."""
+    order = ["conv_id", "circular", "level", "turn", "call_id", "line"]
+    ranges = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = written(lines.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id()), "chat-ranges")
+    held = rows.groupBy("conv_id", "_range").count()
+    earlier = Window.partitionBy("conv_id").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    begin = held.select("conv_id", "_range", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("_begin"))
+    within = F.row_number().over(Window.partitionBy("conv_id", "_range").orderBy(*order[1:])) - 1
+    met = rows.withColumn("_within", within).alias("r").join(begin.alias("b"), F.col("r.conv_id").eqNullSafe(F.col("b.conv_id")) & (F.col("r._range") == F.col("b._range")))
+    return met.select("r.*", (F.col("_within") + F.col("_begin")).alias("place")).drop("_range", "_within")
+
+
+def documents(lines: DataFrame) -> DataFrame:
+    """conv_id, piece (from 0), n_lines, text: each conversation's lines in order, one a row of text, in pieces of PIECE."""
+    rows = placed(lines).withColumn("piece", F.floor(F.col("place") / PIECE))
+    held = F.array_sort(F.collect_list(F.struct("place", "line")))
+    return rows.groupBy("conv_id", "piece").agg(F.count("*").alias("n_lines"), F.array_join(F.transform(held, lambda x: x["line"]), "\n").alias("text"))
+
+
 def derived_calls(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Calls and results of plain conversations: an assistant's turn is a call, of a tool chosen by its length, with
     its text as an argument, that needs the call four turns before (some need one two or four turns behind, which makes
@@ -191,7 +329,7 @@ def derived_calls(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The tool calls of all conversations, linked, ordered, checked and written."""
+    """The tool calls of all conversations, linked, ordered, checked and written, with their places."""
     calls, results = derived_calls(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
-    found = linked_calls(calls, results, spark.createDataFrame(SCHEMAS, "name string, schema string"))
-    return found.select("conv_id", "call_id", "turn", "level", "circular", "linked", "valid", F.array_join("errors", "; ").alias("errors"), "line")
+    found = placed(linked_calls(calls, results, spark.createDataFrame(SCHEMAS, "name string, schema string")))
+    return found.select("conv_id", "call_id", "turn", "level", "circular", "linked", "valid", F.array_join("errors", "; ").alias("errors"), "place", "line")
