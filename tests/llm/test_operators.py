@@ -258,8 +258,11 @@ def test_prior_estimate():
 # ---- nearest neighbours
 
 
-@pytest.mark.parametrize("scaled", [False, True])
-def test_recall(spark, scaled):
+@pytest.mark.parametrize("scaled,cells", [(False, ann.CELLS), (True, ann.CELLS), (True, 4), (False, 3)])
+def test_recall(spark, monkeypatch, scaled, cells):
+    """Against brute force; with few cells, lists are found in two steps."""
+    monkeypatch.setattr(ann, "CELLS", cells)
+    monkeypatch.setattr(ann, "LIST_SIZE", 256 if cells > 4 else 64)
     rng = np.random.default_rng(5)
     x = np.concatenate([rng.normal(0, 1, (1500, 16)), rng.normal(0, 0.05, (700, 16)) + rng.normal(0, 1, (7, 16)).repeat(100, 0)])
     x = x * rng.uniform(0.5, 2, (len(x), 1)) if scaled else x / np.linalg.norm(x, axis=1, keepdims=True)
@@ -279,11 +282,48 @@ def test_recall(spark, scaled):
     assert hit >= 0.9 * 10 * len(range(0, len(x), 20))
 
 
+def test_neighbours_query(spark, small):
+    """The registered query against brute force, ties at the last place included."""
+    rows = spark.read.parquet(f"{small}/embeddings.parquet").collect()
+    x = np.array([r["embedding"] for r in rows], float)
+    ids = np.array([r["vec_id"] for r in rows])
+    got = {}
+    for r in entry.queries()["op3_nearest_neighbours"](spark, small).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = (r["vec_id"], r["score"])
+    assert sorted(got) == sorted(i for i in ids.tolist() if i % 20 == 0)
+    hit = 0
+    for q, found in got.items():
+        s = (x * x[ids == q][0]).sum(1)
+        best = [(int(ids[k]), s[k]) for k in np.lexsort((ids, -s)) if ids[k] != q][:20]
+        assert sorted(found) == list(range(1, 21)) and all(v == s[ids == i][0] for i, v in found.values())
+        assert [found[k] for k in sorted(found)] == sorted(found.values(), key=lambda f: (-f[1], f[0]))
+        hit += len({i for i, _ in best} & {i for i, _ in found.values()})
+    assert hit >= 0.95 * 20 * len(got)
+
+
+def test_ties_across_lists(spark, monkeypatch):
+    """Equal vectors under ids that lie in different blocks and lists: the smaller ids win."""
+    monkeypatch.setattr(ann, "LIST_SIZE", 8)
+    monkeypatch.setattr(ann, "BLOCK", 5)
+    rows = [(i, [1.0, float(i % 3), 0.0]) for i in range(90)]
+    got = {}
+    for r in ann.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.expr("vec_id % 20 = 0"), 7).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+    for q in range(0, 90, 20):
+        score = {i: 1.0 + (i % 3) * (q % 3) for i in range(90) if i != q}
+        assert [i for _, i in sorted(got[q])] == sorted(score, key=lambda i: (-score[i], i))[:7]
+
+
 def test_neighbours_odd(spark):
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (20, [0.0, 1.0]), (4, None), (5, [0.0, 0.0]), (6, [float("nan"), 1.0]), (7, [None, 1.0]), (None, [1.0, 1.0]), (8, [1.0]), (1, [1.0, 0.0]), (9, [])]
     df = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<float>, list string")
     got = sorted(tuple(r) for r in ann.neighbours(df, F.expr("vec_id % 20 = 0"), 20).collect())
-    assert got == [(0, 1, 1, 1.0), (0, 2, 2, 1.0), (0, 3, 20, 0.0), (20, 1, 0, 0.0), (20, 2, 1, 0.0), (20, 3, 2, 0.0)]
+    want = [(0, 1, 1, 1.0), (0, 2, 2, 1.0), (0, 3, 20, 0.0), (20, 1, 0, 0.0), (20, 2, 1, 0.0), (20, 3, 2, 0.0)]
+    assert got == want
+    # Vectors of other sizes are compared with their kind; a vec_id with another vector is a row of its own.
+    more = spark.createDataFrame([(40, [2.0], "x"), (60, [3.0, 1.0, 1.0], "x"), (2, [0.5, 0.5], "x")], df.schema)
+    got = sorted(tuple(r) for r in ann.neighbours(df.unionByName(more), F.expr("vec_id % 20 = 0"), 20).collect())
+    assert got == sorted([(0, 1, 1, 1.0), (0, 2, 2, 1.0), (0, 3, 2, 0.5), (0, 4, 20, 0.0), (20, 1, 2, 0.5), (20, 2, 0, 0.0), (20, 3, 1, 0.0), (20, 4, 2, 0.0), (40, 1, 8, 2.0)])
     assert ann.neighbours(df.limit(0), F.expr("vec_id % 20 = 0")).count() == 0
 
 
