@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from weakref import WeakKeyDictionary
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -12,24 +13,40 @@ from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a folder of the session's own only where that is unset."""
+    """The folder named by ``spark.checkpoint.dir``. Where that is unset, a local master gets a folder of the session's
+    own; on a cluster a machine's own folder would be lost with it, so that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset: name a folder that all machines share")
         found = f"/tmp/spark-checkpoints-{spark.sparkContext.applicationId}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def _folder(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+_places: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
+def written(df: DataFrame, name: str, instead_of: DataFrame | None = None) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read again: lineage ends there, and a lost executor costs
-    a read. The files go when the application ends."""
+    a read. The files go when the application ends, or when a later table is written ``instead_of`` this one; nothing
+    but that table may then depend on them."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
+    target, files = _folder(spark, path)
+    files.deleteOnExit(target)
+    found = spark.read.schema(df.schema).parquet(path)
+    _places[found] = path
+    if instead_of is not None and instead_of in _places:
+        old, files = _folder(spark, _places.pop(instead_of))
+        files.delete(old, True)
+    return found
 
 
 def require(df: DataFrame, *columns: str) -> DataFrame:
@@ -53,27 +70,42 @@ def with_columns(docs: DataFrame, measure: Callable[[pa.Array], object], name: s
     return docs.mapInArrow(run, schema)
 
 
+#: Edges of a node from which it may count as heavy.
+HEAVY = 1_000
+
+
+def _with_least(edges: DataFrame, at: list[str], total: int) -> DataFrame:
+    """edges (at…, v) with m, the least v of their node. Nodes that hold more than a share of all edges, of which there
+    are no more than four for each shuffle partition, are broadcast, so that a hub's edges aren't gathered in a task."""
+    least = edges.groupBy(*at).agg(F.min("v").alias("m"), F.count("*").alias("_n"))
+    share = max(HEAVY, total // (4 * int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    heavy = least.where(F.col("_n") > share).select(*at, F.col("m").alias("_m"))
+    tagged = edges.join(F.broadcast(heavy), at, "left")
+    light = tagged.where("_m is null").drop("_m").join(least.where(F.col("_n") <= share).drop("_n"), at)
+    return tagged.where("_m is not null").withColumnRenamed("_m", "m").unionByName(light)
+
+
 def connected_components(edges: DataFrame, within: str | None = None) -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b); component is the smallest node reachable. within: a
     column whose values are graphs of their own; it is returned too.
 
     Alternating large and small stars: each round moves every edge towards its neighbourhood's minimum, and the
     number of rounds grows with the logarithm of the longest chain. Neighbourhoods meet as aggregates (combined
-    before the shuffle) and joins (which the adaptive planner splits), so a hub is never gathered in one task.
+    before the shuffle) and joins that hubs take no part in, so a hub is never gathered in one task.
     """
     key = [within] if within else []
     at = [*key, "u"]
     e = edges.select(*key, F.greatest("a", "b").cast("long").alias("u"), F.least("a", "b").cast("long").alias("v")).where("u > v").distinct()
     e = written(e, "cc")
-    state = None
-    while True:
+    state = (e.count(), None)
+    while state[0]:
         both = e.unionByName(e.select(*key, F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy(*at).agg(F.min("v").alias("m")).select(*at, F.least("u", "m").alias("m"))
-        large = both.join(low, at).where("v > u").select(*key, F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
-        low = large.groupBy(*at).agg(F.min("v").alias("m"))
-        small = large.join(low, at).select(*key, F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").unionByName(low.select(*at, F.col("m").alias("v")))
-        e = written(small.distinct(), "cc")
-        now = e.agg(F.count("*"), F.sum(F.xxhash64(*at, "v").cast("decimal(38,0)"))).first()
+        large = _with_least(both, at, 2 * state[0]).withColumn("m", F.least("u", "m"))
+        large = large.where("v > u").select(*key, F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
+        least = _with_least(large, at, state[0])
+        small = least.select(*key, F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").unionByName(least.select(*at, F.col("m").alias("v")))
+        e = written(small.distinct(), "cc", instead_of=e)
+        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64(*at, "v").cast("decimal(38,0)"))).first())
         if now == state:
             break
         state = now

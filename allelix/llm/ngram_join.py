@@ -28,11 +28,11 @@ from allelix.llm.common import connected_components, require, written
 U = np.uint64
 SEGMENT = 1 << 20
 BITS = 4096
-TILE = 4096
-TOGETHER = 512
+TILE = 1024
+TOGETHER = 256
 FLUSH = 1 << 20
 SEEDS = 16
-REFINEMENTS = 2
+REFINEMENTS = 6
 BAND_BITS = 12
 BASE = 0x9E3779B97F4A7C15
 
@@ -146,7 +146,7 @@ def shingle_sets(column: pa.Array, width: int) -> Iterator[tuple[int, int, np.nd
             else:
                 v = np.zeros(1, U)
                 for k in range(c):
-                    v += w[a + k] * U(((2 * k + 1) * 0xE7037ED1A0B428DB) % (1 << 64) | 1)
+                    v += w[a + k : a + k + 1] * U(((2 * k + 1) * 0xE7037ED1A0B428DB) % (1 << 64) | 1)
                 out[to[d]] = mix(v + U(c))[0]
             flat_at += int(n[d])
         row = np.repeat(np.arange(j - i), n)
@@ -274,12 +274,12 @@ def packed_signatures(docs: DataFrame, width: int, threshold: Fraction, buckets:
             bucket = ((sig >> U(BAND_BITS)) % U(buckets)).astype(np.int64)
             spot = (links[:, 1].astype(U) % U(buckets)).astype(np.int64)
             order, spots = np.argsort(bucket, kind="stable"), np.argsort(spot, kind="stable")
-            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            ecuts = np.searchsorted(spot[spots], np.arange(buckets + 1))
+            used = np.union1d(bucket, spot)
             packed = np.stack([sig.astype(np.int64), doc], 1)[order]
-            known = links[spots]
-            used = np.flatnonzero((np.diff(cuts) > 0) | (np.diff(ecuts) > 0))
-            columns = [pa.array([x[c[k] : c[k + 1]].tobytes() for k in used], pa.binary()) for x, c in ((packed, cuts), (known, ecuts))]
+            columns = []
+            for rows, place in ((packed, bucket[order]), (links[spots], spot[spots])):
+                begin, end = np.searchsorted(place, used), np.searchsorted(place, used, "right")
+                columns.append(pa.array([rows[i:j].tobytes() for i, j in zip(begin, end, strict=True)], pa.binary()))
             return pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), *columns], names=["bucket", "pairs", "edges"])
 
         for batch in batches:
@@ -379,8 +379,8 @@ def jaccard_components(docs: DataFrame, width: int = 5, threshold: str = "0.8",
     t = Fraction(threshold)
     docs = require(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    # A bucket holds the pairs of about 4 MB of text; from some 0.8 TB on, buckets grow instead of their number.
-    buckets = int(min(max(64, size >> 22), 200_000))
+    # A bucket holds the pairs of about 8 MB of text, at every size.
+    buckets = int(max(64, size >> 23))
     # Texts are read twice, which is cheaper than keeping all signatures on disk next to their shuffle.
     meta = written(profiles(docs, width), "jaccard-profiles")
     groups = candidate_groups(packed_signatures(docs, width, t, buckets))
@@ -401,7 +401,8 @@ def jaccard_components(docs: DataFrame, width: int = 5, threshold: str = "0.8",
     else:
         links = connected_components(labels.select(F.col("rep").alias("a"), F.col("label").alias("b")))
         classes = sets.join(links, sets.rep == links.node, "left").select("n", "h1", "h2", F.coalesce("component", "rep").alias("label"))
-    return meta.join(classes, ["n", "h1", "h2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "doc_id").alias("component_id"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "doc_id"))
+    return meta.join(classes, ["n", "h1", "h2"], "left").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
 def _sized(rows: DataFrame) -> DataFrame:
@@ -413,19 +414,23 @@ def _sized(rows: DataFrame) -> DataFrame:
 def _labels(texts: DataFrame, n: int, width: int, t: Fraction, tile: int, buckets: int) -> DataFrame:
     """rep, label of groups of candidates. Groups above a tile are split by further deals first: documents that only
     chance or a common passage brought together part, as linked ones agree on a part of every deal."""
-    small, big = texts.where(F.col("m") <= tile), texts.where(F.col("m") > tile)
+    small, big = texts.where(F.col("m") <= tile), written(texts.where(F.col("m") > tile), "jaccard-big")
+    largest = big.agg(F.max("m")).first()[0] or 0
     for first in range(1, REFINEMENTS + 1):
-        if big.isEmpty():
+        if not largest:
             break
         pairs = packed_signatures(big.select(F.col("rep").alias("doc_id"), "text", "comp"), width, t, buckets, first)
         groups = candidate_groups(pairs)
         finer = big.select("rep", "text").distinct().join(groups, F.col("rep") == F.col("node")).select("comp", "rep", "text")
         finer = written(_sized(finer), "jaccard-finer")
-        small, big = small.unionByName(finer.where(F.col("m") <= tile), allowMissingColumns=True), finer.where(F.col("m") > tile)
+        small, big, before = small.unionByName(finer.where(F.col("m") <= tile), allowMissingColumns=True), finer.where(F.col("m") > tile), largest
+        largest = big.agg(F.max("m")).first()[0] or 0
+        if 10 * largest > 9 * before:  # what stays together is alike
+            break
     tiles = max(1, n // TOGETHER)
     rows = small.select("comp", "rep", F.pmod(F.xxhash64("comp"), F.lit(tiles)).cast("string").alias("tile"), F.col("rep").alias("known"), "text")
     labels = verify(rows, width, t).select("rep", "label")
-    return labels if big.isEmpty() else labels.unionByName(_with_large(big.withColumn("chunks", F.ceil(F.col("m") / tile)), width, t, tile))
+    return labels if not largest else labels.unionByName(_with_large(big.withColumn("chunks", F.ceil(F.col("m") / tile)), width, t, tile))
 
 
 def _with_large(big: DataFrame, width: int, t: Fraction, tile: int) -> DataFrame:
