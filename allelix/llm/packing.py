@@ -3,8 +3,8 @@
 Every piece asks for tokens, one document slot and an attention cost (its length squared). Pieces go, longest first,
 into the bin that holds them under every capacity and suits them best: by the least norm of what would stay free, or
 by the largest dot product of demand and residual, both weighted. Pieces are dealt by a hash into blocks of some
-thousand sequences, and each block is packed on its own, so no task ever sees more than a block; a block ends with
-one bin that isn't full.
+thousand sequences, and of no more than some hundred thousand pieces, and each block is packed on its own, so no task
+ever sees more than a block; a block ends with one bin that isn't full.
 
 Null or empty texts are a document of one token, the end id. Rows that repeat are packed as often as they occur. A
 null doc_id is carried. An empty table gives an empty result. Extra columns are ignored.
@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 
 from allelix.llm.common import require, written
 
-BLOCK = 4096
+#: Sequences and pieces, about, that are packed together.
+BLOCK, PIECES = 4096, 200_000
 LONG_RUN = 4000
 
 
@@ -140,8 +141,8 @@ def vector_best_fit(lengths: np.ndarray, capacity: int, max_docs: int, max_atten
 
 def pack(pieces: DataFrame, capacity: int, max_docs: int, max_attention: int, rule: str = "norm", block: int = BLOCK) -> DataFrame:
     """Pieces with sequence_id and offset. block: sequences, about, that are packed together."""
-    total = pieces.agg(F.sum("length")).first()[0] or 0
-    blocks = max(1, round(total / capacity / block))
+    total, count = pieces.agg(F.sum("length"), F.count("*")).first()
+    blocks = max(1, round((total or 0) / capacity / block), -(-count // PIECES))
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         bins, offsets = vector_best_fit(group["length"].to_numpy(), capacity, max_docs, max_attention, rule=rule)
