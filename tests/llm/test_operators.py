@@ -86,6 +86,20 @@ def test_jaccard_components(spark, width, threshold, tile):
     assert got == components(rows, width, t.numerator, t.denominator)
 
 
+def test_jaccard_query(spark, small):
+    """The registered query against brute force over the whole table."""
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in entry.queries()["op2_ngram_jaccard_join"](spark, small).collect()}
+    assert got == components(docs, 3, 9, 10)
+
+
+def test_jaccard_null_ids(spark):
+    """A row without an id that copies documents with one has no component."""
+    text = "one two three four five six seven"
+    rows = [tuple(r) for r in ngram_join.jaccard_components(documents(spark, [text, text, text], [1, 2, None])).collect()]
+    assert sorted(rows, key=repr) == sorted([(1, 3, 1), (2, 3, 1), (None, 3, None)], key=repr)
+
+
 def test_jaccard_odd(spark, odd):
     got = sorted((tuple(r) for r in ngram_join.jaccard_components(odd).collect()), key=repr)
     assert got == sorted([(0, 0, 0), (1, 0, 1), (2, 0, 2), (3, 2, 3), (4, 1, 4), (4, 1, 4), (None, 1, None), (6, 1, 6), (7, 1, 7)], key=repr)
@@ -103,6 +117,18 @@ def test_words_of_long_rows():
     assert (whole[[0, 1, *range(2, 300_002, 30_000), -1]] == alone).all()
 
 
+def test_components_of_hubs(spark, monkeypatch):
+    """Nodes with very many edges, of largest and of least id, with chains behind them; one graph for each group."""
+    from allelix.llm import common
+
+    monkeypatch.setattr(common, "HEAVY", 5)
+    edges = [(g, 500, i) for g in (1, 2) for i in range(100, 180, g)] + [(g, 5, i) for g in (1, 2) for i in range(200, 240)] + [(1, i, i + 1) for i in range(240, 260)] + [(1, 239, 240), (2, 100, 200)]
+    got = {(r["g"], r["node"]): r["component"] for r in connected_components(spark.createDataFrame(edges, "g long, a long, b long"), "g").collect()}
+    want = {(1, i): 100 for i in [*range(100, 180), 500]} | {(1, i): 5 for i in [5, *range(200, 261)]} | {(2, i): 5 for i in [5, *range(100, 180, 2), *range(200, 240), 500]}
+    assert got == want
+    assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_components_of_chains(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (7, 7)]
     got = dict(map(tuple, connected_components(spark.createDataFrame(edges, "a long, b long")).collect()))
@@ -182,6 +208,25 @@ def test_every_capacity_holds(rule):
         packing.vector_best_fit(lengths, 100, 4, 4000, rule="first")
 
 
+def test_weights_decide_bins():
+    """The further capacities take part in choosing bins: with their weights another bin is best fit, at no more bins."""
+    lengths = np.array([60, 60, 15, 14, 30, 10, 9, 8, 7, 6, 5, 4])
+    plain, weighed = (packing.vector_best_fit(lengths, 100, 5, 10_000, weights=w)[0] for w in ((1.0, 0.0, 0.0), (1.0, 2.0, 1.0)))
+    assert plain.tolist() != weighed.tolist() and len(set(plain)) == len(set(weighed))
+    rng = np.random.default_rng(8)
+    lengths = rng.integers(1, 2000, 3000)
+    own, tokens = (packing.vector_best_fit(lengths, 2048, 2048, 2048**2, weights=w)[0] for w in ((1.0, 0.01, 0.01), (1.0, 0.0, 0.0)))
+    assert own.max() <= tokens.max() and own.tolist() != tokens.tolist()
+
+
+def test_blocks_of_tiny_pieces(spark, monkeypatch):
+    """Blocks are bounded by pieces too: a table of empty texts isn't one group."""
+    monkeypatch.setattr(packing, "PIECES", 500)
+    docs = documents(spark, [""] * 4000)
+    got = packing.packed_sequences(docs, public_tokenizers.path("byte_bpe_50k.json")).toPandas()
+    assert len(got) == 4000 and got["sequence_id"].floordiv(1 << 32).value_counts().max() < 1000
+
+
 def test_packing_odd(spark, odd):
     path = public_tokenizers.path("byte_bpe_50k.json")
     got = packing.packed_sequences(odd, path).toPandas()
@@ -249,10 +294,87 @@ def test_quality_held_out(spark):
     assert len(rows) == docs.count() and np.mean([a == b for a, b in out]) > 0.97
 
 
+def test_quality_measures_by_brute_force():
+    """Every measure of every text against plain loops; hashed sums against a dictionary of terms."""
+    import pyarrow as pa
+
+    texts = ["Some words, some MORE words!", None, "", "a a b a b\nc <1> #$", "Ünï cödé || x", " \n ", "one"]
+    x = quality.measured(pa.array(texts))
+    for t, row in zip(texts, x, strict=True):
+        raw = (t or "").encode()
+        w = [m.encode().lower() for m in re.findall(SPACE, t or "")]
+        n = max(len(w), 1)
+        want = [sum(b in kind for b in raw) for kind in quality.CLASSES.values()]
+        want = [(c / max(len(raw), 1)) ** 0.5 for c in want]
+        if raw:
+            same = [sum(a == b for a, b in zip(w[k:], w, strict=False)) / n for k in (1, 2)]
+            want += [np.log1p(len(w)) / 10, np.log1p(len(raw) / n) / 5, *same, np.log(max(len(set(w)), 1) / n) / 5, np.log1p(len(w) / (raw.count(b"\n") + 1)) / 10]
+        else:
+            want += [0.0, np.log1p(1) / 5, 0, 0, 0, 0]
+        assert row[: len(quality.SHAPES)] == pytest.approx(want), t
+        assert (row[len(quality.SHAPES) :] ** 2).sum() > 0 or not w
+    # Hashed sums: the same words give the same sums in any place, a repeated text the same row, order tells by pairs.
+    a, b, c, d = quality.measured(pa.array(["p q r", "x\n\n", "p q r", "r q p"]))[:, len(quality.SHAPES) :]
+    assert (a == c).all() and not (a == d).all() and a[a != 0].size <= 5
+    single = {w: quality.measured(pa.array([w]))[0, len(quality.SHAPES) :] for w in ("p", "q", "r")}
+    pairs = {w: quality.measured(pa.array([w]))[0, len(quality.SHAPES) :] * 3**0.5 - single[w[0]] - single[w[2]] for w in ("p q", "q r")}
+    assert a * 5**0.5 == pytest.approx(sum(single.values()) + sum(pairs.values()))
+
+
+def test_risk_and_its_slope():
+    """The non-negative risk by its definition, and the direction against differences; where the bracket is negative the
+    direction is that of the bracket, uphill."""
+    rng = np.random.default_rng(4)
+    layers = [rng.normal(0, 0.5, (5, 3)), rng.normal(0, 0.1, 3), rng.normal(0, 0.5, 3), np.zeros(1)]
+    for shift, prior in ((0.0, 0.4), (3.0, 0.9)):
+        p, u = rng.normal(0, 1, (20, 5)) - shift, rng.normal(0, 1, (30, 5)) + shift
+
+        def parts(layers):
+            g = [np.tanh(x @ layers[0] + layers[1]) @ layers[2] + layers[3][0] for x in (p, u)]
+            loss = lambda z: np.mean([np.log1p(np.exp(-v)) for v in z])
+            return prior * loss(g[0]), loss(-g[1]) - prior * loss(-g[0])
+
+        for sign in (1, -1):
+            layers[2] = abs(layers[2]) * sign if shift else layers[2]
+            positive, negative, slope = quality.risk(layers, p, u, prior)
+            assert (positive, negative) == pytest.approx(parts(layers))
+            for k, layer in enumerate(layers):
+                for at in np.ndindex(layer.shape):
+                    ends = []
+                    for step in (1e-6, -1e-6):
+                        moved = [x.copy() for x in layers]
+                        moved[k][at] += step
+                        a, b = parts(moved)
+                        ends.append(a + b if negative >= 0 else -b)
+                    assert slope[k][at] == pytest.approx((ends[0] - ends[1]) / 2e-6, abs=1e-5)
+
+
+def test_bad_text_that_is_no_junk(spark):
+    """Words alone tell: good and bad texts have the same lengths, lines and letters, and no bad label is read."""
+    rng = random.Random(3)
+    good_words, bad_words = (["".join(rng.choices("abcdefgh", k=5)) for _ in range(60)] for _ in range(2))
+    rows = [(i, " ".join(rng.choices(good_words if i % 10 < 7 else bad_words, k=60)), int(i % 10 < 7)) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    net = quality.trained(docs, docs.where("quality = 1 and doc_id % 4 > 0").select("doc_id", "quality"))
+    assert net.prior == pytest.approx(0.7, abs=0.08)
+    got = {r["doc_id"]: r["score"] >= 0.5 for r in quality.scored(docs, net).collect()}
+    assert np.mean([got[i] == bool(q) for i, _, q in rows if held(i)]) > 0.95
+
+
+def test_quality_ties_and_long_texts(spark):
+    """Conflicting labels teach nothing; a text of a million words is measured whole; repeated rows are scored alike."""
+    labels = spark.createDataFrame([(0, 1), (0, 0), (2, 1), (2, 1), (3, None)], "doc_id long, quality int")
+    docs = documents(spark, ["a b", "c d", "word " * 1_000_000 + "end", "e"], [0, 1, 2, 3])
+    assert [r["doc_id"] for r in toxicity.training_rows(docs, labels, "quality", (1,)).collect()] == ([] if held(2) else [2])
+    net = quality.Network(np.zeros(len(quality.NAMES)), np.ones(len(quality.NAMES)), [np.ones((len(quality.NAMES), 2)), np.zeros(2), np.ones(2), np.zeros(1)], 0.5)
+    got = [tuple(r) for r in quality.scored(docs.unionByName(docs), net).collect()]
+    assert len(got) == 8 and len(set(got)) == 4
+
+
 def test_prior_estimate():
     rng = np.random.default_rng(0)
     pos, rest = rng.normal(2, 1, 4000), np.concatenate([rng.normal(2, 1, 2800), rng.normal(-3, 1, 1200)])
-    assert quality.estimated_prior(pos, rest) == pytest.approx(0.7, abs=0.05)
+    assert quality.estimated_prior(*(np.bincount(quality.bins(x), minlength=quality.BINS) for x in (pos, rest))) == pytest.approx(0.7, abs=0.05)
 
 
 # ---- nearest neighbours
@@ -578,9 +700,22 @@ def test_pipeline_odd(spark, odd, tmp_path):
     import corpus_pipeline as pipe
 
     spark.createDataFrame([(4, 1, 0), (6, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
-    for rows in (odd, odd.limit(0)):
+    for rows, most in ((odd, 8), (odd.limit(0), 0)):
         docs = rows
-        for _, stage in pipe.STAGES:
+        for name, stage in pipe.STAGES[:-1]:
             docs = stage(spark, docs, str(tmp_path))
-        assert docs.count() >= 0
+            assert docs.columns == rows.columns, name
+        kept = [r["doc_id"] for r in docs.collect()]
+        packed = pipe.STAGES[-1][1](spark, docs, str(tmp_path)).toPandas()
+        assert len(kept) <= most and sorted(map(str, packed.loc[packed["piece"] == 0, "doc_id"].astype("Int64").astype(object))) == sorted("<NA>" if k is None else str(k) for k in kept)
     assert pipe.drop_near_copies(spark, odd, str(tmp_path)).count() == 8
+
+
+def test_pipeline_keeps_differing_texts(spark, tmp_path):
+    """Rows that share a doc_id are judged by their texts; of copies one stays, also of those without an id."""
+    import corpus_pipeline as pipe
+
+    text = ["one two three four five six seven", "quite other words that stand in this text", "and a third text with no copy at all"]
+    rows = documents(spark, [text[0], text[1], text[0], text[2], text[2], text[2], text[0]], [5, 5, 3, None, 9, 9, 5])
+    got = sorted(((r["doc_id"], r["text"]) for r in pipe.drop_near_copies(spark, rows, str(tmp_path)).collect()), key=repr)
+    assert got == sorted([(3, text[0]), (5, text[1]), (9, text[2])], key=repr)
