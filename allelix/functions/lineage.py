@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame
 
 
 def fixed(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed in the shared folder that ``spark.checkpoint.dir`` names; only where a session names none,
-    as in tests, one of its own is set."""
+    """``df`` checkpointed in the shared folder that ``spark.checkpoint.dir`` names. Where a session names none, a local
+    master gets a folder of its own, as in tests; on a cluster that is an error."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"/tmp/spark-checkpoints-{context.applicationId}")
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset: name a folder that all machines share")
+        context.setCheckpointDir(named or f"/tmp/spark-checkpoints-{context.applicationId}")
     return df.checkpoint()

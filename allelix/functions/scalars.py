@@ -28,6 +28,16 @@ def gt_dosage_any(sample: Expr, index: int = 0) -> Column:
     return F.when((gt != "") & ~F.exists(alleles, lambda x: x.isNull()), F.aggregate(alleles, F.lit(0), lambda a, x: a + x)).cast("double")
 
 
+def genotype(sample: Expr, gt: int = 0, dp: int | None = None) -> Column:
+    """struct(dosage, depth, missing) of a call of any ploidy: dosage is the sum of allele numbers (NULL if missing),
+    depth is DP where it is a whole number. A call that is only a dot has no depth either."""
+    s = _c(sample)
+    bare = s.isin(".", "./.", ".|.", "")
+    dosage = F.when(~bare, gt_dosage_any(s, gt))
+    depth = F.when(~bare, F.get(F.split(s, ":"), F.lit(dp)).try_cast("int")) if dp is not None else F.lit(None).cast("int")
+    return F.struct(dosage.alias("dosage"), depth.alias("depth"), dosage.isNull().alias("missing"))
+
+
 def format_index(fmt: Expr, key: str) -> Column:
     """Zero-based place of a key in a FORMAT string; NULL if it isn't there."""
     at = F.array_position(F.split(_c(fmt), ":"), key)
@@ -56,6 +66,12 @@ def keeps_contig(contig: Expr, subgenome: str, mode: str) -> Column:
     raise ValueError(f"unknown contig filter mode {mode!r}")
 
 
+def expected_chr4(contig: Expr, subgenome: str) -> Column:
+    """Whether a contig is the expected chromosome 4 of a subgenome (sgC or sgE); NULL isn't."""
+    c = _c(contig)
+    return F.coalesce(c.startswith("chr_D") & c.contains(f"_sg_{subgenome[-1]}_"), F.lit(False))
+
+
 def chromosome_number(contig: Expr) -> Column:
     """A = 1, B = 2, … of the letter in chr_<letter>_sg_…; NULL without one."""
     letter = F.regexp_extract(_c(contig), "^chr_([A-L])_sg_[CE]_", 1)
@@ -161,6 +177,11 @@ def median_of(*columns: Expr) -> Column:
     return F.when(n > 0, (F.get(values, F.floor((n - 1) / 2).cast("int")) + F.get(values, F.floor(n / 2).cast("int"))) / 2)
 
 
+def known_of(*columns: Expr) -> Column:
+    """How many of the columns aren't NULL."""
+    return F.size(F.array_compact(F.array(*[_c(c) for c in columns])))
+
+
 def interval_jaccard(s1: Expr, e1: Expr, s2: Expr, e2: Expr) -> Column:
     """Overlap over hull of two spans as differences (no +1); NULL if the hull is empty."""
     s1, e1, s2, e2 = map(_c, (s1, e1, s2, e2))
@@ -184,6 +205,15 @@ def transferred(pos: Expr, source_length: Expr, target_length: Expr) -> Column:
     return F.when(_c(source_length) == _c(target_length), _c(pos).cast("long")).when(scaled.isNotNull(), F.greatest(F.lit(1).cast("long"), F.least(scaled, _c(target_length).cast("long"))))
 
 
+def stretched(start: Expr, end: Expr, source_length: Expr, target_length: Expr) -> Column:
+    """struct(start, end) of an interval scaled outwards to another length: the start is rounded down, the end up, both
+    kept inside the target and put in order. NULL without all lengths, or where the source's is 0."""
+    scale = _c(target_length).cast("double") / F.nullif(_c(source_length).cast("double"), F.lit(0.0))
+    a = F.greatest(F.lit(1).cast("long"), F.floor(_c(start) * scale).cast("long"))
+    b = F.least(_c(target_length).cast("long"), F.ceil(_c(end) * scale).cast("long"))
+    return F.when(scale.isNotNull() & _c(start).isNotNull() & _c(end).isNotNull(), F.struct(F.least(a, b).alias("start"), F.greatest(a, b).alias("end")))
+
+
 def hsp_target(start: Expr, end: Expr) -> Column:
     """struct(start, end, strand) of a hit's target, strand by the order of its ends."""
     a, b = _c(start), _c(end)
@@ -216,10 +246,10 @@ CATEGORIES = [
 OTHER_CATEGORY = "Other candidate annotation"
 CANDIDATES = "resistan|disease|defen|immune|NLR|NBS|LRR|RPP|RGA|kinase|RLK|WAK|NAC|JA2L|stress|transport|receptor"
 KEYWORDS = {
-    "defense_receptor": "receptor,receptor-like,wall-associated receptor kinase,leucine-rich,LRR,RLK,RLP",
-    "kinase_signaling": "kinase,MAPK,signaling,calmodulin,phosphatase",
-    "stress_response": "stress,pathogen,disease,defense,autophagy,oxidative,wound",
-    "transcriptional_regulation": "transcription factor,MYB,WRKY,NAC,ERF,bHLH",
-    "transport_membrane": "transporter,channel,ATPase,membrane,ABC",
+    "defense_receptor": ("receptor", "receptor-like", "wall-associated receptor kinase", "leucine-rich", "LRR", "RLK", "RLP"),
+    "kinase_signaling": ("kinase", "MAPK", "signaling", "calmodulin", "phosphatase"),
+    "stress_response": ("stress", "pathogen", "disease", "defense", "autophagy", "oxidative", "wound"),
+    "transcriptional_regulation": ("transcription factor", "MYB", "WRKY", "NAC", "ERF", "bHLH"),
+    "transport_membrane": ("transporter", "channel", "ATPase", "membrane", "ABC"),
 }
-KEYWORD_RULES = [(name, r"\b(" + words.replace(",", "|") + r")\b") for name, words in KEYWORDS.items()]
+KEYWORD_RULES = [(name, r"\b(" + "|".join(words) + r")\b") for name, words in KEYWORDS.items()]

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from allelix.functions.ranking import average_rank, best_rows
-from allelix.functions.scalars import confidence, interval_jaccard
+from allelix.functions.scalars import confidence, interval_jaccard, seqid
 from allelix.operators import intervals as I
 from allelix.operators.linalg import pearson, weighted_mean
 
@@ -65,26 +65,25 @@ def chromosome_support(hits: DataFrame, regions: DataFrame) -> DataFrame:
 
 
 def length_matches(sources: DataFrame, targets: DataFrame) -> DataFrame:
-    """sources (contig, length), targets (seqid, target_length): for every source the target of least relative length
-    difference (ties: shorter, then by name), the gap to the next best, and the confidence.
+    """sources (contig, length), targets (seqid, target_length): for every source the target of least length difference
+    relative to the target's length (ties: shorter, then by name), at any distance, the gap to the next best (NULL
+    without one) and the confidence. Sources without a positive length, or without any target, are unresolved.
 
-    Differences above 0.2 don't count as a match. Every distinct length meets its nearest two targets on each side in
-    a sorted sweep, so nothing is crossed. Where no second target is that near, but there is one, the gap is NULL and
-    counts as wide."""
+    Every distinct length meets its nearest two targets on each side in a sorted sweep, so nothing is crossed: on
+    either side of a source the relative difference grows with the distance."""
     kinds = dict(targets.dtypes)
     v = F.col("length").cast("double")
-    marks = targets.where("target_length > 0").groupBy(F.col("target_length").cast("double").alias("_v")).agg(F.min("seqid").alias("_hit"), F.count("*").alias("_n"))
+    marks = targets.where("target_length is not null").groupBy(F.col("target_length").cast("double").alias("_v")).agg(F.min("seqid").alias("_hit"), F.count("*").alias("_n"))
     found = I.neighbours(sources.where("length > 0").select(v.alias("_v")).distinct(), marks)
-    below, above = F.col("_v") - F.col("_b._v"), F.col("_a._v") - F.col("_v")
+    rel_to = lambda x: F.abs(x - F.col("_v")) / F.greatest(x, F.lit(1.0))
+    below, above = rel_to(F.col("_b._v")), rel_to(F.col("_a._v"))
     lower = F.col("_b").isNotNull() & (F.col("_a").isNull() | (below <= above))
     best = F.when(lower, F.col("_b")).otherwise(F.col("_a"))
-    off = F.abs(best["_v"] - F.col("_v"))
+    rel = rel_to(best["_v"])
     # The next best: another target of the same length, the other side's nearest, or the one behind.
-    second = F.when(best["_n"] > 1, off).otherwise(F.least(F.when(lower, above).otherwise(below), F.abs(best["_far"] - F.col("_v"))))
-    rel, nxt = off / F.col("_v"), second / F.col("_v")
-    gap = F.when(nxt <= 0.2, nxt - rel)
-    grade = confidence(rel, F.coalesce(gap, F.when(nxt.isNotNull(), 1.0)))
-    near = found.where(rel <= 0.2).select("_v", best["_hit"].alias("seqid"), best["_v"].cast(kinds["target_length"]).alias("target_length"), rel.alias("rel_diff"), gap.alias("gap"), grade.alias("confidence"))
+    second = F.when(best["_n"] > 1, rel).otherwise(F.least(F.when(lower, above).otherwise(below), rel_to(best["_far"])))
+    gap = second - rel
+    near = found.select("_v", best["_hit"].alias("seqid"), best["_v"].cast(kinds["target_length"]).alias("target_length"), rel.alias("rel_diff"), gap.alias("gap"), confidence(rel, gap).alias("confidence"))
     out = sources.withColumn("_v", v).join(near, "_v", "left")
     return out.select("contig", "length", "seqid", "target_length", "rel_diff", "gap", F.coalesce("confidence", F.lit("unresolved")).alias("confidence"))
 
@@ -128,26 +127,30 @@ def routed(hotspots: DataFrame, crosswalk: DataFrame) -> DataFrame:
 
 def alias_matches(aliases: DataFrame, records: DataFrame) -> DataFrame:
     """aliases (alias, length, tokens array), records (record_id, description, record_length): the best record of each
-    alias by score (100 alias in the text, 20 for each token in it, 80 same length, 30 within 0.1 %), ties by length
-    difference, and whether it is the only one with that score. Empty aliases and tokens name nothing.
+    alias by score (100 for the alias in the text, 20 for each token in it, 80 for the same length, 30 for one that
+    differs by less than 0.1 %), ties by length difference and record, whether it is the only one with that score, and
+    how it was found: alias_and_length from 100 points, exact_length, best_available. Under 50 points an alias is
+    unmapped and has no record. Texts, aliases and tokens are compared by their letters and digits (a text with an NC_
+    accession by that alone); empty ones name nothing.
 
     Aliases and tokens meet the stretches of a text that have their lengths, by key. Of records that score by length
     alone only the nearest ones can be best, and a sorted sweep finds these; where one of them has a hit in its text
     too, that row has more points. Rows are as many as the hits in texts, and best ones are aggregates, so an alias
     with very many hits isn't one task."""
     who, what = ["alias", "length", "tokens"], ["record_id", "description", "record_length"]
+    plain = lambda x: F.regexp_replace(F.lower(seqid(x)), "[^a-z0-9]+", "")
     a = aliases.groupBy(*who).agg(F.count("*").alias("_na"))
     r = records.groupBy(*what).agg(F.count("*").alias("_nr"))
-    each = F.concat(F.array(F.struct(F.lower("alias").alias("key"), F.lit(100).alias("points"))), F.coalesce(F.transform("tokens", lambda t: F.struct(F.lower(t).alias("key"), F.lit(20).alias("points"))), F.array()))
+    each = F.concat(F.array(F.struct(plain(F.col("alias")).alias("key"), F.lit(100).alias("points"))), F.coalesce(F.transform("tokens", lambda t: F.struct(plain(t).alias("key"), F.lit(20).alias("points"))), F.array()))
     named = a.select(*who, "_na", F.explode(each).alias("_e")).select(*who, "_na", F.col("_e.key").alias("_key"), F.col("_e.points").alias("_points")).where("_key <> ''")
     # One row: the lengths that names have.
     sizes = named.agg(F.collect_set(F.length("_key")).alias("_sizes"))
-    text = F.lower(F.concat_ws(" ", "record_id", "description"))
+    text = plain(F.concat_ws(" ", "record_id", "description"))
     stretches = lambda n: F.transform(F.sequence(F.lit(1), F.length("_text") - n + 1), lambda i: F.substring(F.col("_text"), i, n))
     keys = F.array_distinct(F.flatten(F.transform(F.filter("_sizes", lambda n: n <= F.length("_text")), stretches)))
     cut = r.withColumn("_text", text).join(F.broadcast(sizes)).select(*what, "_nr", F.explode(keys).alias("_key"))
     off = F.abs(F.col("record_length") - F.col("length"))
-    near = lambda d: F.when(d == 0, 80).when(d <= F.col("length") * 0.001, 30).otherwise(0)
+    near = lambda d: F.when(d == 0, 80).when((F.col("length") > 0) & (d / F.nullif(F.col("length").cast("double"), F.lit(0.0)) < 0.001), 30).otherwise(0)
     hits = named.join(cut, "_key").groupBy(*who, "_na", *what, "_nr").agg(F.sum("_points").alias("_points"))
     by_text = hits.select("alias", "record_id", (F.col("_points") + near(off)).alias("score"), off.alias("off"), (F.col("_na") * F.col("_nr")).alias("_n"))
 
@@ -158,6 +161,8 @@ def alias_matches(aliases: DataFrame, records: DataFrame) -> DataFrame:
     nearest = a.withColumn("_v", v).join(sides, "_v")
     by_length = nearest.select("alias", F.col("_hit").alias("record_id"), near(F.col("_off")).cast("long").alias("score"), F.col("_off").cast(dict(by_text.dtypes)["off"]).alias("off"), (F.col("_na") * F.col("_n")).alias("_n")).where("score > 0")
 
-    scored = by_text.unionByName(by_length).groupBy("alias", "score", "off").agg(F.min("record_id").alias("record_id"), F.sum("_n").alias("_n"))
+    scored = by_text.unionByName(by_length).where("score >= 50").groupBy("alias", "score", "off").agg(F.min("record_id").alias("record_id"), F.sum("_n").alias("_n"))
     best = scored.groupBy("alias").agg(F.min(F.struct((-F.col("score")).alias("score"), "off", "record_id", "_n")).alias("_b"))
-    return best.select("alias", "_b.record_id", (-F.col("_b.score")).alias("score"), F.col("_b.off").alias("length_difference"), (F.col("_b._n") == 1).alias("unique"))
+    out = aliases.select("alias").distinct().join(best, "alias", "left")
+    how = F.when(F.col("_b").isNull(), "unmapped").when(F.col("_b.score") <= -100, "alias_and_length").when(F.col("_b.off") == 0, "exact_length").otherwise("best_available")
+    return out.select("alias", "_b.record_id", (-F.col("_b.score")).alias("score"), F.col("_b.off").alias("length_difference"), (F.col("_b._n") == 1).alias("unique"), how.alias("method"))

@@ -51,13 +51,15 @@ def only_in_one(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def panel_overview(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Counts overall and by each of the columns, as grouping sets: scope, value, n."""
-    view = "_overview"
-    df.createOrReplaceTempView(view)
-    sets = ", ".join(["()"] + [f"({c})" for c in columns])
-    listed = ", ".join(columns)
-    scope = " ".join(f"WHEN grouping({c}) = 0 THEN '{c}'" for c in columns)
-    value = ", ".join(f"CASE WHEN grouping({c}) = 0 THEN cast({c} AS string) END" for c in columns)
-    return df.sparkSession.sql(f"SELECT CASE {scope} ELSE 'overall' END AS scope, coalesce({value}) AS value, count(*) AS n FROM {view} GROUP BY GROUPING SETS ({sets})" if listed else f"SELECT 'overall' AS scope, cast(NULL AS string) AS value, count(*) AS n FROM {view}")
+    if not columns:
+        return df.agg(F.count("*").alias("n")).select(F.lit("overall").alias("scope"), F.lit(None).cast("string").alias("value"), "n")
+    names = {f"_g{k}": c for k, c in enumerate(columns)}
+    renamed = df.select(*[F.col(f"`{c}`").alias(g) for g, c in names.items()])
+    sets = renamed.groupingSets([[], *[[F.col(g)] for g in names]], *[F.col(g) for g in names])
+    here = {g: F.grouping(g) == 0 for g in names}
+    scope = F.coalesce(*[F.when(test, names[g]) for g, test in here.items()], F.lit("overall"))
+    value = F.coalesce(*[F.when(test, F.col(g).cast("string")) for g, test in here.items()])
+    return sets.agg(F.count("*").alias("n"), scope.alias("scope"), value.alias("value")).select("scope", "value", "n")
 
 
 def wide_metrics(df: DataFrame, key: str, by: str, values: Sequence[str], metrics: Sequence[str]) -> DataFrame:

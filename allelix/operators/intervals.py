@@ -32,26 +32,30 @@ def merged_binned(df: DataFrame, by: Sequence[str], width: int, start: str = "st
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     islands = first.withColumn("_reach", reach).withColumn("_new", F.when(F.col("start") <= F.col("_reach") + max_gap + 1, 0).otherwise(1))
     islands = islands.withColumn("_island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return islands.groupBy(*by, "_island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("_n").alias("n")).drop("_island")
+    return islands.groupBy(*by, "_island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("_n").cast("long").alias("n")).drop("_island")
 
 
-def union_length(df: DataFrame, by: Sequence[str], start: str = "start", end: str = "end") -> DataFrame:
-    """Positions covered at least once, by key."""
-    return merged(df, by, start, end).groupBy(*by).agg(F.sum(F.col("end") - F.col("start") + 1).alias("covered"))
+def _islands(df: DataFrame, by: Sequence[str], start: str, end: str, max_gap: int, width: int | None) -> DataFrame:
+    return merged_binned(df, by, width, start, end, max_gap) if width else merged(df, by, start, end, max_gap)
 
 
-def blocks(df: DataFrame, by: Sequence[str], max_gap: int, start: str = "start", end: str = "end") -> DataFrame:
+def union_length(df: DataFrame, by: Sequence[str], start: str = "start", end: str = "end", width: int | None = None) -> DataFrame:
+    """Positions covered at least once, by key. width: of bins, where keys have very many intervals."""
+    return _islands(df, by, start, end, 0, width).groupBy(*by).agg(F.sum(F.col("end") - F.col("start") + 1).alias("covered"))
+
+
+def blocks(df: DataFrame, by: Sequence[str], max_gap: int, start: str = "start", end: str = "end", width: int | None = None) -> DataFrame:
     """Merged blocks with a 1-based index in each key and their span."""
     index = F.row_number().over(Window.partitionBy(*by).orderBy("start"))
-    return merged(df, by, start, end, max_gap).select(*by, index.alias("block_index"), "start", "end", (F.col("end") - F.col("start") + 1).alias("span"))
+    return _islands(df, by, start, end, max_gap, width).select(*by, index.alias("block_index"), "start", "end", (F.col("end") - F.col("start") + 1).alias("span"))
 
 
-def gaps(df: DataFrame, by: Sequence[str], first: int | str, last: int | str, start: str = "start", end: str = "end") -> DataFrame:
+def gaps(df: DataFrame, by: Sequence[str], first: int | str, last: int | str, start: str = "start", end: str = "end", width: int | None = None) -> DataFrame:
     """What [first, last] has uncovered, by key; first and last: numbers, or columns that are constant in a key."""
     lo = F.lit(first) if isinstance(first, int) else F.min(first)
     hi = F.lit(last) if isinstance(last, int) else F.max(last)
     bounds = df.groupBy(*by).agg(lo.cast("long").alias("_lo"), hi.cast("long").alias("_hi"))
-    rows = merged(df, by, start, end).join(bounds, list(by)).where("end >= _lo and start <= _hi")
+    rows = _islands(df, by, start, end, 0, width).join(bounds, list(by)).where("end >= _lo and start <= _hi")
     before = F.lag("end").over(Window.partitionBy(*by).orderBy("start"))
     inner = rows.select(*by, F.greatest(F.coalesce(before + 1, F.col("_lo")), F.col("_lo")).alias("start"), (F.col("start") - 1).alias("end"))
     tail = rows.groupBy(*by).agg(F.max("end").alias("_last"), F.max("_hi").alias("_hi")).select(*by, (F.col("_last") + 1).alias("start"), F.col("_hi").alias("end"))

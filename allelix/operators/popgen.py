@@ -3,11 +3,14 @@ call is NULL. Everything is aggregates, so sites and samples scale with the clus
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from allelix.functions.ranking import medians
 from allelix.functions.scalars import window_start
 
 SITE = ("site_id", "contig", "pos")
@@ -80,8 +83,9 @@ def filter_audit(records: DataFrame, **tests: Column) -> DataFrame:
     return records.agg(F.count("*").alias("n_records"), *[F.count_if(F.coalesce(t, F.lit(False))).alias(k) for k, t in tests.items()])
 
 
-def group_contrasts(cells: DataFrame, pairs: Sequence[tuple[str, str]], top: int, least: int = 1) -> DataFrame:
-    """For each pair of groups the ``top`` sites of largest frequency difference, with groups of ``least`` members."""
+def group_contrasts(cells: DataFrame, pairs: Sequence[tuple[str, str]], top: int, least: int = 1, decimals: int | None = None) -> DataFrame:
+    """For each pair of groups the ``top`` sites of largest frequency difference (rounded first, where decimals are
+    given), with groups of ``least`` members. Tasks keep their own ``top`` of each pair before these meet."""
     af = cells.where("dosage is not null").groupBy("site_id", "contig", "pos", "grp").agg(F.avg(F.col("dosage") / F.lit(2.0)).alias("af"))
     size = cells.groupBy("grp").agg(F.count_distinct("sample_id").alias("members")).where(F.col("members") >= least)
     af = af.join(size, "grp").select("site_id", "contig", "pos", "grp", "af")
@@ -89,6 +93,8 @@ def group_contrasts(cells: DataFrame, pairs: Sequence[tuple[str, str]], top: int
     wide = af.groupBy("site_id", "contig", "pos").agg(named.alias("af"))
     each = F.explode(F.array(*[F.struct(F.lit(f"{a}__vs__{b}").alias("contrast"), F.abs(F.try_element_at("af", F.lit(a)) - F.try_element_at("af", F.lit(b))).alias("abs_delta_af")) for a, b in pairs]))
     long = wide.select("site_id", "contig", "pos", each.alias("c")).select("c.*", "site_id", "contig", "pos").where("abs_delta_af is not null")
+    if decimals is not None:
+        long = long.withColumn("abs_delta_af", F.round("abs_delta_af", decimals))
     place = F.row_number().over(Window.partitionBy("contrast").orderBy(F.desc("abs_delta_af"), F.asc("site_id")))
     return long.withColumn("place", place).where(F.col("place") <= top)
 
@@ -96,11 +102,41 @@ def group_contrasts(cells: DataFrame, pairs: Sequence[tuple[str, str]], top: int
 def ibs_pairs(cells: DataFrame) -> DataFrame:
     """Identity by state of samples a < b (as strings): mean of 1 - |difference| / 2 over sites called in both.
 
-    A self-join on the site: its rows grow with samples squared per site, which the panel bounds, not the sites."""
-    c = cells.where("dosage is not null").select("site_id", F.col("sample_id").cast("string").alias("s"), "dosage")
-    a, b = c.withColumnsRenamed({"s": "sample_a", "dosage": "da"}), c.withColumnsRenamed({"s": "sample_b", "dosage": "db"})
-    pairs = a.join(b, "site_id").where("sample_a < sample_b")
-    return pairs.groupBy("sample_a", "sample_b").agg(F.avg(1 - F.abs(F.col("da") - F.col("db")) / F.lit(2.0)).alias("ibs"), F.count("*").alias("n_sites"))
+    Sites come as arrays, and a task adds up its own samples x samples sums, which meet by pair: what is shuffled grows
+    with the panel, not with pairs of cells. A sample with several calls at a site has the least of them."""
+    named = cells.select(F.col("sample_id").cast("string").alias("s")).distinct().orderBy("s").collect()  # the panel
+    names = [r["s"] for r in named if r["s"] is not None]
+    spark = cells.sparkSession
+    if not names:
+        return spark.createDataFrame([], "sample_a string, sample_b string, ibs double, n_sites long")
+    places = spark.createDataFrame(list(enumerate(names)), "place int, s string")
+    called = cells.where("dosage is not null").select("site_id", F.col("sample_id").cast("string").alias("s"), F.col("dosage").cast("int").alias("dosage"))
+    sites = called.join(F.broadcast(places), "s").groupBy("site_id").agg(F.collect_list("place").alias("places"), F.collect_list("dosage").alias("dosages")).select("places", "dosages")
+    n = len(names)
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        away, met = np.zeros((n, n), np.int64), np.zeros((n, n), np.int64)
+        for batch in batches:
+            lists = batch.column(0)
+            row = np.repeat(np.arange(len(lists)), np.diff(np.asarray(lists.offsets)))
+            x = np.full((len(lists), n), np.iinfo(np.int32).max)
+            np.minimum.at(x, (row, np.asarray(lists.flatten())), np.asarray(batch.column(1).flatten()))
+            known = x < np.iinfo(np.int32).max
+            k = known.astype(np.int64)
+            met += k.T @ k
+            # |a - b| is the number of thresholds that only one of both reaches.
+            for t in range(1, int(x[known].max(initial=0)) + 1):
+                over = ((x >= t) & known).astype(np.int64)
+                both = over.T @ over
+                reached = over.T @ k
+                away += reached + reached.T - 2 * both
+        i, j = np.nonzero(np.triu(met, 1))
+        yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(away[i, j]), pa.array(met[i, j])], names=["i", "j", "away", "met"])
+
+    sums = sites.mapInArrow(partial, "i int, j int, away long, met long").groupBy("i", "j").agg(F.sum("away").alias("away"), F.sum("met").alias("n_sites"))
+    left, right = (places.select(F.col("place").alias(c), F.col("s").alias(name)) for c, name in (("i", "sample_a"), ("j", "sample_b")))
+    named = sums.join(F.broadcast(left), "i").join(F.broadcast(right), "j")
+    return named.select("sample_a", "sample_b", (1 - F.col("away") / (2.0 * F.col("n_sites"))).alias("ibs"), "n_sites")
 
 
 def both_ways(pairs: DataFrame) -> DataFrame:
@@ -123,9 +159,22 @@ def group_affinity(pairs: DataFrame, groups: DataFrame, names: Sequence[str]) ->
 
 
 def hotspots(markers: DataFrame) -> DataFrame:
-    """By (contrast, contig): number, span, mean, median and largest difference, and how many reach 0.75 and 0.90."""
-    d = F.col("abs_delta_af")
-    return markers.groupBy("contrast", "contig").agg(
+    """By (contrast, contig): number, span, mean, median and largest difference, and how many reach 0.75 and 0.90. The
+    median is taken from counts by value, so a contig's values are never gathered in one task."""
+    d, by = F.col("abs_delta_af"), ["contrast", "contig"]
+    out = markers.groupBy(*by).agg(
         F.count("*").alias("n_markers"), F.min("pos").alias("min_pos"), F.max("pos").alias("max_pos"), (F.max("pos") - F.min("pos")).alias("span_bp"),
-        F.avg(d).alias("mean_abs_delta_af"), F.median(d).alias("median_abs_delta_af"), F.max(d).alias("max_abs_delta_af"), F.sum((d >= 0.75).cast("long")).alias("n_ge_0_75"), F.sum((d >= 0.9).cast("long")).alias("n_ge_0_90"),
+        F.avg(d).alias("mean_abs_delta_af"), F.max(d).alias("max_abs_delta_af"), F.sum((d >= 0.75).cast("long")).alias("n_ge_0_75"), F.sum((d >= 0.9).cast("long")).alias("n_ge_0_90"),
     )
+    return out.join(medians(markers, "abs_delta_af", by, "median_abs_delta_af"), by, "left")
+
+
+def contrast_overview(markers: DataFrame) -> DataFrame:
+    """By contrast: markers, contigs that hold them, mean and largest difference, and how many reach 0.75 and 0.90."""
+    d = F.col("abs_delta_af")
+    return markers.groupBy("contrast").agg(F.count("*").alias("n_markers"), F.count_distinct("contig").alias("n_contigs"), F.avg(d).alias("mean_abs_delta_af"), F.max(d).alias("max_abs_delta_af"), F.sum((d >= 0.75).cast("long")).alias("n_ge_0_75"), F.sum((d >= 0.9).cast("long")).alias("n_ge_0_90"))
+
+
+def filter_counts(records: DataFrame, key: str) -> DataFrame:
+    """Records by contig or FILTER value, most frequent first (ties by name; NULL is a value)."""
+    return records.groupBy(key).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.asc_nulls_last(key))

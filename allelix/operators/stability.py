@@ -42,8 +42,7 @@ def component_stability(scores: DataFrame, baseline: str) -> DataFrame:
         i, j = np.triu_indices(len(both), 1)
         dx, dy = (np.linalg.norm(m[i] - m[j], axis=1) for m in (x, y))
         fits = len(dx) >= 3 and dx.std() > 0 and dy.std() > 0
-        width = max(x.shape[1], y.shape[1])
-        similarity, rmse = procrustes(*(np.pad(m, ((0, 0), (0, width - m.shape[1]))) for m in (x, y)))
+        similarity, rmse = procrustes(x, y)
         return pd.DataFrame({"condition": [part["condition"].iloc[0]], "distance_correlation": [float(np.corrcoef(dx, dy)[0, 1]) if fits else None], "similarity": [similarity], "rmse": [rmse]})
 
     return scores.groupBy("condition").applyInPandas(run, "condition string, distance_correlation double, similarity double, rmse double")

@@ -8,20 +8,22 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from allelix.sources.streams import digests
 
-def write_tables(tables: Mapping[str, DataFrame], path: str, kind: str = "parquet") -> DataFrame:
-    """Each table as a folder under path; returns the manifest (table, columns, rows, bytes, sha256 of its files'
-    digests), computed by Spark from what was written."""
+
+def write_tables(tables: Mapping[str, DataFrame], path: str, kind: str = "parquet", descriptions: Mapping[str, str] | None = None) -> DataFrame:
+    """Each table as a folder under path; returns the manifest (table, description, columns, rows, bytes, sha256 of its
+    files' digests), computed by Spark from what was written; files are hashed as streams."""
     spark = next(iter(tables.values())).sparkSession
     for name, df in tables.items():
         writer = df.write.mode("overwrite")
         writer.option("header", True).csv(f"{path}/{name}") if kind == "csv" else writer.parquet(f"{path}/{name}")
     parts = []
     for name, df in tables.items():
-        files = spark.read.format("binaryFile").load(f"{path}/{name}").where(F.col("length") > 0).select(F.sha2("content", 256).alias("digest"), "length")
-        digest = files.agg(F.sha2(F.array_join(F.array_sort(F.collect_list("digest")), ""), 256).alias("sha256"), F.sum("length").alias("bytes"))
+        files = digests(spark.read.format("binaryFile").load(f"{path}/{name}").where(F.col("length") > 0))
+        digest = files.agg(F.sha2(F.array_join(F.array_sort(F.collect_list("sha256")), ""), 256).alias("sha256"), F.sum("length").alias("bytes"))
         n = (spark.read.option("header", True).csv(f"{path}/{name}") if kind == "csv" else spark.read.parquet(f"{path}/{name}")).agg(F.count("*").alias("rows"))
-        parts.append(digest.crossJoin(n).select(F.lit(name).alias("table"), F.lit(len(df.columns)).alias("columns"), "rows", "bytes", "sha256"))
+        parts.append(digest.crossJoin(n).select(F.lit(name).alias("table"), F.lit((descriptions or {}).get(name, "")).alias("description"), F.lit(len(df.columns)).alias("columns"), "rows", "bytes", "sha256"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

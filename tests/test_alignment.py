@@ -1,18 +1,24 @@
 """Alignment summaries against pandas, evidence marts on small cases, and input discovery."""
 
+import gzip
+import hashlib
 import io
+import re
 import tarfile
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from allelix.functions import ranking
 from allelix.operators import alignment as A
 from allelix.operators import evidence as E
+from allelix.operators import linalg
 from allelix.operators import reports as T
 from allelix.plans import registry
-from allelix.sources import discovery
+from allelix.sources import discovery, sinks, streams
 
 
 def covered(rows):
@@ -50,24 +56,24 @@ def test_mapping_without_hits(spark, small):
 def test_length_match_gaps(spark):
     s = spark.createDataFrame([("a", 1000), ("b", 5), ("c", 0)], "contig string, length long")
     one = A.length_matches(s, spark.createDataFrame([("t", 1010)], "seqid string, target_length long")).collect()
-    assert {r["contig"]: (r["seqid"], r["confidence"]) for r in one} == {"a": ("t", "medium"), "b": (None, "unresolved"), "c": (None, "unresolved")}
+    assert {r["contig"]: (r["seqid"], r["confidence"]) for r in one} == {"a": ("t", "medium"), "b": ("t", "unresolved"), "c": (None, "unresolved")}
     two = A.length_matches(s, spark.createDataFrame([("t", 1010), ("u", 90_000)], "seqid string, target_length long")).where("contig = 'a'").first()
-    assert (two["gap"], two["confidence"]) == (None, "high")
+    assert (two["gap"], two["confidence"]) == (pytest.approx(89_000 / 90_000 - 10 / 1010), "high")
 
 
 def nearest_lengths(sources, targets):
     """Brute force: contig -> (seqid, target_length, rel_diff, gap, confidence)."""
     out = {}
     for contig, n in sources:
-        order = sorted((abs(t - n) / n, t, k) for k, t in targets if t > 0) if n > 0 else []
-        if not order or order[0][0] > 0.2:
+        order = sorted((abs(t - n) / max(t, 1), t, k) for k, t in targets) if n > 0 else []
+        if not order:
             out[contig] = (None, None, None, None, "unresolved")
             continue
         (rel, t, k), rest = order[0], order[1:]
         gap = rest[0][0] - rel if rest else None
         clear = gap is not None and gap >= 0.01
         grade = "exact" if rel == 0 else "unresolved" if rel > 0.08 else ("high" if clear else "medium") if rel <= 0.03 else "medium" if clear else "low"
-        out[contig] = (k, t, round(rel, 9), round(gap, 9) if rest and rest[0][0] <= 0.2 else None, grade)
+        out[contig] = (k, t, round(rel, 9), round(gap, 9) if rest else None, grade)
     return out
 
 
@@ -99,7 +105,7 @@ def test_length_matches_around_ranges(spark):
 def test_whole_hotspot_tables(spark, small):
     """All qualifying sites stand on one of the two sides, and every part is a hotspot."""
     n = registry.good_sites(spark, small).where("abs_delta_af >= 0.3").count()
-    a, b = registry.two_sides(spark, small, 2)
+    a, b = registry.two_sides(spark, small)
     assert sum(r["n_markers"] for side in (a, b) for r in side.collect()) == n
     got = entry.queries()["gene_support_all"](spark, small).collect()
     parts = [(r["p_partkey"], r["p_brand"], r["p_partkey"] * 10, r["p_size"]) for r in spark.read.parquet(f"{small}/part.parquet").collect()]
@@ -107,19 +113,23 @@ def test_whole_hotspot_tables(spark, small):
     assert {r["hotspot"]: r["n_genes"] for r in got} == {h[0]: len(near(h)) for h in parts} and len(got) == len(parts)
 
 
+def plain(text):
+    return re.sub("[^a-z0-9]+", "", text.lower())
+
+
 def best_records(aliases, records):
-    """Brute force: alias -> (record_id, score, length difference, unique)."""
+    """Brute force: alias -> (record_id, score, length difference, unique, method)."""
     out = {}
     for alias, n, tokens in aliases:
         rows = []
         for record, text, m in records:
-            whole, off = f"{record} {text}".lower(), abs(m - n)
-            score = 100 * (alias.lower() in whole) + 20 * sum(t.lower() in whole for t in tokens) + (80 if off == 0 else 30 if off <= n * 0.001 else 0)
-            if score:
+            whole, off = plain(f"{record} {text}"), abs(m - n)
+            score = 100 * bool(plain(alias) and plain(alias) in whole) + 20 * sum(plain(t) != "" and plain(t) in whole for t in tokens) + (80 if off == 0 else 30 if n and off / n < 0.001 else 0)
+            if score >= 50:
                 rows.append((-score, off, record))
-        if rows:
-            top = min(rows)
-            out[alias] = (top[2], -top[0], top[1], sum(r[:2] == top[:2] for r in rows) == 1)
+        top = min(rows, default=None)
+        how = "unmapped" if top is None else "alias_and_length" if top[0] <= -100 else "exact_length" if top[1] == 0 else "best_available"
+        out[alias] = (top[2], -top[0], top[1], sum(r[:2] == top[:2] for r in rows) == 1, how) if top else (None, None, None, None, how)
     return out
 
 
@@ -129,8 +139,8 @@ def test_alias_matches_of_whole_tables(spark, small):
     want = best_records([(x["alias"], x["length"], x["tokens"]) for x in a.collect()], [tuple(x) for x in r.collect()])
     got = entry.queries()["alias_matches_all"](spark, small)
     assert {x["alias"]: tuple(x)[1:] for x in got.collect()} == want and len(want) == a.count()
-    aliases = [("Al", 1000, ["x1", "X1", "zz"]), ("b", 5000, []), ("cc", 5001, ["q"]), ("none", 7, ["-"]), ("two", 40_000, ["r"])]
-    records = [("r1", "al x1", 70), ("r2", "AL", 1000), ("r3", "", 4999), ("r4", "", 5003), ("r5", "", 5003), ("r6", "", 40_000), ("r7", "", 40_000)]
+    aliases = [("A-l", 1000, ["x1", "X_1", "zz"]), ("b", 5000, []), ("cc", 5001, ["q"]), ("none", 7, ["-"]), ("two", 40_000, ["r"]), ("three", 2000, ["r", "x", "7"]), ("near", 100_000, [])]
+    records = [("r1", "a. l x1", 70), ("r2", "AL", 1000), ("r3", "", 4999), ("r4", "", 5003), ("r5", "", 5003), ("r6", "", 40_000), ("r7", "", 40_000), ("rx7", "", 2002), ("r8", "", 100_100)]
     found = A.alias_matches(spark.createDataFrame(aliases, "alias string, length long, tokens array<string>"), spark.createDataFrame(records, "record_id string, description string, record_length long"))
     assert {x["alias"]: tuple(x)[1:] for x in found.collect()} == best_records(aliases, records)
 
@@ -160,11 +170,74 @@ def test_discovery(spark, tmp_path):
     root = str(tmp_path)
     assert discovery.find(spark, root, ["DATA.csv"]).endswith("deep/data.csv")
     assert discovery.find(spark, root, ["nothing"]) is None
-    assert discovery.newest(spark, root, "*.txt").endswith("other.txt")
+    # Names are a list of preference, and a file directly under the root wins; elsewhere depth comes first, then the
+    # path in any case.
+    (tmp_path / "b.txt").write_text("x")
+    assert discovery.find(spark, root, ["b.txt", "other.txt"]).endswith("/b.txt") and discovery.find(spark, root, ["other.txt", "b.txt"]).endswith("/other.txt")
+    assert discovery.find(spark, root, ["B.TXT", "data.csv", "other.txt"]).endswith("/other.txt")
+    assert discovery.find(spark, root, ["B.TXT", "data.csv"]).endswith("/b.txt")
+    (tmp_path / "Z").mkdir()
+    (tmp_path / "Z" / "same.x").write_text("x")
+    (tmp_path / "deep" / "SAME.x").write_text("x")
+    assert discovery.find(spark, root, ["Same.x"]).endswith("deep/SAME.x")
+    assert [r["name"] for r in discovery.with_suffix(spark, root, [".X"]).collect()] == ["SAME.x", "same.x"]
+    assert discovery.newest(spark, root, "*.txt").endswith(".txt")
     with tarfile.open(tmp_path / "s.tar.gz", "w:gz") as tar:
-        for name in ("1_2/x.txt", "1_2/._x.txt", "tandem.csv"):
+        for name in ("a/1_2.tandems.txt", "a/._1_2.aligncoords.gz", "1_2/tandem.csv", "3_4"):
             info = tarfile.TarInfo(name)
             info.size = 3
             tar.addfile(info, io.BytesIO(b"abc"))
-    rows = {r["member"]: (r["sidecar"], r["genome_a"], r["category"]) for r in discovery.archive_members(spark, str(tmp_path / "s.tar.gz")).collect()}
-    assert rows == {"1_2/x.txt": (False, "1", "alignment"), "1_2/._x.txt": (True, "1", "alignment"), "tandem.csv": (False, None, "tandem")}
+    rows = {r["member"]: (r["sidecar"], r["clean_name"], r["genome_a"], r["genome_b"], r["category"]) for r in discovery.archive_members(spark, str(tmp_path / "s.tar.gz")).collect()}
+    assert rows == {
+        "1_2.tandems.txt": (False, "1_2.tandems.txt", "1", "2", "tandem_duplicates"),
+        "._1_2.aligncoords.gz": (True, "1_2.aligncoords.gz", "1", "2", "syntenic_alignment"),
+        "tandem.csv": (False, "tandem.csv", "", "", "other"),
+        "3_4": (False, "3_4", "3", "4", "other"),
+    }
+
+
+def test_digest_of_files(spark, tmp_path):
+    """Files are hashed as they are, compressed ones too, and a manifest names what it was told."""
+    data = bytes(range(256)) * 9000
+    (tmp_path / "x.gz").write_bytes(gzip.compress(data))
+    (tmp_path / "y").write_bytes(data)
+    paths = spark.createDataFrame([(f"file:{tmp_path}/{n}",) for n in ("x.gz", "y")], "path string")
+    got = {r["path"].rpartition("/")[2]: (r["sha256"], r["length"]) for r in streams.digests(paths).collect()}
+    assert got == {n: (hashlib.sha256((tmp_path / n).read_bytes()).hexdigest(), (tmp_path / n).stat().st_size) for n in ("x.gz", "y")}
+    row = sinks.write_tables({"t": paths}, str(tmp_path / "out"), "csv", {"t": "two paths"}).first()
+    assert (row["description"], row["rows"]) == ("two paths", 2)
+
+
+def test_procrustes_over_shared_components():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(12, 3))
+    turn = np.linalg.qr(rng.normal(size=(3, 3)))[0]
+    same = linalg.procrustes(x, x @ turn * 5 + 2)
+    assert same == (pytest.approx(1, abs=1e-6), pytest.approx(0, abs=1e-6))
+    # The wider one is cut to the components that both have; checked by turning, over a grid in two dimensions.
+    y = rng.normal(size=(12, 4))
+    similarity, rmse = linalg.procrustes(x[:, :2], y)
+    a, b = (m - m.mean(0) for m in (x[:, :2], y[:, :2]))
+    a, b = a / np.linalg.norm(a), b / np.linalg.norm(b)
+    turns = [np.array([[np.cos(t), -s * np.sin(t)], [np.sin(t), s * np.cos(t)]]) for t in np.linspace(0, 2 * np.pi, 4001) for s in (1, -1)]
+    least = min(np.linalg.norm(a - b @ r) for r in turns)
+    assert similarity == pytest.approx(1 - least / 2**0.5, abs=1e-4) and rmse == pytest.approx(least / 24**0.5, abs=1e-4)
+    assert all(np.isnan(linalg.procrustes(np.ones((3, 2)), x[:3])))
+
+
+def test_ranks_of_any_size(spark):
+    """Ranks over ranges against windows and pandas, with ties, NULLs and groups."""
+    rng = np.random.default_rng(7)
+    rows = [(i, None if rng.random() < 0.1 else int(rng.integers(0, 25)), None if rng.random() < 0.1 else "abc"[rng.integers(3)]) for i in range(400)]
+    df = spark.createDataFrame(rows, "i int, x long, g string")
+    for by in ([], ["g"]):
+        for down in (False, True):
+            want = df.select("i", ranking.average_rank("x", by, down).alias("a"), ranking.average_rank("x", by, down, "bottom").alias("b"), ranking.min_rank("x", by, down).cast("long").alias("m"), ranking.percentile_rank("x", by, not down).alias("p"))
+            got = ranking.with_average_rank(df, "x", "a", by, down)
+            got = ranking.with_average_rank(got, "x", "b", by, down, "bottom")
+            got = ranking.with_min_rank(got, "x", "m", by, down)
+            got = ranking.with_percentile_rank(got, "x", "p", by, not down).select("i", "a", "b", "m", "p")
+            assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    want = pd.DataFrame(rows, columns=["i", "x", "g"]).groupby("g", dropna=False)["x"].median()
+    got = {r["g"]: r["m"] for r in ranking.medians(df, "x", ["g"], "m").collect()}
+    assert {k or None: v for k, v in got.items()} == {None if pd.isna(k) else k: v for k, v in want.items()}
