@@ -6,8 +6,9 @@ import uuid
 from collections.abc import Callable, Iterator
 from weakref import WeakKeyDictionary
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -70,42 +71,108 @@ def with_columns(docs: DataFrame, measure: Callable[[pa.Array], object], name: s
     return docs.mapInArrow(run, schema)
 
 
-#: Edges of a node from which it may count as heavy.
+#: Rows of a key from which it may count as heavy.
 HEAVY = 1_000
 
 
+def met(rows: DataFrame, facts: DataFrame, keys: list[str], n: str, total: int) -> DataFrame:
+    """rows joined with facts (keys…, n: the rows of a key, and more; one row a key), without n. Keys that hold more
+    than a share of all ``total`` rows, of which there are no more than four for each shuffle partition, are broadcast,
+    so that a hot key's rows aren't gathered in a task."""
+    share = max(HEAVY, total // (4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    if total <= share:
+        return rows.join(facts.drop(n), keys)
+    more = [c for c in facts.columns if c not in (*keys, n)]
+    heavy = facts.where(F.col(n) > share).select(*keys, F.struct(*more).alias("_facts"))
+    tagged = rows.join(F.broadcast(heavy), keys, "left")
+    light = tagged.where("_facts is null").drop("_facts").join(facts.where(F.col(n) <= share).drop(n), keys)
+    return tagged.where("_facts is not null").select(*rows.columns, "_facts.*").unionByName(light.select(*rows.columns, *more))
+
+
 def _with_least(edges: DataFrame, at: list[str], total: int) -> DataFrame:
-    """edges (at…, v) with m, the least v of their node. Nodes that hold more than a share of all edges, of which there
-    are no more than four for each shuffle partition, are broadcast, so that a hub's edges aren't gathered in a task."""
-    least = edges.groupBy(*at).agg(F.min("v").alias("m"), F.count("*").alias("_n"))
-    share = max(HEAVY, total // (4 * int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    heavy = least.where(F.col("_n") > share).select(*at, F.col("m").alias("_m"))
-    tagged = edges.join(F.broadcast(heavy), at, "left")
-    light = tagged.where("_m is null").drop("_m").join(least.where(F.col("_n") <= share).drop("_n"), at)
-    return tagged.where("_m is not null").withColumnRenamed("_m", "m").unionByName(light)
+    """edges (at…, v) with m, the least v of their node."""
+    return met(edges, edges.groupBy(*at).agg(F.min("v").alias("m"), F.count("*").alias("_n")), at, "_n", total)
+
+
+def _stars(key: np.ndarray, u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Edges of graphs, one for each key, as stars: (key, node, the least node that these edges join it to)."""
+    keys, of = np.unique(key, return_inverse=True)
+    nodes, ends = np.unique(np.concatenate([u, v]), return_inverse=True)
+    both, at = np.unique(np.concatenate([of, of]) * len(nodes) + ends, return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    root = np.arange(len(both))
+    while True:
+        low = np.minimum(root[a], root[b])
+        after = root.copy()
+        for x in (a, b):
+            np.minimum.at(after, x, low)
+            np.minimum.at(after, root[x], low)
+        while (after[after] != after).any():
+            after = after[after]
+        if (after == root).all():
+            break
+        root = after
+    far = np.flatnonzero(root != np.arange(len(both)))
+    return keys[both[far] // len(nodes)], nodes[both[far] % len(nodes)], nodes[both[root[far]] % len(nodes)]
+
+
+#: Edges that a task holds at a time when it turns its own into stars.
+CHUNK = 1 << 20
+
+
+def _contracted(edges: DataFrame, key: list[str]) -> DataFrame:
+    """edges (key, u, v) as stars of each task's edges: what a task joins by itself needs no rounds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            found = _stars(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["_key", "u", "v"])
+
+        for batch in batches:
+            if len(batch):
+                held.append([np.asarray(c, np.int64) for c in batch.columns])
+                size += len(batch)
+            if size >= CHUNK:
+                yield flush()
+                size = 0
+        if held:
+            yield flush()
+
+    found = edges.select(F.col(key[0]).cast("long") if key else F.lit(0).cast("long"), "u", "v").mapInArrow(run, "_key long, u long, v long")
+    return found.select(*[F.col("_key").alias(k) for k in key], "u", "v")
 
 
 def connected_components(edges: DataFrame, within: str | None = None) -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b); component is the smallest node reachable. within: a
-    column whose values are graphs of their own; it is returned too.
+    column of whole numbers whose values are graphs of their own; it is returned too.
 
-    Alternating large and small stars: each round moves every edge towards its neighbourhood's minimum, and the
-    number of rounds grows with the logarithm of the longest chain. Neighbourhoods meet as aggregates (combined
-    before the shuffle) and joins that hubs take no part in, so a hub is never gathered in one task.
+    Each task turns its own edges into stars first. Then large and small stars alternate: each round moves every edge
+    towards its neighbourhood's minimum, and the number of rounds grows with the logarithm of the longest chain.
+    Neighbourhoods meet as aggregates (combined
+    before the shuffle) and joins that hubs take no part in, so a hub is never gathered in one task. A round's edges
+    are counted and summed up while they are written.
     """
     key = [within] if within else []
     at = [*key, "u"]
-    e = edges.select(*key, F.greatest("a", "b").cast("long").alias("u"), F.least("a", "b").cast("long").alias("v")).where("u > v").distinct()
-    e = written(e, "cc")
-    state = (e.count(), None)
+
+    def counted(e: DataFrame, before: DataFrame | None) -> tuple[DataFrame, tuple]:
+        seen = Observation()
+        e = written(e.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(*at, "v").cast("decimal(38,0)")).alias("h")), "cc", instead_of=before)
+        return e, (seen.get["n"], seen.get["h"])
+
+    first = edges.select(*key, F.greatest("a", "b").cast("long").alias("u"), F.least("a", "b").cast("long").alias("v")).where("u > v").distinct()
+    e, state = counted(_contracted(first, key), None)
     while state[0]:
         both = e.unionByName(e.select(*key, F.col("v").alias("u"), F.col("u").alias("v")))
         large = _with_least(both, at, 2 * state[0]).withColumn("m", F.least("u", "m"))
         large = large.where("v > u").select(*key, F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
         least = _with_least(large, at, state[0])
         small = least.select(*key, F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").unionByName(least.select(*at, F.col("m").alias("v")))
-        e = written(small.distinct(), "cc", instead_of=e)
-        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64(*at, "v").cast("decimal(38,0)"))).first())
+        e, now = counted(small.distinct(), e)
         if now == state:
             break
         state = now

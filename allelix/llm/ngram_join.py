@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from allelix.llm.common import connected_components, require, written
+from allelix.llm.common import connected_components, met, require, written
 
 U = np.uint64
 SEGMENT = 1 << 20
@@ -407,8 +407,8 @@ def jaccard_components(docs: DataFrame, width: int = 5, threshold: str = "0.8",
 
 def _sized(rows: DataFrame) -> DataFrame:
     """rows (comp, rep, …) of groups of two or more, with the group's size m and its least rep as hub."""
-    sizes = rows.groupBy("comp").agg(F.count("*").alias("m"), F.min("rep").alias("hub")).where("m > 1")
-    return rows.join(sizes, "comp")
+    sizes = rows.groupBy("comp").agg(F.count("*").alias("_n"), F.count("*").alias("m"), F.min("rep").alias("hub")).where("m > 1")
+    return met(rows, sizes, ["comp"], "_n", rows.count())
 
 
 def _labels(texts: DataFrame, n: int, width: int, t: Fraction, tile: int, buckets: int) -> DataFrame:
