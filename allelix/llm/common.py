@@ -8,7 +8,7 @@ from weakref import WeakKeyDictionary
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -153,28 +153,29 @@ def connected_components(edges: DataFrame, within: str | None = None) -> DataFra
     Each task turns its own edges into stars first. Then large and small stars alternate: each round moves every edge
     towards its neighbourhood's minimum, and the number of rounds grows with the logarithm of the longest chain.
     Neighbourhoods meet as aggregates (combined
-    before the shuffle) and joins that hubs take no part in, so a hub is never gathered in one task. A round's edges
-    are counted and summed up while they are written.
+    before the shuffle) and joins that hubs take no part in, so a hub is never gathered in one task. Rounds
+    end when all that is left are stars.
     """
     key = [within] if within else []
     at = [*key, "u"]
 
-    def counted(e: DataFrame, before: DataFrame | None) -> tuple[DataFrame, tuple]:
-        seen = Observation()
-        e = written(e.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(*at, "v").cast("decimal(38,0)")).alias("h")), "cc", instead_of=before)
-        return e, (seen.get["n"], seen.get["h"])
+    def unfinished(e: DataFrame) -> tuple[int, int]:
+        """(edges, nodes that have several, or have one and end others): without any of these, all are stars."""
+        ends = e.select(*at, F.lit(1).alias("_from"), F.lit(0).alias("_to")).unionByName(e.select(*key, F.col("v").alias("u"), F.lit(0).alias("_from"), F.lit(1).alias("_to")))
+        nodes = ends.groupBy(*at).agg(F.sum("_from").alias("_from"), F.max("_to").alias("_to"))
+        total, bad = nodes.agg(F.sum("_from"), F.count_if((F.col("_from") > 1) | ((F.col("_from") > 0) & (F.col("_to") > 0)))).first()
+        return total or 0, bad
 
     first = edges.select(*key, F.greatest("a", "b").cast("long").alias("u"), F.least("a", "b").cast("long").alias("v")).where("u > v").distinct()
-    e, state = counted(_contracted(first, key), None)
-    while state[0]:
+    e = written(_contracted(first, key), "cc")
+    total, bad = unfinished(e)
+    while bad:
         both = e.unionByName(e.select(*key, F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _with_least(both, at, 2 * state[0]).withColumn("m", F.least("u", "m"))
+        large = _with_least(both, at, 2 * total).withColumn("m", F.least("u", "m"))
         large = large.where("v > u").select(*key, F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
-        least = _with_least(large, at, state[0])
+        least = _with_least(large, at, total)
         small = least.select(*key, F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").unionByName(least.select(*at, F.col("m").alias("v")))
-        e, now = counted(small.distinct(), e)
-        if now == state:
-            break
-        state = now
+        e = written(small.distinct(), "cc", instead_of=e)
+        total, bad = unfinished(e)
     roots = e.select(*key, F.col("v").alias("node")).distinct()
     return e.select(*key, F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots.select(*key, "node", F.col("node").alias("component")))

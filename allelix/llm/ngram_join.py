@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from fractions import Fraction
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,8 @@ TOGETHER = 256
 FLUSH = 1 << 20
 SEEDS = 16
 REFINEMENTS = 6
+#: Groups, one row each, that are broadcast at most.
+MOST_BROADCAST = 100_000
 BAND_BITS = 12
 BASE = 0x9E3779B97F4A7C15
 
@@ -412,49 +415,75 @@ def _sized(rows: DataFrame) -> DataFrame:
 
 
 def _labels(texts: DataFrame, n: int, width: int, t: Fraction, tile: int, buckets: int) -> DataFrame:
-    """rep, label of groups of candidates. Groups above a tile are split by further deals first: documents that only
-    chance or a common passage brought together part, as linked ones agree on a part of every deal."""
-    small, big = texts.where(F.col("m") <= tile), written(texts.where(F.col("m") > tile), "jaccard-big")
-    largest = big.agg(F.max("m")).first()[0] or 0
+    """rep, label of groups of candidates, as edges between members that belong together."""
+    labels = _tiled(texts.where(F.col("m") <= tile).withColumn("known", F.col("rep")), n, width, t)
+    if not (texts.agg(F.max("m")).first()[0] or 0) > tile:
+        return labels
+    big = texts.where(F.col("m") > tile).withColumn("chunks", F.ceil(F.col("m") / tile))
+    state, links = _with_hubs(big, width, t)
+    found = [labels, links]
+    # What a group's largest class doesn't hold is compared with all of the group. Where that is much, the group is
+    # dealt again first: linked documents agree on a part of every deal, others that a passage or chance brought
+    # together part.
+    apart, largest = _apart(state)
     for first in range(1, REFINEMENTS + 1):
-        if not largest:
+        if largest <= tile:
             break
-        pairs = packed_signatures(big.select(F.col("rep").alias("doc_id"), "text", "comp"), width, t, buckets, first)
+        before = largest
+        pairs = packed_signatures(state.select(F.col("rep").alias("doc_id"), "text", "comp"), width, t, buckets, first)
         groups = candidate_groups(pairs)
-        finer = big.select("rep", "text").distinct().join(groups, F.col("rep") == F.col("node")).select("comp", "rep", "text")
+        finer = state.select("rep", "known", "text").distinct().join(groups, F.col("rep") == F.col("node")).select("comp", "rep", "known", "text")
         finer = written(_sized(finer), "jaccard-finer")
-        small, big, before = small.unionByName(finer.where(F.col("m") <= tile), allowMissingColumns=True), finer.where(F.col("m") > tile), largest
-        largest = big.agg(F.max("m")).first()[0] or 0
-        if 10 * largest > 9 * before:  # what stays together is alike
+        found.append(_tiled(finer.where(F.col("m") <= tile), n, width, t))
+        state = finer.where(F.col("m") > tile).withColumn("chunks", F.ceil(F.col("m") / tile))
+        apart, largest = _apart(state)
+        if 4 * largest > 3 * before:  # what stays together is alike
             break
-    tiles = max(1, n // TOGETHER)
-    rows = small.select("comp", "rep", F.pmod(F.xxhash64("comp"), F.lit(tiles)).cast("string").alias("tile"), F.col("rep").alias("known"), "text")
-    labels = verify(rows, width, t).select("rep", "label")
-    return labels if not largest else labels.unionByName(_with_large(big.withColumn("chunks", F.ceil(F.col("m") / tile)), width, t, tile))
+    if largest:
+        found.append(_with_rest(state, apart, width, t, tile))
+    return reduce(DataFrame.unionByName, found)
 
 
-def _with_large(big: DataFrame, width: int, t: Fraction, tile: int) -> DataFrame:
-    """Groups of more candidates than a tile holds: chunks are linked within, and with the group's hub; what stays
-    apart from the group's largest class is then compared with every chunk. Work follows the group's size where
-    most of it links, and every pair of different classes is still compared."""
+def _tiled(rows: DataFrame, n: int, width: int, t: Fraction) -> DataFrame:
+    """rows (comp, rep, known, text) of groups that fit a tile, several groups in a task."""
+    tile = F.pmod(F.xxhash64("comp"), F.lit(max(1, n // TOGETHER))).cast("string")
+    return verify(rows.select("comp", "rep", tile.alias("tile"), "known", "text"), width, t).select("rep", "label")
+
+
+def _with_hubs(big: DataFrame, width: int, t: Fraction) -> tuple[DataFrame, DataFrame]:
+    """(rows with the class they are known to be in, links) of groups of more candidates than a tile holds: chunks are
+    linked within, and with the group's hub."""
     big = big.withColumn("chunk", F.pmod(F.xxhash64("rep"), "chunks"))
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     own = big.select("comp", "rep", F.concat_ws(":", "comp", "chunk").alias("tile"), F.col("rep").alias("known"), "text")
-    hubs = big.where("rep = hub").select("comp", "rep", "text", every("chunks").alias("chunk"))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk")
+    hubs = big.where("rep = hub").select("comp", "rep", "text", every)
     hubs = hubs.select("comp", "rep", F.concat_ws(":", "comp", "chunk").alias("tile"), F.col("rep").alias("known"), "text")
     first = written(verify(own.unionByName(hubs), width, t), "jaccard-first")
     links = first.select(F.col("rep").alias("a"), F.col("label").alias("b")).where("a <> b")
     merged = connected_components(links)
-    state = written(big.join(merged, big.rep == merged.node, "left").select("comp", "rep", "chunk", "chunks", F.coalesce("component", "rep").alias("known"), "text"), "jaccard-state")
-    main = state.groupBy("comp", "known").count().groupBy("comp").agg(F.max_by("known", "count").alias("main"))
-    rest = state.join(main, "comp").where("known <> main")
-    sizes = rest.groupBy("comp").agg(F.ceil(F.count("*") / tile).alias("rchunks"))
-    probes = rest.join(sizes, "comp").withColumn("r", F.pmod(F.xxhash64("rep"), "rchunks"))
-    sides = state.join(sizes, "comp").select("comp", "rep", "known", "text", "chunk", every("rchunks").alias("r")).unionByName(probes.select("comp", "rep", "known", "text", every("chunks").alias("chunk"), "r"))
+    state = written(big.join(merged, big.rep == merged.node, "left").select("comp", "rep", "chunks", F.coalesce("component", "rep").alias("known"), "text"), "jaccard-state")
+    return state, links.select(F.col("a").alias("rep"), F.col("b").alias("label"))
+
+
+def _apart(state: DataFrame) -> tuple[DataFrame, int]:
+    """(comp, main class, number of rows in others) of groups in which there are others, and the largest number."""
+    classes = state.groupBy("comp", "known").count()
+    by = classes.groupBy("comp").agg(F.max_by("known", F.struct("count", "known")).alias("main"), (F.sum("count") - F.max("count")).alias("others")).where("others > 0")
+    by = written(by, "jaccard-apart")
+    return by, by.agg(F.max("others")).first()[0] or 0
+
+
+def _with_rest(state: DataFrame, apart: DataFrame, width: int, t: Fraction, tile: int) -> DataFrame:
+    """What a group's largest class doesn't hold, compared with every chunk of the group: no pair of classes is left
+    out, and work follows the group's size where most of it is one class."""
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    rows = state.join(F.broadcast(apart) if apart.count() <= MOST_BROADCAST else apart, "comp").withColumn("rchunks", F.ceil(F.col("others") / tile))
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("rep"), "chunks"))
+    probes = rows.where("known <> main").withColumn("r", F.pmod(F.xxhash64("rep"), "rchunks"))
+    sides = rows.select("comp", "rep", "known", "text", "chunk", every("rchunks").alias("r")).unionByName(probes.select("comp", "rep", "known", "text", every("chunks").alias("chunk"), "r"))
     second = verify(sides.select("comp", "rep", "known", F.concat_ws(":", "comp", "chunk", "r").alias("tile"), "text"), width, t)
-    more = written(second.select(F.col("rep").alias("a"), F.col("label").alias("b")).where("a <> b"), "jaccard-second")
-    joined = connected_components(links.unionByName(more).unionByName(state.select(F.col("rep").alias("a"), F.col("known").alias("b")).where("a <> b")))
-    return joined.select(F.col("node").alias("rep"), F.col("component").alias("label"))
+    # Classes known before are given too, as labels only join what a tile's classes have in common.
+    return second.select("rep", "label").unionByName(state.select("rep", F.col("known").alias("label")).where("rep <> label"))
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
