@@ -150,7 +150,7 @@ def connected_components(edges: DataFrame, within: str | None = None) -> DataFra
     """(node, component) for every node of ``edges`` (a, b); component is the smallest node reachable. within: a
     column of whole numbers whose values are graphs of their own; it is returned too.
 
-    Each task turns its own edges into stars first. Then large and small stars alternate: each round moves every edge
+    Each task turns its own edges into stars first, a chunk at a time. Then large and small stars alternate: each round moves every edge
     towards its neighbourhood's minimum, and the number of rounds grows with the logarithm of the longest chain.
     Neighbourhoods meet as aggregates (combined
     before the shuffle) and joins that hubs take no part in, so a hub is never gathered in one task. Rounds
@@ -166,9 +166,11 @@ def connected_components(edges: DataFrame, within: str | None = None) -> DataFra
         total, bad = nodes.agg(F.sum("_from"), F.count_if((F.col("_from") > 1) | ((F.col("_from") > 0) & (F.col("_to") > 0)))).first()
         return total or 0, bad
 
-    first = edges.select(*key, F.greatest("a", "b").cast("long").alias("u"), F.least("a", "b").cast("long").alias("v")).where("u > v").distinct()
-    e = written(_contracted(first, key), "cc")
-    total, bad = unfinished(e)
+    first = written(edges.select(*key, F.greatest("a", "b").cast("long").alias("u"), F.least("a", "b").cast("long").alias("v")).where("u > v"), "cc")
+    chunks = -(-first.count() // CHUNK)
+    e = written(_contracted(first.coalesce(max(1, chunks)), key), "cc", instead_of=first)
+    # A single chunk's stars are the whole graph's.
+    total, bad = unfinished(e) if chunks > 1 else (0, 0)
     while bad:
         both = e.unionByName(e.select(*key, F.col("v").alias("u"), F.col("u").alias("v")))
         large = _with_least(both, at, 2 * total).withColumn("m", F.least("u", "m"))

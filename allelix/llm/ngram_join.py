@@ -29,7 +29,7 @@ from allelix.llm.common import connected_components, met, require, written
 U = np.uint64
 SEGMENT = 1 << 20
 BITS = 4096
-TILE = 1024
+TILE = 4096
 TOGETHER = 256
 FLUSH = 1 << 20
 SEEDS = 16
