@@ -560,6 +560,16 @@ def test_urls(spark):
     assert url_filter.judged(pages.limit(0), spark.createDataFrame(rules, "host string, path string, verdict string")).count() == 0
 
 
+def test_urls_repeated_and_long(spark):
+    """Repeated rows give repeated rows; a url of a megabyte is read whole; rules tie by block."""
+    long = "http://" + ".".join(["a" * 60] * 200) + ".net/" + "x/" * 400_000 + "?q"
+    rows = [(1, "http://w.net/x/"), (1, "http://w.net/x/"), (2, long), (None, "http://NET/x/y#f"), (3, "http://" + "b." * 5_000 + "net/x/")]
+    rules = [("net", "/x/", "allow"), ("net", "/x/", "block"), ("NET", "/", "allow"), ("", "/", "block"), (None, "/", "block"), ("net", None, "allow")]
+    got = sorted((tuple(r) for r in url_filter.judged(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(rules, "host string, path string, verdict string")).collect()), key=repr)
+    want = [(i, *verdict(u, [("net", "/x/", "block"), ("net", "/", "allow")])) for i, u in rows]
+    assert got == sorted(want, key=repr)
+
+
 def test_url_sql(spark, small):
     import duckdb
 
