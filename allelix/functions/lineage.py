@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def fixed(df: DataFrame) -> DataFrame:
@@ -15,3 +17,14 @@ def fixed(df: DataFrame) -> DataFrame:
             raise ValueError("spark.checkpoint.dir is unset: name a folder that all machines share")
         context.setCheckpointDir(named or f"/tmp/spark-checkpoints-{context.applicationId}")
     return df.checkpoint()
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, for text that is written and read again; it goes when the application ends."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is unset: name a folder that all machines share")
+    path = f"{(named or f'/tmp/spark-checkpoints-{spark.sparkContext.applicationId}').rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return path

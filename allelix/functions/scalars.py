@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -160,6 +160,19 @@ def term_hits(text: Expr, terms: Sequence[str]) -> Column:
     return F.struct(F.array_join(found, "; ").alias("terms"), F.size(found).alias("hits"))
 
 
+def utc_now() -> Column:
+    """The present time in UTC, as ISO 8601 to the second."""
+    return F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def renamed(value: Expr, names: Mapping[str, str]) -> Column:
+    """A name by which it is shown, where there is one; else the name itself."""
+    v, out = _c(value), None
+    for name, shown in names.items():
+        out = F.when(v == name, shown) if out is None else out.when(v == name, shown)
+    return v if out is None else out.otherwise(v)
+
+
 def sign_label(x: Expr, positive: str = "sgC", negative: str = "sgE") -> Column:
     """Which side a difference favours; NULL and zero are a tie."""
     return F.when(_c(x) > 0, positive).when(_c(x) < 0, negative).otherwise("tie")
@@ -253,3 +266,12 @@ KEYWORDS = {
     "transport_membrane": ("transporter", "channel", "ATPase", "membrane", "ABC"),
 }
 KEYWORD_RULES = [(name, r"\b(" + "|".join(words) + r")\b") for name, words in KEYWORDS.items()]
+
+# The gene-description library, categories and their terms.
+GENE_LIBRARY = {
+    "receptor_kinase": ("receptor kinase", "receptor-like kinase", "wall-associated receptor kinase", "serine/threonine-protein kinase", "protein kinase", "kinase-like"),
+    "resistance_like": ("disease resistance", "resistance protein", "nb-arc", "nbs-lrr", "leucine-rich repeat", "lrr", "rpp", "rpm", "rps"),
+    "defense_or_stress": ("defense", "stress", "pathogenesis-related", "peroxidase", "chitinase", "thaumatin", "wound", "immune"),
+    "transcription_factor": ("transcription factor", "wrky", "myb", "bhlh", "bzip", "nac", "ap2", "erf"),
+    "transporter": ("transporter", "abc transporter", "mfs transporter", "sugar transporter", "ion channel"),
+}

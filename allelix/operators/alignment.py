@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,6 +11,7 @@ from allelix.functions.ranking import average_rank, best_rows
 from allelix.functions.scalars import confidence, interval_jaccard, seqid
 from allelix.operators import intervals as I
 from allelix.operators.linalg import pearson, weighted_mean
+from allelix.operators.marts import keyword_hits
 
 
 def best_hits(hits: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -28,21 +29,23 @@ def coverage_by_target(hits: DataFrame, keys: Sequence[str], span: Column) -> Da
 
 def interval_mapping(hits: DataFrame, regions: DataFrame) -> DataFrame:
     """regions (region, region_start, region_end, expected), hits with region -> one row for each region: dominant
-    target, its coverage, weighted identity, target envelope, strands, the largest other coverage, and the status.
-    A region without hits fails."""
+    target, its coverage, weighted identity, target envelope, strands, the largest other coverage, what all targets
+    cover together, how many there are, and the status. A region without hits fails."""
     span = (F.col("region_end") - F.col("region_start") + 1).cast("double")
     by = coverage_by_target(hits.join(regions.select("region", "region_start", "region_end"), "region"), ["region", "region_start", "region_end"], span)
     first = best_rows(by, ["region"], [F.desc("covered"), F.desc("median_identity"), F.asc("target")], n=1).select("region", F.col("target").alias("dominant"), "covered", "fraction")
+    every = best_hits(hits.join(regions.select("region"), "region", "left_semi"), ["region", "query", "target"])
+    whole = I.union_length(every, ["region"], "source_start", "source_end").select("region", F.col("covered").alias("all_covered")).join(by.groupBy("region").agg(F.count("*").alias("n_target_contigs")), "region")
     other = by.join(first.select("region", "dominant"), "region").where("target <> dominant").groupBy("region").agg(F.max("fraction").alias("other"))
     best = best_hits(hits, ["region", "query", "target"]).join(first.select("region", "dominant"), "region").where("target = dominant")
     strand = F.when(F.col("strand") >= 0, "+").otherwise("-")
     shape = best.groupBy("region").agg(weighted_mean("pident", "length").alias("weighted_identity"), F.min("target_start").alias("mapped_start"), F.max("target_end").alias("mapped_end"), F.array_join(F.array_sort(F.collect_set(strand)), ";").alias("strands"), F.count("*").alias("n_hits"), F.count_distinct("query").alias("n_chunks"))
-    out = regions.join(first, "region", "left").join(other, "region", "left").join(shape, "region", "left")
+    out = regions.join(first, "region", "left").join(other, "region", "left").join(shape, "region", "left").join(whole, "region", "left")
     share, alt = F.coalesce("fraction", F.lit(0.0)), F.least(F.coalesce("other", F.lit(0.0)), F.lit(1.0))
     fits = F.coalesce(F.regexp_replace(F.lower("dominant"), "[^a-z0-9]", "") == F.regexp_replace(F.lower("expected"), "[^a-z0-9]", ""), F.lit(False))
     identity = F.coalesce("weighted_identity", F.lit(0.0))
     status = F.when(fits & (share >= 0.70) & (alt <= 0.10) & (identity >= 90), "PASS").when(fits & (share >= 0.40) & (identity >= 85), "WARN").otherwise("FAIL")
-    return out.select("region", "dominant", fits.alias("expected_match"), F.coalesce("covered", F.lit(0).cast("long")).alias("covered"), share.alias("fraction"), alt.alias("largest_other"), "weighted_identity", "mapped_start", "mapped_end", "strands", F.coalesce("n_hits", F.lit(0).cast("long")).alias("n_hits"), F.coalesce("n_chunks", F.lit(0).cast("long")).alias("n_chunks"), status.alias("status"))
+    return out.select("region", "dominant", fits.alias("expected_match"), F.coalesce("covered", F.lit(0).cast("long")).alias("covered"), share.alias("fraction"), alt.alias("largest_other"), "weighted_identity", "mapped_start", "mapped_end", "strands", F.coalesce("n_hits", F.lit(0).cast("long")).alias("n_hits"), F.coalesce("n_chunks", F.lit(0).cast("long")).alias("n_chunks"), (F.coalesce("all_covered", F.lit(0)) / span).alias("all_target_fraction"), (F.col("mapped_end") - F.col("mapped_start") + 1).alias("mapped_span"), F.coalesce("n_target_contigs", F.lit(0).cast("long")).alias("n_target_contigs"), status.alias("status"))
 
 
 def chromosome_support(hits: DataFrame, regions: DataFrame) -> DataFrame:
@@ -108,6 +111,17 @@ def gene_support(hotspots: DataFrame, genes: DataFrame, width: int = 100_000) ->
     return out.select("hotspot", *[F.coalesce(c, zero).alias(c) for c in ("n_genes", "n_coding", "n_keyword", "overlap_bp")], F.coalesce("categories", F.lit("")).alias("categories"))
 
 
+def gene_overlaps(hotspots: DataFrame, genes: DataFrame, library: Mapping[str, Sequence[str]], width: int = 100_000) -> DataFrame:
+    """hotspots (hotspot, seqid, a_start, a_end) and genes (gene_id, seqid, b_start, b_end, gene_name, description,
+    gene_biotype) that share a position: the overlap and its share of the hotspot, keyword categories, terms and hits,
+    whether the gene codes for a protein, and its priority."""
+    pairs = I.overlapping(hotspots, genes, "seqid", width)
+    named = pairs.withColumn("_k", keyword_hits(F.concat_ws(" ", F.coalesce("gene_name", F.lit("")), F.coalesce("description", F.lit(""))), library))
+    share = F.col("overlap_bp") / F.greatest(F.lit(1).cast("long"), F.col("a_end") - F.col("a_start") + 1)
+    out = named.select("hotspot", "gene_id", "seqid", "overlap_start", "overlap_end", "overlap_bp", share.alias("overlap_fraction"), "_k.categories", "_k.terms", "_k.hits", F.coalesce(F.col("gene_biotype") == "protein_coding", F.lit(False)).alias("coding"))
+    return gene_priority(out)
+
+
 def gene_priority(pairs: DataFrame) -> DataFrame:
     """pairs (…, hits, coding, overlap_bp) with the score hits + 0.25 coding + overlap over the largest overlap."""
     top = pairs.agg(F.greatest(F.lit(1).cast("long"), F.max("overlap_bp")).alias("_top"))

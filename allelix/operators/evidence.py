@@ -99,5 +99,5 @@ def consensus(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     """Mean of the columns' percentile ranks (missing columns skipped) and its dense rank."""
     from allelix.functions.ranking import percentile_rank
 
-    p = df.select(key, *[percentile_rank(c).alias(c) for c in columns]).withColumn("consensus", mean_of(*columns))
+    p = df.select(key, *[percentile_rank(c).alias(c) for c in columns]).withColumn("consensus", F.round(mean_of(*columns), 9))
     return p.select(key, "consensus", F.dense_rank().over(Window.orderBy(F.desc_nulls_last("consensus"))).alias("place"))

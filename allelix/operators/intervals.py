@@ -142,6 +142,18 @@ def neighbours(values: DataFrame, marks: DataFrame) -> DataFrame:
     return swept.join(carried, "_part").select("_v", F.coalesce(filled("_below", "_left_v"), "_left").alias("_b"), F.coalesce(filled("_above", "_right_v"), "_right").alias("_a"))
 
 
+def named_chunks(df: DataFrame, sequence: str, start: str, end: str, size: int, overlap: int, least: int = 1_000) -> DataFrame:
+    """chunks() of the stretch start to end (1-based, closed) of each row's sequence: query (chunk0001|src=1-200),
+    chunk_index, source_start, source_end, chunk_length and the chunk's own sequence."""
+    cut = df.withColumn("_piece", F.substring(F.col(sequence), F.col(start), F.greatest(F.lit(0), F.least(F.col(end), F.char_length(sequence)) - F.col(start) + 1))).withColumn("_n", F.char_length("_piece").cast("long"))
+    rows = chunks(cut, "_n", size, overlap, least)
+    a, b = F.col(start) + F.col("chunk_start") - 1, F.col(start) + F.col("chunk_end") - 1
+    n = F.col("chunk_end") - F.col("chunk_start") + 1
+    name = F.concat(F.lit("chunk"), F.lpad(F.col("chunk_index").cast("string"), 4, "0"), F.lit("|src="), a.cast("string"), F.lit("-"), b.cast("string"))
+    others = [c for c in df.columns if c not in (sequence, start, end)]
+    return rows.select(*others, name.alias("query"), "chunk_index", a.alias("source_start"), b.alias("source_end"), n.alias("chunk_length"), F.substring(F.col("_piece"), F.col("chunk_start").cast("int"), n.cast("int")).alias("chunk_sequence"))
+
+
 def chunks(df: DataFrame, length: str, size: int, overlap: int, least: int) -> DataFrame:
     """Rows of df with chunk_index, chunk_start, chunk_end (1-based) of overlapping chunks: none starts behind the one
     that reaches the end, and none is shorter than ``least``."""

@@ -62,6 +62,21 @@ def key_values(df: DataFrame, **metrics: Column) -> DataFrame:
     return row.unpivot([], list(metrics), "metric", "value")
 
 
+def preferred(df: DataFrame, order: Sequence[str], only: bool = False) -> DataFrame:
+    """Columns in a preferred order as far as they are there; the others behind them, or left out."""
+    first = [c for c in order if c in df.columns]
+    return df.select(*first, *([] if only else [c for c in df.columns if c not in first]))
+
+
+def numeric_where_possible(df: DataFrame) -> DataFrame:
+    """Text columns whose values are all numbers (or NULL) as doubles; one pass tells which."""
+    texts = [c for c, kind in df.dtypes if kind == "string"]
+    if not texts:
+        return df
+    bad = df.agg(*[F.count_if(F.col(f"`{c}`").isNotNull() & F.col(f"`{c}`").try_cast("double").isNull()).alias(c) for c in texts]).first()
+    return df.withColumns({c: F.col(f"`{c}`").try_cast("double") for c in texts if not bad[c]})
+
+
 def composite(df: DataFrame, key: str, parts: Mapping[str, bool]) -> DataFrame:
     """Mean percentile rank of columns (True: higher is better) over those that aren't NULL, by key."""
     from allelix.functions.scalars import mean_of

@@ -416,10 +416,10 @@ def pivot_metrics(spark: SparkSession, d: str) -> DataFrame:
 
 
 
-@query("WITH t AS (SELECT n_nationkey::bigint AS k, count(s_suppkey) AS x, nullif(max(s_suppkey) % 5, 0) AS y FROM nation LEFT JOIN supplier ON n_nationkey = s_nationkey GROUP BY 1), p AS (SELECT k, (rank() OVER (ORDER BY x NULLS LAST) + (count(*) OVER (PARTITION BY x) - 1) / 2.0::double) / count(x) OVER () AS px, CASE WHEN y IS NOT NULL THEN (rank() OVER (ORDER BY y NULLS LAST) + (count(*) OVER (PARTITION BY y) - 1) / 2.0::double) / count(y) OVER () END AS py FROM t), c AS (SELECT k, round(CASE WHEN py IS NULL THEN px ELSE (px + py) / 2 END, 9) AS consensus FROM p) SELECT k, round(consensus, 9) AS consensus FROM c")
+@query("WITH t AS (SELECT n_nationkey::bigint AS k, count(s_suppkey) AS x, nullif(max(s_suppkey) % 5, 0) AS y FROM nation LEFT JOIN supplier ON n_nationkey = s_nationkey GROUP BY 1), p AS (SELECT k, (rank() OVER (ORDER BY x NULLS LAST) + (count(*) OVER (PARTITION BY x) - 1) / 2.0::double) / count(x) OVER () AS px, CASE WHEN y IS NOT NULL THEN (rank() OVER (ORDER BY y NULLS LAST) + (count(*) OVER (PARTITION BY y) - 1) / 2.0::double) / count(y) OVER () END AS py FROM t), c AS (SELECT k, round(CASE WHEN py IS NULL THEN px ELSE (px + py) / 2 END, 9) AS consensus FROM p) SELECT k, round(consensus, 9) AS consensus, dense_rank() OVER (ORDER BY consensus DESC NULLS LAST) AS place FROM c")
 def consensus_scores(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "nation").join(table(spark, d, "supplier"), F.col("n_nationkey") == F.col("s_nationkey"), "left").groupBy(F.col("n_nationkey").cast("long").alias("k")).agg(F.count("s_suppkey").alias("x"), F.nullif(F.max("s_suppkey") % 5, F.lit(0)).alias("y"))
-    return rounded(E.consensus(t, "k", ["x", "y"]).select("k", "consensus"))
+    return rounded(E.consensus(t, "k", ["x", "y"]))
 
 
 ROLES = "lists AS (SELECT s_suppkey AS accession, 'balance' AS role, rank() OVER (ORDER BY s_acctbal DESC) AS rank FROM supplier UNION ALL SELECT s_suppkey, 'key', rank() OVER (ORDER BY s_suppkey) FROM supplier UNION ALL SELECT s_suppkey, 'nation', rank() OVER (ORDER BY s_nationkey DESC, s_suppkey) FROM supplier), top AS (SELECT * FROM lists WHERE rank <= 20)"
@@ -529,17 +529,17 @@ alt AS (SELECT c.region, max(c.fraction) AS other FROM c JOIN dom ON c.region =
 s AS (SELECT best.region, sum(pident * length) / sum(length) AS w, min(ts) AS ms, max(te) AS me, string_agg(DISTINCT CASE WHEN strand >= 0 THEN '+' ELSE '-' END, ';' ORDER BY CASE WHEN strand >= 0 THEN '+' ELSE '-' END) AS strands, count(*) AS n_hits, count(DISTINCT query) AS n_chunks FROM best JOIN dom ON best.region = dom.region AND best.target = dom.target GROUP BY 1)"""
 
 
-@query(f"WITH {HITS}, x AS (SELECT dom.region, dom.target AS dominant, dom.target = 'T_0' AS expected_match, covered, fraction, least(coalesce(other, 0), 1) AS largest_other, w, ms, me, strands, n_hits, n_chunks FROM dom LEFT JOIN alt USING (region) JOIN s USING (region)) SELECT region, dominant, expected_match, covered, round(fraction, 9) AS fraction, round(largest_other, 9) AS largest_other, round(w, 9) AS weighted_identity, ms AS mapped_start, me AS mapped_end, strands, n_hits, n_chunks, CASE WHEN expected_match AND fraction >= 0.7 AND largest_other <= 0.1 AND w >= 90 THEN 'PASS' WHEN expected_match AND fraction >= 0.4 AND w >= 85 THEN 'WARN' ELSE 'FAIL' END AS status FROM x")
-def interval_mapping(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(A.interval_mapping(hits(spark, d), regions(spark, d)))
-
-
 def union_sql(rows: str, by: str) -> str:
     """A subquery: by…, covered positions of rows (by…, ss, se)."""
     return f"""(SELECT {by}, sum(n)::bigint AS covered FROM (SELECT {by}, max(se) - min(ss) + 1 AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY {by} ORDER BY ss, se ROWS UNBOUNDED PRECEDING) AS island FROM (
   SELECT *, CASE WHEN ss <= max(se) OVER (PARTITION BY {by} ORDER BY ss, se ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 0 ELSE 1 END AS fresh FROM {rows})) GROUP BY {by}, island) GROUP BY {by})"""
 
 
+@query(f"WITH {HITS}, x AS (SELECT dom.region, dom.target AS dominant, dom.target = 'T_0' AS expected_match, dom.covered, fraction, least(coalesce(other, 0), 1) AS largest_other, w, ms, me, strands, n_hits, n_chunks, al.covered AS all_covered, nt.k AS n_target_contigs, b - a + 1 AS span FROM dom LEFT JOIN alt USING (region) JOIN s USING (region) JOIN r USING (region) JOIN {union_sql("best", "region")} al USING (region) JOIN (SELECT region, count(*) AS k FROM c GROUP BY 1) nt USING (region)) SELECT region, dominant, expected_match, covered, round(fraction, 9) AS fraction, round(largest_other, 9) AS largest_other, round(w, 9) AS weighted_identity, ms AS mapped_start, me AS mapped_end, strands, n_hits, n_chunks, round(all_covered / span::double, 9) AS all_target_fraction, me - ms + 1 AS mapped_span, n_target_contigs, CASE WHEN expected_match AND fraction >= 0.7 AND largest_other <= 0.1 AND w >= 90 THEN 'PASS' WHEN expected_match AND fraction >= 0.4 AND w >= 85 THEN 'WARN' ELSE 'FAIL' END AS status FROM x")
+def interval_mapping(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(A.interval_mapping(hits(spark, d), regions(spark, d)))
+
+
 _best = lambda rows, by: f"(SELECT * FROM {rows} QUALIFY row_number() OVER (PARTITION BY {by} ORDER BY bitscore DESC, length DESC, pident DESC, target, ss) = 1)"
 _mean_rank = lambda x: f"rank() OVER (PARTITION BY region ORDER BY {x}) + (count(*) OVER (PARTITION BY region, {x}) - 1) / 2.0::double"
 

@@ -128,7 +128,7 @@ def test_other_readers_and_sinks(spark, tmp_path):
     (tmp_path / "b.tsv").write_text("chunk0001|src=100-299\t200\t1\t150\tref|NC_9.1|\t999\t400\t251\t99.5\t150\t200\t0\n")
     hit = readers.blast(spark, str(tmp_path / "b.tsv")).first()
     assert (hit["source_start"], hit["source_end"], hit["target_start"], hit["target_end"], hit["strand"], hit["target_seqid"]) == (100, 249, 251, 400, -1, "NC_9.1")
-    (tmp_path / "j.jsonl").write_text('{"assemblyInfo":{"assemblyName":"A"},"accession":"X"}\n\n{"chr":{"aliasName":1}}\n')
+    (tmp_path / "j.jsonl").write_text('{"assemblyInfo":{"assemblyName":"A"},"accession":"X"}\n\n{"chr":{"note":"a \\"sequence_name\\": b","x":[{"Sequence-Alias":1}]}}\n')
     row = readers.jsonl_inventory(readers.lines(spark, str(tmp_path / "j.jsonl")), ["$.assemblyInfo.assemblyName", "$.accession"]).first()
     assert (row["n_records"], row["assemblyName"], row["accession"], row["has_alias"]) == (2, "A", "X", True)
     (tmp_path / "m.csv").write_text("id,Species,Variety\n a ,Coffea arabica,Wild\n")
