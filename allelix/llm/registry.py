@@ -5,6 +5,7 @@ from __future__ import annotations
 from allelix.llm.ann import op3_nearest_neighbours
 from allelix.llm.bpe import op10_bpe
 from allelix.llm.chat_format import op8_chat_formatting
+from allelix.llm.fingerprint import op13_document_fingerprints
 from allelix.llm.html_extract import op4_html_extraction
 from allelix.llm.ngram_join import op2_ngram_jaccard_join
 from allelix.llm.packing import op7_best_fit_packing
@@ -26,6 +27,7 @@ QUERIES = {
         op8_chat_formatting,
         op9_quality_rules,
         op10_bpe,
+        op13_document_fingerprints,
     )
 }
 ORACLES = {"op5_url_filter": OP5_SQL, "op9_quality_rules": OP9_SQL}
