@@ -132,7 +132,10 @@ def edited(docs: DataFrame) -> DataFrame:
     taken = texts.join(given, KEY).select(*KEY, "loop", F.char_length("text").cast("long").alias("n_chars"), F.concat(F.expr("left(text, char_length(text) - take)"), "beginning").alias("edited"))
     after = fingerprints(taken, [*KEY, "loop"], "edited").withColumnRenamed("fingerprint", "after")
     facts = taken.select(*KEY, "loop", "n_chars", F.sha2("edited", 256).alias("edited_sha256"))
-    met = facts.join(after, [*KEY, "loop"]).join(own, KEY).join(following, [*KEY, "loop"])
+    # Rows of a version meet where its key was dealt: loop isn't among the keys, which would deal them anew.
+    met = facts.join(own, KEY)
+    for more in (after.withColumnRenamed("loop", "loop_"), following.withColumnRenamed("loop", "loop_")):
+        met = met.join(more, KEY).where(F.col("loop").cast("int") - F.col("loop_").cast("int") == 0).drop("loop_")
     many = F.sequence(F.lit(0).cast("long"), (F.col("copies") - 1).bitwiseAND(F.lit(-TOGETHER)), F.lit(TOGETHER).cast("long"))
     id_ = F.when(~F.col("none"), F.bitwise_not("down")).alias("doc_id")
     rows = met.select(id_, "n_chars", "edited_sha256", F.col("fingerprint").alias("own"), F.col("after").alias("edited"), "next", "copies", F.explode(many).alias("from"))
