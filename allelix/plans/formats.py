@@ -14,7 +14,7 @@ from allelix.operators import popgen as G
 from allelix.operators import stability as B
 from allelix.operators import variants as V
 from allelix.plans.registry import PANEL, groups, panel_rows, query, rounded, table
-from allelix.sources import readers, sinks
+from allelix.sources import ranges, readers, sinks
 
 #: Of the VCF's sites: contig, and the two ways in which a site isn't a biallelic SNP.
 CONTIG = "'chr_' || chr((65 + site_id % 12)::int) || (CASE site_id % 3 WHEN 0 THEN '_sg_C_1' WHEN 1 THEN '_sg_E_1' ELSE '_scaffold_1' END)"
@@ -78,6 +78,17 @@ def vcf_eligible_sites(spark: SparkSession, d: str) -> DataFrame:
     return rounded(found.where("eligible").select("contig", "pos", "called", "call_rate", "maf", "af_a", "af_b", "abs_delta_af"))
 
 
+@query(f"WITH {SCAN} SELECT contig, pos, called, round(call_rate, 9) AS call_rate, round(maf, 9) AS maf, round(af_a, 9) AS af_a, round(af_b, 9) AS af_b, round(abs(af_a - af_b), 9) AS abs_delta_af FROM s WHERE ok AND class = 'sgC'")
+def vcf_blocks_eligible_sites(spark: SparkSession, d: str) -> DataFrame:
+    """The same from block-compressed text, which tasks enter at any of its blocks."""
+    text, grp = vcf(spark, d)
+    path = scratch(spark, "vcf-gz")
+    ranges.write_block_compressed(text.coalesce(2), path)
+    lines = ranges.compressed_lines(spark, path, 1 << 16).select("value")
+    found = V.scanned(lines, "sgC", "matching_pseudomolecules_only", range(len(grp)), grp, ("AMERICA", "EUROPE"), 0.2, 0.05)
+    return rounded(found.where("eligible").select("contig", "pos", "called", "call_rate", "maf", "af_a", "af_b", "abs_delta_af"))
+
+
 @query(f"WITH {SCAN} SELECT contig, ((pos - 1) // 1000000) * 1000000 + 1 AS window_start, count(*) AS n_markers, round(avg(abs(af_a - af_b)), 9) AS mean_abs_delta_af, round(max(abs(af_a - af_b)), 9) AS max_abs_delta_af, count(*) FILTER (abs(af_a - af_b) >= 0.75) AS n_ge_0_75, count(*) FILTER (abs(af_a - af_b) >= 0.9) AS n_ge_0_90, ((pos - 1) // 1000000) * 1000000 + 1000000 AS window_end FROM s WHERE ok AND class = 'sgC' AND af_a IS NOT NULL AND af_b IS NOT NULL GROUP BY ALL")
 def vcf_window_scan(spark: SparkSession, d: str) -> DataFrame:
     _, found = scan(spark, d, "sgC", "matching_pseudomolecules_only")
@@ -188,7 +199,27 @@ def records(spark: SparkSession, d: str) -> DataFrame:
 def fasta_lengths(spark: SparkSession, d: str) -> DataFrame:
     path = scratch(spark, "fasta")
     sinks.write_fasta(records(spark, d), path)
-    return readers.fasta(spark, path).select("record_id", "description", "length")
+    return ranges.record_lengths(ranges.fasta_pieces(spark, path))
+
+
+@query("SELECT 'rec' || p_partkey AS record_id, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE 'G->A >> ' || p_name END AS description, CASE WHEN p_partkey % 7 = 0 THEN 0 ELSE p_size::bigint * 35 END AS length FROM part")
+def fasta_marked_headers(spark: SparkSession, d: str) -> DataFrame:
+    """Records with ">" inside their headers, without descriptions, or without a sequence, and text before the first;
+    pieces are shorter than lines' sums, so records reach over several."""
+    k, path = F.col("p_partkey"), scratch(spark, "fasta")
+    text = F.when(k % 3 == 0, "").otherwise(F.concat(F.lit("G->A >> "), "p_name"))
+    marked = table(spark, d, "part").select(F.concat(F.lit("rec"), k.cast("string")).alias("record_id"), text.alias("description"), F.when(k % 7 == 0, "").otherwise(F.expr("repeat('ACGTN', p_size * 7)")).alias("sequence"))
+    sinks.write_fasta(marked, path)
+    spark.range(1).select(F.lit("no header\nACGT")).write.mode("append").text(path)
+    return ranges.record_lengths(ranges.fasta_pieces(spark, path, 200))
+
+
+@query("WITH c AS (SELECT p_partkey, p_size::bigint * 35 AS n FROM part), k AS (SELECT p_partkey, n, unnest(range(0, greatest(0, ceil((n - 300) / 200.0)::bigint) + 1)) AS i FROM c) SELECT 'rec' || p_partkey AS record_id, i + 1 AS chunk_index, i * 200 + 1 AS chunk_start, least(i * 200 + 300, n) AS chunk_end, substr(repeat('ACGTN', 500), i * 200 + 1, least(i * 200 + 300, n) - i * 200) AS sequence FROM k WHERE least(i * 200 + 300, n) - i * 200 >= 100")
+def fasta_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Overlapping chunks cut from pieces of records."""
+    path = scratch(spark, "fasta")
+    sinks.write_fasta(records(spark, d), path)
+    return ranges.record_chunks(ranges.fasta_pieces(spark, path, 170), 300, 100, 100)
 
 
 @query("SELECT 'rec7' AS record_id, p_size::bigint * 35 AS length FROM part WHERE p_partkey = 7")

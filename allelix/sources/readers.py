@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 
 from allelix.functions.lineage import fixed
 from allelix.functions.scalars import analysis_group, attributes, chunk_coordinates, format_index, gt_dosage, hsp_orientation, hsp_target, seqid
+from allelix.sources import ranges
 
 BLAST_SCHEMA = "query string, qlen long, qstart long, qend long, target string, slen long, sstart long, send long, pident double, length long, bitscore double, evalue double"
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """Text lines; .gz is read as it is (one task per file)."""
-    return spark.read.text(path)
+    """Text lines of a file or folder; compressed ones (.gz, .bgz) are read by ranges where they are in blocks."""
+    return ranges.compressed_lines(spark, path).select("value") if path.lower().endswith((".gz", ".bgz")) else spark.read.text(path)
 
 
 def vcf_header(text: DataFrame) -> tuple[list[str], DataFrame, DataFrame]:
@@ -71,13 +72,9 @@ def genes(features: DataFrame) -> DataFrame:
 
 
 def fasta(spark: SparkSession, path: str) -> DataFrame:
-    """record_id, description, sequence, length; a record is a row."""
-    rows = spark.read.option("lineSep", ">").text(path).where(F.trim("value") != "")
-    head = F.substring_index("value", "\n", 1)
-    body = F.regexp_replace(F.expr("substr(value, instr(value, '\n') + 1)"), r"\s", "")
-    has = F.instr("value", "\n") > 0
-    name = F.regexp_extract(head, r"^(\S+)", 1)
-    return rows.select(name.alias("record_id"), F.trim(F.regexp_replace(head, r"^\S+", "")).alias("description"), F.when(has, body).otherwise("").alias("sequence")).withColumn("length", F.char_length("sequence").cast("long"))
+    """record_id, description, sequence, length; a record is a row. Lengths and chunks of longer ones come from
+    ranges.fasta_pieces()."""
+    return ranges.whole_records(ranges.fasta_pieces(spark, path))
 
 
 def blast(spark: SparkSession, path: str) -> DataFrame:
