@@ -14,9 +14,8 @@ reach the cell are dealt to its lists by the same rules, so no centroid graph is
 
 Vectors that are null, zero, or hold null or non-finite components take no part, nor does a null vec_id. Vectors are
 compared with others of their own number of components: the most frequent one, and each that more than SMALL rows have,
-has an index; the rest are compared with all of their kind. Rows that repeat a vec_id with another vector are rows of
-their own, those that repeat both count once, and a vec_id is never its own neighbour. Ties go to the smaller vec_id.
-Extra columns are ignored.
+has an index; the rest are compared with all of their kind. Every row is one of its own, rows that repeat a vec_id, or both id and
+vector, among them: only the query's own row isn't its neighbour. Ties go to the smaller vec_id. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -156,12 +155,12 @@ class Index:
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """row (a number of its own for each), vec_id, v of the vectors that take part; v: doubles."""
+    """row (a number of its own for each), vec_id, v of the vectors that take part; v: doubles. The numbers are fixed
+    once this is written."""
     v = F.transform("embedding", lambda x: x.cast("double"))
     rows = require(vectors, "vec_id", "embedding").select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).where("vec_id is not null and v is not null and size(v) > 0")
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    rows = rows.where(~bad & F.exists("v", lambda x: x != 0)).distinct()
-    return rows.select(F.xxhash64("vec_id", "v").alias("row"), "vec_id", "v")
+    return rows.where(~bad & F.exists("v", lambda x: x != 0)).select(F.monotonically_increasing_id().alias("row"), "vec_id", "v")
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -275,10 +274,10 @@ def nearest(posted: DataFrame, asked: DataFrame, k: int) -> DataFrame:
                 x, q = np.frombuffer(pair["data"]).reshape(len(held), -1), np.frombuffer(pair["qdata"]).reshape(len(qids), -1)
                 rows, ids = held[:, 0], held[:, 1]
                 found: list[tuple] = []
-                for one, own, rough in zip(q, qids[:, 1], q @ x.T, strict=True):
-                    rough = np.where(ids == own, -np.inf, rough)
+                for one, own, rough in zip(q, qids[:, 0], q @ x.T, strict=True):
+                    rough = np.where(rows == own, -np.inf, rough)
                     cut = np.partition(rough, -min(k, len(rough)))[-min(k, len(rough))]
-                    some = np.flatnonzero((rough >= cut - 1e-9 * max(1.0, abs(cut))) & (ids != own)) if np.isfinite(cut) else np.flatnonzero(ids != own)
+                    some = np.flatnonzero((rough >= cut - 1e-9 * max(1.0, abs(cut))) & (rows != own)) if np.isfinite(cut) else np.flatnonzero(rows != own)
                     exact = (x[some] * one).sum(1)
                     best = _best(ids[some], exact, k)
                     found.append((rows[some][best], ids[some][best], exact[best]))

@@ -5,8 +5,9 @@ the nearest element that adds headings and paragraphs for the most part, as long
 shares of its score, for the generalised paths of these (tags with classes and ids, digits blotted out); votes are
 added up per host, and every page of a host is extracted again from the elements that stand at the winning path. A page
 without such an element, or without text in it, is extracted from its own best one. Menus, headers outside the article,
-footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are left out wherever they stand. What
-only a name, a role or a tag like form marks as one of these is kept where it is a wrapper: where it holds more of the
+footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are left out wherever they stand. A
+class or id tells these by a known name, alone or next to words that don't change it, or by a word for adverts, menus or
+comments that begins or ends it (google-ads, adslot, mobile-nav; not share-price, has-sidebar). What only a name, a role or a tag like form marks as one of these is kept where it is a wrapper: where it holds more of the
 page's text than lies outside all of them, together with its heading, article or main element.
 
 A page is read once from front to back, in time proportional to its length: tags as browsers delimit them (quotes count
@@ -48,13 +49,22 @@ UNNAMED = set("html body main pre code blockquote h1 h2 h3 h4 h5 h6 table thead
 NOT_TEXT = set(
     "ad ads adv advert adverts advertisement advertising adsense adsbygoogle sponsor sponsored sponsors promo promotion promoted cookie cookies consent gdpr notice notices notification popup modal overlay newsletter"
     " subscribe subscription paywall sidebar sidebars rail aside nav navbar navigation menu menus breadcrumb breadcrumbs footer comment comments commentlist disqus respond replies reply share sharing social"
-    " related recommended recommendations widget widgets toolbar pagination pager login signin signup register search alert banner masthead topbar outbrain taboola skip tagcloud tags".split()
+    " related recommended recommendations widget widgets toolbar pagination pager login signin signup register search alert banner masthead topbar outbrain taboola skip tagcloud tags"
+    " feedback discussion discussions".split()
 )
 #: What may stand beside such a word in a class or id without changing what it means.
 BESIDE = set(
     "left right top bottom upper lower primary secondary main site global wrapper wrap outer inner box container content area list block section region module unit slot group row col column bar panel pane holder"
-    " post posts article articles entry blog reader readers user users button buttons link links item items icon icons form title heading header body js".split()
+    " post posts article articles entry blog reader readers user users button buttons link links item items icon icons form title heading header body js"
+    " law policy message trail mobile desktop tool tools thread threads".split()
 )
+#: Words that mark an element where they begin or end a class or id, whatever else is in it: adverts, menus, comments.
+MARKS = set("ad ads advert adverts advertisement advertising adsense adsbygoogle dfp sponsor sponsored nav navbar navigation breadcrumb breadcrumbs comment comments commentlist disqus sidebar newsletter gdpr".split())
+#: With these before or behind it, such a word says what stands beside the element, or a state.
+STATES = set("has have with no not without is hide show hoc open opened closed enabled disabled count free".split())
+#: Two words that mark an element together only.
+PAIRS = {"top bar", "bottom bar", "most read", "most popular", "more stories", "author bio", "tag list"}
+_joined_ad = re.compile("(?:ad|advert)s?(?:slot|box|unit|block|container|wrapper|wrap|banner|space|zone|frame|label|holder|area|spot)s?")
 HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 #: Characters that a paragraph has at least where it decides how far to climb.
 LEAST = 40
@@ -134,8 +144,12 @@ def _doubt(tag: str, own: dict[str, str], inside: bool) -> int:
         known = NOT_TEXT.intersection(parts)
         if known and all(p in NOT_TEXT or p in BESIDE for p in parts):
             # An article may carry such names next to others; a comment carries them first.
-            if tag != "article" or parts[0] in ("comment", "reply"):
+            paper = known <= {"discussion"} and (tag == "section" or name == own.get("id"))  # a part of one
+            if (tag != "article" or parts[0] in ("comment", "reply")) and not paper:
                 return 1 if k else 2
+        if parts and tag != "article" and not STATES.intersection((parts[0], parts[-1], *parts[1:2])):
+            if MARKS.intersection((parts[0], parts[-1])) or " ".join(parts) in PAIRS or any(_joined_ad.fullmatch(p) for p in parts):
+                return 1
         if not inside and tag != "article" and "header" in parts and all(p in ("header", "site", "top", "main", "global", "wrapper", "inner", "bar", "container") for p in parts):
             return 2
     return 0

@@ -151,21 +151,22 @@ def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
     return placed_.join(starts, ["range", "tree"]).withColumn("i", F.col("start") + F.col("at")).drop("range", "at", "start")
 
 
-def _appended(table: pa.Table) -> tuple[list[Subtree], Subtree]:
-    """The nodes of a block, ascending by i, and its root."""
+def _appended(table: pa.Table, levels: int) -> tuple[list[Subtree], Subtree]:
+    """The nodes of a block of so many levels, ascending by i, and its root."""
     tree = Appender()
     nodes = [tree.append(d.hex().encode()) for d in table.column("digest").to_pylist()]
     # A block beside others becomes a node of their level; one alone ends where one node remains.
-    return nodes, tree.close(LEVELS if table.column("n")[0].as_py() > BLOCK else None)
+    return nodes, tree.close(levels if table.column("n")[0].as_py() > FAN**levels else None)
 
 
 def roots(nodes: DataFrame) -> DataFrame:
     """Nodes of the next blocks up: tree, i, n, digest of each block of nodes (tree, i, n, digest)."""
+    levels = LEVELS
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("i")
-        root = _appended(table)[1]
-        i, n = table.column("i")[0].as_py() // BLOCK, -(-table.column("n")[0].as_py() // BLOCK)
+        root = _appended(table, levels)[1]
+        i, n = table.column("i")[0].as_py() // FAN**levels, -(-table.column("n")[0].as_py() // FAN**levels)
         return pa.table({"tree": table.column("tree").slice(0, 1), "i": [i], "n": [n], "digest": pa.array([bytes.fromhex(root.digest.decode())], pa.binary())})
 
     block = F.floor(F.col("i") / BLOCK).alias("block")
@@ -197,10 +198,11 @@ def _met(nodes: DataFrame, above: DataFrame, run, schema: str) -> DataFrame:
 
 def lowered(nodes: DataFrame, above: DataFrame) -> DataFrame:
     """Witnesses of nodes, given those of their blocks."""
+    levels = LEVELS
 
     def run(table: pa.Table, upper: pa.Table) -> pa.Table:
         table, up = table.sort_by("i"), upper.slice(0, 1).to_pylist()[0]
-        paths = [_path(node, up["lefts"], up["rights"]) for node in _appended(table)[0]]
+        paths = [_path(node, up["lefts"], up["rights"]) for node in _appended(table, levels)[0]]
         same = {c: [up[c]] * len(paths) for c in ("subroot", "root")}
         kinds = pa.list_(pa.string())
         found = {"tree": table.column("tree"), "i": table.column("i"), "lefts": pa.array([p[0] for p in paths], kinds), "rights": pa.array([p[1] for p in paths], kinds)}
@@ -215,12 +217,13 @@ PROVEN = "doc_id long, leaf string, subroot string, root string, proof_sha256 st
 def proven(nodes: DataFrame, above: DataFrame) -> DataFrame:
     """PROVEN for leaves (tree, i, n, digest, doc_id, claimed): the hash of all a leaf's siblings, and the root that the
     claimed digest (null: the leaf's own) gives with them."""
+    levels = LEVELS
 
     def run(table: pa.Table, upper: pa.Table) -> pa.Table:
         table, up = table.sort_by("i"), upper.slice(0, 1).to_pylist()[0]
         upward = [(a.encode(), b.encode()) for a, b in zip(up["lefts"], up["rights"], strict=True)]
         rows: list[tuple] = []
-        for doc_id, claimed, node in zip(table.column("doc_id").to_pylist(), table.column("claimed").to_pylist(), _appended(table)[0], strict=True):
+        for doc_id, claimed, node in zip(table.column("doc_id").to_pylist(), table.column("claimed").to_pylist(), _appended(table, levels)[0], strict=True):
             folded = node.digest if claimed is None else claimed.hex().encode()
             siblings = sha256()
             for a, b in (*node.witness(), *upward):
@@ -242,14 +245,15 @@ def manifest(leaves: DataFrame) -> DataFrame:
     nodes = numbered(rows, ["doc_id", "digest", "spot"]).drop("spot")
     below = grown(nodes)
     subroots = below[-1].select(F.lit("").alias("tree"), F.col("tree").alias("of"), "digest")
-    top = grown(numbered(subroots, ["of"]))
+    top = grown(written(numbered(subroots, ["of"]), "merkle-subroots"))
     none = F.array().cast("array<string>")
     hex_ = F.lower(F.hex("digest"))
-    above = top[-1].select("tree", "i", none.alias("lefts"), none.alias("rights"), hex_.alias("subroot"), hex_.alias("root"))
-    for level in reversed(top):
+    above = written(top[-1].select("tree", "i", none.alias("lefts"), none.alias("rights"), hex_.alias("subroot"), hex_.alias("root")), "merkle-witnesses")
+    for level in reversed(top[:-1]):
         above = lowered(level, above)
     above = above.join(top[0].select("i", "of", hex_.alias("own")), "i").select(F.col("of").alias("tree"), F.lit(0).cast("long").alias("i"), "lefts", "rights", F.col("own").alias("subroot"), "root")
-    for level in reversed(below[1:]):
+    above = written(above, "merkle-witnesses")
+    for level in reversed(below[1:-1]):
         above = lowered(level, above)
     return proven(nodes, above)
 

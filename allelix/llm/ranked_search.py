@@ -171,6 +171,7 @@ def found(posted: DataFrame, queries: list[np.ndarray], counts: Counts, k: int,
     """query, doc_id, score: of each task's documents the k best of each query, no worse than its floor. Without floors,
     of those that each block's first intervals show."""
     weights = counts.weights()
+    most_documents, most_postings, most = DOCUMENTS, POSTINGS, None if floors else FIRST
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: list[list[tuple[int, int]]] = [[] for _ in queries]  # (-score, id)
@@ -190,7 +191,7 @@ def found(posted: DataFrame, queries: list[np.ndarray], counts: Counts, k: int,
                 floor = floors[q] if floors else (0, LAST)
                 if len(best[q]) == k:
                     floor = max(floor, (-best[q][-1][0], best[q][-1][1]), key=lambda f: (f[0], -f[1]))
-                docs, scores = index.search(query, k, floor, None if floors else FIRST)
+                docs, scores = index.search(query, k, floor, most)
                 good = [(-s, i) for s, i in zip(scores.tolist(), ids[docs].tolist(), strict=True) if (s, -i) >= (floor[0], -floor[1]) and s > 0]
                 if good:
                     best[q] = sorted(best[q] + good)[:k]
@@ -201,12 +202,12 @@ def found(posted: DataFrame, queries: list[np.ndarray], counts: Counts, k: int,
             sizes = np.cumsum(np.asarray(batch.column(2).value_lengths().fill_null(0)))
             start = 0
             while start < len(batch):
-                room = POSTINGS - postings_held + (sizes[start - 1] if start else 0)
-                end = max(start + 1, min(int(np.searchsorted(sizes, room, "right")), start + DOCUMENTS - sum(map(len, held))))
+                room = most_postings - postings_held + (sizes[start - 1] if start else 0)
+                end = max(start + 1, min(int(np.searchsorted(sizes, room, "right")), start + most_documents - sum(map(len, held))))
                 held.append(batch.slice(start, end - start))
                 postings_held += int(sizes[end - 1] - (sizes[start - 1] if start else 0))
                 start = end
-                if postings_held >= POSTINGS or sum(map(len, held)) >= DOCUMENTS or start < len(batch):
+                if postings_held >= most_postings or sum(map(len, held)) >= most_documents or start < len(batch):
                     flush()
                     postings_held = 0
         if held:

@@ -342,3 +342,30 @@ def test_formatted_conversations(spark, small, monkeypatch):
         assert r["n_lines"] <= 3
         got.setdefault(r["conv_id"], []).extend(r["text"].split("\n"))
     assert got == want
+
+
+PARAGRAPH = "A long enough paragraph, with commas, and points. "
+
+
+@pytest.mark.parametrize(
+    "name",
+    "google-ads adslot ad_300x250 dfp-slot leaderboard-ad discussion reader-feedback cookie-law breadcrumb-trail mobile-nav top-bar share-tools most-read more-stories author-bio tag-list"
+    " ad-banner adBox sponsored-links comments-area user-comments sub-navigation newsletter-form left-sidebar".split(),
+)
+def test_names_left_out(name):
+    """Adverts, menus and comments within an article's wrapper and beside it, told by their names."""
+    prose = "".join(f"<p>{PARAGRAPH}{k}</p>" for k in range(8))
+    want = " ".join(f"{PARAGRAPH}{k}" for k in range(8))
+    odd = f'<div class="{name}"><p>{PARAGRAPH}Not this.</p></div>'
+    for body in (f"<main>{prose}{odd}</main>", f"<main>{odd}{prose}</main>", f"<article>{prose}{odd}</article>", f'{odd}<div class="text">{prose}</div>{odd}'):
+        assert html_extract.extract(page(body), None)[0] == want
+
+
+@pytest.mark.parametrize("name", "share-price related-work has-sidebar no-ads ad-hoc-networks comments-open lead thread-count roads headers text-block social-history".split())
+def test_names_kept(name):
+    """Names that only look like these, on a part of the text."""
+    prose = "".join(f"<p>{PARAGRAPH}{k}</p>" for k in range(4))
+    want = " ".join(f"{PARAGRAPH}{k}" for k in range(8))
+    more = "".join(f"<p>{PARAGRAPH}{k}</p>" for k in range(4, 8))
+    assert html_extract.extract(page(f'<main>{prose}<div class="{name}">{more}</div></main>'), None)[0] == want
+    assert html_extract.extract(page(f'<main>{prose}<section id="discussion">{more}</section></main>'), None)[0] == want

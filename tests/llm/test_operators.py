@@ -440,15 +440,35 @@ def test_neighbours_odd(spark):
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (20, [0.0, 1.0]), (4, None), (5, [0.0, 0.0]), (6, [float("nan"), 1.0]), (7, [None, 1.0]), (None, [1.0, 1.0]), (8, [1.0]), (1, [1.0, 0.0]), (9, [])]
     df = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<float>, list string")
     got = sorted(tuple(r) for r in ann.neighbours(df, F.expr("vec_id % 20 = 0"), 20).collect())
-    want = [(0, 1, 1, 1.0), (0, 2, 2, 1.0), (0, 3, 20, 0.0), (20, 1, 0, 0.0), (20, 2, 1, 0.0), (20, 3, 2, 0.0)]
+    # Of the query's rows only its own is left out, and both rows of id 1 count.
+    want = [(0, 1, 1, 1.0), (0, 2, 1, 1.0), (0, 3, 2, 1.0), (0, 4, 20, 0.0), (20, 1, 0, 0.0), (20, 2, 1, 0.0), (20, 3, 1, 0.0), (20, 4, 2, 0.0)]
     assert got == want
     # Vectors of other sizes are compared with their kind; a vec_id with another vector is a row of its own.
     more = spark.createDataFrame([(40, [2.0], "x"), (60, [3.0, 1.0, 1.0], "x"), (2, [0.5, 0.5], "x")], df.schema)
     got = sorted(tuple(r) for r in ann.neighbours(df.unionByName(more), F.expr("vec_id % 20 = 0"), 20).collect())
-    assert got == sorted([(0, 1, 1, 1.0), (0, 2, 2, 1.0), (0, 3, 2, 0.5), (0, 4, 20, 0.0), (20, 1, 2, 0.5), (20, 2, 0, 0.0), (20, 3, 1, 0.0), (20, 4, 2, 0.0), (40, 1, 8, 2.0)])
+    assert got == sorted([(0, 1, 1, 1.0), (0, 2, 1, 1.0), (0, 3, 2, 1.0), (0, 4, 2, 0.5), (0, 5, 20, 0.0), (20, 1, 2, 0.5), (20, 2, 0, 0.0), (20, 3, 1, 0.0), (20, 4, 1, 0.0), (20, 5, 2, 0.0), (40, 1, 8, 2.0)])
     assert ann.neighbours(df.limit(0), F.expr("vec_id % 20 = 0")).count() == 0
 
 
+@pytest.mark.parametrize("list_size", [ann.LIST_SIZE, 4])
+def test_repeated_rows_by_brute_force(spark, monkeypatch, list_size):
+    """Repeated ids and rows: every row but the query's own is a candidate."""
+    monkeypatch.setattr(ann, "LIST_SIZE", list_size)
+    rng = np.random.default_rng(4)
+    rows = [(0, [1.0, 0.0]), (0, [0.5, 0.25]), (1, [0.5, 0.5]), (1, [0.5, 0.5]), (2, [0.25, 0.125])]
+    rows += [(int(rng.integers(0, 60)), [float(x) for x in rng.integers(-3, 4, 2)]) for _ in range(60)]
+    rows = [r for r in rows if any(r[1])]
+    found = {}
+    for r in ann.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.expr("vec_id % 20 = 0"), 70).collect():
+        found.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    want = {}
+    for k, (q, v) in enumerate(rows):
+        if q % 20 == 0:
+            others = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for j, (i, w) in enumerate(rows) if j != k)
+            want.setdefault(q, []).extend((n + 1, i, -s) for n, (s, i) in enumerate(others))
+    assert {q: sorted(f) for q, f in found.items()} == {q: sorted(f) for q, f in want.items()}
+
+
 # ---- HTML
 
 
@@ -729,3 +749,21 @@ def test_pipeline_keeps_differing_texts(spark, tmp_path):
     rows = documents(spark, [text[0], text[1], text[0], text[2], text[2], text[2], text[0]], [5, 5, 3, None, 9, 9, 5])
     got = sorted(((r["doc_id"], r["text"]) for r in pipe.drop_near_copies(spark, rows, str(tmp_path)).collect()), key=repr)
     assert got == sorted([(3, text[0]), (5, text[1]), (9, text[2])], key=repr)
+
+
+def test_pipeline_any_columns(spark, tmp_path):
+    """Maps, plain and nested, and columns named like the stages' own; rows without text stay in the join."""
+    import corpus_pipeline as pipe
+
+    text = "one two three four five six seven eight"
+    rows = documents(spark, [text, text, None, None, ""], [1, 2, 3, 3, 3])
+    for c in ("quality_score", "toxicity_score", "row_number", "doc_id_of_row", "component_id", "text_", "row"):
+        rows = rows.withColumn(c, F.lit("clash"))
+    rows = rows.withColumn("m", F.create_map(F.lit("a"), F.col("doc_id"))).withColumn("nested", F.array(F.struct(F.create_map(F.lit("b"), F.lit(1)).alias("x"))))
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    kept = pipe.drop_near_copies(spark, rows, str(tmp_path))
+    assert kept.columns == rows.columns
+    assert sorted((r["doc_id"], r["text"] or "") for r in kept.collect()) == [(1, text), (3, ""), (3, ""), (3, "")]
+    for _, stage in pipe.STAGES[:2]:
+        assert stage(spark, rows, str(tmp_path)).columns == rows.columns
