@@ -37,19 +37,18 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents whose 5-word shingles link them at a similarity of 0.8, the one with the least doc_id (null counts
-    as the largest) stays. Rows are told apart by a hash of all their columns: rows that share a doc_id but not their
-    texts are judged by their texts, and of rows that repeat in full one stays."""
+    as the largest; of one id, the row read first) stays. Rows are numbered and written, so that it doesn't matter what
+    their columns are or repeat; rows without text link with nothing and stay."""
     row, id_ = _unused(docs, "row_number"), _unused(docs, "doc_id_of_row")
-    hashed = [c for c, kind in docs.dtypes if not kind.startswith("map")]
-    rows = docs.withColumn(row, F.xxhash64(*[F.col(f"`{c}`") for c in hashed]))
+    rows = written(docs.withColumn(row, F.monotonically_increasing_id()), "pipeline-rows")
     classes = ngram_join.jaccard_components(rows.select(F.col(row).alias("doc_id"), "text"), width=5, threshold="0.8")
-    alike = written(classes.select(F.col("doc_id").alias(row), "component_id").distinct(), "pipeline-classes")
+    alike = written(classes.select(F.col("doc_id").alias(row), "component_id"), "pipeline-classes")
     # Only classes of several rows lose any; the first of each is found without its texts.
     many = alike.groupBy("component_id").count().where("count > 1").select("component_id")
-    members = alike.join(many, "component_id").join(rows.select(row, F.col("doc_id").alias(id_)).distinct(), row)
+    members = alike.join(many, "component_id").join(rows.select(row, F.col("doc_id").alias(id_)), row)
     first = members.groupBy("component_id").agg(F.min(F.struct(F.col(id_).isNull(), F.col(id_), F.col(row)))[row].alias(row))
-    copies = members.select(row).distinct().join(first, row, "left_anti")
-    return rows.join(copies.hint("merge"), row, "left_anti").dropDuplicates([row]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    copies = members.select(row).join(first, row, "left_anti")
+    return rows.join(copies.hint("merge"), row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
