@@ -1,19 +1,17 @@
 """The subgenome-filtered variant analysis, assembled: one parse of a VCF's text gives the filter's audit, the eligible
-sites with their dosage arrays, sampled conditions, and the components, ranks and stability of every condition and panel."""
+sites with their dosage arrays, and sampled conditions, which sensitivity.py compares."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from allelix.functions.scalars import format_index, gt_dosage, is_biallelic_snp, keeps_contig, subgenome_of
-from allelix.operators import sampling, stability
+from allelix.operators import sampling
 from allelix.sources.readers import vcf_records
 
-Sample = tuple[str, str]
-
 
 def _mean(dosages: Column, places: Sequence[int]) -> Column:
     """Mean allele frequency of the samples at these places of a dosage array; NULL without a call."""
@@ -85,28 +83,3 @@ def conditions(sites: DataFrame, sizes: Sequence[int], seeds: Sequence[int], res
     if out is None:
         raise ValueError("no seed and no reservoir: nothing to sample")
     return out
-
-
-def panel_scores(sampled: DataFrame, samples: Sequence[Sample], panels: dict[str, Sequence[int]], groups: tuple[str, str], k: int = 5) -> DataFrame:
-    """component_scores() of every condition and panel: condition, panel_type, sample_id, grp, scores, affinity,
-    explained. panels: name -> places of its samples in the dosage arrays."""
-    out = None
-    for name, places in panels.items():
-        own = sampled.select("condition", F.array(*[F.get("dosages", F.lit(p)) for p in places]).alias("dosages"))
-        scores = stability.component_scores(own, "condition", "dosages", [samples[p] for p in places], groups, k).withColumn("panel_type", F.lit(name))
-        out = scores if out is None else out.unionByName(scores)
-    return out
-
-
-def ranked(scores: DataFrame, group: str) -> DataFrame:
-    """scores with the rank of affinity inside one group (1: most), by condition and panel."""
-    within = F.when(F.col("grp") == group, F.col("affinity"))
-    place = F.rank().over(Window.partitionBy("condition", "panel_type").orderBy(F.desc_nulls_last(within)))
-    return scores.withColumn("within_rank", F.when(within.isNotNull(), place))
-
-
-def centroid_gap(scores: DataFrame, a: str, b: str) -> DataFrame:
-    """condition, panel_type, n_samples and the distance of two groups' centroids."""
-    long = scores.select("condition", "panel_type", "sample_id", "grp", F.posexplode("scores").alias("pc", "x"))
-    mean = long.groupBy("condition", "panel_type", "pc").agg(*[F.avg(F.when(F.col("grp") == g, F.col("x"))).alias(n) for g, n in ((a, "_a"), (b, "_b"))], F.count("*").alias("n_samples"))
-    return mean.groupBy("condition", "panel_type").agg(F.max("n_samples").alias("n_samples"), F.sqrt(F.sum((F.col("_a") - F.col("_b")) * (F.col("_a") - F.col("_b")))).alias("centroid_distance"))

@@ -11,7 +11,7 @@ from allelix.functions.lineage import fixed, scratch
 from allelix.operators import intervals as I
 from allelix.operators import marts as K
 from allelix.operators import popgen as G
-from allelix.operators import stability as B
+from allelix.operators import sensitivity as A
 from allelix.operators import variants as V
 from allelix.plans.registry import PANEL, groups, panel_rows, query, rounded, table
 from allelix.sources import ranges, readers, sinks
@@ -132,29 +132,82 @@ def vcf_conditions(spark: SparkSession, d: str) -> DataFrame:
     return sampled(found).groupBy("condition").agg(F.count("*").alias("n_sites"), F.sum("pos").alias("sum_pos"))
 
 
+def eligible(found: DataFrame) -> DataFrame:
+    """The eligible sites, written once: samples and matrices come from one scan."""
+    return fixed(found.where("eligible").select("contig", "pos", "ref", "alt", "maf", "abs_delta_af", "dosages", F.col("pos").alias("site_id")))
+
+
 def sampled(found: DataFrame) -> DataFrame:
-    # One scan for all samples of it.
-    sites = fixed(found.where("eligible").select("contig", "pos", "ref", "alt", "dosages", F.col("pos").alias("site_id")))
-    return fixed(V.conditions(sites, [40, 80, 160], [11, 23, 37, 51, 91731], (100, 7)))
+    return fixed(V.conditions(eligible(found), SIZES, SEEDS, (100, 7)))
+
+
+SIZES, SEEDS, BASE, COMPARED = [20, 40, 80, 160], [11, 23, 37, 51, 91731], "filtered_reservoir_100", ("AMERICA", "EUROPE")
+
+
+def panels(spark: SparkSession, d: str) -> dict[str, list[tuple[int, str]]]:
+    """Places and groups of the whole panel's samples, and of a part's."""
+    grp = list(enumerate(scan_groups(spark, d)))
+    return {"full_panel": grp, "arabica_only": [(k, g) for k, g in grp if g in ("AMERICA", "EUROPE", "AFRICA")]}
+
+
+def in_conditions(spark: SparkSession, d: str) -> DataFrame:
+    """Eligible sites and the conditions that hold them: nested samples of each seed, a reservoir, and all sites."""
+    sites = eligible(scan(spark, d, "sgC", "matching_plus_unassigned")[1])
+    return A.memberships(sites, V.conditions(sites, SIZES, SEEDS, (100, 7)).select("condition", "site_id"))
+
+
+def analysed(spark: SparkSession, d: str) -> tuple[DataFrame, dict[str, list[tuple[str, str]]]]:
+    """Components of every condition and panel, a row each, and the panels' samples."""
+    of = panels(spark, d)
+    samples = {name: [(f"n{k}", g) for k, g in rows] for name, rows in of.items()}
+    matrices = A.grams(in_conditions(spark, d), {name: [k for k, _ in rows] for name, rows in of.items()})
+    return fixed(A.components(matrices, samples, COMPARED)), samples
 
 
 @query()
 def vcf_stability(spark: SparkSession, d: str) -> DataFrame:
-    """Components, ranks and centroid distances of all conditions and both panels, against the reservoir's; the tests
-    hold them against numpy."""
-    _, found = scan(spark, d, "sgC", "matching_plus_unassigned")
-    grp = scan_groups(spark, d)
-    some = [k for k, g in enumerate(grp) if g in ("AMERICA", "EUROPE", "AFRICA")]
-    scores = V.panel_scores(sampled(found), [(f"n{k}", g) for k, g in enumerate(grp)], {"full_panel": range(len(grp)), "arabica_only": some}, ("AMERICA", "EUROPE"))
-    gaps = V.centroid_gap(scores, "AMERICA", "EUROPE")
-    tagged = scores.withColumn("condition", F.concat_ws("/", "panel_type", "condition"))
-    out = None
-    for panel in ("full_panel", "arabica_only"):
-        own = tagged.where(F.col("panel_type") == panel)
-        base = f"{panel}/filtered_reservoir_100"
-        both = B.component_stability(own, base).join(B.rank_agreement(B.affinity_ranks(own, "EUROPE"), base, 3), "condition")
-        out = both if out is None else out.unionByName(both)
-    return out.join(gaps.select(F.concat_ws("/", "panel_type", "condition").alias("condition"), "centroid_distance"), "condition")
+    """Components, ranks and centroid distances of all conditions, all eligible sites among them, and both panels,
+    against the reservoir's; the tests hold them against numpy."""
+    found, samples = analysed(spark, d)
+    by = ["condition", "panel_type"]
+    agreed = A.rank_agreement(A.sample_scores(found, samples, "EUROPE"), BASE, 3)
+    size = F.create_map(*[F.lit(x) for p, rows in samples.items() for x in (p, len(rows))])
+    out = found.select(*by, "n_sites", "n_variable", F.col("separation").alias("centroid_distance"), F.element_at(size, F.col("panel_type")).alias("n_samples"))
+    out = out.join(A.stability(found, samples, BASE), by).join(agreed, by)
+    return out.withColumn("condition", F.concat_ws("/", "panel_type", "condition")).drop("panel_type")
+
+
+@query()
+def vcf_component_variance(spark: SparkSession, d: str) -> DataFrame:
+    """Explained variance by component, condition and panel."""
+    return A.variances(analysed(spark, d)[0])
+
+
+@query()
+def vcf_diploid_sensitivity(spark: SparkSession, d: str) -> DataFrame:
+    """A part's samples within the whole panel's components against the part's own, by condition."""
+    found, samples = analysed(spark, d)
+    return A.restricted(found, samples, "full_panel", "arabica_only", COMPARED)
+
+
+@query()
+def vcf_interval_stability(spark: SparkSession, d: str) -> DataFrame:
+    """The top markers' interval of every condition, against the reservoir's."""
+    return A.intervals(in_conditions(spark, d), 50, BASE)
+
+
+@query(f"""WITH {SCAN}, e AS (SELECT contig, pos, maf, abs(af_a - af_b) AS x FROM s WHERE ok AND class IN ('sgC', 'unassigned')),
+c AS (SELECT 'all_eligible' AS condition, * FROM e UNION ALL SELECT 'part_' || ((pos - 1) // 1000) % 3, * FROM e),
+z AS (SELECT condition, count(*) AS n_sites FROM c GROUP BY 1), m AS (SELECT *, row_number() OVER (PARTITION BY condition ORDER BY x DESC, maf DESC, pos) AS r FROM c WHERE x IS NOT NULL),
+b AS (SELECT condition, contig, count(*) AS n_top, min(pos) AS i, max(pos) AS j, avg(x) AS mean_x, max(x) AS max_x FROM m WHERE r <= 50 GROUP BY 1, 2),
+f AS (SELECT *, row_number() OVER (PARTITION BY condition ORDER BY n_top DESC, max_x DESC, mean_x DESC, contig) AS r FROM b), g AS (SELECT * FROM f WHERE r = 1), o AS (SELECT contig AS oc, i AS oi, j AS oj FROM g WHERE condition = 'all_eligible')
+SELECT z.condition, n_sites, contig AS top_contig, n_top, i AS interval_start, j AS interval_end, j - i AS span_bp, round(mean_x, 9) AS mean_abs_delta_af, round(max_x, 9) AS max_abs_delta_af, contig = oc AS same_top_contig,
+  round(CASE WHEN contig = oc THEN greatest(0, least(j, oj) - greatest(i, oi)) / nullif(greatest(j, oj) - least(i, oi), 0)::double ELSE 0 END, 9) AS jaccard, i - oi AS start_shift_bp, j - oj AS end_shift_bp FROM z JOIN g USING (condition) CROSS JOIN o""")
+def vcf_interval_conditions(spark: SparkSession, d: str) -> DataFrame:
+    """The same for thirds of the sites, against all of them."""
+    sites = eligible(scan(spark, d, "sgC", "matching_plus_unassigned")[1])
+    thirds = sites.select(F.concat(F.lit("part_"), F.expr("((pos - 1) div 1000) % 3").cast("string")).alias("condition"), "site_id")
+    return rounded(A.intervals(A.memberships(sites, thirds), 50, A.ALL))
 
 
 # ---- annotations

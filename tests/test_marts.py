@@ -4,6 +4,7 @@ import datetime
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,7 +78,7 @@ def test_conditions_are_prefixes(spark, small):
         def key(r):
             return int(sampling.splitmix64(np.array([sampling.fnv1a64(r["contig"]) ^ (r["pos"] * 0xD6E8FEB86659FD93 & mask) ^ sampling.fnv1a64(f"{r['ref']}>{r['alt']}") ^ seed], np.uint64))[0])
         order = [r["pos"] for r in sorted(sites, key=key)]
-        for size in (40, 80, 160):
+        for size in (20, 40, 80, 160):
             assert by[f"priority_seed_{seed}_{size}"] == set(order[:size])
     rng, held = random.Random(7), []
     for i, r in enumerate(sites):
@@ -93,11 +94,18 @@ def test_stability_of_conditions(spark, small):
     _, found = formats.scan(spark, small, "sgC", "matching_plus_unassigned")
     grp = formats.scan_groups(spark, small)
     data = {}
-    for r in formats.sampled(found).select("condition", "dosages").collect():
+    every = formats.eligible(found).select(F.lit("all_eligible").alias("condition"), "dosages")
+    for r in formats.sampled(found).select("condition", "dosages").unionByName(every).collect():
         data.setdefault(r["condition"], []).append([np.nan if v is None else v for v in r["dosages"]])
+    assert len(data) == 22
     got = {r["condition"]: r for r in formats.vcf_stability(spark, small).collect()}
     assert len(got) == 2 * len(data)
     some = [k for k, g in enumerate(grp) if g in ("AMERICA", "EUROPE", "AFRICA")]
+    variance = {}
+    for r in formats.vcf_component_variance(spark, small).collect():
+        variance.setdefault((r["panel_type"], r["condition"]), {})[r["component"]] = r["explained_variance_ratio"]
+    restricted = {r["condition"]: r for r in formats.vcf_diploid_sensitivity(spark, small).collect()}
+    wide = {}
     for panel, places in (("full_panel", list(range(25))), ("arabica_only", some)):
         own = np.array(grp)[places]
         scores = {c: linalg.principal_components((z := linalg.standardised(np.array(x, float)[:, places])).T @ z, 5)[0] for c, x in data.items()}
@@ -108,7 +116,23 @@ def test_stability_of_conditions(spark, small):
             r = got[f"{panel}/{c}"]
             assert r["distance_correlation"] == pytest.approx(np.corrcoef(away(s), away(base))[0, 1], abs=1e-6)
             assert r["similarity"] == pytest.approx(linalg.procrustes(base, s)[0], abs=1e-6)
-            assert r["centroid_distance"] == pytest.approx(np.linalg.norm(s[own == "AMERICA"].mean(0) - s[own == "EUROPE"].mean(0)), abs=1e-6)
+            gap = lambda m: np.linalg.norm(m[own == "AMERICA"].mean(0) - m[own == "EUROPE"].mean(0))
+            assert r["centroid_distance"] == pytest.approx(gap(s), abs=1e-6)
+            assert r["n_sites"] == len(data[c]) and r["n_samples"] == len(places)
+            near = lambda m: np.linalg.norm(m - m[own == "AMERICA"].mean(0), axis=1) - np.linalg.norm(m - m[own == "EUROPE"].mean(0), axis=1)
+            assert r["spearman"] == pytest.approx(np.corrcoef(pd.Series(near(s).round(9)).rank(), pd.Series(near(base).round(9)).rank())[0, 1], abs=1e-6)
+            best = lambda m: set(np.flatnonzero(pd.Series(-near(m)).where(own == "EUROPE").round(9).rank(method="min") <= 3).tolist())
+            assert r["shared_best"] == len(best(s) & best(base))
+            z = linalg.standardised(np.array(data[c], float)[:, places])
+            values = np.sort(np.linalg.eigvalsh(z.T @ z))[::-1]
+            assert [variance[panel, c][f"PC{k + 1}"] for k in range(5)] == pytest.approx((values[:5] / values.sum()).tolist(), abs=1e-9)
+            if panel == "full_panel":
+                wide[c] = s
+            else:
+                d, part = restricted[c], wide[c][places]
+                assert d["distance_correlation"] == pytest.approx(np.corrcoef(away(part), away(s))[0, 1], abs=1e-6)
+                assert d["similarity"] == pytest.approx(linalg.procrustes(part, s)[0], abs=1e-6)
+                assert (d["separation_whole"], d["separation_part"], d["separation_ratio"]) == pytest.approx((gap(part), gap(s), gap(s) / gap(part)), abs=1e-6)
 
 
 def test_identity_of_any_dosage(spark):
