@@ -61,8 +61,8 @@ def counted(df: DataFrame, value: str, by: Sequence[str] = (), descending: bool
     return met.select(*by, value, "_n", (F.col("_in") + F.coalesce("_start", zero)).alias("_before"))
 
 
-def _with(df: DataFrame, counts: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows with their value's counts; NULL keys meet."""
+def with_facts(df: DataFrame, counts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows with their keys' facts (a row each); NULL keys meet."""
     right = counts.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in counts.columns if c not in keys])
     same = F.lit(True)
     for k in keys:
@@ -73,7 +73,7 @@ def _with(df: DataFrame, counts: DataFrame, keys: Sequence[str]) -> DataFrame:
 def with_average_rank(df: DataFrame, value: str, name: str, by: Sequence[str] = (), descending: bool = False, nulls: str = "keep") -> DataFrame:
     """average_rank() as a column ``name`` of a table of any size."""
     rank = F.col("_before") + 1 + (F.col("_n") - 1) / F.lit(2).cast("double")
-    ranked = _with(df, counted(df, value, by, descending), [*by, value])
+    ranked = with_facts(df, counted(df, value, by, descending), [*by, value])
     return ranked.withColumn(name, rank if nulls == "bottom" else F.when(F.col(value).isNotNull(), rank)).drop("_n", "_before")
 
 
@@ -81,14 +81,14 @@ def with_percentile_rank(df: DataFrame, value: str, name: str, by: Sequence[str]
     """percentile_rank() as a column ``name`` of a table of any size."""
     ranked = with_average_rank(df, value, name, by, descending=not higher_is_better)
     known = df.groupBy(*by).agg(F.count(value).alias("_known"))
-    met = _with(ranked, known, by) if by else ranked.join(F.broadcast(known))  # one row
+    met = with_facts(ranked, known, by) if by else ranked.join(F.broadcast(known))  # one row
     return met.withColumn(name, F.col(name) / F.nullif(F.col("_known"), F.lit(0))).drop("_known")
 
 
 def with_min_rank(df: DataFrame, value: str, name: str, by: Sequence[str] = (), descending: bool = True, within: Column | None = None) -> DataFrame:
     """min_rank() as a column ``name`` of a table of any size."""
     rows = df.withColumn("_value", F.col(value) if within is None else F.when(within, F.col(value)))
-    ranked = _with(rows, counted(rows, "_value", by, descending), [*by, "_value"])
+    ranked = with_facts(rows, counted(rows, "_value", by, descending), [*by, "_value"])
     return ranked.withColumn(name, F.when(F.col("_value").isNotNull(), F.col("_before") + 1)).drop("_value", "_n", "_before")
 
 
@@ -98,5 +98,5 @@ def medians(df: DataFrame, value: str, by: Sequence[str], name: str) -> DataFram
     total = counts.groupBy(*by).agg(F.sum("_n").alias("_total"))
     holds = lambda at: ((F.col("_before") <= at) & (at < F.col("_before") + F.col("_n"))).cast("int")
     times = holds(F.floor((F.col("_total") - 1) / 2)) + holds(F.floor(F.col("_total") / 2))
-    met = _with(counts, total, by).withColumn("_times", times).where("_times > 0")
+    met = with_facts(counts, total, by).withColumn("_times", times).where("_times > 0")
     return met.groupBy(*by).agg((F.sum(F.col(value) * F.col("_times")) / 2).alias(name))

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from allelix.functions.ranking import average_rank, best_rows
+from allelix.functions.ranking import best_rows, medians, with_average_rank
 from allelix.functions.scalars import confidence, interval_jaccard, seqid
 from allelix.operators import intervals as I
 from allelix.operators.linalg import pearson, weighted_mean
@@ -23,8 +23,9 @@ def coverage_by_target(hits: DataFrame, keys: Sequence[str], span: Column) -> Da
     """keys…, target: covered source bases and their share of span, median identity, chunks and hits."""
     best = best_hits(hits, [*keys, "query", "target"])
     covered = I.union_length(best, [*keys, "target"], "source_start", "source_end")
-    stats = best.groupBy(*keys, "target").agg(F.median("pident").alias("median_identity"), F.count_distinct("query").alias("n_chunks"), F.count("*").alias("n_hits"))
-    return covered.join(stats, [*keys, "target"]).withColumn("fraction", F.col("covered") / span)
+    stats = best.groupBy(*keys, "target").agg(F.count_distinct("query").alias("n_chunks"), F.count("*").alias("n_hits"))
+    middle = medians(best, "pident", [*keys, "target"], "median_identity")
+    return covered.join(stats, [*keys, "target"]).join(middle, [*keys, "target"], "left").withColumn("fraction", F.col("covered") / span)
 
 
 def interval_mapping(hits: DataFrame, regions: DataFrame) -> DataFrame:
@@ -56,7 +57,7 @@ def chromosome_support(hits: DataFrame, regions: DataFrame) -> DataFrame:
     top = best_hits(tagged, ["region", "query"]).groupBy("region").agg(F.avg((F.col("target") == F.col("expected")).cast("double")).alias("top_fraction"), F.count("*").alias("n_queries"))
     own = best_hits(tagged.where("target = expected"), ["region", "query"])
     mid = own.withColumn("sm", (F.col("source_start") + F.col("source_end")) / F.lit(2.0)).withColumn("tm", (F.col("target_start") + F.col("target_end")) / F.lit(2.0))
-    ranked = mid.select("*", average_rank("sm", ["region"]).alias("rs"), average_rank("tm", ["region"]).alias("rt"))
+    ranked = with_average_rank(with_average_rank(mid, "sm", "rs", ["region"]), "tm", "rt", ["region"])
     stats = ranked.groupBy("region").agg(weighted_mean("pident", "length").alias("weighted_identity"), F.avg((F.col("strand") >= 0).cast("double")).alias("forward_fraction"), pearson("rs", "rt").alias("order_spearman"))
     covered = I.union_length(own, ["region", "span"], "source_start", "source_end").select("region", (F.col("covered") / F.col("span")).alias("fraction"))
     rest = best_hits(tagged.where("target <> expected"), ["region", "target", "query"])

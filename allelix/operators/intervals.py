@@ -1,7 +1,7 @@
 """Interval algebra over closed, 1-based intervals, as windows and joins.
 
-Sequential steps (merging, gaps) are windows over sorted starts. They are partitioned by the caller's keys and, inside
-a key, by coarse bins where asked for, so that one long contig isn't one task."""
+Sequential steps (merging, gaps) run over sorted starts. Merging deals sorted ranges to tasks and carries each range's
+reach on to the next, so that one long contig isn't one task."""
 
 from __future__ import annotations
 
@@ -11,10 +11,37 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from allelix.functions.lineage import fixed
-
-
-def merged(df: DataFrame, by: Sequence[str], start: str = "start", end: str = "end", max_gap: int = 0) -> DataFrame:
-    """Islands of intervals that overlap, touch, or lie within max_gap: by…, start, end, n."""
+from allelix.functions.ranking import with_facts
+
+
+def merged(df: DataFrame, by: Sequence[str], start: str = "start", end: str = "end", max_gap: int = 0, weight: str | None = None) -> DataFrame:
+    """Islands of intervals that overlap, touch, or lie within max_gap: by…, start, end, n (how many, or the sum of their
+    weights); for keys of any size.
+
+    Distinct intervals are dealt by sorted ranges. Within a range, a running maximum of ends tells where islands begin;
+    how far the ranges before it reach, and which island was open at their end, is carried over one row for each key and
+    range. Islands then meet as aggregates."""
+    rows = df.where(F.col(start).isNotNull() & F.col(end).isNotNull()).select(*by, F.least(start, end).alias("start"), F.greatest(start, end).alias("end"), (F.col(weight) if weight else F.lit(1)).cast("long").alias("_w"))
+    distinct = rows.groupBy(*by, "start", "end").agg(F.sum("_w").alias("n"))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = fixed(distinct.repartitionByRange(parts, *by, "start", "end").withColumn("_part", F.spark_partition_id()))
+    own = [*by, "_part"]
+    order = Window.partitionBy(*own).orderBy("start", "end")
+    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    tops = dealt.groupBy(*own).agg(F.max("end").alias("_top")).select(*own, F.max("_top").over(before).alias("_from"))
+    reach = F.greatest(F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)), "_from")
+    new = F.when(F.col("start") <= reach + max_gap + 1, 0).otherwise(1)
+    local = with_facts(dealt, tops, own).withColumn("_new", new).withColumn("_at", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    local = local.groupBy(*own, "_at").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n"))
+    # What stands before a range's first beginning belongs to the island that began last before the range.
+    begun = F.when(F.col("_last") > 0, F.struct(F.col("_part").alias("_p"), F.col("_last").alias("_a")))
+    open_ = local.groupBy(*own).agg(F.max("_at").alias("_last")).select(*own, F.last(begun, True).over(before).alias("_open"))
+    island = F.when(F.col("_at") > 0, F.struct(F.col("_part").alias("_p"), F.col("_at").alias("_a"))).otherwise(F.col("_open"))
+    return with_facts(local, open_, own).groupBy(*by, island.alias("_island")).agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n")).drop("_island")
+
+
+def merged_within(df: DataFrame, by: Sequence[str], start: str = "start", end: str = "end", max_gap: int = 0) -> DataFrame:
+    """The same for keys that a task each can hold (users, bins): one shuffle, and no range to be found."""
     rows = df.where(F.col(start).isNotNull() & F.col(end).isNotNull()).select(*by, F.least(start, end).alias("start"), F.greatest(start, end).alias("end"))
     order = Window.partitionBy(*by).orderBy("start", "end")
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
@@ -24,15 +51,11 @@ def merged(df: DataFrame, by: Sequence[str], start: str = "start", end: str = "e
 
 
 def merged_binned(df: DataFrame, by: Sequence[str], width: int, start: str = "start", end: str = "end", max_gap: int = 0) -> DataFrame:
-    """The same for keys with very many intervals: islands inside bins of ``width`` first, then islands of islands.
-    Intervals go to the bin of their start; merging what bins leave is exact, and there is far less of it."""
+    """The same where intervals are many times denser than bins of ``width``: islands inside bins first, then islands of
+    what these leave, by ranges."""
     rows = df.withColumn("_bin", F.floor(F.least(start, end) / F.lit(width)))
-    first = merged(rows, [*by, "_bin"], start, end, max_gap).withColumnRenamed("n", "_n").drop("_bin")
-    order = Window.partitionBy(*by).orderBy("start", "end")
-    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    islands = first.withColumn("_reach", reach).withColumn("_new", F.when(F.col("start") <= F.col("_reach") + max_gap + 1, 0).otherwise(1))
-    islands = islands.withColumn("_island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return islands.groupBy(*by, "_island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("_n").cast("long").alias("n")).drop("_island")
+    first = merged_within(rows, [*by, "_bin"], start, end, max_gap).select(*by, "start", "end", F.col("n").alias("_n"))
+    return merged(first, by, max_gap=max_gap, weight="_n")
 
 
 def _islands(df: DataFrame, by: Sequence[str], start: str, end: str, max_gap: int, width: int | None) -> DataFrame:

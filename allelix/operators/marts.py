@@ -8,8 +8,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from allelix.functions.ranking import best_rows, percentile_rank
+from allelix.functions.ranking import best_rows, percentile_rank, with_facts
 from allelix.functions.scalars import sign_label, term_hits
+from allelix.operators.sampling import ordinals
 
 RATES = ("het_rate", "call_rate", "nonref_rate")
 
@@ -93,9 +94,11 @@ def gene_shortlist(genes: DataFrame, with_hits_only: bool = True) -> DataFrame:
     """genes (subgenome, gene_id, gene_name, hits, priority, overlap_bp, ordinal) with their place by priority within the
     subgenome (equal ones in the order of ordinal) and their place over all by hits, priority, overlap and name."""
     rows = genes.where("hits > 0") if with_hits_only else genes
-    first = F.row_number().over(Window.partitionBy("subgenome").orderBy(F.desc("priority"), F.asc("ordinal")))
-    every = F.row_number().over(Window.orderBy(F.desc("hits"), F.desc("priority"), F.desc("overlap_bp"), F.asc("gene_name"), F.asc("ordinal")))
-    return rows.withColumns({"within_subgenome_rank": first, "global_candidate_rank": every})
+    within = ordinals(rows, [F.asc("subgenome"), F.desc("priority"), F.asc("ordinal")], "_place")
+    starts = within.groupBy("subgenome").agg(F.min("_place").alias("_first"))
+    ranked = with_facts(within, starts, ["subgenome"]).withColumn("within_subgenome_rank", F.col("_place") - F.col("_first") + 1).drop("_place", "_first")
+    every = [F.desc("hits"), F.desc("priority"), F.desc("overlap_bp"), F.asc("gene_name"), F.asc("ordinal")]
+    return ordinals(ranked, every, "_place").withColumn("global_candidate_rank", F.col("_place") + 1).drop("_place")
 
 
 def top_of(df: DataFrame, n: int, order: Sequence[Column]) -> DataFrame:

@@ -19,18 +19,18 @@ def _mean(dosages: Column, places: Sequence[int]) -> Column:
     return F.aggregate(known, F.lit(0.0), lambda a, x: a + x / F.lit(2.0)) / F.nullif(F.size(known), F.lit(0))
 
 
-def scanned(text: DataFrame, subgenome: str, mode: str, columns: Sequence[int], groups: Sequence[str], compared: tuple[str, str], call_rate: float = 0.80, maf: float = 0.05) -> DataFrame:
+def scanned(text: DataFrame, subgenome: str, mode: str, columns: Sequence[int], groups: Sequence[str], compared: tuple[str, str], call_rate: float = 0.80, maf: float = 0.05, short: bool = False) -> DataFrame:
     """Records of a VCF's lines with what the filters say: contig, pos, ref, alt, contig_class, retained, snp, dosages
     (array over the panel), called, call_rate, maf, af_a, af_b, abs_delta_af, eligible.
 
     columns: the panel's sample columns (from 0); groups: their groups; compared: the two groups of the difference. A
-    FORMAT without GT is an error."""
-    records = vcf_records(text)
+    FORMAT without GT is an error. short: lines of fewer than ten fields come too, as NULLs, for audit() to count."""
+    records = vcf_records(text, short)
     has_gt = F.array_contains(F.split("format", ":"), "GT")
     place = F.when(has_gt, format_index("format", "GT")).otherwise(F.raise_error(F.concat(F.lit("FORMAT field without GT: "), "format")).cast("int"))
-    kept = keeps_contig("contig", subgenome, mode)
+    kept = F.when(F.col("contig").isNotNull(), keeps_contig("contig", subgenome, mode))
     snp = kept & is_biallelic_snp("ref", "alt")
-    rows = records.withColumns({"contig_class": subgenome_of("contig"), "retained": kept, "snp": snp})
+    rows = records.withColumns({"contig_class": F.when(F.col("contig").isNotNull(), subgenome_of("contig")), "retained": kept, "snp": snp})
     picked = F.transform(F.array(*[F.get("samples", F.lit(c)) for c in columns]), lambda s: gt_dosage(s, F.col("_gt")))
     rows = rows.withColumn("_gt", F.when(snp, place)).withColumn("dosages", F.when(snp, picked))
     known = F.filter("dosages", lambda x: x.isNotNull())
@@ -42,19 +42,18 @@ def scanned(text: DataFrame, subgenome: str, mode: str, columns: Sequence[int],
     return rows.select("contig", "pos", "ref", "alt", "filter", "contig_class", "retained", "snp", "dosages", "called", "call_rate", "maf", "af_a", "af_b", F.abs(F.col("af_a") - F.col("af_b")).alias("abs_delta_af"), F.coalesce(ok, F.lit(False)).alias("eligible"))
 
 
-def audit(lines: DataFrame, scan: DataFrame, subgenome: str) -> DataFrame:
-    """One row of the filter's counters. lines: the text, whose short lines count too."""
+def audit(scan: DataFrame, subgenome: str) -> DataFrame:
+    """One row of the filter's counters, from one pass. scan: with short lines, which the total counts too."""
     opposite = ~F.col("retained") & F.col("contig_class").isin("sgC", "sgE")
-    counts = scan.agg(
+    return scan.agg(
+        F.count("*").alias("variant_lines_total"),
         *[F.count_if(F.col("contig_class") == c).alias(f"records_on_{c}_contigs") for c in ("sgC", "sgE", "unassigned")],
         F.count_if(opposite).alias("opposite_subgenome_records_excluded"),
         F.count_if(~F.col("retained") & ~opposite).alias("unassigned_records_excluded"),
         F.count_if("retained").alias("retained_contig_records"),
         F.count_if("snp").alias("biallelic_snp_lines"),
         F.count_if("eligible").alias("eligible_variants"),
-    )
-    total = lines.where(~F.col("value").startswith("#")).agg(F.count("*").alias("variant_lines_total"))
-    return total.join(counts).select(F.lit(subgenome).alias("subgenome"), "*")  # a row each
+    ).select(F.lit(subgenome).alias("subgenome"), "*")
 
 
 def variant_classes(records: DataFrame) -> DataFrame:

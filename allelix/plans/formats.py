@@ -63,9 +63,10 @@ def _audit_sql(subgenome: str, kept: str) -> str:
 @query(f"WITH {SCAN} {_audit_sql('sgC', '(class = ' + repr('sgC') + ')')} UNION ALL {_audit_sql('sgE', '(class IN (' + repr('sgE') + ', ' + repr('unassigned') + '))')}")
 def vcf_filter_audit(spark: SparkSession, d: str) -> DataFrame:
     """Counters of the contig filter in two modes, over one VCF."""
-    text, strict = scan(spark, d, "sgC", "matching_pseudomolecules_only")
-    loose = V.scanned(text, "sgE", "matching_plus_unassigned", range(25), scan_groups(spark, d), ("AMERICA", "EUROPE"), 0.2, 0.05)
-    return rounded(V.audit(text, strict, "sgC").unionByName(V.audit(text, loose, "sgE")))
+    text, grp = vcf(spark, d)
+    modes = (("sgC", "matching_pseudomolecules_only"), ("sgE", "matching_plus_unassigned"))
+    strict, loose = (V.audit(V.scanned(text, g, mode, range(len(grp)), grp, COMPARED, 0.2, 0.05, short=True), g) for g, mode in modes)
+    return rounded(strict.unionByName(loose))
 
 
 def scan_groups(spark: SparkSession, d: str) -> list[str]:

@@ -265,17 +265,17 @@ m AS (SELECT user_id, min(s) AS s, max(t) AS t, count(*) AS n FROM i GROUP BY us
 
 @query(f"WITH {merge_sql(3600)} SELECT user_id, s AS start, t AS \"end\", n FROM m")
 def interval_merge(spark: SparkSession, d: str) -> DataFrame:
-    return I.merged_binned(spans(spark, d), ["user_id"], 86_400 * 7, max_gap=3600)
+    return I.merged(spans(spark, d), ["user_id"], max_gap=3600)
 
 
 @query(f"WITH {merge_sql(0)} SELECT user_id, sum(t - s + 1)::bigint AS covered FROM m GROUP BY 1")
 def interval_coverage(spark: SparkSession, d: str) -> DataFrame:
-    return I.union_length(spans(spark, d), ["user_id"], width=86_400 * 7)
+    return I.union_length(spans(spark, d), ["user_id"])
 
 
 @query(f"WITH {merge_sql(3600)} SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY s) AS block_index, s AS start, t AS \"end\", t - s + 1 AS span FROM m")
 def interval_blocks(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(I.blocks(spans(spark, d), ["user_id"], 3600, width=86_400 * 7))
+    return rounded(I.blocks(spans(spark, d), ["user_id"], 3600))
 
 
 T0, T1 = 1_704_067_200, 1_706_745_599
@@ -283,7 +283,7 @@ T0, T1 = 1_704_067_200, 1_706_745_599
 
 @query(f"""WITH {merge_sql(0)}, c AS (SELECT * FROM m WHERE t >= {T0} AND s <= {T1}), g AS (SELECT user_id, coalesce(lag(t) OVER (PARTITION BY user_id ORDER BY s) + 1, {T0}) AS a, s - 1 AS b FROM c UNION ALL SELECT user_id, max(t) + 1, {T1} FROM c GROUP BY 1) SELECT user_id, a AS start, b AS "end" FROM g WHERE a <= b""")
 def interval_gaps(spark: SparkSession, d: str) -> DataFrame:
-    return I.gaps(spans(spark, d), ["user_id"], T0, T1, width=86_400 * 7)
+    return I.gaps(spans(spark, d), ["user_id"], T0, T1)
 
 
 @query(f"WITH {SPANS}, p AS (SELECT event_id, s, t, lead(s) OVER (PARTITION BY user_id ORDER BY s, event_id) AS s2, lead(t) OVER (PARTITION BY user_id ORDER BY s, event_id) AS t2 FROM e) SELECT event_id, round(greatest(0, least(t, t2) - greatest(s, s2)) / nullif(greatest(t, t2) - least(s, s2), 0)::double, 9) AS jaccard FROM p WHERE s2 IS NOT NULL")

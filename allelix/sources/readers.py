@@ -35,12 +35,17 @@ def vcf_header(text: DataFrame) -> tuple[list[str], DataFrame, DataFrame]:
     return names, contigs, fields
 
 
-def vcf_records(text: DataFrame) -> DataFrame:
-    """contig, pos, ref, alt, filter, format, samples of lines with ten fields or more."""
+def vcf_records(text: DataFrame, short: bool = False) -> DataFrame:
+    """contig, pos, ref, alt, filter, format, samples of lines with ten fields or more; short: of all lines, with NULLs
+    where one has fewer."""
     f = F.split("value", "\t")
-    rows = text.where(~F.col("value").startswith("#")).select(f.alias("f")).where(F.size("f") >= 10)
-    at = lambda k: F.get("f", F.lit(k))
-    return rows.select(at(0).alias("contig"), at(1).try_cast("long").alias("pos"), at(3).alias("ref"), at(4).alias("alt"), at(6).alias("filter"), at(8).alias("format"), F.slice("f", 10, F.size("f") - 9).alias("samples"))
+    rows = text.where(~F.col("value").startswith("#")).select(f.alias("f"))
+    whole = F.size("f") >= 10
+    if not short:
+        rows = rows.where(whole)
+    at = lambda k: F.when(whole, F.get("f", F.lit(k)))
+    samples = F.when(whole, F.slice("f", 10, F.greatest(F.size("f") - 9, F.lit(0))))
+    return rows.select(at(0).alias("contig"), at(1).try_cast("long").alias("pos"), at(3).alias("ref"), at(4).alias("alt"), at(6).alias("filter"), at(8).alias("format"), samples.alias("samples"))
 
 
 def dosages(records: DataFrame, columns: Sequence[int]) -> DataFrame:

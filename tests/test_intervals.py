@@ -1,5 +1,7 @@
 """Interval algebra against sequential versions."""
 
+import random
+
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -34,6 +36,23 @@ def test_merge(spark, rows, gap):
     assert dict(map(tuple, I.union_length(df, ["k"]).collect())) == covered
 
 
+def test_merge_across_ranges(spark):
+    """A key of many ranges: long intervals that reach over several of them, repeated ones, chains, a NULL key."""
+    rng = random.Random(4)
+    rows = [("a", 1, 40_000), ("a", 60_000, 60_010), ("b", 5, 6), ("c", 1, 1)] + [("b", 5, 6)] * 300
+    rows += [("a", s := rng.randrange(100_000), s + rng.randrange(20)) for _ in range(4_000)] + [("b", 10 + 5 * k, 15 + 5 * k) for k in range(2_000)]
+    df = spark.createDataFrame(rows, "k string, start long, end long")
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    try:
+        for gap in (0, 30):
+            assert sorted(map(tuple, I.merged(df, ["k"], max_gap=gap).collect())) == merged(rows, gap)
+            assert sorted(map(tuple, I.merged_binned(df, ["k"], 500, max_gap=gap).collect())) == merged(rows, gap)
+        none = df.withColumn("k", F.when(F.col("k") != "a", F.col("k")))
+        assert sorted(tuple(r)[1:] for r in I.merged(none.where("k is null"), ["k"]).collect()) == sorted(r[1:] for r in merged([r for r in rows if r[0] == "a"], 0))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
 @few
 @given(rows=spans)
 def test_gaps(spark, rows):
