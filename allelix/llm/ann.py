@@ -41,7 +41,7 @@ LIST_SIZE, CELLS = 256, 4_096
 COPY_RATIO, COPIES = 1.1, 4
 #: A query reads the lists within this ratio of its nearest centroid's distance.
 READ_RATIO = 1.2
-BLOCK, QUERY_BLOCK, DEGREE = 4_096, 1_024, 24
+BLOCK, QUERY_BLOCK, DEGREE = 1_024, 1_024, 24
 #: Rows of one number of components up to which these are compared with all of their kind.
 SMALL = 10_000
 
@@ -241,7 +241,8 @@ def dealt_again(posted: DataFrame, own: DataFrame, top: float, asked: bool, ever
 
 
 def _pack(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """One row for each group: its row numbers, ids and vectors, packed."""
+    """One row for each group: its row numbers, ids and vectors, packed. Groups are dealt by all their keys at once, so
+    that a list's parts don't meet in the task of their list."""
 
     def run(table: pa.Table) -> pa.Table:
         v = _matrix(table.column("v"))
@@ -249,7 +250,8 @@ def _pack(rows: DataFrame, keys: list[str]) -> DataFrame:
         ids = np.stack([np.asarray(table.column(k), np.int64) for k in ("row", "vec_id")], 1)
         return pa.table(out | {"ids": [ids.tobytes()], "data": [v.tobytes()]})
 
-    return rows.groupBy(*keys).applyInArrow(run, ", ".join(f"{k} long" for k in keys) + ", ids binary, data binary")
+    slots = rows.withColumn("_slot", F.concat_ws(":", *keys))
+    return slots.groupBy("_slot").applyInArrow(run, ", ".join(f"{k} long" for k in keys) + ", ids binary, data binary")
 
 
 def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
