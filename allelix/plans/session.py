@@ -12,6 +12,7 @@ def session(cores: int = 8, memory: str = "8g", **conf: str) -> SparkSession:
         "spark.sql.shuffle.partitions": str(cores),
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
     }
