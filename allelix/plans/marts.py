@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from allelix.functions import ranking as R
 from allelix.functions import scalars as S
+from allelix.functions.lineage import fixed
 from allelix.operators import alignment as A
 from allelix.operators import evidence as E
 from allelix.operators import linalg as L
 from allelix.operators import marts as K
 from allelix.operators import popgen as G
-from allelix.plans.registry import CELLS, NAMED, SITES, WINDOW, accessions, cells, good_sites, named_samples, query, rounded, table
+from allelix.plans.registry import CELLS, NAMED, ORACLES, SITES, WINDOW, accessions, cells, good_sites, hits, named_samples, query, regions, rounded, table
 
 SIDES = [("sgC", 0), ("sgE", 1)]
 
@@ -51,8 +52,9 @@ def rescued_quality(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sides(spark: SparkSession, d: str) -> dict[str, DataFrame]:
-    """Qualifying sites as markers of two sides, in two contrasts."""
+    """Qualifying sites as markers of two sides, in two contrasts; written once, as several parts of a plan read them."""
     s = good_sites(spark, d).where("abs_delta_af is not null").withColumn("contrast", F.when(F.col("site_id") % 3 == 0, "x__vs__y").otherwise("x__vs__z")).withColumn("abs_delta_af", F.round("abs_delta_af", 9))
+    s = fixed(s.select("site_id", "contrast", "contig", "pos", "abs_delta_af"))
     return {name: s.where(F.col("site_id") % 2 == k).select("contrast", "contig", "pos", "abs_delta_af") for name, k in SIDES}
 
 
@@ -60,16 +62,17 @@ MARKERS = f"""{CELLS}, {SITES}, mk AS (SELECT CASE WHEN site_id % 2 = 0 THEN 'sg
 h AS (SELECT side, contrast, contig, min(pos) AS lo, max(pos) AS hi, count(*) AS n, avg(abs_delta_af) AS effect FROM mk GROUP BY ALL)"""
 
 
-def shared(spark: SparkSession, d: str) -> DataFrame:
+def shared(of: dict[str, DataFrame]) -> DataFrame:
     """Hotspots by contrast and contig with both sides' spans; where a side has none, its span is NULL."""
-    by = {n: df.groupBy("contrast", "contig").agg(F.min("pos").alias(f"{n}_min_pos"), F.max("pos").alias(f"{n}_max_pos"), F.count("*").alias(f"{n}_n"), F.avg("abs_delta_af").alias(f"{n}_effect")) for n, df in sides(spark, d).items()}
+    by = {n: df.groupBy("contrast", "contig").agg(F.min("pos").alias(f"{n}_min_pos"), F.max("pos").alias(f"{n}_max_pos"), F.count("*").alias(f"{n}_n"), F.avg("abs_delta_af").alias(f"{n}_effect")) for n, df in of.items()}
     return by["sgC"].join(by["sgE"], ["contrast", "contig"], "full")
 
 
 @query(f"WITH {MARKERS}, x AS (SELECT mk.*, row_number() OVER (PARTITION BY mk.side, contrast, contig ORDER BY abs_delta_af DESC, pos) AS k FROM mk JOIN h USING (side, contrast, contig) WHERE pos BETWEEN lo AND hi) SELECT contrast, contig, pos, abs_delta_af, side AS support_category, contrast || '::' || contig AS hotspot_key FROM x WHERE k <= 3")
 def marker_support(spark: SparkSession, d: str) -> DataFrame:
     """The three strongest markers of each hotspot and side."""
-    return rounded(K.marker_support(shared(spark, d), sides(spark, d), 3))
+    of = sides(spark, d)
+    return rounded(K.marker_support(shared(of), of, 3))
 
 
 # Hotspot pairs of both sides by contrast: overlapping ones with a percentile, those apart, and one-sided ones.
@@ -86,11 +89,11 @@ t AS (SELECT *, (pa + pb) / 2 AS strength FROM (SELECT *, (rank() OVER (ORDER BY
 def contrast_parts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """The contrast table and the overlapping hotspot pairs."""
     d_af = F.col("abs_delta_af")
-    overview = None
-    for name, rows in sides(spark, d).items():
+    overview, of = None, sides(spark, d)
+    for name, rows in of.items():
         one = rows.groupBy("contrast").agg(F.count("*").alias("n_markers"), F.round(F.avg(d_af), 9).alias("mean_abs_delta_af"), F.count_if(d_af >= 0.9).alias("n_ge_0_90")).withColumn("subgenome", F.lit(name))
         overview = one if overview is None else overview.unionByName(one)
-    both = shared(spark, d).withColumn("_bp", F.least("sgC_max_pos", "sgE_max_pos") - F.greatest("sgC_min_pos", "sgE_min_pos")).withColumn("_both", F.col("sgC_n").isNotNull() & F.col("sgE_n").isNotNull())
+    both = shared(of).withColumn("_bp", F.least("sgC_max_pos", "sgE_max_pos") - F.greatest("sgC_min_pos", "sgE_min_pos")).withColumn("_both", F.col("sgC_n").isNotNull() & F.col("sgE_n").isNotNull())
     meet = both.where("_both and _bp >= 0").select("contrast", "contig", F.col("_bp").alias("overlap_bp"), (F.col("sgC_n") + F.col("sgE_n")).alias("n_markers"), F.round((F.col("sgC_effect") + F.col("sgE_effect")) / 2, 9).alias("mean_abs_delta_af"))
     pairs = R.with_percentile_rank(meet, "n_markers", "percentile")
     return K.contrast_table(overview, pairs, both.where("_both and _bp < 0").select("contrast", "contig"), both.where("not _both").select("contrast", "contig")), pairs
@@ -137,8 +140,8 @@ def group_parental_means(spark: SparkSession, d: str) -> DataFrame:
     return rounded(K.group_means(evidence(spark, d), "grp", {"mean_combined": "combined", "mean_asymmetry": "asymmetry", "mean_balance": "bal"}))
 
 
-def directions(spark: SparkSession, d: str) -> list[DataFrame]:
-    wide, pairs = contrast_parts(spark, d)
+def directions(spark: SparkSession, d: str, parts: tuple[DataFrame, DataFrame]) -> list[DataFrame]:
+    wide, pairs = parts
     roles = {role: rows for role, _, rows in role_lists(spark, d)}
     found = [K.contrast_directions(wide), K.hotspot_directions(pairs)]
     found.append(K.list_direction(roles["introgressed_reference"], 6, [F.desc("combined"), F.asc("rank"), F.asc("seq_id")], "introgressed_reference", "Introgressed reference accessions", "breeding reference accessions", "top_introgressed", ["combined"], ["bal", "key"], mean_combined=F.avg("combined"), mean_balance=F.avg("bal"), mean_key=F.avg("key"), best_rank=F.min("rank")))
@@ -161,20 +164,22 @@ board AS (SELECT * REPLACE (round(score, 6) AS score) FROM dirs)"""
 _metrics = ", ".join(f"support_metric_{k}_name, round(support_metric_{k}, 9) AS support_metric_{k}" for k in range(1, 5))
 
 
-def board(spark: SparkSession, d: str) -> DataFrame:
+def board(spark: SparkSession, d: str, parts: tuple[DataFrame, DataFrame]) -> DataFrame:
     # Scores are rounded so that both engines rank them alike.
-    return K.scoreboard([x.withColumn("composite_support_score", F.round("composite_support_score", 6)) for x in directions(spark, d)])
+    return K.scoreboard([x.withColumn("composite_support_score", F.round("composite_support_score", 6)) for x in directions(spark, d, parts)])
 
 
 @query(f"WITH {DIRECTIONS} SELECT direction_type, direction_label, support_scope, source_key, score AS composite_support_score, {_metrics}, dense_rank() OVER (ORDER BY score DESC) AS recommended_rank, dense_rank() OVER (ORDER BY score DESC) = 1 AS is_primary_recommendation FROM board")
 def direction_scoreboard(spark: SparkSession, d: str) -> DataFrame:
     """Scored directions of contrasts, shared hotspots and two lists, with their dense rank."""
-    return rounded(board(spark, d))
+    return rounded(board(spark, d, contrast_parts(spark, d)))
 
 
 @query(f"WITH {DIRECTIONS}, f AS (SELECT * FROM board ORDER BY score DESC, direction_type, direction_label LIMIT 1) SELECT 'recommended_direction_type' AS field, direction_type AS value FROM f UNION ALL SELECT 'recommended_direction_label', direction_label FROM f UNION ALL SELECT 'support_scope', support_scope FROM f UNION ALL SELECT 'composite_support_score', printf('%.6f', score) FROM f UNION ALL SELECT 'primary_source_key', source_key FROM f WHERE direction_type IN ('contrast', 'shared_hotspot') UNION ALL SELECT 'top_shared_hotspot_count', count(*)::varchar FROM ov")
 def direction_summary(spark: SparkSession, d: str) -> DataFrame:
-    return K.direction_summary(board(spark, d), top_shared_hotspot_count=contrast_parts(spark, d)[1].count())
+    parts = contrast_parts(spark, d)
+    found = board(spark, d, parts).join(parts[1].agg(F.count("*").alias("_pairs")))  # a row each
+    return K.direction_summary(found, top_shared_hotspot_count=F.col("_pairs"))
 
 
 REGIONS = f"""{CELLS}, {SITES}, x AS (SELECT CASE WHEN site_id % 2 = 0 THEN 'sgC' ELSE 'sgE' END AS subgenome, *, round(abs_delta_af, 9) AS delta FROM good WHERE abs_delta_af IS NOT NULL),
@@ -182,11 +187,14 @@ ctg AS (SELECT subgenome, contig, round(avg(delta), 9) AS m, count(*) FILTER (de
 win AS (SELECT subgenome, contig, ((pos - 1) // {WINDOW}) * {WINDOW} + 1 AS s, round(avg(delta), 9) AS m FROM x GROUP BY ALL),
 c1 AS (SELECT * FROM ctg QUALIFY row_number() OVER (PARTITION BY subgenome ORDER BY n90 DESC, n75 DESC, m DESC, contig) = 1),
 w1 AS (SELECT * FROM win QUALIFY row_number() OVER (PARTITION BY subgenome ORDER BY m DESC, contig, s) = 1),
-b1 AS (SELECT subgenome, min(pos) AS a, max(pos) AS b FROM x GROUP BY 1)"""
+b1 AS (SELECT subgenome, min(pos) AS a, max(pos) AS b FROM x GROUP BY 1),
+nulls AS (SELECT CASE subgenome WHEN 'sgC' THEN 'sgE' ELSE 'sgC' END AS subgenome, contig, max(m) AS v FROM win GROUP BY ALL),
+t1 AS (SELECT w1.subgenome, w1.m AS observed, quantile_cont(v, 0.99) AS null_99, count(v) AS n_valid, CASE WHEN count(v) FILTER (v >= w1.m) > 0 THEN (1 + count(v) FILTER (v >= w1.m)) / (1 + count(v))::double END AS p_value FROM w1 JOIN nulls USING (subgenome) GROUP BY 1, 2)"""
 
 
 def regional(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     x = good_sites(spark, d).where("abs_delta_af is not null").withColumn("subgenome", F.when(F.col("site_id") % 2 == 0, "sgC").otherwise("sgE")).withColumn("delta", F.round("abs_delta_af", 9))
+    x = fixed(x.select("subgenome", "contig", "pos", "delta"))
     mean = F.round(F.avg("delta"), 9).alias("mean_abs_delta_af")
     contigs = x.groupBy("subgenome", "contig").agg(mean, F.count_if(F.col("delta") >= 0.75).alias("n_ge_0_75"), F.count_if(F.col("delta") >= 0.9).alias("n_ge_0_90"))
     contigs = R.best_rows(contigs, ["subgenome"], [F.desc("n_ge_0_90"), F.desc("n_ge_0_75"), F.desc("mean_abs_delta_af"), F.asc("contig")], 1 << 30, "rank")
@@ -194,24 +202,51 @@ def regional(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     windows = x.groupBy("subgenome", "contig", start.alias("window_start")).agg(mean).withColumn("window_end", F.col("window_start") + WINDOW - 1)
     spans = x.groupBy("subgenome").agg(F.min("pos").alias("interval_start"), F.max("pos").alias("interval_end"), F.lit(True).alias("expected_match"), F.lit("base").alias("condition"))
     top = R.best_rows(windows, ["subgenome"], [F.desc("mean_abs_delta_af"), F.asc("contig"), F.asc("window_start")])
-    tests = top.select("subgenome", "window_start", "window_end", F.col("mean_abs_delta_af").alias("observed"), F.lit(0.25).alias("null_99"), F.lit(500).cast("long").alias("n_valid"), F.when(F.col("subgenome") == "sgC", F.lit(0.004)).alias("p_value"))
-    return {"contigs": contigs, "windows": windows, "permutations": tests, "intervals": spans}
+    # The other subgenome's largest means by contig stand for the null; a P value without a hit is left to its bound.
+    other = F.when(F.col("subgenome") == "sgC", "sgE").otherwise("sgC")
+    nulls = windows.groupBy(other.alias("subgenome"), "contig").agg(F.max("mean_abs_delta_af").alias("null"))
+    met = top.select("subgenome", "window_start", "window_end", F.col("mean_abs_delta_af").alias("observed")).join(nulls, "subgenome")
+    hits = F.count_if(F.col("null") >= F.col("observed"))
+    tests = met.groupBy("subgenome", "window_start", "window_end", "observed").agg(F.percentile("null", F.lit(0.99)).alias("null_99"), F.count("null").alias("n_valid"), F.when(hits > 0, (1 + hits) / (1 + F.count("null"))).alias("p_value"))
+    return {"sites": x, "contigs": contigs, "windows": windows, "permutations": tests, "intervals": spans}
 
 
-@query(f"WITH {REGIONS} SELECT c1.subgenome, c1.contig AS top_contig, c1.m AS contig_mean_abs_delta_af, n90 AS n_ge_0_90, s AS window_start, s + {WINDOW - 1} AS window_end, w1.m AS window_mean_abs_delta_af, s AS permutation_window_start, s + {WINDOW - 1} AS permutation_window_end, w1.m AS observed, 0.25::double AS null_99, 500::bigint AS n_valid, CASE WHEN c1.subgenome = 'sgC' THEN 0.004::double END AS p_value, a AS interval_start, b AS interval_end, b - a + 1 AS interval_span_bp, true AS expected_match FROM c1 JOIN w1 USING (subgenome) JOIN b1 USING (subgenome)")
+@query(f"WITH {REGIONS} SELECT c1.subgenome, c1.contig AS top_contig, c1.m AS contig_mean_abs_delta_af, n90 AS n_ge_0_90, s AS window_start, s + {WINDOW - 1} AS window_end, w1.m AS window_mean_abs_delta_af, s AS permutation_window_start, s + {WINDOW - 1} AS permutation_window_end, observed, round(null_99, 9) AS null_99, n_valid, round(p_value, 9) AS p_value, a AS interval_start, b AS interval_end, b - a + 1 AS interval_span_bp, true AS expected_match FROM c1 JOIN w1 USING (subgenome) JOIN b1 USING (subgenome) JOIN t1 USING (subgenome)")
 def top_regions(spark: SparkSession, d: str) -> DataFrame:
     r = regional(spark, d)
     return rounded(K.top_regions(r["contigs"], r["windows"], r["permutations"], r["intervals"], "base"))
 
 
-@query(f"WITH {REGIONS}, n AS (SELECT count(*) FILTER (subgenome = 'sgC') AS c, count(*) FILTER (subgenome = 'sgE') AS e FROM x) SELECT 'Strict subgenome filtering' AS component, 'Pass' AS result, format('sgC eligible variants: {{:,}}; sgE: {{:,}}', c, e) AS evidence FROM n UNION ALL SELECT 'SNP-panel sensitivity', 'Pass', 'Median PCA distance correlation = 0.9981' UNION ALL SELECT 'Accession ranking', 'Pass', 'Median Spearman correlation = 0.9729; median top-six overlap = 6/6' UNION ALL SELECT 'Direct alignment, ' || subgenome, 'Chromosome PASS; boundary WARN', printf('%.1f%% source coverage; %.3f%% identity; top-target fraction %.3f', 70.31::double, 99.643::double, m) FROM c1 UNION ALL SELECT 'Baseline permutation, ' || subgenome, 'Significant', printf('Observed max = %.4f; null 99th = %.4f; empirical P = %.6f', m, 0.25::double, CASE WHEN subgenome = 'sgC' THEN 0.004::double ELSE 1 / 501.0::double END) FROM w1")
+def _correlation(x: str, y: str) -> str:
+    return f"CASE WHEN count(*) >= 3 AND stddev_pop({x}) * stddev_pop({y}) > 0 THEN covar_pop({x}, {y}) / nullif(stddev_pop({x}) * stddev_pop({y}), 0) END"
+
+
+def _mean_rank(x: str) -> str:
+    return f"rank() OVER (ORDER BY {x}) + (count(*) OVER (PARTITION BY {x}) - 1) / 2.0::double"
+
+
+@query(f"""WITH {REGIONS}, n AS (SELECT count(*) FILTER (subgenome = 'sgC') AS c, count(*) FILTER (subgenome = 'sgE') AS e FROM x), cs AS ({ORACLES["chromosome_support"]}),
+wj AS (SELECT a.m AS x, b.m AS y FROM win a JOIN win b ON a.contig = b.contig AND a.s = b.s WHERE a.subgenome = 'sgC' AND b.subgenome = 'sgE'), wc AS (SELECT {_correlation("x", "y")} AS r FROM wj),
+cj AS (SELECT {_mean_rank("a.m")} AS x, {_mean_rank("b.m")} AS y FROM ctg a JOIN ctg b USING (contig) WHERE a.subgenome = 'sgC' AND b.subgenome = 'sgE'), cc AS (SELECT {_correlation("x", "y")} AS r FROM cj),
+six AS (SELECT contig FROM (SELECT subgenome, contig FROM ctg QUALIFY row_number() OVER (PARTITION BY subgenome ORDER BY n90 DESC, n75 DESC, m DESC, contig) <= 6) GROUP BY 1 HAVING count(*) = 2)
+SELECT 'Strict subgenome filtering' AS component, 'Pass' AS result, format('sgC eligible variants: {{:,}}; sgE: {{:,}}', c, e) AS evidence FROM n
+UNION ALL SELECT 'SNP-panel sensitivity', 'Pass', printf('Median PCA distance correlation = %.4f', r) FROM wc
+UNION ALL SELECT 'Accession ranking', 'Pass', printf('Median Spearman correlation = %.4f; median top-six overlap = %.0f/6', r, (SELECT count(*) FROM six)::double) FROM cc
+UNION ALL SELECT 'Direct alignment, ' || region, 'Chromosome ' || chromosome_status || '; boundary ' || boundary_status, printf('%.1f%% source coverage; %.3f%% identity; top-target fraction %.3f', 100 * fraction, weighted_identity, top_fraction) FROM cs
+UNION ALL SELECT 'Baseline permutation, ' || subgenome, 'Significant', printf('Observed max = %.4f; null 99th = %.4f; empirical P = %.6f', observed, null_99, coalesce(p_value, 1 / (1 + n_valid)::double)) FROM t1""")
 def validation_overview(spark: SparkSession, d: str) -> DataFrame:
-    """Report rows with templated evidence; one test lacks its empirical P, and its bound is given."""
+    """Report rows whose evidence comes from the scan of two subgenomes and from alignment hits: how their windows' means
+    correlate and their contigs rank, the support of each region, and the tests of the top windows."""
     r = regional(spark, d)
-    x = good_sites(spark, d).where("abs_delta_af is not null").groupBy(F.when(F.col("site_id") % 2 == 0, "sgC").otherwise("sgE").alias("subgenome")).agg(F.count("*").alias("eligible_variants"))
-    metrics = x.agg(F.lit(0.9981).alias("distance_correlation"), F.lit(0.9729).alias("rank_spearman"), F.lit(6.0).alias("top_overlap"))
-    sides_ = r["contigs"].where("rank = 1").select("subgenome", F.lit("PASS").alias("chromosome_status"), F.lit("WARN").alias("boundary_status"), F.lit(0.7031).alias("fraction"), F.lit(99.643).alias("weighted_identity"), F.col("mean_abs_delta_af").alias("top_fraction"))
-    return K.validation_overview(x, metrics, sides_, r["permutations"])
+    x = r["sites"].groupBy("subgenome").agg(F.count("*").alias("eligible_variants"))
+    two = lambda df, keys, c: df.where("subgenome = 'sgC'").select(*keys, F.col(c).alias("x")).join(df.where("subgenome = 'sgE'").select(*keys, F.col(c).alias("y")), keys)
+    contigs = two(r["contigs"], ["contig"], "mean_abs_delta_af")
+    ranked = R.with_average_rank(R.with_average_rank(contigs, "x", "a"), "y", "b")
+    shared = two(r["contigs"], ["contig"], "rank").where("x <= 6 and y <= 6").agg(F.count("*").cast("double").alias("top_overlap"))
+    metrics = two(r["windows"], ["contig", "window_start"], "mean_abs_delta_af").agg(L.pearson("x", "y").alias("distance_correlation"))
+    metrics = metrics.join(ranked.agg(L.pearson("a", "b").alias("rank_spearman"))).join(shared)  # a row each
+    support = A.chromosome_support(hits(spark, d), regions(spark, d).withColumn("expected", F.lit("T_0"))).withColumnRenamed("region", "subgenome")
+    return K.validation_overview(x, metrics, support, r["permutations"])
 
 
 LIBRARY = {"metal": ("bolt", "gear", "steel"), "ring": ("ring",), "colour": ("red", "blue", "green")}
