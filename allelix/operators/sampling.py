@@ -57,16 +57,58 @@ def nested(sample: DataFrame, sizes: Sequence[int]) -> DataFrame:
     return sample.withColumn("panel_size", each)
 
 
+#: Random words that are looked at together.
+WORDS = 1 << 20
+
+
+def _words(seed: int):
+    """CPython's generator for a seed, as one that gives arrays of its 32-bit words."""
+    key = random.Random(seed).getstate()[1]
+    bits = np.random.MT19937()
+    bits.state = {"bit_generator": "MT19937", "state": {"key": np.array(key[:-1], np.uint32), "pos": key[-1]}}
+    return bits
+
+
 def reservoir_slots(n: int, k: int, seed: int) -> dict[int, int]:
-    """slot -> ordinal (from 0) of what a reservoir of k holds after n records, replayed with CPython's generator."""
-    rng, slots = random.Random(seed), {}
-    for i in range(n):
-        if i < k:
-            slots[i] = i
+    """slot -> ordinal (from 0) of what a reservoir of k holds after n records."""
+    return {i: i for i in range(min(n, k))} | replaced(k, n, k, seed)
+
+
+def replaced(i: int, n: int, k: int, seed: int) -> dict[int, int]:
+    """slot -> the last of records i to n - 1 that takes it: where CPython's randint(0, i) would give a slot below k, for
+    one record after the other, from blocks of random words.
+
+    A draw below m takes as many leading bits of a word as m has (of two words, beyond 32) and is made again where it
+    isn't below m. m grows with every draw that is taken, so which are taken is found by counting those before, again
+    until nothing changes: each time more of the block's beginning is settled."""
+    slots: dict[int, int] = {}
+    bits = _words(seed)
+    held = np.zeros(0, np.uint64)
+    while i < n:
+        width = (i + 1).bit_length()
+        each = 1 if width <= 32 else 2
+        if len(held) < each:
+            held = np.concatenate([held, bits.random_raw(WORDS)])
+        whole = held[: len(held) // each * each].astype(np.uint64)
+        if each == 1:
+            drawn = (whole >> np.uint64(32 - width)).astype(np.int64)
         else:
-            j = rng.randint(0, i)
-            if j < k:
-                slots[j] = i
+            drawn = (whole[::2] | ((whole[1::2] >> np.uint64(64 - width)) << np.uint64(32))).astype(np.int64)
+        taken = drawn < i + 1
+        while True:
+            before = np.cumsum(taken) - taken
+            now = drawn < i + 1 + before
+            if (now == taken).all():
+                break
+            taken = now
+        # As far as the number of bits stays the same, and records are left.
+        spots = np.flatnonzero(taken)[: min(n, (1 << width) - 1) - i]
+        for at in np.flatnonzero(drawn[spots] < k).tolist():
+            slots[int(drawn[spots[at]])] = i + at
+        done = len(spots)
+        ended = i + done >= min(n, (1 << width) - 1)
+        used = (int(spots[-1]) + 1 if done else 0) if ended else len(drawn)
+        held, i = held[used * each :], i + done
     return slots
 
 

@@ -55,6 +55,19 @@ def panel(seed=3, n=60, m=9):
     return x
 
 
+@pytest.mark.parametrize("words", [64, 1 << 20])
+def test_reservoir_replay(monkeypatch, words):
+    """Blocks of words decide what one draw after the other decides, across powers of two and beyond 32 bits."""
+    monkeypatch.setattr(M, "WORDS", words)
+    for first, n, k, seed in [(5, 0, 5, 1), (5, 3, 5, 1), (5, 6, 5, 2), (1, 1_000, 1, 3), (7, 70_000, 7, 91731), (3, 131_073, 3, 5), (3, 131_071, 3, 5), ((1 << 32) - 300, (1 << 32) + 4_000, 1 << 31, 9), (1 << 33, (1 << 33) + 2_000, 1 << 32, 4)]:
+        rng, slots = random.Random(seed), {}
+        for i in range(first, n):
+            if (j := rng.randint(0, i)) < k:
+                slots[j] = i
+        assert M.replaced(first, n, k, seed) == slots
+    assert M.reservoir_slots(3, 5, 1) == {0: 0, 1: 1, 2: 2}
+
+
 def test_gram_and_components(spark):
     x = panel()
     rows = spark.createDataFrame([([None if np.isnan(v) else float(v) for v in r],) for r in x], "d array<double>").repartition(3)
