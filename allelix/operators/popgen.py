@@ -99,12 +99,13 @@ def group_contrasts(cells: DataFrame, pairs: Sequence[tuple[str, str]], top: int
     return long.withColumn("place", place).where(F.col("place") <= top)
 
 
-def ibs_pairs(cells: DataFrame) -> DataFrame:
-    """Identity by state of samples a < b (as strings): mean of 1 - |difference| / 2 over sites called in both.
+def ibs_pairs(cells: DataFrame, panel: DataFrame | None = None) -> DataFrame:
+    """Identity by state of samples a < b (as strings): mean of 1 - |difference| / 2 over sites called in both. panel:
+    the samples (sample_id) to compare; without it, cells are read once more for theirs.
 
     Sites come as arrays, and a task adds up its own samples x samples sums, which meet by pair: what is shuffled grows
     with the panel, not with pairs of cells. A sample with several calls at a site has the least of them."""
-    named = cells.select(F.col("sample_id").cast("string").alias("s")).distinct().orderBy("s").collect()  # the panel
+    named = (cells if panel is None else panel).select(F.col("sample_id").cast("string").alias("s")).distinct().orderBy("s").collect()  # the panel
     names = [r["s"] for r in named if r["s"] is not None]
     spark = cells.sparkSession
     if not names:

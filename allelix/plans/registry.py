@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from allelix.functions import ranking as R
 from allelix.functions import scalars as S
+from allelix.functions.lineage import fixed
 from allelix.operators import alignment as A
 from allelix.operators import evidence as E
 from allelix.operators import intervals as I
@@ -160,7 +161,8 @@ def group_contrasts(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {CELLS}, {SITES}, t AS (SELECT CASE WHEN site_id % 2 = 0 THEN 'even' ELSE 'odd' END AS contrast, * FROM good WHERE abs_delta_af IS NOT NULL) SELECT contrast, contig, count(*) AS n_markers, min(pos) AS min_pos, max(pos) AS max_pos, max(pos) - min(pos) AS span_bp, round(avg(abs_delta_af), 9) AS mean_abs_delta_af, round(median(abs_delta_af), 9) AS median_abs_delta_af, round(max(abs_delta_af), 9) AS max_abs_delta_af, count(*) FILTER (abs_delta_af >= 0.75) AS n_ge_0_75, count(*) FILTER (abs_delta_af >= 0.9) AS n_ge_0_90 FROM t GROUP BY ALL")
 def hotspots(spark: SparkSession, d: str) -> DataFrame:
     marked = good_sites(spark, d).where("abs_delta_af is not null").withColumn("contrast", F.when(F.col("site_id") % 2 == 0, "even").otherwise("odd"))
-    return rounded(G.hotspots(marked))
+    # Written once for its two passes.
+    return rounded(G.hotspots(fixed(marked.select("contrast", "contig", "pos", "abs_delta_af"))))
 
 
 def named_samples(spark: SparkSession, d: str) -> DataFrame:
@@ -372,17 +374,17 @@ def groups(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {IBS} SELECT sample_a, sample_b, round(ibs, 9) AS ibs, n_sites FROM p")
 def ibs_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(G.ibs_pairs(cells(spark, d, panel=True)))
+    return rounded(G.ibs_pairs(cells(spark, d, panel=True), groups(spark, d)))
 
 
 @query(f"WITH {IBS}, x AS (SELECT ga.grp AS group_a, gb.grp AS group_b, ibs FROM b JOIN g ga ON sample_a = ga.sample_id JOIN g gb ON sample_b = gb.sample_id WHERE ga.grp <> gb.grp OR sample_a < sample_b) SELECT group_a, group_b, count(*) AS n_pairs, round(avg(ibs), 9) AS mean_ibs, round(median(ibs), 9) AS median_ibs, round(min(ibs), 9) AS min_ibs, round(max(ibs), 9) AS max_ibs, round(1 - avg(ibs), 9) AS distance FROM x GROUP BY ALL")
 def group_ibs(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(G.group_ibs(G.ibs_pairs(cells(spark, d, panel=True)), groups(spark, d)))
+    return rounded(G.group_ibs(G.ibs_pairs(cells(spark, d, panel=True), groups(spark, d)), groups(spark, d)))
 
 
 @query(f"WITH {IBS} SELECT sample_a AS sample_id, round(avg(ibs) FILTER (grp = 'AMERICA'), 9) AS AMERICA, round(avg(ibs) FILTER (grp = 'EUROPE'), 9) AS EUROPE, round(avg(ibs) FILTER (grp = 'AFRICA'), 9) AS AFRICA FROM b JOIN g ON sample_b = g.sample_id GROUP BY 1")
 def affinity_pivot(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(G.group_affinity(G.ibs_pairs(cells(spark, d, panel=True)), groups(spark, d), ["AMERICA", "EUROPE", "AFRICA"]))
+    return rounded(G.group_affinity(G.ibs_pairs(cells(spark, d, panel=True), groups(spark, d)), groups(spark, d), ["AMERICA", "EUROPE", "AFRICA"]))
 
 
 @query("WITH c AS (SELECT label, list_transform(range(1, 65), lambda i: 0) AS z, 1 AS one FROM embeddings), m AS (SELECT label, i, avg(embedding[i]::double) AS x FROM embeddings, range(1, 65) t(i) GROUP BY 1, 2) SELECT p.label::bigint AS a, q.label::bigint AS b, round(sqrt(sum((p.x - q.x) * (p.x - q.x))), 9) AS distance FROM m p JOIN m q ON p.label < q.label AND p.i = q.i GROUP BY 1, 2")

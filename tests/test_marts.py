@@ -152,6 +152,9 @@ def test_identity_of_any_dosage(spark):
             if s == t and a < b:
                 want.setdefault((a, b), []).append(1 - abs(x - y) / 2)
     assert got == {k: (pytest.approx(np.mean(v)), len(v)) for k, v in want.items()}
+    panel = spark.createDataFrame([("n1",), ("n3",), ("none",), ("n5",)], "sample_id string")
+    some = popgen.ibs_pairs(spark.createDataFrame(rows, "site_id long, sample_id string, dosage int"), panel).collect()
+    assert {(r["sample_a"], r["sample_b"]): r["n_sites"] for r in some} == {k: len(v) for k, v in want.items() if set(k) <= {"n1", "n3", "n5"}}
 
 
 def test_svd_variant():
