@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from allelix.llm.common import require, written
+from allelix.llm.common import met, require, written
 
 #: Vectors, at most, that one graph's centroids are fitted on (least hashed ids), and bytes that these take at most.
 SAMPLE, SAMPLE_BYTES = 65_536, 128 << 20
@@ -262,8 +262,8 @@ def nearest(posted: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     """The k nearest of each query in the lists it reads: query (its row), query_id, rank, vec_id, score."""
 
     def blocked(df: DataFrame, block: int, name: str) -> DataFrame:
-        sizes = df.groupBy("list").agg(F.ceil(F.count("*") / block).alias("blocks"))
-        return _pack(df.join(sizes, "list").withColumn(name, F.pmod(F.xxhash64("row"), "blocks")), ["list", name])
+        sizes = df.groupBy("list").agg(F.count("*").alias("_n"), F.ceil(F.count("*") / block).alias("blocks"))
+        return _pack(met(df, sizes, ["list"], "_n", df.count()).withColumn(name, F.pmod(F.xxhash64("row"), "blocks")), ["list", name])
 
     lists = blocked(posted, BLOCK, "part")
     packs = blocked(asked, QUERY_BLOCK, "qpart").withColumnsRenamed({"ids": "qids", "data": "qdata"})
@@ -286,7 +286,7 @@ def nearest(posted: DataFrame, asked: DataFrame, k: int) -> DataFrame:
                 columns = [qids[:, 0], qids[:, 1], *([f[j] for f in found] for j in range(3))]
                 yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds.values(), strict=True)], names=list(kinds))
 
-    met = lists.join(packs, "list").select("ids", "data", "qids", "qdata").mapInArrow(meet, "query long, query_id long, rows array<long>, ids array<long>, scores array<double>")
+    best = lists.join(packs, "list").select("ids", "data", "qids", "qdata").mapInArrow(meet, "query long, query_id long, rows array<long>, ids array<long>, scores array<double>")
 
     def merge(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
@@ -299,7 +299,7 @@ def nearest(posted: DataFrame, asked: DataFrame, k: int) -> DataFrame:
 
     # Queries meet in groups of some hundred.
     groups = max(1, asked.select("row").distinct().count() // 256)
-    return met.groupBy(F.pmod(F.xxhash64("query"), F.lit(groups)).alias("g")).applyInArrow(merge, "query long, query_id long, rank int, vec_id long, score double")
+    return best.groupBy(F.pmod(F.xxhash64("query"), F.lit(groups)).alias("g")).applyInArrow(merge, "query long, query_id long, rank int, vec_id long, score double")
 
 
 def _indexed(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
