@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,6 +29,19 @@ def common_panel(a: DataFrame, b: DataFrame, order: DataFrame) -> DataFrame:
     return first(a, "idx_a").join(first(b, "idx_b"), "canonical_id").join(order, "canonical_id").select("ord", "canonical_id", "idx_a", "idx_b")
 
 
+def matched_metadata(sides: Mapping[str, DataFrame], metadata: DataFrame, key: str = "seq_id", allowed: DataFrame | None = None) -> DataFrame:
+    """Rows of each side (canonical_id, …) with subgenome_source, the metadata of their canonical id (one row for each
+    that it has, NULLs for none) and matched_metadata. allowed (canonical_id): only rows whose id is listed stay; an id
+    that is listed twice counts once. A NULL id matches nothing and is never listed."""
+    rows = None
+    for name, df in sides.items():
+        one = df.withColumn("subgenome_source", F.lit(name))
+        rows = one if rows is None else rows.unionByName(one)
+    if allowed is not None:
+        rows = rows.join(allowed.select("canonical_id"), "canonical_id", "left_semi")
+    return rows.join(metadata, rows.canonical_id == metadata[key], "left").withColumn("matched_metadata", F.col(key).isNotNull())
+
+
 def null_safe_join(a: DataFrame, b: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Join in which NULL keys match each other; b's keys are dropped."""
     other = b.select(*[F.col(k).alias(f"_r_{k}") if k in keys else F.col(k) for k in b.columns])

@@ -185,6 +185,30 @@ def id_reconcile(spark: SparkSession, d: str) -> DataFrame:
     return E.reconciled(named_samples(spark, d), accessions(spark, d))
 
 
+def _described(spark: SparkSession, d: str) -> tuple[dict[str, DataFrame], DataFrame]:
+    """Reconciled samples of two sides, and what is known of some accessions."""
+    found = E.reconciled(named_samples(spark, d), accessions(spark, d)).select("idx", "canonical_id")
+    k = F.col("s_suppkey")
+    known = table(spark, d, "supplier").where(k % 7 != 0).select(F.concat(F.lit("ACC"), k.cast("string")).alias("seq_id"), "s_name", F.col("s_nationkey").cast("string").alias("nation"))
+    return {"sgC": found.where("idx % 2 = 0"), "sgE": found.where("idx % 2 = 1")}, known
+
+
+DESCRIBED = f"{NAMED}, known AS (SELECT 'ACC' || s_suppkey AS seq_id, s_name, s_nationkey::varchar AS nation FROM supplier WHERE s_suppkey % 7 <> 0), j AS (SELECT idx, canonical_id, CASE WHEN idx % 2 = 0 THEN 'sgC' ELSE 'sgE' END AS subgenome_source, seq_id, s_name, nation, seq_id IS NOT NULL AS matched_metadata FROM m LEFT JOIN known ON canonical_id = seq_id)"
+
+
+@query(f"WITH {DESCRIBED} SELECT * FROM j")
+def metadata_matches(spark: SparkSession, d: str) -> DataFrame:
+    """Samples of both sides with their accession's metadata and whether there is any."""
+    return E.matched_metadata(*_described(spark, d))
+
+
+@query(f"WITH {DESCRIBED} SELECT * FROM j WHERE canonical_id IN (SELECT 'ACC' || s_suppkey FROM supplier WHERE s_acctbal > 0)")
+def allowed_metadata_matches(spark: SparkSession, d: str) -> DataFrame:
+    """The same for listed accessions only."""
+    listed = table(spark, d, "supplier").where("s_acctbal > 0").select(F.concat(F.lit("ACC"), F.col("s_suppkey").cast("string")).alias("canonical_id"))
+    return E.matched_metadata(*_described(spark, d), allowed=listed)
+
+
 @query(f"WITH {NAMED}, x AS (SELECT canonical_id, min(idx) FILTER (idx % 4 IN (0, 2)) AS idx_a, min(idx) FILTER (idx % 4 IN (1, 3)) AS idx_b FROM m WHERE canonical_id IS NOT NULL GROUP BY 1) SELECT s_suppkey AS ord, canonical_id, idx_a, idx_b FROM x JOIN supplier ON canonical_id = 'ACC' || s_suppkey WHERE idx_a IS NOT NULL AND idx_b IS NOT NULL")
 def common_panel(spark: SparkSession, d: str) -> DataFrame:
     found = E.reconciled(named_samples(spark, d), accessions(spark, d))

@@ -136,6 +136,18 @@ def test_stability_of_conditions(spark, small):
                 assert (d["separation_whole"], d["separation_part"], d["separation_ratio"]) == pytest.approx((gap(part), gap(s), gap(s) / gap(part)), abs=1e-6)
 
 
+def test_matched_metadata(spark):
+    """NULL and unknown ids, ids that are listed or described twice."""
+    from allelix.operators import evidence
+
+    side = spark.createDataFrame([("s1", "A"), ("s2", None), ("s3", "C"), ("s4", "B")], "sample string, canonical_id string")
+    known = spark.createDataFrame([("A", 1), ("B", 2), ("B", 3), (None, 4)], "seq_id string, x int")
+    got = {(r["sample"], r["subgenome_source"], r["x"], r["matched_metadata"]) for r in evidence.matched_metadata({"sgC": side, "sgE": side.where("sample = 's1'")}, known).collect()}
+    assert got == {("s1", "sgC", 1, True), ("s2", "sgC", None, False), ("s3", "sgC", None, False), ("s4", "sgC", 2, True), ("s4", "sgC", 3, True), ("s1", "sgE", 1, True)}
+    listed = spark.createDataFrame([("A",), ("A",), ("C",), (None,)], "canonical_id string")
+    assert sorted(r["sample"] for r in evidence.matched_metadata({"sgC": side}, known, allowed=listed).collect()) == ["s1", "s3"]
+
+
 def test_identity_of_any_dosage(spark):
     """Against plain loops, with missing calls, repeated ones and dosages above two."""
     rng = np.random.default_rng(5)
@@ -233,7 +245,7 @@ def test_small_functions(spark, tmp_path):
     assert tuple(readers.intervals(spark, str(tmp_path / "i.csv"), rows).first()) == ("sgE", "d", 5, 9, "u", "m")
 
 
-@pytest.mark.parametrize("name", ["vcf_filter_audit", "gff3_supported_genes", "quality_asymmetry", "contrast_table", "direction_scoreboard", "accession_shortlist", "length_matches", "chromosome_support"])
+@pytest.mark.parametrize("name", ["vcf_filter_audit", "gff3_supported_genes", "quality_asymmetry", "contrast_table", "direction_scoreboard", "accession_shortlist", "length_matches", "chromosome_support", "validation_overview", "top_regions", "vcf_interval_conditions", "metadata_matches", "allowed_metadata_matches", "fasta_marked_headers", "vcf_blocks_eligible_sites"])
 def test_new_queries_against_sql(spark, small, name):
     import duckdb
     import pandas as pd
