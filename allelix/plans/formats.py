@@ -93,7 +93,8 @@ def vcf_blocks_eligible_sites(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {SCAN} SELECT contig, ((pos - 1) // 1000000) * 1000000 + 1 AS window_start, count(*) AS n_markers, round(avg(abs(af_a - af_b)), 9) AS mean_abs_delta_af, round(max(abs(af_a - af_b)), 9) AS max_abs_delta_af, count(*) FILTER (abs(af_a - af_b) >= 0.75) AS n_ge_0_75, count(*) FILTER (abs(af_a - af_b) >= 0.9) AS n_ge_0_90, ((pos - 1) // 1000000) * 1000000 + 1000000 AS window_end FROM s WHERE ok AND class = 'sgC' AND af_a IS NOT NULL AND af_b IS NOT NULL GROUP BY ALL")
 def vcf_window_scan(spark: SparkSession, d: str) -> DataFrame:
     _, found = scan(spark, d, "sgC", "matching_pseudomolecules_only")
-    return rounded(G.window_scan(found.where("eligible")))
+    # Written once, so that the measures don't each decode the calls.
+    return rounded(G.window_scan(fixed(found.where("eligible").select("contig", "pos", "abs_delta_af"))))
 
 
 @query(f"WITH {PANEL}, v AS (SELECT DISTINCT site_id FROM cells) SELECT {CONTIG} AS contig, max(site_id * 1000 + 500) AS length FROM v GROUP BY 1")
