@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from allelix.functions.ranking import medians
 from allelix.functions.scalars import window_start
+from allelix.operators import packed
 
 SITE = ("site_id", "contig", "pos")
 
@@ -99,39 +100,34 @@ def group_contrasts(cells: DataFrame, pairs: Sequence[tuple[str, str]], top: int
     return long.withColumn("place", place).where(F.col("place") <= top)
 
 
-def ibs_pairs(cells: DataFrame, panel: DataFrame | None = None) -> DataFrame:
+def ibs_pairs(cells: DataFrame, panel: DataFrame | None = None, most: int | None = None) -> DataFrame:
     """Identity by state of samples a < b (as strings): mean of 1 - |difference| / 2 over sites called in both. panel:
-    the samples (sample_id) to compare; without it, cells are read once more for theirs.
+    the samples (sample_id) to compare; most: the largest dosage. Without either, cells are read once more for it.
 
-    Sites come as arrays, and a task adds up its own samples x samples sums, which meet by pair: what is shuffled grows
-    with the panel, not with pairs of cells. A sample with several calls at a site has the least of them."""
+    Sites come as bit planes, and a task adds up its own samples x samples sums, which meet by pair: what is shuffled
+    grows with the panel, not with pairs of cells. A sample with several calls at a site has the least of them."""
     named = (cells if panel is None else panel).select(F.col("sample_id").cast("string").alias("s")).distinct().orderBy("s").collect()  # the panel
     names = [r["s"] for r in named if r["s"] is not None]
     spark = cells.sparkSession
     if not names:
         return spark.createDataFrame([], "sample_a string, sample_b string, ibs double, n_sites long")
     places = spark.createDataFrame(list(enumerate(names)), "place int, s string")
-    called = cells.where("dosage is not null").select("site_id", F.col("sample_id").cast("string").alias("s"), F.col("dosage").cast("int").alias("dosage"))
-    sites = called.join(F.broadcast(places), "s").groupBy("site_id").agg(F.collect_list("place").alias("places"), F.collect_list("dosage").alias("dosages")).select("places", "dosages")
+    if most is None:
+        most = int(cells.agg(F.coalesce(F.max("dosage"), F.lit(0)).alias("most")).first()["most"])
+    sites = packed.packed_sites(cells.where("dosage is not null"), names, most=most).select("planes")
     n = len(names)
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         away, met = np.zeros((n, n), np.int64), np.zeros((n, n), np.int64)
         for batch in batches:
-            lists = batch.column(0)
-            row = np.repeat(np.arange(len(lists)), np.diff(np.asarray(lists.offsets)))
-            x = np.full((len(lists), n), np.iinfo(np.int32).max)
-            np.minimum.at(x, (row, np.asarray(lists.flatten())), np.asarray(batch.column(1).flatten()))
-            known = x < np.iinfo(np.int32).max
-            k = known.astype(np.int64)
-            met += k.T @ k
-            # |a - b| is the number of thresholds that only one of both reaches.
-            for t in range(1, int(x[known].max(initial=0)) + 1):
-                over = ((x >= t) & known).astype(np.int64)
-                both = over.T @ over
-                reached = over.T @ k
-                away += reached + reached.T - 2 * both
-        i, j = np.nonzero(np.triu(met, 1))
+            known, *over = (packed.by_sample(p, n) for p in packed.as_planes(batch.column(0), n, most))
+            for k in range(n - 1):
+                both = known[k] & known[k + 1 :]
+                met[k, k + 1 :] += np.bitwise_count(both).sum(1, dtype=np.int64)
+                # |a - b| is the number of thresholds that only one of both reaches.
+                for t in over:
+                    away[k, k + 1 :] += np.bitwise_count((t[k] ^ t[k + 1 :]) & both).sum(1, dtype=np.int64)
+        i, j = np.nonzero(met)
         yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(away[i, j]), pa.array(met[i, j])], names=["i", "j", "away", "met"])
 
     sums = sites.mapInArrow(partial, "i int, j int, away long, met long").groupBy("i", "j").agg(F.sum("away").alias("away"), F.sum("met").alias("n_sites"))

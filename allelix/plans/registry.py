@@ -18,6 +18,7 @@ from allelix.operators import alignment as A
 from allelix.operators import evidence as E
 from allelix.operators import intervals as I
 from allelix.operators import linalg as L
+from allelix.operators import packed as K
 from allelix.operators import permutation as P
 from allelix.operators import popgen as G
 from allelix.operators import reports as T
@@ -398,17 +399,17 @@ def groups(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {IBS} SELECT sample_a, sample_b, round(ibs, 9) AS ibs, n_sites FROM p")
 def ibs_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(G.ibs_pairs(cells(spark, d, panel=True), groups(spark, d)))
+    return rounded(G.ibs_pairs(cells(spark, d, panel=True), groups(spark, d), K.DIPLOID))
 
 
 @query(f"WITH {IBS}, x AS (SELECT ga.grp AS group_a, gb.grp AS group_b, ibs FROM b JOIN g ga ON sample_a = ga.sample_id JOIN g gb ON sample_b = gb.sample_id WHERE ga.grp <> gb.grp OR sample_a < sample_b) SELECT group_a, group_b, count(*) AS n_pairs, round(avg(ibs), 9) AS mean_ibs, round(median(ibs), 9) AS median_ibs, round(min(ibs), 9) AS min_ibs, round(max(ibs), 9) AS max_ibs, round(1 - avg(ibs), 9) AS distance FROM x GROUP BY ALL")
 def group_ibs(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(G.group_ibs(G.ibs_pairs(cells(spark, d, panel=True), groups(spark, d)), groups(spark, d)))
+    return rounded(G.group_ibs(G.ibs_pairs(cells(spark, d, panel=True), groups(spark, d), K.DIPLOID), groups(spark, d)))
 
 
 @query(f"WITH {IBS} SELECT sample_a AS sample_id, round(avg(ibs) FILTER (grp = 'AMERICA'), 9) AS AMERICA, round(avg(ibs) FILTER (grp = 'EUROPE'), 9) AS EUROPE, round(avg(ibs) FILTER (grp = 'AFRICA'), 9) AS AFRICA FROM b JOIN g ON sample_b = g.sample_id GROUP BY 1")
 def affinity_pivot(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(G.group_affinity(G.ibs_pairs(cells(spark, d, panel=True), groups(spark, d)), groups(spark, d), ["AMERICA", "EUROPE", "AFRICA"]))
+    return rounded(G.group_affinity(G.ibs_pairs(cells(spark, d, panel=True), groups(spark, d), K.DIPLOID), groups(spark, d), ["AMERICA", "EUROPE", "AFRICA"]))
 
 
 @query("WITH c AS (SELECT label, list_transform(range(1, 65), lambda i: 0) AS z, 1 AS one FROM embeddings), m AS (SELECT label, i, avg(embedding[i]::double) AS x FROM embeddings, range(1, 65) t(i) GROUP BY 1, 2) SELECT p.label::bigint AS a, q.label::bigint AS b, round(sqrt(sum((p.x - q.x) * (p.x - q.x))), 9) AS distance FROM m p JOIN m q ON p.label < q.label AND p.i = q.i GROUP BY 1, 2")
@@ -504,8 +505,10 @@ def panel_rows(spark: SparkSession, d: str) -> tuple[DataFrame, list[str]]:
 @query()
 def permutation_null(spark: SparkSession, d: str) -> DataFrame:
     """The label-permutation test; the tests hold it against numpy."""
-    rows, grp = panel_rows(spark, d)
-    sites = rows.select("contig", S.window_start("pos", WINDOW).alias("window_start"), "dosages")
+    named = groups(spark, d).orderBy("sample_id").collect()
+    rows = K.packed_sites(cells(spark, d, panel=True), [str(r["sample_id"]) for r in named], ["site_id", "contig", "pos"])
+    sites = rows.select("contig", S.window_start("pos", WINDOW).alias("window_start"), "planes")
+    grp = [r["grp"] for r in named]
     return P.empirical_p(P.window_nulls(sites, grp, "AMERICA", "EUROPE", least=5))
 
 
