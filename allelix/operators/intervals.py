@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from allelix.functions.lineage import fixed
@@ -86,24 +86,57 @@ def gaps(df: DataFrame, by: Sequence[str], first: int | str, last: int | str, st
     return inner.unionByName(tail).unionByName(none).where("start <= end")
 
 
-def overlapping(a: DataFrame, b: DataFrame, on: str, width: int, how: str = "inner") -> DataFrame:
-    """Pairs of a (on, a_start, a_end) and b (on, b_start, b_end) that share a position, with overlap_start, _end and
-    _bp; how: inner, or left_semi for the rows of a that meet any b.
+FINER = 16  # a level's bins are that many times as wide as the level's below
+LEVELS = 6
+
+
+def _leveled(df: DataFrame, start: str, end: str, width: int) -> DataFrame:
+    """With _level: of the finest bins of which the interval touches FINER or fewer (the last level's have any length)."""
+    crossed = [F.floor(F.col(end) / F.lit(width * FINER**k)) - F.floor(F.col(start) / F.lit(width * FINER**k)) for k in range(LEVELS)]
+    level = F.coalesce(*[F.when(c < FINER, F.lit(k)) for k, c in enumerate(crossed)], F.lit(LEVELS))
+    return df.where(F.col(start) <= F.col(end)).withColumn("_level", level)
 
-    Both sides are cut into bins of ``width``, so the join is on (key, bin) and no key is one task; a pair is kept in
-    the bin of its overlap's first position only."""
-    def binned(df: DataFrame, s: str, e: str) -> DataFrame:
-        return df.withColumn("_bin", F.explode(F.sequence(F.floor(F.col(s) / F.lit(width)), F.floor(F.col(e) / F.lit(width)))))
 
-    left = binned(a.withColumn("_row", F.monotonically_increasing_id()) if how == "left_semi" else a, "a_start", "a_end")
-    right = binned(b, "b_start", "b_end")
+def _bins(level: Column, start: str, end: str, width: int) -> Column:
+    """The level's bins that the interval touches; the last level is one bin."""
+    size = F.element_at(F.array(*[F.lit(float(width * FINER**k)) for k in range(LEVELS)]), F.least(level, F.lit(LEVELS - 1)) + 1)
+    return F.when(level < LEVELS, F.sequence(F.floor(F.col(start) / size), F.floor(F.col(end) / size))).otherwise(F.array(F.lit(0).cast("long")))
+
+
+def overlapping(a: DataFrame, b: DataFrame, on: str, width: int, how: str = "inner") -> DataFrame:
+    """Pairs of a (on, a_start, a_end) and b (on, b_start, b_end) that share a position, with overlap_start, _end and
+    _bp; how: inner, or left_semi for the rows of a that meet any b. An interval that ends before it starts meets none.
+
+    Bins have levels, each FINER times as wide as the level's below, the finest ``width``. An interval stands in FINER
+    bins of its own level or fewer, however long it is, and once or twice in those of the coarser levels that the other
+    side has, so a pair meets in the coarser level of both and the join is on (key, level, bin): no key is one task. A
+    pair is kept in the bin of its overlap's first position only. Each side is read once more for its coarsest level."""
+    left = _leveled(a.withColumn("_row", F.monotonically_increasing_id()) if how == "left_semi" else a, "a_start", "a_end", width)
+    right = _leveled(b.select(on, "b_start", "b_end") if how == "left_semi" else b, "b_start", "b_end", width)
+
+    def coarsest(df: DataFrame) -> DataFrame:
+        return F.broadcast(df.agg(F.coalesce(F.max("_level"), F.lit(-1)).alias("_top")))  # one row
+
+    def met(df: DataFrame, other: DataFrame, start: str, end: str, own: str) -> DataFrame:
+        """One row for each bin, with whether the interval is at home at its level."""
+        top = F.greatest("_level", "_top")
+        at = df.crossJoin(coarsest(other)).withColumn("_at", F.explode(F.sequence(F.col("_level"), top)))
+        return at.withColumn("_bin", F.explode(_bins(F.col("_at"), start, end, width))).withColumn(own, F.col("_level") == F.col("_at")).drop("_level", "_top")
+
+    cut_a, cut_b = met(left, right, "a_start", "a_end", "_home_a"), met(right, left, "b_start", "b_end", "_home_b")
+    # Two visitors have met at a finer level already, so visitors meet homes only: the key says which. The finest level
+    # has no visitors.
+    roles = F.explode(F.when(F.col("_home_a") & (F.col("_at") > 0), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))).alias("_role")
+    cut_a = cut_a.select("*", roles).drop("_home_a")
+    cut_b = cut_b.withColumn("_role", F.when(F.col("_home_b"), 1).otherwise(0)).drop("_home_b")
+    size = F.element_at(F.array(*[F.lit(float(width * FINER**k)) for k in range(LEVELS)]), F.least(F.col("_at"), F.lit(LEVELS - 1)) + 1)
     meets = (F.col("a_start") <= F.col("b_end")) & (F.col("a_end") >= F.col("b_start"))
     if how == "left_semi":
-        hit = left.join(right.select(on, "_bin", "b_start", "b_end"), [on, "_bin"]).where(meets).select("_row", *a.columns).distinct()
-        return hit.drop("_row")
-    pairs = left.join(right, [on, "_bin"]).where(meets & (F.floor(F.greatest("a_start", "b_start") / F.lit(width)) == F.col("_bin")))
+        return cut_a.join(cut_b, [on, "_at", "_bin", "_role"]).where(meets).select("_row", *a.columns).distinct().drop("_row")
+    first = (F.col("_at") == LEVELS) | (F.floor(F.greatest("a_start", "b_start") / size) == F.col("_bin"))
+    pairs = cut_a.join(cut_b, [on, "_at", "_bin", "_role"]).where(meets & first)
     start, end = F.greatest("a_start", "b_start"), F.least("a_end", "b_end")
-    return pairs.drop("_bin").select("*", start.alias("overlap_start"), end.alias("overlap_end"), (end - start + 1).alias("overlap_bp"))
+    return pairs.drop("_at", "_bin", "_role").select("*", start.alias("overlap_start"), end.alias("overlap_end"), (end - start + 1).alias("overlap_bp"))
 
 
 def points_within(points: DataFrame, spans: DataFrame, on: str, width: int) -> DataFrame:

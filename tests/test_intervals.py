@@ -100,3 +100,27 @@ def test_chunks(spark):
     for n in (0, 5, 99, 100, 101, 180, 181, 1000):
         got = I.chunks(spark.createDataFrame([(n,)], "n long"), "n", 100, 20, 6).orderBy("chunk_index").select("chunk_index", "chunk_start", "chunk_end")
         assert list(map(tuple, got.collect())) == wanted(n, 100, 20, 6), n
+
+
+def test_overlaps_of_any_length(spark):
+    """Intervals from one position to the whole contig, over all levels of bins: the same pairs once each, NULL ends, none
+    that ends before it starts, empty sides; a long interval stands in a bounded number of bins."""
+    rng = random.Random(8)
+
+    def some(n):
+        out = [(k, rng.choice("ab"), s := rng.randrange(1, 100_000), s + rng.choice([0, 1, 5, 40, 300, 5_000, 90_000])) for k in range(n)]
+        return [*out, (n, "a", 1, 200_000), (n + 1, "a", None, 5), (n + 2, "b", 7, 6), (n + 3, None, 1, 9), (n + 4, "b", 10**12, 10**15), (n + 5, "b", 10**13, 10**13)]
+
+    a, b = some(60), some(45)
+    da = spark.createDataFrame(a, "i int, k string, a_start long, a_end long")
+    db = spark.createDataFrame(b, "j int, k string, b_start long, b_end long")
+    real = lambda x: x[1] is not None and x[2] is not None and x[2] <= x[3]
+    want = {(x[0], y[0]): (max(x[2], y[2]), min(x[3], y[3])) for x in a for y in b if real(x) and real(y) and x[1] == y[1] and x[2] <= y[3] and x[3] >= y[2]}
+    for width in (1, 7, 21_600):
+        got = I.overlapping(da, db, "k", width).collect()
+        assert len(got) == len(want) and {(r["i"], r["j"]): (r["overlap_start"], r["overlap_end"]) for r in got} == want
+        assert {r["overlap_bp"] - (r["overlap_end"] - r["overlap_start"]) for r in got} == {1}
+        assert sorted(r["i"] for r in I.overlapping(da, db, "k", width, "left_semi").collect()) == sorted({i for i, _ in want})
+    assert I.overlapping(da.limit(0), db, "k", 7).collect() == I.overlapping(da, db.limit(0), "k", 7, "left_semi").collect() == []
+    bins = I._leveled(da, "a_start", "a_end", 7).select(F.size(I._bins(F.col("_level"), "a_start", "a_end", 7)).alias("n"))
+    assert bins.agg(F.max("n")).first()[0] <= I.FINER
