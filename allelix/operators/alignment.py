@@ -140,6 +140,9 @@ def routed(hotspots: DataFrame, crosswalk: DataFrame) -> DataFrame:
     return out.select(F.concat_ws("::", "contrast", "contig", "subgenome").alias("hotspot"), "contrast", "contig", "subgenome", "seqid", F.least(*ends).alias("target_start"), F.greatest(*ends).alias("target_end"), F.coalesce("confidence", F.lit("unresolved")).alias("confidence"), status.alias("status"))
 
 
+_ANYWHERE = -(1 << 62)  # instead of a step of the scale of lengths: at any length
+
+
 def alias_matches(aliases: DataFrame, records: DataFrame) -> DataFrame:
     """aliases (alias, length, tokens array), records (record_id, description, record_length): the best record of each
     alias by score (100 for the alias in the text, 20 for each token in it, 80 for the same length, 30 for one that
@@ -148,26 +151,42 @@ def alias_matches(aliases: DataFrame, records: DataFrame) -> DataFrame:
     unmapped and has no record. Texts, aliases and tokens are compared by their letters and digits (a text with an NC_
     accession by that alone); empty ones name nothing.
 
-    Aliases and tokens meet the stretches of a text that have their lengths, by key. Of records that score by length
-    alone only the nearest ones can be best, and a sorted sweep finds these; where one of them has a hit in its text
-    too, that row has more points. Rows are as many as the hits in texts, and best ones are aggregates, so an alias
-    with very many hits isn't one task."""
+    Fifty points take the alias itself, three tokens, or a token beside a fitting length. So an alias meets the stretches
+    of a text that have its length, by key, and so do all tokens but the two shortest (of three that are in a text one is
+    among these); the others meet only records whose length lies in the alias's part of a logarithmic scale or next to
+    it, so that tokens which most texts hold name no candidates by themselves. Candidates are scored by looking into
+    their text. Of records that score by length alone only the nearest ones can be best, and a sorted sweep finds these;
+    where one of them has a hit in its text too, that row has more points. Best rows are aggregates, so an alias with
+    very many hits isn't one task."""
     who, what = ["alias", "length", "tokens"], ["record_id", "description", "record_length"]
     plain = lambda x: F.regexp_replace(F.lower(seqid(x)), "[^a-z0-9]+", "")
-    a = aliases.groupBy(*who).agg(F.count("*").alias("_na"))
-    r = records.groupBy(*what).agg(F.count("*").alias("_nr"))
-    each = F.concat(F.array(F.struct(plain(F.col("alias")).alias("key"), F.lit(100).alias("points"))), F.coalesce(F.transform("tokens", lambda t: F.struct(plain(t).alias("key"), F.lit(20).alias("points"))), F.array()))
-    named = a.select(*who, "_na", F.explode(each).alias("_e")).select(*who, "_na", F.col("_e.key").alias("_key"), F.col("_e.points").alias("_points")).where("_key <> ''")
-    # One row: the lengths that names have.
-    sizes = named.agg(F.collect_set(F.length("_key")).alias("_sizes"))
     text = plain(F.concat_ws(" ", "record_id", "description"))
+    whole = F.coalesce(plain(F.col("alias")), F.lit("")).alias("_name")
+    parts = F.coalesce(F.filter(F.transform("tokens", plain), lambda t: t.isNotNull() & (t != "")), F.array().cast("array<string>")).alias("_parts")
+    a = aliases.groupBy(*who).agg(F.count("*").alias("_na")).select("*", whole, parts)
+    r = records.groupBy(*what).agg(F.count("*").alias("_nr"))
+    # Longest first; any order serves, long ones are rarer.
+    ordered = F.transform(F.reverse(F.array_sort(F.transform("_parts", lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))), lambda t: t["t"])
+    telling = F.slice(ordered, 1, F.greatest(F.size("_parts") - 2, F.lit(0)))
+    anywhere = F.filter(F.concat(F.array("_name"), telling), lambda t: t != "")
+    # Lengths that differ by less than 0.1 % lie in one step of this scale or in neighbouring ones.
+    step = lambda x: F.when(x > 0, F.floor(F.log(x) / 0.002)).otherwise(F.floor(x) - 10_000_000)
+    around = step(F.col("length").cast("double"))
+    beside = F.flatten(F.transform("_parts", lambda t: F.transform(F.sequence(around - 1, around + 1), lambda k: F.struct(t.alias("key"), k.alias("step")))))
+    keys = F.concat(F.transform(anywhere, lambda t: F.struct(t.alias("key"), F.lit(None).cast("long").alias("step"))), F.coalesce(beside, F.array().cast("array<struct<key:string,step:bigint>>")))
+    named = a.select("*", F.explode(F.array_distinct(keys)).alias("_e")).select(*a.columns, F.col("_e.key").alias("_key"), F.col("_e.step").alias("_step"))
+    # One row: the lengths that these have.
+    sizes = named.agg(F.collect_set(F.when(F.col("_step").isNull(), F.length("_key"))).alias("_anywhere"), F.collect_set(F.when(F.col("_step").isNotNull(), F.length("_key"))).alias("_beside"))
     stretches = lambda n: F.transform(F.sequence(F.lit(1), F.length("_text") - n + 1), lambda i: F.substring(F.col("_text"), i, n))
-    keys = F.array_distinct(F.flatten(F.transform(F.filter("_sizes", lambda n: n <= F.length("_text")), stretches)))
-    cut = r.withColumn("_text", text).join(F.broadcast(sizes)).select(*what, "_nr", F.explode(keys).alias("_key"))
+    cuts = lambda c: F.array_distinct(F.flatten(F.transform(F.filter(c, lambda n: n <= F.length("_text")), stretches)))
+    at = r.withColumn("_text", text).join(F.broadcast(sizes)).withColumn("_at", step(F.col("record_length").cast("double")))
+    found_in = F.concat(F.transform(cuts("_anywhere"), lambda t: F.struct(t.alias("key"), F.lit(None).cast("long").alias("step"))), F.when(F.col("_at").isNull(), F.array().cast("array<struct<key:string,step:bigint>>")).otherwise(F.transform(cuts("_beside"), lambda t: F.struct(t.alias("key"), F.col("_at").alias("step")))))
+    cut = at.select(*what, "_nr", F.explode(found_in).alias("_e")).select(*what, "_nr", F.col("_e.key").alias("_key"), F.coalesce("_e.step", F.lit(_ANYWHERE)).alias("_step"))
     off = F.abs(F.col("record_length") - F.col("length"))
     near = lambda d: F.when(d == 0, 80).when((F.col("length") > 0) & (d / F.nullif(F.col("length").cast("double"), F.lit(0.0)) < 0.001), 30).otherwise(0)
-    hits = named.join(cut, "_key").groupBy(*who, "_na", *what, "_nr").agg(F.sum("_points").alias("_points"))
-    by_text = hits.select("alias", "record_id", (F.col("_points") + near(off)).alias("score"), off.alias("off"), (F.col("_na") * F.col("_nr")).alias("_n"))
+    pairs = named.withColumn("_step", F.coalesce("_step", F.lit(_ANYWHERE))).join(cut, ["_key", "_step"]).select(*a.columns, *r.columns).distinct().withColumn("_text", text)
+    points = F.when((F.col("_name") != "") & F.contains(F.col("_text"), F.col("_name")), 100).otherwise(0) + 20 * F.size(F.filter("_parts", lambda t: F.contains(F.col("_text"), t)))
+    by_text = pairs.select("alias", "record_id", (points + near(off)).cast("long").alias("score"), off.alias("off"), (F.col("_na") * F.col("_nr")).alias("_n"))
 
     v = F.col("length").cast("double")
     marks = r.where("record_length is not null").groupBy(F.col("record_length").cast("double").alias("_v")).agg(F.min("record_id").alias("_hit"), F.sum("_nr").alias("_n"))

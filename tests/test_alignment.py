@@ -3,6 +3,7 @@
 import gzip
 import hashlib
 import io
+import random
 import re
 import tarfile
 
@@ -145,6 +146,20 @@ def test_alias_matches_of_whole_tables(spark, small):
     assert {x["alias"]: tuple(x)[1:] for x in found.collect()} == best_records(aliases, records)
 
 
+def test_alias_matches_by_tokens(spark):
+    """Short tokens that all texts hold, repeated ones, lengths at the edge of 0.1 %, of nothing and below, NULLs."""
+    rng = random.Random(6)
+    words = ["1", "a", "b2", "sg", "chr", "unit", "77", "x-9"]
+    aliases = [(f"n{k} {rng.choice(words)}", rng.choice([1000, 999, 1001, 20_000, 0, 7]), [rng.choice([*words, "", "--"]) for _ in range(rng.randrange(6))]) for k in range(60)]
+    records = [(f"r{k}", " ".join(rng.choice([*words, "n3 1", "n7a", "n9"]) for _ in range(rng.randrange(7))), rng.choice([1000, 999, 1001, 1002, 20_000, 20_019, 20_020, 20_021, 0, -5, 8])) for k in range(90)]
+    found = A.alias_matches(spark.createDataFrame(aliases, "alias string, length long, tokens array<string>"), spark.createDataFrame(records, "record_id string, description string, record_length long"))
+    assert {x["alias"]: tuple(x)[1:] for x in found.collect()} == best_records(aliases, records)
+    odd = spark.createDataFrame([(None, 5, ["a"]), ("q", None, ["a", None, "b", "c"]), ("w", 5, None), ("neg", -5, ["z"])], "alias string, length long, tokens array<string>")
+    rows = spark.createDataFrame([("r1", "a b c", None), ("r2", None, 5), (None, "a", 5), ("r9", "z", -5)], "record_id string, description string, record_length long")
+    got = {x["alias"]: (x["record_id"], x["score"], x["method"]) for x in A.alias_matches(odd, rows).collect()}
+    assert got == {None: (None, None, "unmapped"), "q": ("r1", 60, "best_available"), "w": ("r2", 80, "exact_length"), "neg": ("r9", 100, "alias_and_length")}
+
+
 def test_routing_and_priority(spark):
     cross = spark.createDataFrame([("sgC", "c1", 100, "t", 200, "high"), ("sgE", "c1", 100, None, None, "unresolved")], "subgenome string, contig string, length long, seqid string, target_length long, confidence string")
     spots = spark.createDataFrame([("x", "c1", "sgC", 10, 20), ("x", "c1", "sgE", 10, 20), ("x", "c2", "sgC", 1, 2)], "contrast string, contig string, subgenome string, min_pos long, max_pos long")
