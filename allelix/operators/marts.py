@@ -159,12 +159,12 @@ def hotspot_directions(shared: DataFrame) -> DataFrame:
     return scored.select(*direction("shared_hotspot", F.concat(F.lit("Shared hotspot architecture: "), F.regexp_replace("contrast", "__vs__", " vs ")), "shared hotspot architecture", F.col("contrast"), F.col("_score"), n_shared_hotspots=F.col("n"), max_consensus_hotspot_percentile=F.col("top"), max_combined_n_markers_hotspot=F.col("markers"), mean_combined_mean_abs_delta_af=F.col("effect")))
 
 
-def list_direction(rows: DataFrame, n: int, order: Sequence[Column], kind: str, label: str, scope: str, key: str, plain: Sequence[str], ranked: Sequence[str], **metrics: Column) -> DataFrame:
-    """One direction from the first n rows of a list: the mean of the plain columns' means and of the means of the
-    ranked columns' percentile ranks among these rows. No row for an empty list."""
+def list_direction(rows: DataFrame, n: int, order: Sequence[Column], kind: str, label: str, scope: str, key: str, plain: Sequence[str], ranked: Sequence[str], shares: Sequence[Column] = (), **metrics: Column) -> DataFrame:
+    """One direction from the first n rows of a list: the mean of the plain columns' means, of the means of the ranked
+    columns' percentile ranks among these rows, and of shares (aggregates over them). No row for an empty list."""
     top = top_of(rows, n, order)
     held = top.select("*", *[percentile_rank(c).alias(f"_p_{c}") for c in ranked])
-    parts = [F.avg(c) for c in plain] + [F.avg(f"_p_{c}") for c in ranked]
+    parts = [F.avg(c) for c in plain] + [F.avg(f"_p_{c}") for c in ranked] + list(shares)
     return held.agg(F.count("*").alias("_n"), (sum(parts, F.lit(0.0)) / len(parts)).alias("_score"), *[m.alias(name) for name, m in metrics.items()]).where("_n > 0").select(*direction(kind, F.lit(label), scope, F.lit(key), F.col("_score"), **{name: F.col(name) for name in metrics}))
 
 

@@ -86,8 +86,8 @@ w AS (SELECT c.*, coalesce(o.k, 0) AS n_overlapping_hotspot_pairs, coalesce(o.co
 t AS (SELECT *, (pa + pb) / 2 AS strength FROM (SELECT *, (rank() OVER (ORDER BY n_markers_total) + (count(*) OVER (PARTITION BY n_markers_total) - 1) / 2.0::double) / count(*) OVER () AS pa, (rank() OVER (ORDER BY mean_abs_delta_af_average) + (count(*) OVER (PARTITION BY mean_abs_delta_af_average) - 1) / 2.0::double) / count(*) OVER () AS pb FROM w))"""
 
 
-def contrast_parts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """The contrast table and the overlapping hotspot pairs."""
+def contrast_parts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The contrast table, the overlapping hotspot pairs and the hotspots of one side only."""
     d_af = F.col("abs_delta_af")
     overview, of = None, sides(spark, d)
     for name, rows in of.items():
@@ -96,7 +96,9 @@ def contrast_parts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     both = shared(of).withColumn("_bp", F.least("sgC_max_pos", "sgE_max_pos") - F.greatest("sgC_min_pos", "sgE_min_pos")).withColumn("_both", F.col("sgC_n").isNotNull() & F.col("sgE_n").isNotNull())
     meet = both.where("_both and _bp >= 0").select("contrast", "contig", F.col("_bp").alias("overlap_bp"), (F.col("sgC_n") + F.col("sgE_n")).alias("n_markers"), F.round((F.col("sgC_effect") + F.col("sgE_effect")) / 2, 9).alias("mean_abs_delta_af"))
     pairs = R.with_percentile_rank(meet, "n_markers", "percentile")
-    return K.contrast_table(overview, pairs, both.where("_both and _bp < 0").select("contrast", "contig"), both.where("not _both").select("contrast", "contig")), pairs
+    single = both.where("not _both").select("contrast", "contig", F.coalesce("sgC_n", "sgE_n").alias("n_markers"), F.round(F.coalesce("sgC_effect", "sgE_effect"), 9).alias("mean_abs_delta_af"))
+    single = R.with_percentile_rank(single, "n_markers", "percentile")
+    return K.contrast_table(overview, pairs, both.where("_both and _bp < 0").select("contrast", "contig"), both.where("not _both").select("contrast", "contig")), pairs, single
 
 
 _table = ["contrast", *[f'"{m}_{s}"' for m in ("n_markers", "n_ge_0_90") for s in ("sgC", "sgE")], "n_overlapping_hotspot_pairs", "n_overlapping_contigs", "total_overlap_bp", "n_same_contig_nonoverlap_pairs", "n_subgenome_specific_hotspots", "n_markers_total", "subgenome_with_higher_mean_abs_delta_af", "subgenome_with_more_top_markers"]
@@ -140,12 +142,17 @@ def group_parental_means(spark: SparkSession, d: str) -> DataFrame:
     return rounded(K.group_means(evidence(spark, d), "grp", {"mean_combined": "combined", "mean_asymmetry": "asymmetry", "mean_balance": "bal"}))
 
 
-def directions(spark: SparkSession, d: str, parts: tuple[DataFrame, DataFrame]) -> list[DataFrame]:
-    wide, pairs = parts
+def directions(spark: SparkSession, d: str, parts: tuple[DataFrame, DataFrame, DataFrame]) -> list[DataFrame]:
+    wide, pairs, single = parts
     roles = {role: rows for role, _, rows in role_lists(spark, d)}
     found = [K.contrast_directions(wide), K.hotspot_directions(pairs)]
     found.append(K.list_direction(roles["introgressed_reference"], 6, [F.desc("combined"), F.asc("rank"), F.asc("seq_id")], "introgressed_reference", "Introgressed reference accessions", "breeding reference accessions", "top_introgressed", ["combined"], ["bal", "key"], mean_combined=F.avg("combined"), mean_balance=F.avg("bal"), mean_key=F.avg("key"), best_rank=F.min("rank")))
     found.append(K.list_direction(pairs, 15, [F.desc("percentile"), F.desc("mean_abs_delta_af"), F.asc("contrast"), F.asc("contig")], "same_contig", "Offset hotspots", "same-contig architecture", "top_offset", ["percentile"], ["mean_abs_delta_af", "n_markers"], mean_percentile=F.avg("percentile"), mean_effect=F.avg("mean_abs_delta_af"), sum_markers=F.sum("n_markers"), n_contrasts=F.count_distinct("contrast")))
+    ev = evidence(spark, d)
+    whole = ev.crossJoin(F.broadcast(ev.agg(F.greatest(F.count_distinct("grp"), F.lit(1)).alias("_groups"))))  # a row beside
+    found.append(K.list_direction(whole, 10, [F.desc("asymmetry"), F.desc("combined"), F.asc("asymmetry_rank"), F.asc("seq_id")], "accession_asymmetry", "Subgenome asymmetry across accessions", "accession-level asymmetric structure", "top_asymmetry", ["asymmetry", "combined"], [], [F.count_distinct("grp") / F.max("_groups")], mean_asymmetry=F.avg("asymmetry"), mean_combined=F.avg("combined"), n_groups=F.count_distinct("grp"), best_rank=F.min("asymmetry_rank")))
+    found.append(K.list_direction(ev.where("grp = 2"), 8, [F.desc("combined"), F.asc("rank"), F.asc("seq_id")], "wild_transition", "Wild transition accessions", "wild accession shortlist", "top_wild", ["combined"], ["bal", "asymmetry"], mean_combined=F.avg("combined"), mean_balance=F.avg("bal"), mean_asymmetry=F.avg("asymmetry"), best_rank=F.min("rank")))
+    found.append(K.list_direction(single, 15, [F.desc("percentile"), F.desc("mean_abs_delta_af"), F.desc("n_markers"), F.asc("contrast"), F.asc("contig")], "subgenome_specific_hotspots", "Subgenome-specific hotspots", "subgenome-specific architecture", "top_specific", ["percentile"], ["mean_abs_delta_af", "n_markers"], mean_percentile=F.avg("percentile"), mean_effect=F.avg("mean_abs_delta_af"), sum_markers=F.sum("n_markers"), n_contrasts=F.count_distinct("contrast")))
     return found
 
 
@@ -159,19 +166,25 @@ b3 AS (SELECT *, {_pct("bal")} AS p1, {_pct("key")} AS p2 FROM l0),
 d3 AS (SELECT 'introgressed_reference', 'Introgressed reference accessions', 'breeding reference accessions', 'top_introgressed', (avg(combined) + avg(p1) + avg(p2)) / 3, {_four(("mean_combined", "avg(combined)"), ("mean_balance", "avg(bal)"), ("mean_key", "avg(key)"), ("best_rank", "min(rank)"))} FROM b3 HAVING count(*) > 0),
 b4 AS (SELECT *, {_pct("effect")} AS p1, {_pct("n_markers")} AS p2 FROM (SELECT * FROM ov ORDER BY pct DESC, effect DESC, contrast, contig LIMIT 15)),
 d4 AS (SELECT 'same_contig', 'Offset hotspots', 'same-contig architecture', 'top_offset', (avg(pct) + avg(p1) + avg(p2)) / 3, {_four(("mean_percentile", "avg(pct)"), ("mean_effect", "avg(effect)"), ("sum_markers", "sum(n_markers)"), ("n_contrasts", "count(DISTINCT contrast)"))} FROM b4 HAVING count(*) > 0),
-dirs AS (SELECT * FROM d1 UNION ALL SELECT * FROM d2 UNION ALL SELECT * FROM d3 UNION ALL SELECT * FROM d4),
+d5 AS (SELECT 'accession_asymmetry', 'Subgenome asymmetry across accessions', 'accession-level asymmetric structure', 'top_asymmetry', (avg(asymmetry) + avg(combined) + count(DISTINCT grp) / (SELECT greatest(count(DISTINCT grp), 1) FROM ev)::double) / 3, {_four(("mean_asymmetry", "avg(asymmetry)"), ("mean_combined", "avg(combined)"), ("n_groups", "count(DISTINCT grp)"), ("best_rank", "min(asymmetry_rank)"))} FROM (SELECT * FROM ev ORDER BY asymmetry DESC, combined DESC, asymmetry_rank, seq_id LIMIT 10) HAVING count(*) > 0),
+b6 AS (SELECT *, {_pct("bal")} AS p1, {_pct("asymmetry")} AS p2 FROM (SELECT * FROM ev WHERE grp = 2 ORDER BY combined DESC, rank, seq_id LIMIT 8)),
+d6 AS (SELECT 'wild_transition', 'Wild transition accessions', 'wild accession shortlist', 'top_wild', (avg(combined) + avg(p1) + avg(p2)) / 3, {_four(("mean_combined", "avg(combined)"), ("mean_balance", "avg(bal)"), ("mean_asymmetry", "avg(asymmetry)"), ("best_rank", "min(rank)"))} FROM b6 HAVING count(*) > 0),
+sp AS (SELECT contrast, contig, n_markers, effect, {_pct("n_markers")} AS pct FROM (SELECT contrast, contig, coalesce(na, nb) AS n_markers, round(coalesce(ea, eb), 9) AS effect FROM p WHERE bp IS NULL)),
+b7 AS (SELECT *, {_pct("effect")} AS p1, {_pct("n_markers")} AS p2 FROM (SELECT * FROM sp ORDER BY pct DESC, effect DESC, n_markers DESC, contrast, contig LIMIT 15)),
+d7 AS (SELECT 'subgenome_specific_hotspots', 'Subgenome-specific hotspots', 'subgenome-specific architecture', 'top_specific', (avg(pct) + avg(p1) + avg(p2)) / 3, {_four(("mean_percentile", "avg(pct)"), ("mean_effect", "avg(effect)"), ("sum_markers", "sum(n_markers)"), ("n_contrasts", "count(DISTINCT contrast)"))} FROM b7 HAVING count(*) > 0),
+dirs AS (SELECT * FROM d1 UNION ALL SELECT * FROM d2 UNION ALL SELECT * FROM d3 UNION ALL SELECT * FROM d4 UNION ALL SELECT * FROM d5 UNION ALL SELECT * FROM d6 UNION ALL SELECT * FROM d7),
 board AS (SELECT * REPLACE (round(score, 6) AS score) FROM dirs)"""
 _metrics = ", ".join(f"support_metric_{k}_name, round(support_metric_{k}, 9) AS support_metric_{k}" for k in range(1, 5))
 
 
-def board(spark: SparkSession, d: str, parts: tuple[DataFrame, DataFrame]) -> DataFrame:
+def board(spark: SparkSession, d: str, parts: tuple[DataFrame, DataFrame, DataFrame]) -> DataFrame:
     # Scores are rounded so that both engines rank them alike.
     return K.scoreboard([x.withColumn("composite_support_score", F.round("composite_support_score", 6)) for x in directions(spark, d, parts)])
 
 
 @query(f"WITH {DIRECTIONS} SELECT direction_type, direction_label, support_scope, source_key, score AS composite_support_score, {_metrics}, dense_rank() OVER (ORDER BY score DESC) AS recommended_rank, dense_rank() OVER (ORDER BY score DESC) = 1 AS is_primary_recommendation FROM board")
 def direction_scoreboard(spark: SparkSession, d: str) -> DataFrame:
-    """Scored directions of contrasts, shared hotspots and two lists, with their dense rank."""
+    """Scored directions of contrasts, shared hotspots and five lists, with their dense rank."""
     return rounded(board(spark, d, contrast_parts(spark, d)))
 
 
