@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from allelix.functions import ranking as R
 from allelix.functions import scalars as S
 from allelix.functions.lineage import fixed
+from allelix.operators import accessions as X
 from allelix.operators import alignment as A
 from allelix.operators import evidence as E
 from allelix.operators import linalg as L
@@ -142,6 +143,40 @@ def group_parental_means(spark: SparkSession, d: str) -> DataFrame:
     return rounded(K.group_means(evidence(spark, d), "grp", {"mean_combined": "combined", "mean_asymmetry": "asymmetry", "mean_balance": "bal"}))
 
 
+# Accessions with identities to five groups by subgenome: multiples of 1/1024 from suppliers' keys, some of them missing.
+_GROUPS = ("arabica_cultivated", "arabica_introgressed", "arabica_wild", "canephora", "eugenioides")
+_RATES = ("heterozygosity", "non_reference_rate", "call_rate")
+
+
+def _values(key: str, div: str) -> dict[str, str]:
+    """Column -> SQL of its value."""
+    out = {f"{s}_mean_ibs_to_{g}": f"nullif({key} * {31 + 7 * k} % {211 - 10 * i}, {3 + k}) / {div}" for i, s in enumerate(X.SIDES) for k, g in enumerate(_GROUPS)}
+    return out | {f"delta_{r}_sgC_minus_sgE": f"({key} * {53 + 6 * k} % 97 - 48) / {div}" for k, r in enumerate(_RATES)}
+
+
+_mean = lambda *xs: f"({' + '.join(f'coalesce({x}, 0)' for x in xs)}) / nullif({' + '.join(f'({x} IS NOT NULL)::int' for x in xs)}, 0)::double"
+_to = lambda s, g: f'"{s}_mean_ibs_to_{g}"'
+_part = lambda x: f"CASE WHEN {x} IS NOT NULL THEN (rank() OVER (ORDER BY {x} NULLS LAST) + (count(*) OVER (PARTITION BY {x}) - 1) / 2.0::double) / count({x}) OVER () END"
+ACCESSIONS = f"""w0 AS (SELECT s_suppkey AS seq_id, [{", ".join(f"'{g}'" for g in _GROUPS)}][n_regionkey + 1] AS analysis_group, {", ".join(f'{v} AS "{c}"' for c, v in _values("s_suppkey", "1024.0::double").items())} FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+w1 AS (SELECT *, {", ".join(f'{_to(s, "arabica_" + n)} - {_to(s, "arabica_cultivated")} AS "{s}_{n}_shift"' for s in X.SIDES for n in ("introgressed", "wild"))}, {_to("sgC", "canephora")} - {_to("sgC", "eugenioides")} AS own, {_to("sgE", "eugenioides")} - {_to("sgE", "canephora")} AS oth FROM w0),
+w2 AS (SELECT *, {", ".join(f'{_mean(*[chr(34) + s + "_" + n + "_shift" + chr(34) for s in X.SIDES])} AS mean_{n}_shift' for n in ("introgressed", "wild"))}, {", ".join(f"{_mean(*[_to(s, g) for s in X.SIDES])} AS mean_{g}_affinity" for g in ("canephora", "eugenioides"))}, {_mean("own", "oth")} AS parental_consistency_score, abs(own - oth) AS parental_distortion_score, abs("sgC_introgressed_shift" - "sgE_introgressed_shift") AS abs_delta_introgressed_shift, {", ".join(f'abs("delta_{r}_sgC_minus_sgE") AS abs_delta_{r}' for r in _RATES)} FROM w1),
+p0 AS (SELECT seq_id, analysis_group, {", ".join(f"{_part(c)} AS {n}_percentile" for n, c in X.PERCENTILES.items())} FROM w2 WHERE analysis_group LIKE 'arabica%'),
+p1 AS (SELECT *, {", ".join(f"{_mean(*[p + '_percentile' for p in X.COMPOSITES[n]])} AS {n}_percentile" for n in ("introgression_affinity", "subgenome_asymmetry"))} FROM p0),
+p2 AS (SELECT *, {_mean(*[p + "_percentile" for p in X.COMPOSITES["combined_evidence"]])} AS combined_evidence_percentile FROM p1),
+p3 AS (SELECT * EXCLUDE (analysis_group), {", ".join(f"CASE WHEN {n}_percentile IS NOT NULL THEN rank() OVER ({by}ORDER BY {n}_percentile DESC NULLS LAST) END AS {place}_{n}_rank" for n in X.COMPOSITES for place, by in (("overall", ""), ("within_group", "PARTITION BY analysis_group ")))} FROM p2)"""
+_doubles = ["mean_introgressed_shift", "mean_wild_shift", "mean_canephora_affinity", "mean_eugenioides_affinity", "parental_consistency_score", "parental_distortion_score", "abs_delta_introgressed_shift", *[f"abs_delta_{r}" for r in _RATES], *[f"{n}_percentile" for n in (*X.PERCENTILES, *X.COMPOSITES)]]
+_ranks = [f"{place}_{n}_rank" for place in ("overall", "within_group") for n in X.COMPOSITES]
+
+
+@query(f"WITH {ACCESSIONS} SELECT seq_id, analysis_group, {', '.join(f'round({c}, 9) AS {c}' for c in _doubles)}, {', '.join(_ranks)} FROM w2 LEFT JOIN p3 USING (seq_id)")
+def accession_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """Measures of every accession; percentiles, composites and ranks of those in the ranked groups."""
+    s = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    group = F.element_at(F.array(*[F.lit(g) for g in _GROUPS]), F.col("n_regionkey").cast("int") + 1)
+    wide = s.select(F.col("s_suppkey").alias("seq_id"), group.alias("analysis_group"), *[F.expr(v).alias(c) for c, v in _values("s_suppkey", "1024.0D").items()])
+    return rounded(X.evidence(wide).select("seq_id", "analysis_group", *_doubles, *_ranks))
+
+
 def directions(spark: SparkSession, d: str, parts: tuple[DataFrame, DataFrame, DataFrame]) -> list[DataFrame]:
     wide, pairs, single = parts
     roles = {role: rows for role, _, rows in role_lists(spark, d)}
