@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from allelix.functions.ranking import best_rows, medians, with_average_rank
-from allelix.functions.scalars import confidence, interval_jaccard, seqid
+from allelix.functions.scalars import CANDIDATES, GENE_LIBRARY, confidence, interval_jaccard, seqid
 from allelix.operators import intervals as I
 from allelix.operators.linalg import pearson, weighted_mean
 from allelix.operators.marts import keyword_hits
@@ -123,6 +123,14 @@ def gene_overlaps(hotspots: DataFrame, genes: DataFrame, library: Mapping[str, S
     return gene_priority(out)
 
 
+def candidate_genes(genes: DataFrame, pattern: str = CANDIDATES, library: Mapping[str, Sequence[str]] = GENE_LIBRARY) -> DataFrame:
+    """genes (gene_name, product, raw_attributes, …) of which a name, product or attribute matches the pattern, without
+    regard to case, with the library's categories and terms in name and product. NULL texts count as empty."""
+    text = lambda *columns: F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in columns])
+    found = genes.where(text("gene_name", "product", "raw_attributes").rlike(f"(?i){pattern}"))
+    return found.withColumn("_k", keyword_hits(text("gene_name", "product"), library)).select(*genes.columns, "_k.categories", "_k.terms", "_k.hits")
+
+
 def gene_priority(pairs: DataFrame) -> DataFrame:
     """pairs (…, hits, coding, overlap_bp) with the score hits + 0.25 coding + overlap over the largest overlap."""
     top = pairs.agg(F.greatest(F.lit(1).cast("long"), F.max("overlap_bp")).alias("_top"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from allelix.functions import scalars as S
 from allelix.functions.lineage import fixed, scratch
+from allelix.operators import alignment as AL
 from allelix.operators import intervals as I
 from allelix.operators import marts as K
 from allelix.operators import popgen as G
@@ -242,6 +243,31 @@ def gff3_supported_genes(spark: SparkSession, d: str) -> DataFrame:
     return readers.on_blocks(found, blocks, 10_000).select("seqid", "start", "end", "gene_id", "gene_name", "description", "strand")
 
 
+PRODUCTS = ("disease resistance protein RPP13", "sugar transporter ERD6", "WRKY transcription factor 40", "ATP synthase subunit", "wall-associated receptor kinase", "ribosomal protein L2", "peroxidase 12", "")
+_product = f"[{', '.join(repr(x) for x in PRODUCTS)}][p_partkey % {len(PRODUCTS)} + 1]"
+_terms = sorted({t for terms in S.GENE_LIBRARY.values() for t in terms})
+
+
+def loose_gff(spark: SparkSession, d: str) -> DataFrame:
+    """Gene lines of nine fields or more, of any case, whose names and products stand under each of their keys; lines of
+    eight fields, comments and other features beside them."""
+    p, k = table(spark, d, "part"), F.col("p_partkey")
+    product = F.element_at(F.array(*[F.lit(x) for x in PRODUCTS]), (k % len(PRODUCTS)).cast("int") + 1)
+    key = lambda *names: F.element_at(F.array(*[F.lit(n) for n in names]), (k % len(names)).cast("int") + 1)
+    named = F.when(k % 5 != 0, F.concat(F.lit(";"), key("Name", "gene", "gene_name"), F.lit("=n"), k.cast("string")))
+    text = F.concat(key("ID", "gene_id"), F.lit("=g"), k.cast("string"), F.coalesce(named, F.lit("")), F.lit(";"), key("product", "description", "Note"), F.lit("="), product)
+    fields = [F.concat(F.lit("ref|NC_"), (k % 7).cast("string"), F.lit(".1|")), F.lit("x"), key("gene", "Gene", "exon", "GENE"), k * 10, k * 10 + 99, F.lit("."), key("+", "-"), F.lit(".")]
+    more = F.when(k % 6 == 0, F.lit("\tkinase"))
+    lines = F.when(k % 11 == 0, F.concat_ws("\t", *fields)).otherwise(F.concat(F.concat_ws("\t", *fields, text), F.coalesce(more, F.lit(""))))
+    return readers.lines(spark, staged(p.select(lines.alias("value")).unionByName(p.select(F.concat(F.lit("#"), lines).alias("value"))), "loose_gff3"))
+
+
+@query(f"WITH g AS (SELECT 'NC_' || p_partkey % 7 || '.1' AS seqid, p_partkey * 10 AS s, p_partkey * 10 + 99 AS e, ['+', '-'][p_partkey % 2 + 1] AS strand, 'g' || p_partkey AS gene_id, CASE WHEN p_partkey % 5 <> 0 THEN 'n' || p_partkey ELSE '' END AS gene_name, {_product} AS product FROM part WHERE p_partkey % 4 <> 2 AND p_partkey % 11 <> 0), t AS (SELECT *, lower(gene_name || ' ' || product) AS low, [{', '.join(repr(t) for t in _terms)}] AS every FROM g WHERE regexp_matches(gene_name || ' ' || product, '{S.CANDIDATES}', 'i')) SELECT seqid, s AS start, e AS \"end\", strand, gene_id, gene_name, product, array_to_string(list_filter([{', '.join('CASE WHEN ' + ' OR '.join(f'contains(low, {t!r})' for t in terms) + f' THEN {n!r} END' for n, terms in sorted(S.GENE_LIBRARY.items()))}], lambda x: x IS NOT NULL), '; ') AS categories, array_to_string(list_filter(every, lambda x: contains(low, x)), '; ') AS terms, len(list_filter(every, lambda x: contains(low, x)))::bigint AS hits FROM t")
+def gff3_candidate_genes(spark: SparkSession, d: str) -> DataFrame:
+    """Genes under all their fallbacks that the candidate pattern finds, with the library's terms."""
+    return rounded(AL.candidate_genes(readers.genes(readers.gff3(loose_gff(spark, d)))).drop("raw_attributes"))
+
+
 # ---- sequences and hits
 
 
