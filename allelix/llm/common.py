@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 from weakref import WeakKeyDictionary
 
 import numpy as np
@@ -33,20 +34,37 @@ def _folder(spark: SparkSession, path: str):
 _places: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
-def written(df: DataFrame, name: str, instead_of: DataFrame | None = None) -> DataFrame:
+#: With it, Spark deletes an execution's shuffle files as it ends, not when the driver next collects its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _shuffles_go(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+
+
+def written(df: DataFrame, name: str, instead_of: DataFrame | Iterable[DataFrame] | None = None) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read again: lineage ends there, and a lost executor costs
-    a read. The files go when the application ends, or when a later table is written ``instead_of`` this one; nothing
-    but that table may then depend on them."""
+    a read. The shuffle files of its making go at once, as nothing reads them again. The table's go when the application
+    ends, or when a later table is written ``instead_of`` this one (or of several); nothing but that table may then
+    depend on them."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with _shuffles_go(spark):
+        df.write.parquet(path)
     target, files = _folder(spark, path)
     files.deleteOnExit(target)
     found = spark.read.schema(df.schema).parquet(path)
     _places[found] = path
-    if instead_of is not None and instead_of in _places:
-        old, files = _folder(spark, _places.pop(instead_of))
-        files.delete(old, True)
+    for table in [instead_of] if isinstance(instead_of, DataFrame) else instead_of or []:
+        if table in _places:
+            old, files = _folder(spark, _places.pop(table))
+            files.delete(old, True)
     return found
 
 
@@ -150,7 +168,7 @@ def connected_components(edges: DataFrame, within: str | None = None) -> DataFra
     """(node, component) for every node of ``edges`` (a, b); component is the smallest node reachable. within: a
     column of whole numbers whose values are graphs of their own; it is returned too.
 
-    Each task turns its own edges into stars first, a chunk at a time. Then large and small stars alternate: each round moves every edge
+    Edges that repeat count once. Each task turns its own into stars first, a chunk at a time. Then large and small stars alternate: each round moves every edge
     towards its neighbourhood's minimum, and the number of rounds grows with the logarithm of the longest chain.
     Neighbourhoods meet as aggregates (combined
     before the shuffle) and joins that hubs take no part in, so a hub is never gathered in one task. Rounds
@@ -166,7 +184,7 @@ def connected_components(edges: DataFrame, within: str | None = None) -> DataFra
         total, bad = nodes.agg(F.sum("_from"), F.count_if((F.col("_from") > 1) | ((F.col("_from") > 0) & (F.col("_to") > 0)))).first()
         return total or 0, bad
 
-    first = written(edges.select(*key, F.greatest("a", "b").cast("long").alias("u"), F.least("a", "b").cast("long").alias("v")).where("u > v"), "cc")
+    first = written(edges.select(*key, F.greatest("a", "b").cast("long").alias("u"), F.least("a", "b").cast("long").alias("v")).where("u > v").distinct(), "cc")
     chunks = -(-first.count() // CHUNK)
     e = written(_contracted(first.coalesce(max(1, chunks)), key), "cc", instead_of=first)
     # A single chunk's stars are the whole graph's.

@@ -33,6 +33,8 @@ TILE = 4096
 TOGETHER = 256
 FLUSH = 1 << 20
 SEEDS = 16
+#: Elements that a part needs to name candidates, where sets have parts enough.
+LEAST = 3
 REFINEMENTS = 6
 #: Groups, one row each, that are broadcast at most.
 MOST_BROADCAST = 100_000
@@ -179,17 +181,27 @@ class Bands:
         return 2 * high * (self.t.denominator - self.t.numerator) // (self.t.denominator + self.t.numerator) + 1
 
 
-def deals(parts: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """How often a set is dealt at most. Two linked sets fail to agree on a part with elements only if each part that
-    they agree on is empty; a part is either touched by a difference or empty with a chance of at most
-    p = 1 - (1 - exp(-elements per part)) / e, all of them with p ** parts. So many deals bring that under 1e-18."""
-    p = 1 - np.exp(-1) * (1 - np.exp(-n / parts))
-    return np.minimum(SEEDS, np.ceil(np.log(1e-18) / (parts * np.log(p)))).astype(np.int64)
+def deals(parts: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How often a set is dealt at most, and the elements that a part needs to say something. common: elements that two
+    linked sets share at least. They fail to agree on a part that says something only if each part is touched by a
+    difference or holds fewer of the shared ones, each of them with a chance of at most p = 1 - P(as many) / e, all with
+    p ** parts. So many deals bring that under 1e-18. A part of a single element is often one of a common line, which
+    chains texts that are nothing alike, so it says nothing where sets have parts enough."""
+    mean = common / parts
+    small, term = np.zeros(len(parts)), np.exp(-mean)
+    for least in range(1, LEAST + 1):
+        small, term = small + term, term * mean / least
+        times = np.ceil(np.log(1e-18) / (parts * np.log(1 - np.exp(-1) * (1 - small)))).astype(np.int64)
+        if least == 1:
+            found, fewest = np.minimum(SEEDS, times), np.ones(len(parts), np.int64)
+        else:
+            found, fewest = np.where(times < SEEDS, times, found), np.where(times < SEEDS, least, fewest)
+    return found, fewest
 
 
 def signatures(flat: np.ndarray, n: np.ndarray, bands: Bands, first: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """(row, signature) of every part. A part without elements says nothing, so sets that have one are dealt anew by
-    other seeds, as often as deals() says; of the last of all seeds empty parts count too, which leaves no pair out.
+    """(row, signature) of every part. A part of few elements or none says nothing, so sets that have one are dealt anew
+    by other seeds, as often as deals() says; of the last of all seeds such parts count too, which leaves no pair out.
     A signature's last bits are the band that it is for. first: signatures of other values are independent."""
     rows, sigs = [], []
     full = np.flatnonzero(n)
@@ -197,7 +209,6 @@ def signatures(flat: np.ndarray, n: np.ndarray, bands: Bands, first: int = 0) ->
         return np.zeros(0, np.int64), np.zeros(0, U)
     band = np.zeros(len(n), np.int64)
     band[full] = bands.of(n[full])
-    starts = np.cumsum(n) - n
     for step in (0, 1):
         some, at = full, np.repeat(np.arange(len(n)), n)
         values = flat
@@ -215,17 +226,19 @@ def signatures(flat: np.ndarray, n: np.ndarray, bands: Bands, first: int = 0) ->
             part = np.arange(len(total)) - base[owner]
             key = mix(total + mix(np.repeat(g, parts).astype(U) * U(1 << 40) + part.astype(U) * U(SEEDS) + U(seed)) + U(first))
             key = (key >> U(BAND_BITS) << U(BAND_BITS)) | np.repeat(g, parts).astype(U) % U(1 << BAND_BITS)
-            keep = size > 0 if seed + 1 < SEEDS else np.ones(len(size), bool)
+            # By band and smallest size there, so that two sets of a band are dealt equally often.
+            times, fewest = deals(parts, np.array(bands.low)[np.maximum(g - 1, 0)] * float(2 * bands.t / (1 + bands.t)))
+            says = size >= np.repeat(fewest, parts)
+            keep = says if seed + 1 < SEEDS else np.ones(len(size), bool)
             rows.append(owner[keep])
             sigs.append(key[keep])
-            # By band and smallest size there, so that two sets of a band are dealt equally often.
-            least = np.array(bands.low)[np.maximum(g - 1, 0)]
-            more = some[deals(parts, least) > seed + 1]
-            some = np.intersect1d(np.unique(owner[size == 0]), more)
+            again = np.zeros(len(n), bool)
+            again[owner[~says]] = True
+            again[some[times <= seed + 1]] = False
+            some = some[again[some]]
             if not len(some):
                 break
-            at = np.repeat(some, n[some])
-            values = np.concatenate([flat[starts[d] : starts[d] + n[d]] for d in some])
+            at, values = at[again[at]], values[again[at]]
     return np.concatenate(rows), np.concatenate(sigs)
 
 
@@ -246,6 +259,19 @@ def stars(sig: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return sig[first], doc[first], edges[new]
 
 
+def planes(pairs: np.ndarray) -> bytes:
+    """Signatures and ascending docs, as the differences between these, byte by byte: a shuffle's compression takes out
+    what is zero."""
+    both = np.stack([pairs[0], np.diff(pairs[1], prepend=np.int64(0))])
+    return both.view(np.uint8).reshape(2, -1, 8).transpose(0, 2, 1).tobytes()
+
+
+def from_planes(data: bytes) -> np.ndarray:
+    """What planes() took."""
+    both = np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(2, 8, -1).transpose(0, 2, 1)).view(np.int64)[:, :, 0]
+    return np.stack([both[0], np.cumsum(both[1])])
+
+
 def profiles(docs: DataFrame, width: int) -> DataFrame:
     """doc_id, n (set size) and two hashes of the whole set."""
 
@@ -276,13 +302,13 @@ def packed_signatures(docs: DataFrame, width: int, threshold: Fraction, buckets:
             held.clear()
             bucket = ((sig >> U(BAND_BITS)) % U(buckets)).astype(np.int64)
             spot = (links[:, 1].astype(U) % U(buckets)).astype(np.int64)
-            order, spots = np.argsort(bucket, kind="stable"), np.argsort(spot, kind="stable")
+            order, spots = np.lexsort((doc, bucket)), np.argsort(spot, kind="stable")
             used = np.union1d(bucket, spot)
-            packed = np.stack([sig.astype(np.int64), doc], 1)[order]
+            pairs = np.stack([sig.view(np.int64), doc])[:, order]
             columns = []
-            for rows, place in ((packed, bucket[order]), (links[spots], spot[spots])):
+            for place, cut in ((bucket[order], lambda i, j: planes(pairs[:, i:j])), (spot[spots], lambda i, j: links[spots[i:j]].tobytes())):
                 begin, end = np.searchsorted(place, used), np.searchsorted(place, used, "right")
-                columns.append(pa.array([rows[i:j].tobytes() for i, j in zip(begin, end, strict=True)], pa.binary()))
+                columns.append(pa.array([cut(i, j) for i, j in zip(begin, end, strict=True)], pa.binary()))
             return pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), *columns], names=["bucket", "pairs", "edges"])
 
         for batch in batches:
@@ -307,9 +333,9 @@ def candidate_edges(rows: DataFrame) -> DataFrame:
     """(band, a, b) of documents that share a signature for that band, as stars."""
 
     def run(table: pa.Table) -> pa.Table:
-        cols = {c: b"".join(x for x in table.column(c).to_pylist() if x) for c in ("pairs", "edges")}
-        pairs = np.frombuffer(cols["pairs"], np.int64).reshape(-1, 2)
-        edges = np.concatenate([stars(pairs[:, 0].view(U) if len(pairs) else np.zeros(0, U), pairs[:, 1])[2], np.frombuffer(cols["edges"], np.int64).reshape(-1, 3)])
+        pairs = np.concatenate([np.zeros((2, 0), np.int64), *[from_planes(x) for x in table.column("pairs").to_pylist() if x]], 1)
+        known = b"".join(x for x in table.column("edges").to_pylist() if x)
+        edges = np.concatenate([stars(pairs[0].view(U), pairs[1])[2], np.frombuffer(known, np.int64).reshape(-1, 3)])
         return pa.table({c: pa.array(edges[:, k].copy()) for k, c in enumerate(("band", "a", "b"))})
 
     return rows.groupBy("bucket").applyInArrow(run, "band long, a long, b long")
@@ -397,7 +423,9 @@ def jaccard_components(docs: DataFrame, width: int = 5, threshold: str = "0.8",
         # By merge at every size: a broadcast that only small inputs get would say nothing about large ones. The
         # candidates' texts are written, so that all that follows reads them and not the documents.
         text = docs.where("doc_id is not null").select(F.col("doc_id").alias("rep"), "text").hint("merge")
-        labels = written(_labels(written(sized.join(text, "rep"), "jaccard-texts"), n, width, t, tile, buckets), "jaccard-labels")
+        texts = written(sized.join(text, "rep"), "jaccard-texts", instead_of=sized)
+        found, tables = _labels(texts, n, width, t, tile, buckets)
+        labels = written(found, "jaccard-labels", instead_of=[texts, *tables])
     sets = reps.select("n", "h1", "h2", "rep").distinct()
     if labels is None:
         classes = sets.withColumnRenamed("rep", "label")
@@ -414,14 +442,15 @@ def _sized(rows: DataFrame) -> DataFrame:
     return met(rows, sizes, ["comp"], "_n", rows.count())
 
 
-def _labels(texts: DataFrame, n: int, width: int, t: Fraction, tile: int, buckets: int) -> DataFrame:
-    """rep, label of groups of candidates, as edges between members that belong together."""
+def _labels(texts: DataFrame, n: int, width: int, t: Fraction, tile: int, buckets: int) -> tuple[DataFrame, list[DataFrame]]:
+    """rep, label of groups of candidates, as edges between members that belong together; the tables of texts that they
+    are made from."""
     labels = _tiled(texts.where(F.col("m") <= tile).withColumn("known", F.col("rep")), n, width, t)
     if not (texts.agg(F.max("m")).first()[0] or 0) > tile:
-        return labels
+        return labels, []
     big = texts.where(F.col("m") > tile).withColumn("chunks", F.ceil(F.col("m") / tile))
     state, links = _with_hubs(big, width, t)
-    found = [labels, links]
+    found, tables = [labels, links], [state]
     # What a group's largest class doesn't hold is compared with all of the group. Where that is much, the group is
     # dealt again first: linked documents agree on a part of every deal, others that a passage or chance brought
     # together part.
@@ -434,6 +463,7 @@ def _labels(texts: DataFrame, n: int, width: int, t: Fraction, tile: int, bucket
         groups = candidate_groups(pairs)
         finer = state.select("rep", "known", "text").distinct().join(groups, F.col("rep") == F.col("node")).select("comp", "rep", "known", "text")
         finer = written(_sized(finer), "jaccard-finer")
+        tables.append(finer)
         found.append(_tiled(finer.where(F.col("m") <= tile), n, width, t))
         state = finer.where(F.col("m") > tile).withColumn("chunks", F.ceil(F.col("m") / tile))
         apart, largest = _apart(state)
@@ -441,7 +471,7 @@ def _labels(texts: DataFrame, n: int, width: int, t: Fraction, tile: int, bucket
             break
     if largest:
         found.append(_with_rest(state, apart, width, t, tile))
-    return reduce(DataFrame.unionByName, found)
+    return reduce(DataFrame.unionByName, found), tables
 
 
 def _tiled(rows: DataFrame, n: int, width: int, t: Fraction) -> DataFrame:

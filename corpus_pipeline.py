@@ -73,9 +73,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each one's rows are written and read again before the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = written(docs, "pipeline")
+        kept = stage(spark, docs, sf_dir)
+        docs = written(kept, "pipeline", instead_of=docs) if k + 1 < len(STAGES) else kept
     return docs
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import public_tokenizers
-from allelix.llm import ann, bpe, chat_format, html_extract, ngram_join, packing, quality, quality_rules, toxicity, url_filter
+from allelix.llm import ann, bpe, chat_format, common, html_extract, ngram_join, packing, quality, quality_rules, toxicity, url_filter
 from allelix.llm.common import connected_components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -106,6 +106,51 @@ def test_jaccard_odd(spark, odd):
     assert ngram_join.jaccard_components(odd.limit(0)).count() == 0
 
 
+def test_common_lines_chain_no_groups(spark, monkeypatch):
+    """Texts that have only a line of boilerplate in common aren't candidates (one group of 60 before), copies are."""
+    rng = random.Random(4)
+    line = " ".join(f"line{i}" for i in range(24))
+    texts = [" ".join([*(f"w{rng.randrange(10**9)}" for _ in range(400)), line]) for _ in range(400)]
+    texts += [t.replace(" line3 ", " other ") for t in texts[:5]]
+    sized, real = [], ngram_join._sized
+    monkeypatch.setattr(ngram_join, "_sized", lambda rows: sized.append(real(rows)) or sized[-1])
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.jaccard_components(documents(spark, texts), 5, "0.8").collect()}
+    assert got == {k: k % 400 for k in range(405)}
+    assert sized[0].agg(F.max("m")).first()[0] <= 4
+
+
+def test_small_parts_lose_no_link():
+    """Sets at the threshold share a signature, whatever their sizes."""
+    rng, t = np.random.default_rng(8), ngram_join.Fraction("0.8")
+    for n in [1, 2, 4, 5, 9, 20, 40, 60, 90, 150, 300, 700, 2000] * 4:
+        apart = n // 5 if n >= 5 else 0  # of the larger set, which holds all of the smaller one
+        one = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        two = np.sort(rng.permutation(one)[apart:])
+        rows, sigs = ngram_join.signatures(np.concatenate([one, two]), np.array([len(one), len(two)]), ngram_join.Bands(t))
+        assert np.intersect1d(sigs[rows == 0], sigs[rows == 1]).size, n
+
+
+def test_planes():
+    for docs in ([], [5], [-(1 << 63), -3, 0, 7, 7, (1 << 63) - 1]):
+        pairs = np.array([np.arange(len(docs)) * -(1 << 59) + 9, docs], np.int64).reshape(2, -1)
+        assert (ngram_join.from_planes(ngram_join.planes(pairs)) == pairs).all()
+
+
+def test_join_leaves_no_texts_behind(spark, monkeypatch, tmp_path):
+    """Tables of texts go once labels are written, the session's settings stay, and edges that repeat count once."""
+    monkeypatch.setattr(common, "shared_dir", lambda _: str(tmp_path))
+    kept, real = spark.conf.get(common.CLEANUP, None), common.written
+    ngram_join.jaccard_components(documents(spark, [t for _, t in near_copies(9, 40)]), 3, "0.5", 4).collect()
+    left = {p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir()}
+    assert "jaccard-labels" in left and not left & {"jaccard-texts", "jaccard-state", "jaccard-finer", "jaccard-sized"}
+    assert spark.conf.get(common.CLEANUP, None) == kept
+    counts = []
+    monkeypatch.setattr(common, "written", lambda *a, **k: counts.append((out := real(*a, **k)).count()) or out)
+    edges = [(k % 50 + 1, 0) for k in range(5000)]
+    connected_components(spark.createDataFrame(edges, "a long, b long").repartition(8)).count()
+    assert counts == [50, 50]
+
+
 def test_words_of_long_rows():
     import pyarrow as pa
 
