@@ -215,7 +215,8 @@ def confidence(rel_diff: Expr, gap: Expr) -> Column:
 def transferred(pos: Expr, source_length: Expr, target_length: Expr) -> Column:
     """A position scaled to another length: half-even rounding, kept inside the target; NULL without all three."""
     scaled = F.bround(_c(pos).cast("double") * _c(target_length) / F.nullif(_c(source_length).cast("double"), F.lit(0.0)), 0).cast("long")
-    return F.when(_c(source_length) == _c(target_length), _c(pos).cast("long")).when(scaled.isNotNull(), F.greatest(F.lit(1).cast("long"), F.least(scaled, _c(target_length).cast("long"))))
+    at = F.when(_c(source_length) == _c(target_length), _c(pos).cast("long")).otherwise(scaled)
+    return F.when(at.isNotNull(), F.greatest(F.lit(1).cast("long"), F.least(at, _c(target_length).cast("long"))))
 
 
 def stretched(start: Expr, end: Expr, source_length: Expr, target_length: Expr) -> Column:

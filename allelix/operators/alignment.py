@@ -143,8 +143,9 @@ def routed(hotspots: DataFrame, crosswalk: DataFrame) -> DataFrame:
     from allelix.functions.scalars import transferred
 
     out = hotspots.join(crosswalk, ["subgenome", "contig"], "left")
-    ends = [transferred(c, "length", "target_length") for c in ("min_pos", "max_pos")]
-    status = F.when(F.col("confidence").isNull(), "no_crosswalk").when(F.col("seqid").isNull(), "no_paired_contig").when(F.col("length") == F.col("target_length"), "direct").otherwise("length_scaled")
+    direct = F.col("length") == F.col("target_length")
+    ends = [F.when(direct, F.col(c).cast("long")).otherwise(transferred(c, "length", "target_length")) for c in ("min_pos", "max_pos")]
+    status = F.when(F.col("confidence").isNull(), "no_crosswalk").when(F.col("seqid").isNull(), "no_paired_contig").when(direct, "direct").otherwise("length_scaled")
     return out.select(F.concat_ws("::", "contrast", "contig", "subgenome").alias("hotspot"), "contrast", "contig", "subgenome", "seqid", F.least(*ends).alias("target_start"), F.greatest(*ends).alias("target_end"), F.coalesce("confidence", F.lit("unresolved")).alias("confidence"), status.alias("status"))
 
 

@@ -67,6 +67,11 @@ def test_half_even_transfer(spark):
     assert spark.range(1).select(S.transferred(F.lit(5), F.lit(2), F.lit(100))).first()[0] == 100
 
 
+def test_transfer_between_equal_lengths_stays_inside(spark):
+    df = spark.createDataFrame([(30, 9, 9), (0, 9, 9), (4, 9, 9), (None, 9, 9)], "p long, a long, b long")
+    assert [r[0] for r in df.select(S.transferred("p", "a", "b")).collect()] == [9, 1, 4, None]
+
+
 def test_confidence_and_gates(spark):
     rows = [(0.0, None), (0.02, 0.02), (0.02, 0.0), (0.05, 0.02), (0.05, None), (0.5, 0.3)]
     df = spark.createDataFrame(rows, "d double, g double")
