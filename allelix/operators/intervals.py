@@ -147,11 +147,13 @@ def points_within(points: DataFrame, spans: DataFrame, on: str, width: int) -> D
     return spans.join(counted, "span_id", "left").select(*spans.columns, F.coalesce("n_points", F.lit(0).cast("long")).alias("n_points"))
 
 
-def nearest_value(left: DataFrame, right: DataFrame, value: str, target: str, key: str) -> DataFrame:
+def nearest_value(left: DataFrame, right: DataFrame, value: str, target: str, key: str, decimals: int | None = None) -> DataFrame:
     """For each left row, the right row of the nearest value (ties: smaller value, then smaller key), and the distance
     to it: a sorted sweep over both sides within ranges of the value, not a cross join.
 
-    left: key…, value; right: target_key ``key``, ``target``. Values that repeat on the right are met by their least key."""
+    left: key…, value; right: target_key ``key``, ``target``. Values that repeat on the right are met by their least key.
+    decimals: places to which distances are rounded before they are compared, so that a value in the middle of two
+    decimal fractions is as far from both; values on one side of it are met in their own order."""
     wanted = right.where(F.col(target).isNotNull()).groupBy(F.col(target).cast("double").alias("_v")).agg(F.min(key).alias("_key"))
     rows = left.withColumn("_v", F.col(value).cast("double")).withColumn("_hit", F.lit(None).cast(dict(wanted.dtypes)["_key"]))
     marks = wanted.select("_v", F.col("_key").alias("_hit"), F.lit(True).alias("_mark"))
@@ -166,7 +168,8 @@ def nearest_value(left: DataFrame, right: DataFrame, value: str, target: str, ke
     carried = ends.select("_part", F.last("_top", True).over(side.rowsBetween(Window.unboundedPreceding, -1)).alias("_left"), F.first("_bottom", True).over(side.rowsBetween(1, Window.unboundedFollowing)).alias("_right"))
     swept = dealt.select("*", F.last(mark, True).over(down).alias("_below"), F.last(mark, True).over(up).alias("_above")).where(~F.col("_mark"))
     found = swept.join(carried, "_part").select(*left.columns, "_v", F.coalesce("_below", "_left").alias("_b"), F.coalesce("_above", "_right").alias("_a"))
-    below, above = F.col("_v") - F.col("_b._v"), F.col("_a._v") - F.col("_v")
+    away = lambda x: x if decimals is None else F.round(x, decimals)
+    below, above = away(F.col("_v") - F.col("_b._v")), away(F.col("_a._v") - F.col("_v"))
     lower = F.col("_b").isNotNull() & (F.col("_a").isNull() | (below <= above))
     best = F.when(lower, F.col("_b")).otherwise(F.col("_a"))
     return found.select(*left.columns, best["_hit"].alias(key), best["_v"].alias("nearest"), F.abs(F.col("_v") - best["_v"]).alias("distance"))

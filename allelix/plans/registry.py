@@ -349,7 +349,7 @@ def points_in_interval(spark: SparkSession, d: str) -> DataFrame:
 def nearest_value(spark: SparkSession, d: str) -> DataFrame:
     left = table(spark, d, "customer").select("c_custkey", F.col("c_acctbal").alias("x"))
     right = table(spark, d, "supplier").select("s_suppkey", F.col("s_acctbal").alias("v"))
-    return rounded(I.nearest_value(left, right, "x", "v", "s_suppkey").select("c_custkey", "s_suppkey", "nearest", "distance"))
+    return rounded(I.nearest_value(left, right, "x", "v", "s_suppkey", 9).select("c_custkey", "s_suppkey", "nearest", "distance"))
 
 
 @query("WITH p AS (SELECT p_partkey, p_size::bigint * 13000 + 500 AS n FROM part), k AS (SELECT p_partkey, n, unnest(range(0, greatest(0, ceil((n - 200000) / 180000.0)::bigint) + 1)) AS i FROM p) SELECT p_partkey, i + 1 AS chunk_index, i * 180000 + 1 AS chunk_start, least(i * 180000 + 200000, n) AS chunk_end FROM k WHERE least(i * 180000 + 200000, n) - i * 180000 >= 1000")

@@ -85,6 +85,17 @@ def test_nearest(spark, a, b):
     assert got == {i: (w[1], w[2]) if w else (None, None) for i, w in want.items()}
 
 
+def test_nearest_of_decimal_fractions(spark, tmp_path):
+    """The query: balances in the middle of two others, by decimal places, take the smaller one."""
+    import __spark_entry__ as e
+
+    triples = [(-997.48, -996.12, -994.76), (5144.36, 5144.84, 5145.32), (0.01, 0.03, 0.05), (7000.1, 7000.2, 7000.3)]
+    spark.createDataFrame([(k, v) for k, (a, _, b) in enumerate(triples) for k, v in ((2 * k, b), (2 * k + 1, a))], "s_suppkey long, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.createDataFrame([(k, x) for k, (_, x, _) in enumerate(triples)], "c_custkey long, c_acctbal double").write.parquet(f"{tmp_path}/customer.parquet")
+    got = {r["c_custkey"]: (r["nearest"], r["s_suppkey"]) for r in e.queries()["nearest_value"](spark, str(tmp_path)).collect()}
+    assert got == {k: (a, 2 * k + 1) for k, (a, _, _) in enumerate(triples)}
+
+
 def test_chunks(spark):
     def wanted(n, size, overlap, least):
         out, k = [], 0
