@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from allelix.functions.lineage import fixed, stored
 from allelix.functions.ranking import best_rows, medians, with_average_rank
 from allelix.functions.scalars import CANDIDATES, GENE_LIBRARY, confidence, interval_jaccard, seqid
 from allelix.operators import intervals as I
@@ -14,34 +15,57 @@ from allelix.operators.linalg import pearson, weighted_mean
 from allelix.operators.marts import keyword_hits
 
 
+#: Positions of a bin of islands.
+WIDTH = 10_000
+
+
+def _best() -> list[Column]:
+    return [F.desc("bitscore"), F.desc("length"), F.desc("pident"), F.asc("target"), F.asc("source_start")]
+
+
 def best_hits(hits: DataFrame, by: Sequence[str]) -> DataFrame:
-    """The hit of largest bitscore, length and identity of each key; ties by target and source start."""
-    return best_rows(hits, by, [F.desc("bitscore"), F.desc("length"), F.desc("pident"), F.asc("target"), F.asc("source_start")])
+    """The hit of largest bitscore, length and identity of each key; ties by target and source start. Keys are sorted by
+    their hash first, which is cheaper to compare than names."""
+    return best_rows(hits.withColumn("_key", F.xxhash64(*by)), ["_key", *by], _best()).drop("_key")
 
 
-def coverage_by_target(hits: DataFrame, keys: Sequence[str], span: Column) -> DataFrame:
-    """keys…, target: covered source bases and their share of span, median identity, chunks and hits."""
-    best = best_hits(hits, [*keys, "query", "target"])
-    covered = I.union_length(best, [*keys, "target"], "source_start", "source_end")
-    stats = best.groupBy(*keys, "target").agg(F.count_distinct("query").alias("n_chunks"), F.count("*").alias("n_hits"))
-    middle = medians(best, "pident", [*keys, "target"], "median_identity")
-    return covered.join(stats, [*keys, "target"]).join(middle, [*keys, "target"], "left").withColumn("fraction", F.col("covered") / span)
+def best_by_target(hits: DataFrame, regions: DataFrame, *columns: str) -> DataFrame:
+    """The best hit of each region, query and target, with ``columns`` of its region, _named (whether it has a query) and
+    _top (whether it is the best of its region and query too). Hits are dealt once, by region and query, and what is left
+    of them is written once, as all measures come from it; regions are broadcast (a report's rows)."""
+    own = ["region", "query", "target", "source_start", "source_end", "target_start", "target_end", "strand", "length", "pident", "bitscore"]
+    rows = hits.select(*own).join(F.broadcast(regions.select("region", *columns)), "region").repartition("region", "query")
+    best = best_hits(rows, ["region", "query", "target"])
+    first = F.row_number().over(Window.partitionBy(F.xxhash64("region", "query"), "region", "query").orderBy(*_best()))
+    return stored(best.withColumn("_top", first == 1).withColumn("_named", F.col("query").isNotNull()).drop("query", "bitscore"), "hits")
 
 
-def interval_mapping(hits: DataFrame, regions: DataFrame) -> DataFrame:
+def coverage(best: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
+    """Covered source positions of best_by_target()'s rows: by region and target, and by region over all its targets. The
+    latter come from the former's islands."""
+    islands = fixed(I.merged_binned(best, ["region", "target"], width, "source_start", "source_end"))
+    whole = I.union_length(islands, ["region"]).select("region", F.col("covered").alias("all_covered"))
+    return islands.groupBy("region", "target").agg(F.sum(F.col("end") - F.col("start") + 1).alias("covered")), whole
+
+
+def interval_mapping(hits: DataFrame, regions: DataFrame, width: int = WIDTH) -> DataFrame:
     """regions (region, region_start, region_end, expected), hits with region -> one row for each region: dominant
     target, its coverage, weighted identity, target envelope, strands, the largest other coverage, what all targets
-    cover together, how many there are, and the status. A region without hits fails."""
+    cover together, how many there are, and the status. A region without hits fails. width: of the bins of islands."""
     span = (F.col("region_end") - F.col("region_start") + 1).cast("double")
-    by = coverage_by_target(hits.join(regions.select("region", "region_start", "region_end"), "region"), ["region", "region_start", "region_end"], span)
-    first = best_rows(by, ["region"], [F.desc("covered"), F.desc("median_identity"), F.asc("target")], n=1).select("region", F.col("target").alias("dominant"), "covered", "fraction")
-    every = best_hits(hits.join(regions.select("region"), "region", "left_semi"), ["region", "query", "target"])
-    whole = I.union_length(every, ["region"], "source_start", "source_end").select("region", F.col("covered").alias("all_covered")).join(by.groupBy("region").agg(F.count("*").alias("n_target_contigs")), "region")
-    other = by.join(first.select("region", "dominant"), "region").where("target <> dominant").groupBy("region").agg(F.max("fraction").alias("other"))
-    best = best_hits(hits, ["region", "query", "target"]).join(first.select("region", "dominant"), "region").where("target = dominant")
+    regions = fixed(regions)
+    best = best_by_target(hits, regions)
+    covered, whole = coverage(best, width)
     strand = F.when(F.col("strand") >= 0, "+").otherwise("-")
-    shape = best.groupBy("region").agg(weighted_mean("pident", "length").alias("weighted_identity"), F.min("target_start").alias("mapped_start"), F.max("target_end").alias("mapped_end"), F.array_join(F.array_sort(F.collect_set(strand)), ";").alias("strands"), F.count("*").alias("n_hits"), F.count_distinct("query").alias("n_chunks"))
-    out = regions.join(first, "region", "left").join(other, "region", "left").join(shape, "region", "left").join(whole, "region", "left")
+    # A query has one row for each target.
+    shape = best.groupBy("region", "target").agg(weighted_mean("pident", "length").alias("weighted_identity"), F.min("target_start").alias("mapped_start"), F.max("target_end").alias("mapped_end"), F.array_join(F.array_sort(F.collect_set(strand)), ";").alias("strands"), F.count("*").alias("n_hits"), F.count_if("_named").alias("n_chunks"))
+    # A row for each region and target.
+    by = covered.join(shape, ["region", "target"]).join(medians(best, "pident", ["region", "target"], "median_identity"), ["region", "target"], "left")
+    by = fixed(by.join(F.broadcast(regions.select("region", span.alias("_span"))), "region").withColumn("fraction", F.col("covered") / F.col("_span")).drop("_span"))
+    first = best_rows(by, ["region"], [F.desc("covered"), F.desc("median_identity"), F.asc("target")]).drop("median_identity").withColumnRenamed("target", "dominant")
+    other = by.join(first.select("region", "dominant"), "region").where("target <> dominant").groupBy("region").agg(F.max("fraction").alias("other"))
+    whole = whole.join(by.groupBy("region").agg(F.count("*").alias("n_target_contigs")), "region")
+    out = regions.join(first, "region", "left").join(other, "region", "left").join(whole, "region", "left")
     share, alt = F.coalesce("fraction", F.lit(0.0)), F.least(F.coalesce("other", F.lit(0.0)), F.lit(1.0))
     fits = F.coalesce(F.regexp_replace(F.lower("dominant"), "[^a-z0-9]", "") == F.regexp_replace(F.lower("expected"), "[^a-z0-9]", ""), F.lit(False))
     identity = F.coalesce("weighted_identity", F.lit(0.0))

@@ -48,6 +48,22 @@ def test_chromosome_support(spark, small):
         assert r["overall_status"] == "FAIL" and r["chromosome_status"] == "WARN"
 
 
+@pytest.mark.parametrize("name", ["interval_mapping"])
+def test_hits_are_read_once(spark, small, name):
+    hits = registry.hits(spark, small)
+    regions = registry.regions(spark, small).withColumn("expected", F.lit("T_0"))
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(x):
+        read.add(1)
+        return x
+
+    marked = hits.withColumn("pident", counted.asNondeterministic()("pident"))
+    assert len(getattr(A, name)(marked, regions).collect()) == regions.count()
+    assert read.value == hits.count()
+
+
 def test_mapping_without_hits(spark, small):
     regions = spark.createDataFrame([("none", 1, 100, "T_0")], "region string, region_start long, region_end long, expected string")
     row = A.interval_mapping(registry.hits(spark, small), regions).first()
