@@ -6,7 +6,7 @@ starts behind the ranges before it, and ranks are joined back by value; no task
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -77,6 +77,16 @@ def with_average_rank(df: DataFrame, value: str, name: str, by: Sequence[str] =
     return ranked.withColumn(name, rank if nulls == "bottom" else F.when(F.col(value).isNotNull(), rank)).drop("_n", "_before")
 
 
+def with_average_ranks(df: DataFrame, names: Mapping[str, str], by: Sequence[str] = ()) -> DataFrame:
+    """with_average_rank() for several values, value -> name: each is counted over the rows as they are, not over those
+    that have other ranks already."""
+    out = df
+    for value, name in names.items():
+        rank = F.when(F.col(value).isNotNull(), F.col("_before") + 1 + (F.col("_n") - 1) / F.lit(2).cast("double"))
+        out = with_facts(out, counted(df, value, by), [*by, value]).withColumn(name, rank).drop("_n", "_before")
+    return out
+
+
 def with_percentile_rank(df: DataFrame, value: str, name: str, by: Sequence[str] = (), higher_is_better: bool = True) -> DataFrame:
     """percentile_rank() as a column ``name`` of a table of any size."""
     ranked = with_average_rank(df, value, name, by, descending=not higher_is_better)

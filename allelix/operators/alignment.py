@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from allelix.functions.lineage import fixed, stored
-from allelix.functions.ranking import best_rows, medians, with_average_rank
+from allelix.functions.ranking import best_rows, medians, with_average_ranks
 from allelix.functions.scalars import CANDIDATES, GENE_LIBRARY, confidence, interval_jaccard, seqid
 from allelix.operators import intervals as I
 from allelix.operators.linalg import pearson, weighted_mean
@@ -73,20 +73,22 @@ def interval_mapping(hits: DataFrame, regions: DataFrame, width: int = WIDTH) ->
     return out.select("region", "dominant", fits.alias("expected_match"), F.coalesce("covered", F.lit(0).cast("long")).alias("covered"), share.alias("fraction"), alt.alias("largest_other"), "weighted_identity", "mapped_start", "mapped_end", "strands", F.coalesce("n_hits", F.lit(0).cast("long")).alias("n_hits"), F.coalesce("n_chunks", F.lit(0).cast("long")).alias("n_chunks"), (F.coalesce("all_covered", F.lit(0)) / span).alias("all_target_fraction"), (F.col("mapped_end") - F.col("mapped_start") + 1).alias("mapped_span"), F.coalesce("n_target_contigs", F.lit(0).cast("long")).alias("n_target_contigs"), status.alias("status"))
 
 
-def chromosome_support(hits: DataFrame, regions: DataFrame) -> DataFrame:
+def chromosome_support(hits: DataFrame, regions: DataFrame, width: int = WIDTH) -> DataFrame:
     """One row for each region: share of queries whose best hit is on the expected target, union coverage there,
-    weighted identity, share of forward hits, order correlation, largest other coverage, and the three statuses."""
-    span = F.col("region_end") - F.col("region_start") + 1
-    tagged = hits.join(regions.select("region", "expected", span.cast("double").alias("span")), "region")
-    top = best_hits(tagged, ["region", "query"]).groupBy("region").agg(F.avg((F.col("target") == F.col("expected")).cast("double")).alias("top_fraction"), F.count("*").alias("n_queries"))
-    own = best_hits(tagged.where("target = expected"), ["region", "query"])
-    mid = own.withColumn("sm", (F.col("source_start") + F.col("source_end")) / F.lit(2.0)).withColumn("tm", (F.col("target_start") + F.col("target_end")) / F.lit(2.0))
-    ranked = with_average_rank(with_average_rank(mid, "sm", "rs", ["region"]), "tm", "rt", ["region"])
-    stats = ranked.groupBy("region").agg(weighted_mean("pident", "length").alias("weighted_identity"), F.avg((F.col("strand") >= 0).cast("double")).alias("forward_fraction"), pearson("rs", "rt").alias("order_spearman"))
-    covered = I.union_length(own, ["region", "span"], "source_start", "source_end").select("region", (F.col("covered") / F.col("span")).alias("fraction"))
-    rest = best_hits(tagged.where("target <> expected"), ["region", "target", "query"])
-    other = I.union_length(rest, ["region", "span", "target"], "source_start", "source_end").groupBy("region").agg(F.max(F.col("covered") / F.col("span")).alias("other"))
-    out = regions.select("region").join(top, "region", "left").join(stats, "region", "left").join(covered, "region", "left").join(other, "region", "left").withColumn("other", F.coalesce("other", F.lit(0.0)))
+    weighted identity, share of forward hits, order correlation, largest other coverage, and the three statuses. width:
+    of the bins of islands."""
+    regions = fixed(regions.withColumn("_span", (F.col("region_end") - F.col("region_start") + 1).cast("double")))
+    best = best_by_target(hits, regions, "expected")
+    top = best.where("_top").groupBy("region").agg(F.avg((F.col("target") == F.col("expected")).cast("double")).alias("top_fraction"), F.count("*").alias("n_queries"))
+    own = best.where("target = expected")
+    shape = own.groupBy("region").agg(weighted_mean("pident", "length").alias("weighted_identity"), F.avg((F.col("strand") >= 0).cast("double")).alias("forward_fraction"))
+    middles = own.select("region", ((F.col("source_start") + F.col("source_end")) / F.lit(2.0)).alias("sm"), ((F.col("target_start") + F.col("target_end")) / F.lit(2.0)).alias("tm"))
+    order = with_average_ranks(middles, {"sm": "rs", "tm": "rt"}, ["region"]).groupBy("region").agg(pearson("rs", "rt").alias("order_spearman"))
+    # A row for each region and target.
+    share = coverage(best, width)[0].join(F.broadcast(regions.select("region", "expected", "_span")), "region").withColumn("share", F.col("covered") / F.col("_span"))
+    covered = share.where("target = expected").select("region", F.col("share").alias("fraction"))
+    other = share.where("target <> expected").groupBy("region").agg(F.max("share").alias("other"))
+    out = regions.select("region").join(top, "region", "left").join(shape.join(order, "region"), "region", "left").join(covered, "region", "left").join(other, "region", "left").withColumn("other", F.coalesce("other", F.lit(0.0)))
     chromosome = F.coalesce((F.col("top_fraction") >= 0.95) & (F.col("fraction") >= 0.60) & (F.col("weighted_identity") >= 98) & (F.col("other") <= 0.10) & (F.col("order_spearman") >= 0.95), F.lit(False))
     boundary = F.coalesce((F.col("fraction") >= 0.90) & (F.col("forward_fraction") >= 0.98), F.lit(False))
     return out.select("*", F.when(chromosome, "PASS").otherwise("WARN").alias("chromosome_status"), F.when(boundary, "PASS").otherwise("WARN").alias("boundary_status"), F.when(chromosome & boundary, "PASS").when(chromosome, "WARN").otherwise("FAIL").alias("overall_status"))

@@ -48,7 +48,7 @@ def test_chromosome_support(spark, small):
         assert r["overall_status"] == "FAIL" and r["chromosome_status"] == "WARN"
 
 
-@pytest.mark.parametrize("name", ["interval_mapping"])
+@pytest.mark.parametrize("name", ["interval_mapping", "chromosome_support"])
 def test_hits_are_read_once(spark, small, name):
     hits = registry.hits(spark, small)
     regions = registry.regions(spark, small).withColumn("expected", F.lit("T_0"))
