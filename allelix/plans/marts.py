@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from allelix.functions import ranking as R
 from allelix.functions import scalars as S
-from allelix.functions.lineage import fixed
+from allelix.functions.lineage import fixed, stored
 from allelix.operators import accessions as X
 from allelix.operators import alignment as A
 from allelix.operators import evidence as E
@@ -242,12 +242,13 @@ t1 AS (SELECT w1.subgenome, w1.m AS observed, quantile_cont(v, 0.99) AS null_99,
 
 def regional(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     x = good_sites(spark, d).where("abs_delta_af is not null").withColumn("subgenome", F.when(F.col("site_id") % 2 == 0, "sgC").otherwise("sgE")).withColumn("delta", F.round("abs_delta_af", 9))
-    x = fixed(x.select("subgenome", "contig", "pos", "delta"))
+    x = stored(x.select("subgenome", "contig", "pos", "delta"), "regional")
     mean = F.round(F.avg("delta"), 9).alias("mean_abs_delta_af")
     contigs = x.groupBy("subgenome", "contig").agg(mean, F.count_if(F.col("delta") >= 0.75).alias("n_ge_0_75"), F.count_if(F.col("delta") >= 0.9).alias("n_ge_0_90"))
-    contigs = R.best_rows(contigs, ["subgenome"], [F.desc("n_ge_0_90"), F.desc("n_ge_0_75"), F.desc("mean_abs_delta_af"), F.asc("contig")], 1 << 30, "rank")
+    # Contigs and windows are written once too, as several parts of a report read them.
+    contigs = fixed(R.best_rows(contigs, ["subgenome"], [F.desc("n_ge_0_90"), F.desc("n_ge_0_75"), F.desc("mean_abs_delta_af"), F.asc("contig")], 1 << 30, "rank"))
     start = S.window_start("pos", WINDOW)
-    windows = x.groupBy("subgenome", "contig", start.alias("window_start")).agg(mean).withColumn("window_end", F.col("window_start") + WINDOW - 1)
+    windows = fixed(x.groupBy("subgenome", "contig", start.alias("window_start")).agg(mean).withColumn("window_end", F.col("window_start") + WINDOW - 1))
     spans = x.groupBy("subgenome").agg(F.min("pos").alias("interval_start"), F.max("pos").alias("interval_end"), F.lit(True).alias("expected_match"), F.lit("base").alias("condition"))
     top = R.best_rows(windows, ["subgenome"], [F.desc("mean_abs_delta_af"), F.asc("contig"), F.asc("window_start")])
     # The other subgenome's largest means by contig stand for the null; a P value without a hit is left to its bound.

@@ -50,16 +50,24 @@ def rounded(df: DataFrame) -> DataFrame:
     return df.select(*[F.round(c, 9).alias(c) if t == "double" else F.col(c).cast("long").alias(c) if t in ("int", "smallint", "tinyint") else F.col(c) for c, t in df.dtypes])
 
 
-def cells(spark: SparkSession, d: str, panel: bool = False) -> DataFrame:
-    """Genotype cells; panel: nations as samples, which bounds the samples by 25."""
+def _calls(spark: SparkSession, d: str, panel: bool) -> DataFrame:
+    """site, sample_id, grp and call of every line, dealt once, by site: what follows groups and joins by it."""
     who = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     who = who.select("s_suppkey", (F.col("n_nationkey") if panel else F.col("s_suppkey")).cast("long").alias("sample_id"), F.col("r_name").alias("grp"))
-    calls = table(spark, d, "lineitem").groupBy("l_partkey", "l_suppkey").agg(F.min(F.col("l_quantity").cast("int") % 4 - 1).alias("dosage"))
-    site = table(spark, d, "part").select(F.col("p_partkey").alias("site_id"), F.col("p_brand").alias("contig"), (F.col("p_partkey") * 1000 + 1).alias("pos"))
-    out = calls.join(site, F.col("l_partkey") == F.col("site_id")).join(who, F.col("l_suppkey") == F.col("s_suppkey"))
-    if panel:
-        out = out.groupBy("site_id", "contig", "pos", "sample_id", "grp").agg(F.min("dosage").alias("dosage"))
-    return out.select("site_id", "contig", "pos", "sample_id", "grp", F.nullif(F.col("dosage"), F.lit(-1)).alias("dosage"))
+    lines = table(spark, d, "lineitem").select("l_partkey", "l_suppkey", (F.col("l_quantity").cast("int") % 4 - 1).alias("call"))
+    return lines.join(who, F.col("l_suppkey") == F.col("s_suppkey")).select(F.col("l_partkey").alias("_site"), "sample_id", "grp", "call").repartition("_site")
+
+
+def _at_sites(spark: SparkSession, d: str, rows: DataFrame) -> DataFrame:
+    """Rows (_site, …) with their site's site_id, contig and pos."""
+    site = table(spark, d, "part").select(F.col("p_partkey").alias("site_id"), F.col("p_brand").alias("contig"), (F.col("p_partkey") * 1000 + 1).alias("pos")).distinct()
+    return site.join(rows, F.col("site_id") == F.col("_site")).drop("_site")
+
+
+def cells(spark: SparkSession, d: str, panel: bool = False) -> DataFrame:
+    """Genotype cells; panel: nations as samples, which bounds the samples by 25."""
+    least = _calls(spark, d, panel).groupBy("_site", "sample_id", "grp").agg(F.nullif(F.min("call"), F.lit(-1)).alias("dosage"))
+    return _at_sites(spark, d, least).select("site_id", "contig", "pos", "sample_id", "grp", "dosage")
 
 
 CELLS = """cells AS (
@@ -497,9 +505,10 @@ def reservoir_sample(spark: SparkSession, d: str) -> DataFrame:
 def panel_rows(spark: SparkSession, d: str) -> tuple[DataFrame, list[str]]:
     """Sites with an array of dosages over the 25 nations, and the nations' groups."""
     named = groups(spark, d).orderBy("sample_id").collect()
-    wide = cells(spark, d, panel=True).groupBy("site_id", "contig", "pos").agg(F.map_from_entries(F.collect_list(F.struct("sample_id", F.col("dosage").cast("double")))).alias("m"))
-    row = F.array(*[F.try_element_at("m", F.lit(r["sample_id"]).cast("long")) for r in named])
-    return wide.select("site_id", "contig", "pos", row.alias("dosages")), [r["grp"] for r in named]
+    # The panel is short: one aggregate for each of its samples, and no cells.
+    least = lambda k: F.nullif(F.min(F.when(F.col("sample_id") == k, F.col("call"))), F.lit(-1)).cast("double")
+    wide = _calls(spark, d, True).groupBy("_site").agg(F.array(*[least(r["sample_id"]) for r in named]).alias("dosages"))
+    return _at_sites(spark, d, wide).select("site_id", "contig", "pos", "dosages"), [r["grp"] for r in named]
 
 
 @query()

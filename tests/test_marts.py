@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from allelix.functions import scalars as S
 from allelix.operators import linalg, marts, popgen, reports, sampling, variants
-from allelix.plans import formats
+from allelix.plans import formats, registry
 from allelix.sources import readers
 
 HEAD = ["##fileformat=VCFv4.2", "##contig=<ID=chr_D_sg_C_1,length=900>", "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\ta\tb\tc\td"]
@@ -259,3 +259,16 @@ def test_new_queries_against_sql(spark, small, name):
     plain = lambda x: None if pd.isna(x) else x if isinstance(x, (str, bool, np.bool_)) else round(float(x), 7)
     rows = lambda d: sorted(repr([plain(x) for x in r]) for r in d[cols].astype(object).itertuples(index=False))
     assert rows(got) == rows(want) and len(got) > 0
+
+
+def test_cells_are_dealt_once_by_site(spark, small):
+    """One shuffle by supplier, one by site, and those of smaller tables."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = registry.good_sites(spark, small)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    # Two for each of the joins with suppliers, nations and regions, one of cells by site, and two of sites; none for what
+    # is grouped by cell or site.
+    assert plan.count("Exchange hashpartitioning") <= 9, plan
