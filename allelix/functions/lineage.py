@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def fixed(df: DataFrame) -> DataFrame:
@@ -35,3 +36,9 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def once(value: Column) -> Column:
+    """``value`` as a generated column (one for a select): filters that come later aren't moved before it, where they
+    would compute it again for each of their terms."""
+    return F.explode(F.array(value))

@@ -16,9 +16,9 @@ def _c(x: Expr) -> Column:
 
 def gt_dosage(sample: Expr, index: Expr | int = 0) -> Column:
     """Alternate alleles (0, 1, 2) of a diploid biallelic call; NULL for anything else. index: GT's place in FORMAT."""
-    gt = F.get(F.split(_c(sample), ":"), F.lit(index) if isinstance(index, int) else _c(index))
-    alleles = F.split(gt, r"[/|]")
-    return F.when(gt.rlike(r"^0*[01][/|]0*[01]$"), F.aggregate(alleles, F.lit(0), lambda a, x: a + x.try_cast("int"))).cast("int")
+    gt = F.split_part(_c(sample), F.lit(":"), (F.lit(index) if isinstance(index, int) else _c(index)) + 1)
+    # Both alleles are zeros before a 0 or a 1, so their sum is the number of ones.
+    return F.when(gt.rlike(r"^0*[01][/|]0*[01]$"), F.char_length(gt) - F.char_length(F.replace(gt, F.lit("1"), F.lit("")))).cast("int")
 
 
 def gt_dosage_any(sample: Expr, index: int = 0) -> Column:

@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from allelix.functions.lineage import once
 from allelix.functions.scalars import format_index, gt_dosage, is_biallelic_snp, keeps_contig, subgenome_of
 from allelix.operators import sampling
 from allelix.sources.readers import vcf_records
@@ -32,7 +33,7 @@ def scanned(text: DataFrame, subgenome: str, mode: str, columns: Sequence[int],
     snp = kept & is_biallelic_snp("ref", "alt")
     rows = records.withColumns({"contig_class": F.when(F.col("contig").isNotNull(), subgenome_of("contig")), "retained": kept, "snp": snp})
     picked = F.transform(F.array(*[F.get("samples", F.lit(c)) for c in columns]), lambda s: gt_dosage(s, F.col("_gt")))
-    rows = rows.withColumn("_gt", F.when(snp, place)).withColumn("dosages", F.when(snp, picked))
+    rows = rows.withColumn("_gt", F.when(F.col("snp"), place)).withColumn("dosages", once(F.when(F.col("snp"), picked)))
     known = F.filter("dosages", lambda x: x.isNotNull())
     rows = rows.withColumn("called", F.size(known)).withColumn("_alt", F.aggregate(known, F.lit(0), lambda a, x: a + x))
     freq = F.col("_alt") / F.nullif(F.lit(2.0) * F.col("called"), F.lit(0.0))

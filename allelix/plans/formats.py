@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from allelix.functions import scalars as S
-from allelix.functions.lineage import fixed, scratch
+from allelix.functions.lineage import fixed, scratch, stored
 from allelix.operators import alignment as AL
 from allelix.operators import intervals as I
 from allelix.operators import marts as K
@@ -39,12 +39,15 @@ def vcf(spark: SparkSession, d: str) -> tuple[DataFrame, list[str]]:
     swapped = F.transform("dosages", lambda x, i: F.concat((i + 3).cast("string"), F.lit(":"), F.when(x == 0, "0/0").when(x == 1, "1|0").when(x == 2, "1/1").otherwise(".")))
     even = k % 2 == 0
     line = F.concat_ws("\t", contig, k * 1000 + 1, F.lit("."), ref, alt, F.lit("50"), F.when(k % 5 == 0, "LowQual").otherwise("PASS"), F.lit("."), F.when(even, "GT:DP").otherwise("DP:GT"), F.array_join(F.when(even, call).otherwise(swapped), "\t"))
-    body = rows.select(line.alias("value"))
-    lengths = rows.groupBy(contig.alias("contig")).agg(F.max(k * 1000 + 500).alias("n")).select(F.format_string("##contig=<ID=%s,length=%d>", F.col("contig"), F.col("n")).alias("value"))
+    path = staged(rows.select(line.alias("value")), "vcf")
+    # Contigs and their lengths come from the lines as written (a site's position is k * 1000 + 1), not from the cells again.
+    begins = F.split(F.substring_index("value", "\t", 2), "\t")
+    lengths = readers.lines(spark, path).groupBy(F.get(begins, F.lit(0)).alias("contig")).agg(F.max(F.get(begins, F.lit(1)).cast("long") + 499).alias("n")).select(F.format_string("##contig=<ID=%s,length=%d>", F.col("contig"), F.col("n")).alias("value"))
     fixed = ["##fileformat=VCFv4.2", "##GATKCommandLine.HaplotypeCaller=<ID=HaplotypeCaller,Version=4.1,CommandLine=\"x --sample_ploidy=2 reference_sequence=/r/sub.fa y\">", "##GATKCommandLine.GenotypeGVCFs=<ID=GenotypeGVCFs,CommandLine=\"sample_ploidy=4 reference_sequence=/r/all.fa z\",Version=4.2>"]
     names = "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", *(f"n{i}" for i in range(len(grp)))])
     head = spark.createDataFrame([(x,) for x in [*fixed, names, "short\tline"]], "value string")
-    return readers.lines(spark, staged(head.unionByName(lengths).unionByName(body), "vcf")), grp
+    head.unionByName(lengths).write.mode("append").text(path)
+    return readers.lines(spark, path), grp
 
 
 SCAN = f"""{PANEL}, v AS (SELECT site_id, {CONTIG} AS contig, pos, count(dosage) AS called, sum(dosage) AS alts, avg(dosage / 2.0::double) FILTER (grp = 'AMERICA') AS af_a, avg(dosage / 2.0::double) FILTER (grp = 'EUROPE') AS af_b FROM cells GROUP BY ALL),
@@ -137,7 +140,7 @@ def vcf_conditions(spark: SparkSession, d: str) -> DataFrame:
 
 def eligible(found: DataFrame) -> DataFrame:
     """The eligible sites, written once: samples and matrices come from one scan."""
-    return fixed(found.where("eligible").select("contig", "pos", "ref", "alt", "maf", "abs_delta_af", "dosages", F.col("pos").alias("site_id")))
+    return stored(found.where("eligible").select("contig", "pos", "ref", "alt", "maf", "abs_delta_af", "dosages", F.col("pos").alias("site_id")), "sites")
 
 
 def sampled(found: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from allelix.functions.lineage import fixed
+from allelix.functions.lineage import fixed, once
 from allelix.functions.scalars import analysis_group, attributes, chunk_coordinates, format_index, gt_dosage, hsp_orientation, hsp_target, seqid
 from allelix.sources import ranges
 
@@ -39,7 +39,7 @@ def vcf_records(text: DataFrame, short: bool = False) -> DataFrame:
     """contig, pos, ref, alt, filter, format, samples of lines with ten fields or more; short: of all lines, with NULLs
     where one has fewer."""
     f = F.split("value", "\t")
-    rows = text.where(~F.col("value").startswith("#")).select(f.alias("f"))
+    rows = text.where(~F.col("value").startswith("#")).select(once(f).alias("f"))
     whole = F.size("f") >= 10
     if not short:
         rows = rows.where(whole)

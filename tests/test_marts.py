@@ -261,6 +261,13 @@ def test_new_queries_against_sql(spark, small, name):
     assert rows(got) == rows(want) and len(got) > 0
 
 
+def test_calls_are_decoded_once(spark, small):
+    """Filters on what comes from the calls don't decode them again."""
+    _, found = formats.scan(spark, small, "sgC", "matching_plus_unassigned")
+    plan = found.where("eligible")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("[/|]0*[01]$") == 1
+
+
 def test_cells_are_dealt_once_by_site(spark, small):
     """One shuffle by supplier, one by site, and those of smaller tables."""
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
