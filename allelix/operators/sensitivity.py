@@ -22,12 +22,13 @@ GROUPS = 64
 PLACES = 9
 
 
-def memberships(sites: DataFrame, sampled: DataFrame) -> DataFrame:
+def memberships(sites: DataFrame, sampled: DataFrame, few: bool = True) -> DataFrame:
     """sites (site_id, …) with ``conditions``: the samples (rows of ``sampled``: condition, site_id) that hold a site,
-    and ALL. Samples are bounded by their sizes, sites aren't; which is broadcast is left to Spark."""
+    and ALL. few: samples are bounded by their sizes and broadcast, so that sites aren't shuffled; else which is broadcast
+    is left to Spark."""
     held = sampled.groupBy("site_id").agg(F.collect_set("condition").alias("_held"))
     own = F.concat(F.coalesce("_held", F.array().cast("array<string>")), F.array(F.lit(ALL)))
-    return sites.join(held, "site_id", "left").withColumn("conditions", own).drop("_held")
+    return sites.join(F.broadcast(held) if few else held, "site_id", "left").withColumn("conditions", own).drop("_held")
 
 
 def _standard(x: np.ndarray) -> np.ndarray:

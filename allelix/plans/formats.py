@@ -159,7 +159,7 @@ def panels(spark: SparkSession, d: str) -> dict[str, list[tuple[int, str]]]:
 def in_conditions(spark: SparkSession, d: str) -> DataFrame:
     """Eligible sites and the conditions that hold them: nested samples of each seed, a reservoir, and all sites."""
     sites = eligible(scan(spark, d, "sgC", "matching_plus_unassigned")[1])
-    return A.memberships(sites, V.conditions(sites, SIZES, SEEDS, (100, 7)).select("condition", "site_id"))
+    return A.memberships(sites, V.conditions(sites.select("site_id", "contig", "pos", "ref", "alt"), SIZES, SEEDS, (100, 7)).select("condition", "site_id"))
 
 
 def analysed(spark: SparkSession, d: str) -> tuple[DataFrame, dict[str, list[tuple[str, str]]]]:
@@ -213,7 +213,7 @@ def vcf_interval_conditions(spark: SparkSession, d: str) -> DataFrame:
     """The same for thirds of the sites, against all of them."""
     sites = eligible(scan(spark, d, "sgC", "matching_plus_unassigned")[1])
     thirds = sites.select(F.concat(F.lit("part_"), F.expr("((pos - 1) div 1000) % 3").cast("string")).alias("condition"), "site_id")
-    return rounded(A.intervals(A.memberships(sites, thirds), 50, A.ALL))
+    return rounded(A.intervals(A.memberships(sites, thirds, few=False), 50, A.ALL))
 
 
 # ---- annotations
